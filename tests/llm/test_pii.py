@@ -1,0 +1,92 @@
+"""Base spans against Python's re on given and on awkward texts."""
+
+import hashlib
+import re
+
+import pytest
+
+from lithic.llm import pii
+from lithic.llm.queries import op1_pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    v = [int(c) for c in reversed(d)]
+    return (sum(v[::2]) + sum(x * 2 - 9 * (x > 4) for x in v[1::2])) % 10 == 0
+
+
+def holds(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    spans = [(m.start(), i, m.end(), k) for i, k in enumerate(PATTERNS) for m in re.finditer(PATTERNS[k], text or "") if holds(k, m[0])]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)]
+
+
+AWKWARD = [
+    None, "", "x", "a@b.c_d@e.f g.h@i", "é 1.2.3.4.5.6.7.8 ü 256.1.1.1 001.02.3.4", "+1 (555) 123-4567 +12345678 ++4930123456789-",
+    "4111 1111 1111 1111 4111-1111-1111-1111 41111111111111111111111111 4111  1111 1111 1111", "1 " * 9000, "9" * 50000, "a" * 200000,
+    "a.b@c.d" * 2000, "mail: joe@x.org, +33 1 23 45 67 89; ip 10.0.0.1", "😀 4111111111111111 😀 x@y.zz 1.1.1.1", "tel (555) 123-4567 and joe (at) host (dot) com",
+    "+1.2.3.4", "4111111111111111.1.1.1",
+]
+
+
+def check(rows, texts):
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        got = [x for x in r.spans.split(",") if x]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (r.doc_id, want[:5], got[:5])
+        assert set(want) <= set(got)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+
+
+def written(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_awkward_texts(spark, tmp_path):
+    d = written(spark, tmp_path, [(i, t, "x", 1) for i, t in enumerate(AWKWARD)], "doc_id long, text string, spans string, start int")
+    rows = op1_pii(spark, d).collect()
+    assert len(rows) == len(AWKWARD)
+    check(rows, dict(enumerate(AWKWARD)))
+
+
+def test_given_documents(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op1_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    check(rows, texts)
+
+
+def test_empty_table(spark, tmp_path):
+    assert op1_pii(spark, written(spark, tmp_path, [], "doc_id long, text string")).count() == 0
+
+
+def test_looser_candidates_are_judged(spark):
+    texts = [(i, f"call me, phone {t}") for i, t in enumerate(["(555) 123-4567", "+1 555 123 4567", "+49 30 123 4567"] * 5)]
+    texts += [(100 + i, f"mail joe{i}@x.org or joe{i} (at) host (dot) com") for i in range(10)]
+    found = pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(any(s.base for s in r.spans) or r.doc_id % 3 == 0 for r in found)
+    for r in found:
+        ordered = [(s.start, s.end) for s in r.spans]
+        assert ordered == sorted(ordered)
+
+
+@pytest.mark.parametrize("number,ok", [("4111111111111111", True), ("4111111111111112", False), ("79927398713", True)])
+def test_luhn(spark, number, ok):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(pii.luhn(F.lit(number)).alias("x")).first().x is ok

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import chat_format, pii, url_rules
-from lithic.llm.common import table
+from lithic.llm import chat_format, decontaminate, language_id, pii, quality, url_rules
+from lithic.llm.common import id_remainder, table
 from lithic.llm.exact_dedup import DigestIndex, deduplicate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +82,35 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels")
+    ranker = quality.fit(docs, labels.filter(id_remainder(labels["doc_id"], 4) != 2))
+    scored = docs.select("doc_id", held_out.alias("held_out"), ranker.column(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    tagger = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs, tagger, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op4_url_rules": op4_url_rules,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_quality": op8_quality,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_language_id": op10_language_id,
     }
 
 

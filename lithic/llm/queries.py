@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import chat_format, decontaminate, language_id, pii, quality, url_rules
+from lithic.llm import chat_format, decontaminate, language_id, pii, quality, sentencepiece_codec, url_rules
 from lithic.llm.common import id_remainder, table
 from lithic.llm.exact_dedup import DigestIndex, deduplicate
 
@@ -82,6 +82,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs).select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
@@ -108,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op4_url_rules": op4_url_rules,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_language_id": op10_language_id,

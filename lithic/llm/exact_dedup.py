@@ -75,3 +75,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def unique_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, that stay: one of each group of equal texts that the index lacked."""
+    verdicts = deduplicate(docs, index, id_col, text_col).filter("kept")
+    stay = verdicts.select(F.col("keep_id").alias("_keep_id"), F.unhex("text_sha256").alias("_kept_digest")).distinct()
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    same = (F.col("_digest") == F.col("_kept_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
+    return rows.join(stay, same, "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")

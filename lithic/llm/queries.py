@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import chat_format, decontaminate, language_id, pii, quality, sentencepiece_codec, url_rules
+from lithic.llm import chat_format, decontaminate, katz_lm, language_id, pii, quality, sentencepiece_codec, shingle_join, url_rules
 from lithic.llm.common import id_remainder, table
 from lithic.llm.exact_dedup import DigestIndex, deduplicate
 
@@ -23,6 +23,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    model = katz_lm.fit(docs.filter(~held_out))
+    return katz_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 URL_RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 ]
@@ -50,6 +63,24 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.v) AS component_id
+FROM s JOIN r ON r.u = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,6 +141,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_shingle_join": op2_shingle_join,
+        "op3_katz_lm": op3_katz_lm,
         "op4_url_rules": op4_url_rules,
         "op5_chat_format": op5_chat_format,
         "op6_exact_dedup": op6_exact_dedup,
@@ -122,6 +155,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_shingle_join": OP2_SQL,
         "op5_chat_format": OP5_SQL,
         "op6_exact_dedup": OP6_SQL,
     }

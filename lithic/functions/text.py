@@ -8,6 +8,7 @@ import fnmatch
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trigrams(c: Column) -> Column:
@@ -131,7 +132,7 @@ def glob_match(path: Column, patterns: list[str]) -> Column:
     return hit
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of casefolded, trimmed names."""
     return pd.Series(
@@ -161,7 +162,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -188,7 +189,7 @@ def span_of(needle: str, text: str) -> tuple[int, int] | None:
     return None if at < 0 else (places[at], places[at + len(want) - 1] + 1)
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def find_span(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [span_of(n, t) if n is not None and t is not None else None for n, t in zip(needle, text, strict=True)]
     return pd.DataFrame({"start": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})

@@ -141,12 +141,12 @@ def operator_alerts(queue: DataFrame, runs: DataFrame, quarantine: DataFrame) ->
 
 
 def activity_feed(parts: dict[str, tuple[DataFrame, str, str]], per_source: int = 30, limit: int = 30) -> DataFrame:
-    """The newest entries over several sources: kind, ref_id, at. Each source is cut to its newest before they are merged."""
+    """The newest entries over several sources: kind, ref_id, happened_at. Each source is cut to its newest before they are merged."""
     feed = None
     for kind, (df, ref, ts) in parts.items():
-        top = df.select(F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref_id"), F.col(ts).alias("at")).orderBy(F.desc("at"), "ref_id").limit(per_source)
+        top = df.select(F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref_id"), F.col(ts).alias("happened_at")).orderBy(F.desc("happened_at"), "ref_id").limit(per_source)
         feed = top if feed is None else feed.unionByName(top)
-    return feed.orderBy(F.desc("at"), "kind", "ref_id").limit(limit)
+    return feed.orderBy(F.desc("happened_at"), "kind", "ref_id").limit(limit)
 
 
 def entity_cards(entities: DataFrame, facts: DataFrame, mentions: DataFrame) -> DataFrame:

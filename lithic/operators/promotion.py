@@ -14,7 +14,7 @@ TRIPLE = ("subject_id", "predicate", "object_id", "literal")
 
 def reference(ref: Column) -> tuple[Column, Column]:
     """(kind, id) of a reference such as mention:12; a malformed one has a null id."""
-    return F.split_part(ref, F.lit(":"), F.lit(1)), F.expr("try_cast(NULL AS BIGINT)") if ref is None else F.split_part(ref, F.lit(":"), F.lit(2)).try_cast("long")
+    return F.split_part(ref, F.lit(":"), F.lit(1)), F.split_part(ref, F.lit(":"), F.lit(2)).try_cast("long")
 
 
 def resolved_references(pending: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -46,22 +46,13 @@ def promotable(pending: DataFrame, mentions: DataFrame, retracted: DataFrame, fa
     return rows.filter(F.col("newest").isNull() | (F.col("newest") <= F.col("own"))).select(*pending.columns)
 
 
-def same_triple(a: DataFrame, b: DataFrame) -> Column:
-    condition = F.lit(True)
-    for c in TRIPLE:
-        if c in a.columns and c in b.columns:
-            condition = condition & a[c].eqNullSafe(b[c])
-    return condition
-
-
 def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Triples of two versions with what becomes of each: keep, insert or retire."""
+    """Triples of two versions with what becomes of each: keep, insert or retire. One aggregation over both, nulls being equal."""
     keys = [c for c in TRIPLE if c in old.columns]
-    o = old.select(*keys).distinct().withColumn("in_old", F.lit(True))
-    n = new.select(*keys).distinct().withColumn("in_new", F.lit(True))
-    joined = o.join(n, same_triple(o, n), "full")
+    both = old.select(*keys, F.lit(True).alias("before")).unionByName(new.select(*keys, F.lit(False).alias("before")))
+    found = both.groupBy(*keys).agg(F.bool_or("before").alias("in_old"), F.bool_or(~F.col("before")).alias("in_new"))
     action = F.when(F.col("in_old") & F.col("in_new"), "keep").when(F.col("in_new"), "insert").otherwise("retire")
-    return joined.select(*[F.coalesce(o[c], n[c]).alias(c) for c in keys], action.alias("action"))
+    return found.select(*keys, action.alias("action"))
 
 
 def cutover(facts: DataFrame, wave: DataFrame, prior: DataFrame, first_id: int, at: datetime) -> tuple[DataFrame, DataFrame]:

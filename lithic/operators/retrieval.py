@@ -42,7 +42,7 @@ def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, k: int) -> DataF
     """Fused order of two rankings (id, rank): id, score, rank."""
     both = dense.select("id", F.col("rank").alias("dense_rank")).join(sparse.select("id", F.col("rank").alias("sparse_rank")), "id", "full")
     part: Callable[[str], Column] = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
-    fused = both.withColumn("score", part("dense_rank") + part("sparse_rank"))
+    fused = both.select("id", (part("dense_rank") + part("sparse_rank")).alias("score"))
     return ranked(fused.orderBy(F.desc("score"), "id").limit(k), "score")
 
 

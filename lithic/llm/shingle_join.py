@@ -6,13 +6,16 @@ threshold. A set of n shingles can miss at most t = n - ceil(0.8 n) of them in a
 1. A class of which more than t shingles occur in no other class links with nothing. That is decided on the shingles in a
    fixed zone of the hash range, which is a sample of tokens, not of documents, and so errs only towards keeping. It takes one
    shuffle of (shingle, class) and drops most of a corpus.
-2. Shingles of the remaining classes are ordered by frequency. A prefix runs until its pigeonholes exceed t: shingles found
-   once and rare ones fill a hole each; frequent ones are dealt into groups by hash, where all but the first of a group fill
-   one, so the prefix extends further. Signatures are the rare shingles and, for the frequent class, the pairs
-   within a group. Two linking sets share a signature. The number of groups follows the size class of the set; each set
-   signs for its own and the next size class, so that sets of linking sizes have a size class in common.
-3. Each class is verified against the hub (least member) it shares most signatures with, and linked ones are
-   joined to components. Then only classes of different components that share a signature are paired, filtered by length
+2. Shingles of the remaining classes are ordered by frequency. The prefix starts with the shingles found once, which can't be shared, and
+   goes on with rare ones, each a signature, until they are more than t. A set whose prefix runs into the frequent class extends
+   it over all its frequent shingles and indexes combinations of them: they are dealt by hash into 2^level groups, and all of
+   a group together are a signature. If two linking sets share no rare shingle, all of those are differences, and
+   what is left of (n1 + n2) / 9 differences can't touch all groups, given enough of them; so one group's combination is
+   shared. Of the two, the set with more room for differences picks the level (its own); every set signs for all
+   levels that a set of linking size may pick. The fewer differences are left, the longer the combinations, so sets that have the same
+   passages, or are edits of one text beyond the threshold, rarely meet.
+3. In a few rounds, each class is verified against hubs that it shares most signatures with, and linked ones are joined to
+   components; so a large group of near copies falls together without its pairs being formed. Then only classes of different components that share a signature are paired, filtered by length
    and position, and verified. Pairs inside a component add nothing and are never formed.
 
 Words are runs of non-blank characters with A-Z lower-cased; with fewer than `size` words the whole sequence is one shingle; null
@@ -23,6 +26,7 @@ rows share a class. Other columns are ignored. An empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,7 @@ SIZE = 5
 NEED, OF = 80, 100  # intersection * OF >= union * NEED
 ZONE = 0.3
 RARE = 64
+ROUNDS = 5
 BROADCAST_ROWS = 500_000
 CHUNK_CHARS = 4_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -149,47 +154,40 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "set_id binary, n long, shingles array<long>")
 
 
-def groups_for(size_class: int) -> int:
-    return max(1, int(0.3 * 1.25 ** (size_class - 1)))
+def finest(n: int) -> int:
+    """The finest level of groups, 2 ** level of them, that a set of n signs for."""
+    return math.ceil(math.log2(0.5 * n + 2))
 
 
-def size_class(n: int) -> int:
-    return int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
-
-
-def signatures_of(n: int, df: np.ndarray, shingle: np.ndarray) -> list[tuple[int, int]]:
-    """(signature, greatest overlap still possible) of a set of n shingles, of which those in more than one class are given
-    with their frequency, in order of (frequency, shingle)."""
+def signatures_of(n: int, df: np.ndarray, shingle: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(signature, greatest overlap still possible, own) of a set of n shingles, of which those in more than one class are given with
+    their frequency, in order of (frequency, shingle). Of two linking sets one has an own signature that the other has too."""
     once = n - len(df)
     holes = n - (n * NEED + OF - 1) // OF + 1 - once
     rare = int(np.searchsorted(df, RARE, side="right"))
-    out = [(int(s), n - once - i) for i, s in enumerate(shingle[: min(rare, holes)].tolist())]
-    holes -= rare
-    if holes <= 0:
+    out = [(int(s), n - once - i, True) for i, s in enumerate(shingle[: min(rare, holes)].tolist())]
+    if rare >= holes:
         return out
+    # no rare shingle may be shared: then the frequent ones differ in at most this many if the other set has no more room for it
+    room = (2 * n * (OF - NEED) - 2 * (once + rare) * (OF + NEED)) // (OF + NEED)
     frequent = shingle[rare:].view(np.uint64)
-    found = set()
-    for c in (size_class(n), size_class(n) + 1):
-        group = (mixed(frequent) % np.uint64(groups_for(c))).tolist()
-        members: dict[int, list[int]] = {}
-        filled = 0
-        for g, s in zip(group, frequent.tolist(), strict=True):
-            mates = members.setdefault(g, [])
-            filled += bool(mates)
-            mates.append(s)
-            if filled == holes:
-                break
-        for mates in members.values():
-            mates.sort()
-            found |= {(c, a, b) for i, a in enumerate(mates) for b in mates[i + 1 :]}
-    if found:
-        c, a, b = (np.array(x, np.uint64) for x in zip(*sorted(found), strict=True))
-        out += [(s, n - once) for s in mixed(mixed(a * np.uint64(_ODD) + c) + b).view(np.int64).tolist()]
-    return out
+    spread = mixed(frequent ^ np.uint64(_ODD))
+    order = np.argsort(spread)
+    spread, weight = spread[order], mixed(frequent[order])
+    placed = room < 0
+    for level in range(finest(n) + 1):
+        group = spread >> np.uint64(64 - level) if level else np.zeros(len(spread), np.uint64)
+        start = np.flatnonzero(np.diff(group, prepend=group[0] + np.uint64(1)))
+        own = not placed and len(start) > room and level <= finest(-(-n * NEED // OF))
+        placed |= own
+        sums = np.add.reduceat(weight, start)
+        signs = mixed(sums ^ mixed(group[start] * np.uint64(64) + np.uint64(level)))
+        out += [(s, n - once, own) for s in signs.view(np.int64).tolist()]
+    return out + [(s, n - once, not placed) for s in shingle[rare:].tolist()]
 
 
 def signatures(sets: DataFrame) -> DataFrame:
-    """sets: set_id, n, shared (sorted array of df and shingle). signature, set_id, n, rest."""
+    """sets: set_id, n, shared (sorted array of df and shingle). signature, set_id, n, rest, own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,13 +200,13 @@ def signatures(sets: DataFrame) -> DataFrame:
             who = pa.array(np.repeat(np.arange(len(rows)), count))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([s for r in rows for s, _ in r], pa.int64()), batch.column(0).take(who), batch.column(1).take(who),
-                    pa.array([x for r in rows for _, x in r], pa.int64()),
+                    pa.array([x[0] for r in rows for x in r], pa.int64()), batch.column(0).take(who), batch.column(1).take(who),
+                    pa.array([x[1] for r in rows for x in r], pa.int64()), pa.array([x[2] for r in rows for x in r], pa.bool_()),
                 ],
-                names=["signature", "set_id", "n", "rest"],
+                names=["signature", "set_id", "n", "rest", "own"],
             )
 
-    return sets.mapInArrow(run, "signature long, set_id binary, n long, rest long")
+    return sets.mapInArrow(run, "signature long, set_id binary, n long, rest long, own boolean")
 
 
 def may_link(n1: Column, rest1: Column, n2: Column, rest2: Column) -> Column:
@@ -242,29 +240,59 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(kept.select("set_id", "n", "shared"), "shingle-candidates")
 
 
-def linked_components(sets: DataFrame) -> DataFrame:
-    """node (a set_id) and component of all sets that link with another."""
-    signs = signatures(sets)
-    signs = stored(signs.join(signs.groupBy("signature").agg(F.count("*").alias("k")).filter("k > 1").select("signature"), "signature"), "signatures")
-    hubs = stored(signs.groupBy("signature").agg(F.min(F.struct("set_id", "n", "rest")).alias("hub")), "signature-hubs")
-    near = signs.join(hubs, "signature").filter("set_id <> hub.set_id").filter(may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest")))
+def star_pairs(members: DataFrame, seed: int) -> DataFrame:
+    """For each class the hub of another component that it shares most signatures with: (a, b).
+
+    A signature's hub is a member, drawn by a seeded hash, of the component that has most members there.
+    """
+    hub = F.struct(F.xxhash64("set_id", F.lit(seed)).alias("draw"), "set_id", "n", "rest", "own")
+    parts = members.groupBy("signature", "component").agg(F.count("*").alias("k"), F.min(hub).alias("hub"))
+    hubs = stored(parts.groupBy("signature").agg(F.max(F.struct("k", "component", "hub")).alias("top")).select("signature", "top.hub", F.col("top.component").alias("at")), "signature-hubs")
+    near = members.join(hubs, "signature").filter("component <> at").filter(F.col("own") | F.col("hub.own"))
+    near = near.filter(may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest")))
     votes = near.groupBy(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b")).agg(F.count("*").alias("votes"))
-    star = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = stored(verified(stored(star, "shingle-star"), sets), "shingle-links")
-    first = components(links)
+    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
-    # classes of different components that share a signature
-    members = signs.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+def with_components(signs: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Signatures with their class's component, itself if it has no link, where they meet more than one component."""
+    if found is None:
+        return signs.withColumn("component", F.col("set_id"))
+    members = signs.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     members = stored(members, "signature-members")
     mixed_ = members.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("signature")
-    members = stored(members.join(mixed_, "signature"), "signature-mixed")
-    parts = stored(members.select("signature", "component").distinct(), "signature-parts")
-    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "signature").filter("ca < cb")
-    left = members.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    right = members.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    pairs = across.join(left, ["signature", "ca"]).join(right, ["signature", "cb"]).filter(may_link(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))
+    return stored(members.join(stored(mixed_, "signature-mixed"), "signature"), "signature-open")
+
+
+def linked_components(sets: DataFrame) -> DataFrame:
+    """node (a set_id) and component of all sets that link with another."""
+    signs = stored(signatures(sets), "signatures-all")
+    useful = signs.groupBy("signature").agg(F.count("*").alias("k"), F.bool_or("own").alias("some")).filter("k > 1 AND some").select("signature")
+    signs = stored(signs.join(stored(useful, "signatures-useful"), "signature"), "signatures")
+    links = found = None
+    members = with_components(signs, None)
+    for seed in range(0, 2 * ROUNDS, 2):
+        star = star_pairs(members, seed).unionByName(star_pairs(members, seed + 1)).distinct()
+        new = stored(verified(stored(star, "shingle-star"), sets), "shingle-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+        members = with_components(signs, found)
+
+    # what is left: classes of different components that share a signature
+    # a pair of components goes on only if the widest ranges of its members' lengths and overlaps would let them link
+    parts = members.groupBy("signature", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.bool_or("own").alias("own"))
+    parts = stored(parts, "signature-parts")
+    part = lambda c: parts.select("signature", F.col("component").alias(f"c{c}"), F.col("least").alias(f"l{c}"), F.col("most").alias(f"m{c}"), F.col("rest").alias(f"r{c}"), F.col("own").alias(f"o{c}"))
+    wide = (F.least("ra", "rb") * (OF + NEED) >= (F.col("la") + F.col("lb")) * NEED) & (F.col("ma") * OF >= F.col("lb") * NEED) & (F.col("mb") * OF >= F.col("la") * NEED)
+    across = stored(part("a").join(part("b"), "signature").filter((F.col("ca") < F.col("cb")) & (F.col("oa") | F.col("ob")) & wide).select("signature", "ca", "cb"), "signature-across")
+    left = members.select("signature", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("own").alias("oa"))
+    right = members.select("signature", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("own").alias("ob"))
+    pairs = across.join(left, ["signature", "ca"]).join(right, ["signature", "cb"]).filter((F.col("oa") | F.col("ob")) & may_link(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb")))
     pairs = stored(pairs.select("a", "b").distinct(), "shingle-pairs")
-    return components(links.unionByName(verified(pairs, sets)))
+    late = verified(pairs, sets)
+    return components(late if links is None else links.unionByName(late))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ RIGHTS = {"read": "read", "write": "write", "owner": "write", "sp.full control":
 
 def permission_grants(rows: DataFrame) -> DataFrame:
     """rows: id, permissions (JSON). Grants: id, principal, right, via (link, inherited or direct), expires. Groups are named by reference."""
-    p = rows.select("id", F.explode(F.from_json("permissions", PERMISSIONS)).alias("p")).select("id", "p.*")
+    p = rows.select("id", F.explode(F.from_json("permissions", PERMISSIONS)).alias("p")).select("id", *[F.col(f"p.{c}").alias(c) for c in ("roles", "link", "inherited", "user", "group")])
     flat = p.select("*", F.explode("roles").alias("role"))
     right = F.try_element_at(F.create_map(*[F.lit(x) for kv in RIGHTS.items() for x in kv]), F.lower("role"))
     principal = F.when(F.col("link").isNotNull(), F.concat(F.lit("link:"), F.col("link.scope"))).when(F.col("group").isNotNull(), F.concat(F.lit("group:"), F.col("group"))).otherwise(F.concat(F.lit("user:"), F.col("user")))

@@ -201,9 +201,9 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(retrieval.keyword_topk(relation(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "ththe inth", 10), "score")
 
 
-@query("""WITH g AS (SELECT q.vec_id AS query_id, i.vec_id AS id FROM {embeddings} q JOIN {embeddings} i ON i.label = q.label AND i.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 40 WHERE q.vec_id % 50 = 0),
+@query("""WITH g AS (SELECT q.vec_id AS query_id, i.vec_id AS id FROM {embeddings} q JOIN {embeddings} i ON i.label = q.label AND i.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 40 WHERE q.vec_id % 100 = 0),
     r AS (SELECT q.vec_id AS query_id, i.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) DESC, i.vec_id) AS rank
-          FROM {embeddings} q, {embeddings} i WHERE q.vec_id % 50 = 0),
+          FROM {embeddings} q, {embeddings} i WHERE q.vec_id % 100 = 0),
     j AS (SELECT g.query_id, r.rank FROM g JOIN r USING (query_id, id)),
     m AS (SELECT query_id, max(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS any_3, max(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS any_5, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS any_10,
                  max(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) AS any_20, min(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) AS all_20, 1.0 / min(rank) AS rr,
@@ -212,7 +212,7 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
            round(avg(all_20), 6) AS recall_all_20, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_10 FROM m""")
 def eval_recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     items = relation(spark, d, "embeddings")
-    queries = items.filter("vec_id % 50 = 0")
+    queries = items.filter("vec_id % 100 = 0")
     gold = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("of")).join(items, (F.col("of") == F.col("label")) & F.col("vec_id").between(F.col("query_id") + 1, F.col("query_id") + 40))
     # every item gets a group of its own, so that the ranking is over all items
     alone = items.withColumn("group", -F.col("vec_id") - 1)
@@ -318,10 +318,9 @@ def chunk_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return ingest.with_parents(ingest.chunked(relation(spark, d, "documents")))
 
 
-@query("SELECT doc_id, 1 + greatest(0, (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) - 1) // 2048) AS parents FROM {documents} WHERE NOT regexp_matches(text, '(?m)^#{1,6}[ \\t]+\\S') AND trim(regexp_replace(text, '\\s', '', 'g')) <> ''".replace("{1,6}", "{{1,6}}"))
+@query()
 def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = relation(spark, d, "documents").filter(~F.col("text").rlike(r"(?m)^#{1,6}[ \t]+\S"))
-    return ingest.chunk_counts(ingest.chunked(docs)).select("doc_id", "parents")
+    return ingest.chunk_counts(ingest.chunked(relation(spark, d, "documents")))
 
 
 @query("SELECT subject_id, predicate, object_id, CASE WHEN a AND b THEN 'keep' WHEN b THEN 'insert' ELSE 'retire' END AS action FROM (SELECT subject_id, predicate, object_id, bool_or(version = 1) AS a, bool_or(version = 2) AS b FROM {versions} GROUP BY ALL)")
@@ -402,13 +401,9 @@ def structured_map(spark: SparkSession, d: str) -> DataFrame:
     return extraction.mapped_facts(rows, "s_name", columns, "Organization", "s_suppkey")[0]
 
 
-@query("""WITH s AS (SELECT doc_id * 10 + k AS span_id, doc_id, k * 900 AS a, k * 900 + 50 AS b FROM {documents}, range(3) t(k)),
-    p AS (SELECT doc_id, 0 AS seq, 0 AS a, n_chars AS b FROM {documents} WHERE NOT regexp_matches(text, '(?m)^#{{1,6}}[ \\t]+\\S') AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) BETWEEN 1 AND 2048
-          AND NOT regexp_matches(text, '^\\s|\\s$'))
-    SELECT s.span_id, min(p.seq) AS chunk_seq FROM s JOIN (SELECT DISTINCT doc_id FROM p) k ON k.doc_id = s.doc_id LEFT JOIN p ON p.doc_id = s.doc_id AND p.a <= s.a AND s.b <= p.b GROUP BY s.span_id""")
+@query()
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    docs = relation(spark, d, "documents").filter(~F.col("text").rlike(r"(?m)^#{1,6}[ \t]+\S") & words.between(1, 2048) & ~F.col("text").rlike(r"^\s|\s$"))
+    docs = relation(spark, d, "documents")
     spans = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select((F.col("doc_id") * 10 + F.col("k")).alias("span_id"), "doc_id", (F.col("k") * 900).alias("start"), (F.col("k") * 900 + 50).alias("end"))
     return extraction.containing_chunk(spans, ingest.chunked(docs))
 
@@ -426,7 +421,7 @@ def mention_digest(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def grounded_quotes(spark: SparkSession, d: str) -> DataFrame:
-    docs = relation(spark, d, "documents").filter("length(text) > 120")
+    docs = relation(spark, d, "documents")
     rows = docs.select(
         "doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.upper(F.substring("text", 11, 60))).when(F.col("doc_id") % 3 == 1, F.substring("text", 11, 60)).otherwise("not in the text").alias("quote"),
         F.substring("text", 21, 5).alias("subject"), F.lit(None).cast("string").alias("object"), F.lit(0.8).alias("confidence"),
@@ -451,7 +446,7 @@ def rule_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def part_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     parts = relation(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.lit("t0").alias("tenant_id"), F.lit("Asset").alias("entity_type"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    mentions = parts.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("mention_id"), "tenant_id", "entity_type", F.concat(F.col("name"), F.lit(" x")).alias("surface"))
+    mentions = parts.filter("entity_id % 100 = 0").select(F.col("entity_id").alias("mention_id"), "tenant_id", "entity_type", F.concat(F.col("name"), F.lit(" x")).alias("surface"))
     return mentions, parts
 
 
@@ -459,7 +454,7 @@ GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({t}), '[a
 
 
 @query(f"""WITH e AS (SELECT p_partkey AS entity_id, {GRAMS.replace('{t}', "concat(p_name, ' ', p_type)")} AS g FROM {{part}}),
-    m AS (SELECT p_partkey AS mention_id, {GRAMS.replace('{t}', "concat(p_name, ' ', p_type, ' x')")} AS g FROM {{part}} WHERE p_partkey % 20 = 0),
+    m AS (SELECT p_partkey AS mention_id, {GRAMS.replace('{t}', "concat(p_name, ' ', p_type, ' x')")} AS g FROM {{part}} WHERE p_partkey % 100 = 0),
     s AS (SELECT mention_id, entity_id, len(list_intersect(m.g, e.g)) / len(list_distinct(list_concat(m.g, e.g))) AS similarity FROM m, e)
     SELECT mention_id, entity_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.8""")
 def trigram_similarity_block(spark: SparkSession, d: str) -> DataFrame:
@@ -505,13 +500,13 @@ def band_decide(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resolution.decided(scored), "score")
 
 
-@query("""WITH n AS (SELECT DISTINCT a.mention_id, b.resolved_entity_id AS nb FROM {mentions} a JOIN {mentions} b ON a.document_id = b.document_id AND a.mention_id <> b.mention_id AND b.resolved_entity_id IS NOT NULL WHERE a.mention_id % 10 = 0),
+@query("""WITH n AS (SELECT DISTINCT a.mention_id, b.resolved_entity_id AS nb FROM {mentions} a JOIN {mentions} b ON a.document_id = b.document_id AND a.mention_id <> b.mention_id AND b.resolved_entity_id IS NOT NULL),
     e AS (SELECT subject_id AS x, object_id AS y FROM {facts} WHERE object_id IS NOT NULL AND predicate = 'located_in' UNION SELECT object_id, subject_id FROM {facts} WHERE object_id IS NOT NULL AND predicate = 'located_in'),
-    c AS (SELECT c_custkey AS mention_id, CAST(3000000000 + c_nationkey AS BIGINT) AS entity_id FROM {customer} WHERE c_custkey % 10 = 0),
+    c AS (SELECT c_custkey AS mention_id, CAST(3000000000 + c_nationkey AS BIGINT) AS entity_id FROM {customer}),
     k AS (SELECT c.mention_id, c.entity_id, count(DISTINCT e.y) AS n FROM c JOIN n USING (mention_id) JOIN e ON e.x = c.entity_id AND e.y = n.nb GROUP BY ALL)
     SELECT c.mention_id, c.entity_id, coalesce(k.n, 0) AS n, least(0.1, 0.05 * coalesce(k.n, 0)) AS boost FROM c LEFT JOIN k USING (mention_id, entity_id)""")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
-    candidates = relation(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("mention_id"), (F.lit(3_000_000_000) + F.col("c_nationkey")).alias("entity_id"))
+    candidates = relation(spark, d, "customer").select(F.col("c_custkey").alias("mention_id"), (F.lit(3_000_000_000) + F.col("c_nationkey")).alias("entity_id"))
     return resolution.corroboration(relation(spark, d, "mentions"), relation(spark, d, "facts").filter("predicate = 'located_in'"), candidates)
 
 

@@ -98,6 +98,20 @@ def test_chunks_nest_and_rebuild(spark, sf_dir):
     assert rebuilt.filter(squeezed("text") != squeezed("original")).count() == 0
 
 
+def test_spans_find_their_chunk(spark, sf_dir):
+    docs = relation(spark, sf_dir, "documents").limit(30)
+    chunks = ingest.chunked(docs, 40, 90).cache()
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2000), F.lit(130))).alias("start")).select((F.col("doc_id") * 10000 + F.col("start")).alias("span_id"), "doc_id", "start", (F.col("start") + 25).alias("end"))
+    parents = [r for r in chunks.filter("level = 'parent'").collect()]
+    want = {}
+    for s in spans.collect():
+        inside = [p.seq for p in parents if p.doc_id == s.doc_id and p.start <= s.start and s.end <= p.end]
+        want[s.span_id] = min(inside, default=None)
+    assert {r.span_id: r.chunk_seq for r in extraction.containing_chunk(spans, chunks).collect()} == want
+    counted = {r.doc_id: r.parents for r in ingest.chunk_counts(chunks).collect()}
+    assert all(counted[d] == sum(p.doc_id == d for p in parents) for d in counted)
+
+
 def test_land_replays_nothing(spark, sf_dir):
     raw = relation(spark, sf_dir, "raw")
     landed = ingest.land(raw)

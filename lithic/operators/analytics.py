@@ -208,3 +208,31 @@ def drafted_gold(facts: DataFrame, quarantine: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select("document_id", text("predicates").alias("predicates"), zero("n_facts"), text("reasons").alias("reasons"), zero("n_quarantined"))
+
+
+def ledger_status(shipped: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Migrations shipped (name, checksum) against those recorded: applied, pending, changed or unknown."""
+    a, b = shipped.withColumnRenamed("checksum", "ours"), recorded.withColumnRenamed("checksum", "theirs")
+    status = F.when(F.col("theirs").isNull(), "pending").when(F.col("ours").isNull(), "unknown").when(F.col("ours") != F.col("theirs"), "changed").otherwise("applied")
+    return a.join(b, "name", "full").select("name", status.alias("status"))
+
+
+def ontology_listing(ontologies: DataFrame, active: DataFrame) -> DataFrame:
+    """Ontologies (ontology, effective_from, entity_types, predicates) with their sizes and whether they are the active one, newest first."""
+    rows = ontologies.join(active.select("ontology", F.lit(True).alias("on")), "ontology", "left")
+    return rows.select("ontology", "effective_from", F.size("entity_types").alias("types"), F.size("predicates").alias("predicates"), F.coalesce("on", F.lit(False)).alias("active")).orderBy(F.desc("effective_from"), "ontology")
+
+
+def newest_jobs(jobs: DataFrame, limit: int = 20) -> DataFrame:
+    return jobs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+
+
+def queue_leftovers(queue: DataFrame, runs: DataFrame) -> DataFrame:
+    """What a drain has left over, as one row: open queue rows and failed runs."""
+    a = queue.agg(F.count_if(F.col("status").isin("queued", "error")).alias("queued"))
+    return a.join(runs.agg(F.count_if(F.col("status") == "error").alias("failed_runs")))
+
+
+def flagged_documents(documents: DataFrame, raw: DataFrame) -> DataFrame:
+    """Documents to be reviewed with where they came from."""
+    return documents.filter("needs_review").join(raw.select(F.col("raw_id").alias("doc_id"), "source_system", "native_id"), "doc_id", "left").select("doc_id", "source_system", "native_id")

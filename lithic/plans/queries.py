@@ -721,3 +721,40 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
     v = relation(spark, d, "embeddings")
     a, b = v.select((F.col("vec_id") + 1).alias("b_id"), F.col("vec_id").alias("a_id"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
     return a.join(b, "b_id").select("a_id", "b_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query("""SELECT 'documents' AS what, count(*) AS n FROM {documents} UNION ALL SELECT 'child_chunks', count(*) FROM {embeddings} WHERE label % 2 = 0
+    UNION ALL SELECT 'pending', count(*) FROM {pending} WHERE status = 'pending' UNION ALL SELECT 'mentions', count(*) FROM {mentions} UNION ALL SELECT 'keyed_mentions', count(key_value) FROM {mentions}""")
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    chunks = relation(spark, d, "embeddings").select(F.when(F.col("label") % 2 == 0, "child").otherwise("parent").alias("level"))
+    return analytics.corpus_summary(relation(spark, d, "documents"), chunks, relation(spark, d, "pending"), relation(spark, d, "mentions"))
+
+
+@query("""SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'pending' WHEN a.name IS NULL THEN 'unknown' WHEN a.c <> b.c THEN 'changed' ELSE 'applied' END AS status
+    FROM (SELECT p_partkey AS name, p_brand AS c FROM {part} WHERE p_size > 10) a FULL JOIN (SELECT p_partkey AS name, CASE WHEN p_size > 40 THEN p_type ELSE p_brand END AS c FROM {part} WHERE p_size < 45) b ON a.name = b.name""")
+def ledger_status(spark: SparkSession, d: str) -> DataFrame:
+    parts = relation(spark, d, "part")
+    shipped = parts.filter("p_size > 10").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("checksum"))
+    recorded = parts.filter("p_size < 45").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") > 40, F.col("p_type")).otherwise(F.col("p_brand")).alias("checksum"))
+    return analytics.ledger_status(shipped, recorded)
+
+
+@query("SELECT (SELECT count(*) FROM {queue} WHERE status IN ('queued', 'error')) AS queued, (SELECT count(*) FROM {runs} WHERE status = 'error') AS failed_runs")
+def queue_leftovers(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.queue_leftovers(relation(spark, d, "queue"), relation(spark, d, "runs"))
+
+
+@query("SELECT r.raw_id AS doc_id, r.source_system, r.native_id FROM {raw} r WHERE r.raw_id IN (SELECT doc_id FROM {labels} WHERE quality = 0)")
+def flagged_sources(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.flagged_documents(flagged_documents(spark, d), relation(spark, d, "raw"))
+
+
+@query("SELECT run_id, document_id, status FROM {runs} ORDER BY started_at DESC, run_id DESC LIMIT 20")
+def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.newest_jobs(relation(spark, d, "runs")).select("run_id", "document_id", "status")
+
+
+@query("SELECT e.entity_id, e.entity_type, count(f.fact_id) AS facts FROM {entities} e LEFT JOIN {facts} f ON f.subject_id = e.entity_id AND f.valid_to IS NULL GROUP BY ALL")
+def facts_per_entity(spark: SparkSession, d: str) -> DataFrame:
+    counts = relation(spark, d, "facts").filter("valid_to IS NULL").groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("facts"))
+    return relation(spark, d, "entities").join(counts, "entity_id", "left").select("entity_id", "entity_type", F.coalesce("facts", F.lit(0)).alias("facts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lithic.llm.common import stored
@@ -11,16 +11,20 @@ from lithic.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Every node of a link with its component, the smallest node reachable: node, component.
 
-    A round takes the least label of all neighbours, then the label of the own label, so rounds grow with the logarithm of the
-    longest path. Minima are pre-aggregated and labels are joined by node, so a node with very many links is spread by AQE.
+    A round, one job, takes the least label of a node and all its neighbours, then the label of that label, so rounds grow with
+    the logarithm of the longest path. Minima are pre-aggregated and labels are joined by node, so a node with very many
+    links is spread by AQE. Labels only fall, so they are final once the sum of their hashes stays.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    a, b = F.col("a"), F.col("b")
+    both = links.select(F.explode(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")), F.struct(a.alias("a"), a.alias("b")), F.struct(b.alias("a"), b.alias("b")))).alias("x"))
+    both = stored(both.select("x.a", "x.b").distinct(), "links")
+    labels, last = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        lower = stored(labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("label"), F.col("component").alias("was")), "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(lower.join(jump, "label").select("node", F.least("label", "further").alias("component"), "was"), "labels")
-        if new.filter("component <> was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+        further = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        watch = Observation()
+        jumped = near.join(further, "component").select("node", F.least("component", "further").alias("component"))
+        labels = stored(jumped.observe(watch, F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("sum")), "labels")
+        if watch.get["sum"] == last:
+            return labels
+        last = watch.get["sum"]

@@ -42,7 +42,7 @@ SIZE = 5
 NEED, OF = 80, 100  # intersection * OF >= union * NEED
 ZONE = 0.3
 RARE = 64
-ROUNDS = 5
+ROUNDS, DRAWS = 3, 4
 BROADCAST_ROWS = 500_000
 CHUNK_CHARS = 4_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -241,17 +241,20 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """For each class the hub of another component that it shares most signatures with: (a, b).
+    """For each class some hubs of other components, one a draw, each the one it shares most signatures with: (a, b).
 
-    A signature's hub is a member, drawn by a seeded hash, of the component that has most members there.
+    A signature's hubs are members, drawn by seeded hashes, of the component that has most members there.
     """
-    hub = F.struct(F.xxhash64("set_id", F.lit(seed)).alias("draw"), "set_id", "n", "rest", "own")
-    parts = members.groupBy("signature", "component").agg(F.count("*").alias("k"), F.min(hub).alias("hub"))
-    hubs = stored(parts.groupBy("signature").agg(F.max(F.struct("k", "component", "hub")).alias("top")).select("signature", "top.hub", F.col("top.component").alias("at")), "signature-hubs")
-    near = members.join(hubs, "signature").filter("component <> at").filter(F.col("own") | F.col("hub.own"))
-    near = near.filter(may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest")))
-    votes = near.groupBy(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b")).agg(F.count("*").alias("votes"))
-    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    me = lambda k: F.struct(F.xxhash64("set_id", F.lit(seed * DRAWS + k)).alias("draw"), "set_id", "n", "rest", "own")
+    parts = members.groupBy("signature", "component").agg(F.count("*").alias("k"), *[F.min(me(k)).alias(f"h{k}") for k in range(DRAWS)])
+    hubs = F.array(*[F.struct(F.lit(k).alias("turn"), F.col(f"h{k}").alias("hub")) for k in range(DRAWS)])
+    tops = parts.select("signature", F.struct("k", "component", hubs.alias("hubs")).alias("top")).groupBy("signature").agg(F.max("top").alias("top"))
+    tops = stored(tops.select("signature", F.col("top.component").alias("at"), "top.hubs"), "signature-hubs")
+    near = members.join(tops, "signature").filter("component <> at").select("set_id", "n", "rest", "own", F.explode("hubs").alias("h")).select("*", "h.turn", "h.hub")
+    near = near.filter(F.col("own") | F.col("hub.own")).filter(may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest")))
+    votes = near.groupBy(F.col("set_id").alias("a"), "turn", F.col("hub.set_id").alias("b")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("a", "turn").agg(F.max(F.struct("votes", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b")).distinct()
 
 
 def with_components(signs: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -259,21 +262,19 @@ def with_components(signs: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return signs.withColumn("component", F.col("set_id"))
     members = signs.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    members = stored(members, "signature-members")
     mixed_ = members.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("signature")
-    return stored(members.join(stored(mixed_, "signature-mixed"), "signature"), "signature-open")
+    return stored(members.join(mixed_, "signature"), "signature-open")
 
 
 def linked_components(sets: DataFrame) -> DataFrame:
     """node (a set_id) and component of all sets that link with another."""
     signs = stored(signatures(sets), "signatures-all")
     useful = signs.groupBy("signature").agg(F.count("*").alias("k"), F.bool_or("own").alias("some")).filter("k > 1 AND some").select("signature")
-    signs = stored(signs.join(stored(useful, "signatures-useful"), "signature"), "signatures")
+    signs = stored(signs.join(useful, "signature"), "signatures")
     links = found = None
     members = with_components(signs, None)
-    for seed in range(0, 2 * ROUNDS, 2):
-        star = star_pairs(members, seed).unionByName(star_pairs(members, seed + 1)).distinct()
-        new = stored(verified(stored(star, "shingle-star"), sets), "shingle-links")
+    for seed in range(ROUNDS):
+        new = stored(verified(star_pairs(members, seed), sets), "shingle-links")
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)

@@ -55,23 +55,26 @@ def trigram_block(mentions: DataFrame, entities: DataFrame, floor: float = TRIGR
     """Pairs of the same type whose names' trigram sets have a Jaccard similarity of at least `floor`: mention_id, entity_id, similarity.
 
     Prefix filter: trigrams are ordered by how rare they are among entities, and only the first n - ceil(floor n) + 1 of each side are
-    joined, since two sets that similar share one of those. Pairs are then compared in whole.
+    joined, since two sets that similar share one of those. Each pair is kept at the first trigram that both prefixes have, and then
+    compared in whole.
     """
     m = mentions.select("mention_id", "tenant_id", "entity_type", trigrams(F.col("surface")).alias("grams"))
     e = entities.select("entity_id", "tenant_id", "entity_type", trigrams(F.col("name")).alias("grams"))
     rare = e.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame, ident: str) -> DataFrame:
-        each = df.select(ident, "tenant_id", "entity_type", "grams", F.explode("grams").alias("gram")).join(rare, "gram", "left")
-        order = Window.partitionBy(ident, "tenant_id", "entity_type").orderBy(F.coalesce("df", F.lit(0)), "gram")
+        each = df.select(ident, "tenant_id", "entity_type", F.explode("grams").alias("gram")).join(rare, "gram", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
+        rows = each.groupBy(ident, "tenant_id", "entity_type").agg(F.transform(ordered, lambda x: x["gram"]).alias("grams"))
         n = F.size("grams")
-        return each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n - F.ceil(n * F.lit(floor)) + 1).drop("df", "place")
+        rows = rows.withColumn("prefix", F.slice("grams", F.lit(1), (n - F.ceil(n * F.lit(floor)) + 1).cast("int")))
+        return rows.withColumn("gram", F.explode("prefix"))
 
-    left = prefixes(m, "mention_id").select("mention_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("mg"))
-    right = prefixes(e, "entity_id").select("entity_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("eg"))
+    left = prefixes(m, "mention_id").select("mention_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("mg"), F.col("prefix").alias("mp"))
+    right = prefixes(e, "entity_id").select("entity_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("eg"), F.col("prefix").alias("ep"))
     long_enough = (F.size("mg") >= F.size("eg") * floor) & (F.size("eg") >= F.size("mg") * floor)
     pairs = left.join(right, ["tenant_id", "entity_type", "gram"]).filter(long_enough)
-    pairs = pairs.groupBy("mention_id", "entity_id").agg(F.first("mg").alias("mg"), F.first("eg").alias("eg"))
+    pairs = pairs.filter(F.get(F.array_intersect("mp", "ep"), F.lit(0)) == F.col("gram"))
     both = F.size(F.array_intersect("mg", "eg"))
     similarity = both / (F.size("mg") + F.size("eg") - both)
     return pairs.select("mention_id", "entity_id", similarity.alias("similarity")).filter(F.col("similarity") >= floor)

@@ -1,6 +1,7 @@
 """Behaviours of single operators."""
 
 import difflib
+import re
 from datetime import datetime
 
 import pytest
@@ -11,7 +12,7 @@ from lithic.functions.vector import hashed_embedding
 from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution
 from lithic.operators.gate import Gate, Param, Principal, TemplateError, check_template, coerced
 from lithic.plans.catalog import Composite, Step, UnknownOperation, base_catalog
-from lithic.plans.queries import gate
+from lithic.plans.queries import QUERIES, gate
 from lithic.plans.relations import relation
 
 AT = datetime(2024, 1, 1)
@@ -210,3 +211,21 @@ def test_hashed_embedding(spark):
 def test_gate_without_roles_sees_public_only(spark, sf_dir):
     g = Gate(Principal("t0"), relation(spark, sf_dir, "memberships"), {"entities": relation(spark, sf_dir, "entities")})
     assert g.labels == ["public"] and g.read("entities").filter("label IS NOT NULL").count() == 0
+
+
+def test_name_block_at_its_floor_over_mentions_and_entities(spark, sf_dir):
+    def grams(name):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", name.lower()) for i in range(len(w) + 1)}
+
+    m, e = relation(spark, sf_dir, "mentions").collect(), relation(spark, sf_dir, "entities").filter("entity_type = 'Organization'").collect()
+    sets = {n: grams(n) for n in {x.surface for x in m} | {x.name for x in e}}
+    want = {}
+    for a in m:
+        for b in e:
+            x, y = sets[a.surface], sets[b.name]
+            if a.tenant_id == b.tenant_id and len(x & y) >= resolution.TRIGRAM_FLOOR * len(x | y):
+                want[a.mention_id, b.entity_id] = round(len(x & y) / len(x | y), 6)
+    got = QUERIES["trigram_floor_block"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r.mention_id, r.entity_id): float(r.similarity) for r in got} == want
+    # what lies between the floor and 0.8
+    assert sum(x < 0.8 for x in want.values()) > len(want) / 2

@@ -345,6 +345,19 @@ def promotable_pending(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pending_id", "document_id")
 
 
+@query("""WITH o AS (SELECT 'v1' AS ontology, 1 AS effective_from UNION ALL SELECT 'v2', 2)
+    SELECT p.pending_id, p.document_id FROM {pending} p JOIN o ON o.ontology = p.ontology WHERE p.status = 'pending'
+    AND NOT EXISTS (SELECT 1 FROM {mentions} m WHERE m.resolved_entity_id IS NULL AND p.subject_ref = concat('mention:', m.mention_id))
+    AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.toxic = 1 AND l.doc_id = p.document_id)
+    AND NOT EXISTS (SELECT 1 FROM {facts} f JOIN o fo ON fo.ontology = f.ontology WHERE f.valid_to IS NULL AND f.document_id = p.document_id
+                    AND (fo.effective_from, f.ontology) > (o.effective_from, p.ontology))""")
+def promotable_over_all_facts(spark: SparkSession, d: str) -> DataFrame:
+    """promotable_pending with every current fact, whatever its predicate, in the staleness test."""
+    toxic = relation(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id")).distinct()
+    rows = promotion.promotable(relation(spark, d, "pending"), relation(spark, d, "mentions"), toxic, relation(spark, d, "facts"), spark.sql(ONTOLOGIES))
+    return rows.select("pending_id", "document_id")
+
+
 @query("""WITH w AS (SELECT p.pending_id, p.document_id, coalesce(TRY_CAST(CASE WHEN p.subject_ref LIKE 'entity:%' THEN substr(p.subject_ref, 8) END AS BIGINT), m.resolved_entity_id) AS subject_id,
         TRY_CAST(substr(p.object_ref, 8) AS BIGINT) AS object_id FROM {pending} p LEFT JOIN {mentions} m ON p.subject_ref = concat('mention:', m.mention_id) WHERE p.status = 'promoted'),
     k AS (SELECT w.*, f.fact_id AS kept_id FROM w LEFT JOIN {facts} f ON f.valid_to IS NULL AND f.document_id = w.document_id AND f.predicate = 'placed' AND f.subject_id = w.subject_id AND f.object_id = w.object_id WHERE w.subject_id IS NOT NULL)

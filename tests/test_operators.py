@@ -229,3 +229,12 @@ def test_name_block_at_its_floor_over_mentions_and_entities(spark, sf_dir):
     assert len(got) == len(want) and {(r.mention_id, r.entity_id): float(r.similarity) for r in got} == want
     # what lies between the floor and 0.8
     assert sum(x < 0.8 for x in want.values()) > len(want) / 2
+
+
+def test_newer_facts_of_any_predicate_hold_back(spark, sf_dir):
+    newer = {r.document_id for r in relation(spark, sf_dir, "facts").filter("valid_to IS NULL AND ontology = 'v2'").collect()}
+    v1 = {r.pending_id for r in relation(spark, sf_dir, "pending").filter("ontology = 'v1'").collect()}
+    stale = lambda rows: [r for r in rows if r.pending_id in v1 and r.document_id in newer]
+    assert stale(QUERIES["promotable_pending"](spark, sf_dir).collect())
+    rows = QUERIES["promotable_over_all_facts"](spark, sf_dir).collect()
+    assert rows and not stale(rows)

@@ -563,7 +563,7 @@ def name_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def er_gold_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.match_pairs(relation(spark, d, "entities").filter("entity_type = 'Asset'"))
+    return evaluation.match_pairs(relation(spark, d, "entities"))
 
 
 # --- analytics

@@ -2,6 +2,7 @@
 
 import difflib
 import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -238,3 +239,28 @@ def test_newer_facts_of_any_predicate_hold_back(spark, sf_dir):
     assert stale(QUERIES["promotable_pending"](spark, sf_dir).collect())
     rows = QUERIES["promotable_over_all_facts"](spark, sf_dir).collect()
     assert rows and not stale(rows)
+
+
+@pytest.mark.parametrize("bounds", [1, 7, 200])
+def test_places_are_the_order(spark, bounds):
+    rows = spark.createDataFrame([("ab"[i % 2], f"n{i * 37 % 101}") for i in range(101)], "t string, name string")
+    got = sorted((r.place, r.t, r.name) for r in evaluation.numbered(rows, "t", "name", bounds=bounds).collect())
+    assert got == [(k, *x) for k, x in enumerate(sorted(map(tuple, rows.collect())), 1)]
+
+
+@pytest.mark.parametrize("neighbours", [3, 20])
+def test_gold_pairs_of_all_entities(spark, sf_dir, neighbours):
+    e = relation(spark, sf_dir, "entities")
+    names = sorted({(r.entity_type, r.name.split()[0].lower(), r.name) for r in e.collect()})
+    want = {(names[i][2], names[j][2], names[i][0]) for i in range(len(names)) for j in range(i + 1, min(i + neighbours + 1, len(names))) if names[i][:2] == names[j][:2]}
+    got = evaluation.match_pairs(e, neighbours).collect()
+    negative = [(r.left_name, r.right_name, r.entity_type) for r in got if not r.match]
+    assert len(negative) == len(want) and set(negative) == want
+    assert {x[2] for x in want} == {"Document", "Asset"}
+    assert Counter((r.left_name, r.entity_type) for r in got if r.match) == {(n, t): 2 for t, _, n in names}
+    if neighbours == 20:
+        assets = [n for t, _, n in names if t == "Asset"]
+        every = {(a, b) for a in assets for b in assets if a < b and a.split()[0].lower() == b.split()[0].lower()}
+        assert {(a, b) for a, b, t in want if t == "Asset"} == every
+    registered = QUERIES["er_gold_pairs"](spark, sf_dir)
+    assert registered.filter("NOT match").count() == len(want) or neighbours != 20

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,18 +52,44 @@ def bootstrap_interval(values: list[float], resamples: int = 1000, seed: int = 4
     return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
 
 
-def bootstrap(outcomes: DataFrame, by: str = "run", item: str = "query_id", value: str = "value", max_items: int = 100_000) -> DataFrame:
-    """Intervals per run over its outcomes in item order: run, mean, low, high. A gold set is bounded, which is checked."""
-    if outcomes.groupBy(by).count().filter(F.col("count") > max_items).limit(1).count():
-        raise ValueError(f"a run has more than {max_items} items")
+def bootstrap(outcomes: DataFrame, by: str = "run", item: str = "query_id", value: str = "value", max_items: int = 100_000, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Intervals per run over its outcomes in item order: run, mean, low, high.
+
+    A run of up to max_items is resampled as `bootstrap_interval` does. A larger one is dealt over blocks: how many draws of each resample
+    fall into each block is drawn first (multinomial in the blocks' sizes), then each block draws its own, which is resampling the whole run.
+    """
+    sizes = outcomes.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("n"))
+    rows = outcomes.select(by, item, value).join(sizes, F.col(by).eqNullSafe(F.col("of"))).drop("of")
+    kind = outcomes.schema[by].dataType.simpleString()
+    shape = f"{by} {kind}, mean double, low double, high double"
 
     def interval(f: pd.DataFrame) -> pd.DataFrame:
         values = f.sort_values(item)[value].astype(float).tolist()
-        low, high = bootstrap_interval(values)
+        low, high = bootstrap_interval(values, resamples, seed)
         return pd.DataFrame([(f[by].iloc[0], sum(values) / len(values), low, high)], columns=[by, "mean", "low", "high"])
 
-    kind = outcomes.schema[by].dataType.simpleString()
-    return outcomes.select(by, item, value).groupBy(by).applyInPandas(interval, f"{by} {kind}, mean double, low double, high double")
+    def dealt(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        drawn = np.random.default_rng(seed).multinomial(f["size"].sum(), f["size"] / f["size"].sum(), size=resamples)
+        return pd.DataFrame({by: f[by], "block": f["block"], "draws": list(drawn.T.astype(np.int64))})
+
+    def sums(f: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        values = f.sort_values([item, value])[value].to_numpy(float)
+        rng = np.random.default_rng([seed, int(f["block"].iloc[0])])
+        drawn = [values[rng.integers(0, len(values), k)].sum() for k in draws["draws"].iloc[0]]
+        return pd.DataFrame({by: [f[by].iloc[0]] * resamples, "resample": range(resamples), "total": drawn})
+
+    small = rows.filter(F.col("n") <= max_items).groupBy(by).applyInPandas(interval, shape)
+    blocks = F.ceil(2 * F.col("n") / max_items)  # by hash, so about half of max_items each
+    large = rows.filter(F.col("n") > max_items).withColumn("block", F.pmod(F.xxhash64(item, value), blocks))
+    counts = large.groupBy(by, "block").agg(F.count("*").alias("size"))
+    draws = counts.groupBy(by).applyInPandas(dealt, f"{by} {kind}, block long, draws array<long>")  # one row per block
+    drawn = large.groupBy(by, "block").cogroup(draws.groupBy(by, "block")).applyInPandas(sums, f"{by} {kind}, resample int, total double")
+    totals = drawn.groupBy(by, "resample").agg(F.sum("total").alias("total")).groupBy(by).agg(F.array_sort(F.collect_list("total")).alias("totals"))
+    means = large.groupBy(F.col(by).alias("of")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    at = lambda k: F.get("totals", F.lit(k)) / F.col("n")
+    whole = totals.join(means, F.col(by).eqNullSafe(F.col("of"))).select(by, "mean", at(int(0.025 * resamples)).alias("low"), at(int(0.975 * resamples) - 1).alias("high"))
+    return small.unionByName(whole)
 
 
 def paired_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions.text import jaro_winkler, trigrams
 from lithic.functions.vector import cosine
+from lithic.operators.retrieval import hash_blocks
 
 # Resolution policy by entity type (t_high, t_low, requires_corroboration, auto_merge, keys_authoritative).
 POLICY = {
@@ -83,10 +85,12 @@ def trigram_block(mentions: DataFrame, entities: DataFrame, floor: float = TRIGR
 def ann_block(mentions: DataFrame, entities: DataFrame, k: int = ANN_K, max_mentions: int = 20_000) -> DataFrame:
     """The k entities of the same type nearest to each mention: mention_id, entity_id, cosine, rank.
 
-    A batch of mentions is broadcast, its size checked; a larger one has to be cut into batches.
+    Mentions are broadcast, block by block if there are more than max_mentions.
     """
-    if mentions.limit(max_mentions + 1).count() > max_mentions:
-        raise ValueError(f"more than {max_mentions} mentions: block them in batches")
+    return functools.reduce(DataFrame.unionByName, [ann_batch(b, entities, k) for b in hash_blocks(mentions, "mention_id", max_mentions)])
+
+
+def ann_batch(mentions: DataFrame, entities: DataFrame, k: int) -> DataFrame:
     m = mentions.filter("embedding IS NOT NULL").select("mention_id", "entity_type", F.col("embedding").alias("v"))
     e = entities.filter("embedding IS NOT NULL").select("entity_id", "entity_type", "embedding")
     scored = e.join(F.broadcast(m), "entity_type").select("mention_id", "entity_id", cosine(F.col("embedding"), F.col("v")).alias("cosine"))

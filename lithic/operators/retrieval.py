@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,18 +74,30 @@ def enriched(found: DataFrame, facts: DataFrame) -> DataFrame:
     return found.join(cited, "id", "left").withColumn("facts", F.coalesce("facts", F.array()))
 
 
-def nearest_elsewhere(items: DataFrame, queries: DataFrame, k: int = 2, id_col: str = "vec_id", group_col: str = "label") -> DataFrame:
-    """For each query item the k nearest items of another group: query_id, id, score, rank.
+def hash_blocks(rows: DataFrame, ident: str, most: int) -> list[DataFrame]:
+    """Rows as they are, or, if there are more than `most`, dealt over blocks of about half as many each by a hash of their id."""
+    n = rows.count()
+    blocks = 1 if n <= most else -(-2 * n // most)
+    if blocks == 1:
+        return [rows]
+    return [rows.filter(F.pmod(F.xxhash64(ident), F.lit(blocks)) == b) for b in range(blocks)]
 
-    The query set is broadcast in whole; its size is checked. Each task keeps the k best it has seen per query (a
-    partial aggregate), so no item pairs are shuffled.
+
+def nearest_elsewhere(items: DataFrame, queries: DataFrame, k: int | None = 2, id_col: str = "vec_id", group_col: str = "label", max_queries: int = 100_000) -> DataFrame:
+    """For each query item the k nearest items of another group, all of them in order if k is None: query_id, id, score, rank.
+
+    Queries are broadcast, block by block if there are more than max_queries. Each task keeps the k best it has seen per query (a
+    partial aggregate), so no item pairs are shuffled, except where all ranks are wanted.
     """
-    limit = 100_000
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries: run them in blocks")
+    parts = [nearest_in_block(items, b, k, id_col, group_col) for b in hash_blocks(queries, id_col, max_queries)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def nearest_in_block(items: DataFrame, queries: DataFrame, k: int | None, id_col: str, group_col: str) -> DataFrame:
     q = queries.select(F.col(id_col).alias("query_id"), F.col(group_col).alias("query_group"), F.col("embedding").alias("query_vector"), norm(F.col("embedding")).alias("query_norm"))
     d = items.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), "embedding", norm(F.col("embedding")).alias("n"))
     near = d.join(F.broadcast(q), F.col("group") != F.col("query_group"))
     scored = near.select("query_id", "id", (dot(F.col("embedding"), F.col("query_vector")) / (F.col("n") * F.col("query_norm"))).alias("score"))
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    placed = scored.withColumn("rank", F.row_number().over(window))
+    return placed if k is None else placed.filter(F.col("rank") <= k)

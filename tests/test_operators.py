@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions import text as fx
 from lithic.functions.vector import hashed_embedding
-from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution
+from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution, retrieval
 from lithic.operators.gate import Gate, Param, Principal, TemplateError, check_template, coerced
 from lithic.plans.catalog import Composite, Step, UnknownOperation, base_catalog
 from lithic.plans.queries import QUERIES, gate
@@ -264,3 +264,31 @@ def test_gold_pairs_of_all_entities(spark, sf_dir, neighbours):
         assert {(a, b) for a, b, t in want if t == "Asset"} == every
     registered = QUERIES["er_gold_pairs"](spark, sf_dir)
     assert registered.filter("NOT match").count() == len(want) or neighbours != 20
+
+
+def test_blocks_give_what_one_broadcast_gives(spark, sf_dir):
+    items = relation(spark, sf_dir, "embeddings")
+    q = items.filter("vec_id % 20 = 0")
+    for k in (2, None):
+        one, many = (sorted(map(tuple, retrieval.nearest_elsewhere(items, q, k, max_queries=n).collect())) for n in (100, 7))
+        assert one and one == many
+    m = q.select(F.col("vec_id").alias("mention_id"), F.col("label").cast("string").alias("entity_type"), "embedding")
+    e = items.select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("entity_type"), "embedding")
+    one, many = (sorted(map(tuple, resolution.ann_block(m, e, max_mentions=n).collect())) for n in (100, 7))
+    assert one and one == many
+
+
+def test_ranks_of_all_items(spark, sf_dir):
+    items = relation(spark, sf_dir, "embeddings")
+    alone = items.withColumn("group", -F.col("vec_id") - 1)
+    got = retrieval.nearest_elsewhere(alone, items.filter("vec_id = 0").withColumn("group", F.lit(0)), None, group_col="group")
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, items.count() + 1))
+
+
+def test_large_runs_are_bootstrapped_in_blocks(spark):
+    rows = spark.createDataFrame([(r, i, float(i % 10 == 0)) for r, n in ((0, 400), (1, 2000)) for i in range(n)], "run int, query_id long, value double")
+    got = {r.run: r for r in evaluation.bootstrap(rows, max_items=500).collect()}
+    want = [evaluation.bootstrap_interval([float(i % 10 == 0) for i in range(n)]) for n in (400, 2000)]
+    assert (got[0].low, got[0].high) == want[0]
+    assert got[1].mean == pytest.approx(0.1) and (got[1].low, got[1].high) == pytest.approx(want[1], abs=0.004)
+    assert got == {r.run: r for r in evaluation.bootstrap(rows.repartition(5), max_items=500).collect()}

@@ -233,5 +233,60 @@ def unmerged(entities: DataFrame, facts: DataFrame, mentions: DataFrame, snapsho
     return entities.unionByName(back), rows, again, labels
 
 
+def repointed(pending: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged facts still pending with references to merged entities led to the survivors, and what a reversal needs: pending_id, side, merged_id, survivor_id."""
+    rows, moved = pending, []
+    for side in ("subject_ref", "object_ref"):
+        m = merges.select(F.concat(F.lit("entity:"), F.col("merged_id").cast("string")).alias(side), "merged_id", "survivor_id")
+        joined = rows.join(m, side, "left")
+        here = F.col("survivor_id").isNotNull() & (F.col("status") == "pending")
+        moved.append(joined.filter(here).select("pending_id", F.lit(side).alias("side"), "merged_id", "survivor_id"))
+        rows = joined.withColumn(side, F.when(here, F.concat(F.lit("entity:"), F.col("survivor_id").cast("string"))).otherwise(F.col(side))).select(*pending.columns)
+    return rows, moved[0].unionByName(moved[1])
+
+
+def repointed_back(pending: DataFrame, moved: DataFrame) -> DataFrame:
+    """Reverse `repointed` where the staged fact is still pending and still refers to the survivor."""
+    rows = pending
+    for side in ("subject_ref", "object_ref"):
+        rows = rows.join(moved.filter(F.col("side") == side).select("pending_id", "merged_id", "survivor_id"), "pending_id", "left")
+        here = (F.col("status") == "pending") & (F.col(side) == F.concat(F.lit("entity:"), F.col("survivor_id").cast("string")))
+        rows = rows.withColumn(side, F.when(here, F.concat(F.lit("entity:"), F.col("merged_id").cast("string"))).otherwise(F.col(side))).select(*pending.columns)
+    return rows
+
+
+def rerooted(earlier: DataFrame, merges: DataFrame) -> DataFrame:
+    """Earlier merges (merged_id, survivor_id) whose survivor is merged now, led to the new survivor."""
+    now = merges.select(F.col("merged_id").alias("was"), F.col("survivor_id").alias("becomes"))
+    rows = earlier.join(now, F.col("survivor_id") == F.col("was"), "left")
+    return rows.withColumn("survivor_id", F.coalesce("becomes", "survivor_id")).select(*earlier.columns)
+
+
+def absorbed(entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (entity_id, name, aliases, attributes) after merges, and what the survivors gained: entity_id, new_aliases, new_attributes.
+
+    A survivor gets the names and aliases it lacks and the attributes whose key it lacks, of several merged ones the first by id.
+    """
+    gone = merges.select(F.col("merged_id").alias("entity_id"), "survivor_id").join(entities, "entity_id")
+    names = gone.groupBy(F.col("survivor_id").alias("entity_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union("aliases", F.array("name")))))).alias("offered"))
+    values = gone.select(F.col("survivor_id").alias("entity_id"), F.col("entity_id").alias("of"), F.explode("attributes").alias("key", "value"))
+    values = values.groupBy("entity_id", "key").agg(F.min_by("value", "of").alias("value")).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))
+    left = entities.join(merges.select(F.col("merged_id").alias("entity_id")), "entity_id", "left_anti").join(names, "entity_id", "left").join(values, "entity_id", "left")
+    new_aliases = F.coalesce(F.array_except("offered", F.array_union("aliases", F.array("name"))), F.array().cast("array<string>"))
+    new_attributes = F.coalesce(F.map_filter("values", lambda k, _: ~F.map_contains_key("attributes", k)), F.create_map().cast("map<string,string>"))
+    rows = left.withColumns({"new_aliases": new_aliases, "new_attributes": new_attributes})
+    gained = rows.filter("offered IS NOT NULL").select("entity_id", "new_aliases", "new_attributes")
+    after = rows.withColumns({"aliases": F.concat("aliases", "new_aliases"), "attributes": F.map_concat("new_attributes", "attributes")})
+    return after.select(*entities.columns), gained
+
+
+def released(entities: DataFrame, gained: DataFrame, back: DataFrame) -> DataFrame:
+    """Reverse `absorbed`: survivors without what they gained, and the merged entities (back)."""
+    rows = entities.join(gained, "entity_id", "left")
+    lost = {"aliases": F.when(F.col("new_aliases").isNull(), F.col("aliases")).otherwise(F.array_except("aliases", "new_aliases"))}
+    lost["attributes"] = F.when(F.col("new_attributes").isNull(), F.col("attributes")).otherwise(F.map_filter("attributes", lambda k, _: ~F.map_contains_key("new_attributes", k)))
+    return rows.withColumns(lost).select(*entities.columns).unionByName(back.select(*entities.columns))
+
+
 def gained_aliases(merged_aliases: Column, merged_name: Column, survivor_aliases: Column) -> Column:
     return F.array_except(F.array_union(merged_aliases, F.array(merged_name)), survivor_aliases)

@@ -547,6 +547,13 @@ def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("entity_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("mentions"))
 
 
+@query("""SELECT pending_id, CASE WHEN status = 'pending' AND pending_id % 4 = 0 AND CAST(substr(subject_ref, 8) AS BIGINT) % 10 = 3
+    THEN concat('entity:', CAST(substr(subject_ref, 8) AS BIGINT) - 1) ELSE subject_ref END AS subject_ref, object_ref FROM {pending}""")
+def merge_pending(spark: SparkSession, d: str) -> DataFrame:
+    merges = relation(spark, d, "entities").filter("entity_id < 2000000000 AND (entity_id - 1000000000) % 10 = 3").select(F.col("entity_id").alias("merged_id"), (F.col("entity_id") - 1).alias("survivor_id"))
+    return resolution.repointed(relation(spark, d, "pending"), merges)[0].select("pending_id", "subject_ref", "object_ref")
+
+
 @query("SELECT fact_id, subject_id, CAST(object_id AS VARCHAR) AS object_id FROM {facts}")
 def merge_reversed(spark: SparkSession, d: str) -> DataFrame:
     entities, f, mentions = (relation(spark, d, n) for n in ("entities", "facts", "mentions"))

@@ -292,3 +292,20 @@ def test_large_runs_are_bootstrapped_in_blocks(spark):
     assert (got[0].low, got[0].high) == want[0]
     assert got[1].mean == pytest.approx(0.1) and (got[1].low, got[1].high) == pytest.approx(want[1], abs=0.004)
     assert got == {r.run: r for r in evaluation.bootstrap(rows.repartition(5), max_items=500).collect()}
+
+
+def test_merge_moves_references_chains_and_names(spark):
+    merges = spark.createDataFrame([(2, 1), (3, 1)], "merged_id long, survivor_id long")
+    pending = spark.createDataFrame([(1, "pending", "entity:2", "entity:3"), (2, "promoted", "entity:2", "mention:2"), (3, "pending", "mention:2", "entity:9"), (4, "pending", "entity:1", None)], "pending_id long, status string, subject_ref string, object_ref string")
+    after, moved = resolution.repointed(pending, merges)
+    assert {r.pending_id: tuple(r)[2:] for r in after.collect()} == {1: ("entity:1", "entity:1"), 2: ("entity:2", "mention:2"), 3: ("mention:2", "entity:9"), 4: ("entity:1", None)}
+    assert sorted(map(tuple, resolution.repointed_back(after, moved).collect())) == sorted(map(tuple, pending.collect()))
+    earlier = spark.createDataFrame([(7, 2), (8, 5)], "merged_id long, survivor_id long")
+    assert sorted(map(tuple, resolution.rerooted(earlier, merges).collect())) == [(7, 1), (8, 5)]
+    e = spark.createDataFrame([(1, "A", ["a"], {"k": "1"}), (2, "B", ["a", "b"], {"k": "2", "x": "2"}), (3, "C", [], {"x": "3", "y": "3"}), (4, "D", ["d"], {})], "entity_id long, name string, aliases array<string>, attributes map<string,string>")
+    left, gained = resolution.absorbed(e, merges)
+    rows = {r.entity_id: r for r in left.collect()}
+    assert set(rows) == {1, 4} and rows[1].aliases == ["a", "B", "C", "b"] and rows[1].attributes == {"k": "1", "x": "2", "y": "3"} and rows[4].aliases == ["d"]
+    again = resolution.released(left, gained, e.filter("entity_id IN (2, 3)"))
+    key = lambda df: sorted((r.entity_id, r.name, r.aliases, r.attributes) for r in df.collect())
+    assert key(again) == key(e)

@@ -417,7 +417,10 @@ def structured_map(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
     docs = relation(spark, d, "documents")
-    spans = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select((F.col("doc_id") * 10 + F.col("k")).alias("span_id"), "doc_id", (F.col("k") * 900).alias("start"), (F.col("k") * 900 + 50).alias("end"))
+    # over the whole text, a span of 50 characters each 900
+    n = F.coalesce(F.length("text"), F.lit(0))
+    starts = docs.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(900))).alias("start"))
+    spans = starts.select((F.col("doc_id") * 1_000_000 + F.floor(F.col("start") / 900)).alias("span_id"), "doc_id", "start", F.least(F.col("start") + 50, "n").alias("end"))
     return extraction.containing_chunk(spans, ingest.chunked(docs))
 
 
@@ -435,10 +438,14 @@ def mention_digest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def grounded_quotes(spark: SparkSession, d: str) -> DataFrame:
     docs = relation(spark, d, "documents")
+    # the place of a quote is the id's hash modulo the places that the text has
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.coalesce(F.length("text"), F.lit(0)) - 59, F.lit(1))).cast("int")
+    docs = docs.withColumn("at", at)
+    part = lambda after, n: F.substr("text", F.col("at") + 1 + after, F.lit(n))
     rows = docs.select(
-        "doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.upper(F.substring("text", 11, 60))).when(F.col("doc_id") % 3 == 1, F.substring("text", 11, 60)).otherwise("not in the text").alias("quote"),
-        F.substring("text", 21, 5).alias("subject"), F.lit(None).cast("string").alias("object"), F.lit(0.8).alias("confidence"),
-        F.when(F.col("doc_id") % 2 == 0, 10).alias("declared_start"), F.when(F.col("doc_id") % 2 == 0, 70).alias("declared_end"),
+        "doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.upper(part(0, 60))).when(F.col("doc_id") % 3 == 1, part(0, 60)).otherwise("not in the text").alias("quote"),
+        part(10, 5).alias("subject"), F.lit(None).cast("string").alias("object"), F.lit(0.8).alias("confidence"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("at")).alias("declared_start"), F.when(F.col("doc_id") % 2 == 0, F.col("at") + 60).alias("declared_end"),
     )
     return extraction.grounded(rows).select("doc_id", "grounding", "span_start", "span_end", "confidence")
 

@@ -309,3 +309,12 @@ def test_merge_moves_references_chains_and_names(spark):
     again = resolution.released(left, gained, e.filter("entity_id IN (2, 3)"))
     key = lambda df: sorted((r.entity_id, r.name, r.aliases, r.attributes) for r in df.collect())
     assert key(again) == key(e)
+
+
+def test_spans_and_quotes_are_all_over_the_texts(spark, sf_dir):
+    length = {r.doc_id: len(r.text or "") for r in relation(spark, sf_dir, "documents").collect()}
+    spans = [r.span_id for r in QUERIES["span_containment"](spark, sf_dir).collect()]
+    assert Counter(s // 1_000_000 for s in spans) == {i: max(-(-n // 900), 1) for i, n in length.items()} and len(set(spans)) == len(spans)
+    quotes = [r for r in QUERIES["grounded_quotes"](spark, sf_dir).collect() if r.span_start is not None]
+    assert any(r.span_start > 1850 for r in quotes)
+    assert max(r.span_start / length[r.doc_id] for r in quotes) > 0.7

@@ -1,6 +1,6 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Every word (a run of letters) gets a label. A word's score for a label is a sum of learned weights of its affixes,
+Every word (a run of letters; a long one counts as several) gets a label. A word's score for a label is a sum of learned weights of its affixes,
 character bigrams and trigrams, the word itself and lexicon membership; neighbouring labels add a learned transition
 weight. Forward-backward over the whole text gives each word's label distribution; a document's language is the label
 with the largest sum over its words, its score that label's share.
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SLOTS = 1 << 16
-WIDTH = 24  # characters of a word that its features see: all, or the first and last twelve
+WIDTH = 24  # letters of a word at most; longer runs, as scripts without blanks have, are cut into consecutive words
+WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 CHUNK_CHARS = 2_000_000
 RUNS = T.ArrayType(T.StructType().add("label", "string").add("words", T.IntegerType()))
 
@@ -40,8 +40,7 @@ def words_of(text: str | None) -> list[str]:
 
 def word_slots(words: list[str]) -> np.ndarray:
     """Feature slots of each word, one row a word; unused places are SLOTS."""
-    short = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in words]
-    codes = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
+    codes = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
     size = (codes > 0).sum(1)
     rows = np.arange(len(words))
 

@@ -60,3 +60,15 @@ def test_awkward_rows(spark, tmp_path):
 def test_nothing_to_learn_from(spark, tmp_path):
     spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op10_language_id(spark, str(tmp_path)).first().lang_pred == "und"
+
+
+def test_long_runs_are_read_in_whole(spark):
+    run = "".join(chr(0x4E00 + i) for i in range(100))
+    words = L.words_of(f"a {run} b")
+    assert "".join(words) == f"a{run}b" and max(map(len, words)) == L.WIDTH
+    # the languages differ in the middle of a run only
+    middle = {"x": "qzqzqzqzqzqzqzqzqzqzqzqz", "y": "wvwvwvwvwvwvwvwvwvwvwvwv"}
+    text = lambda lang: "a" * 24 + middle[lang] + "b" * 24
+    docs = spark.createDataFrame([(i, text("xy"[i % 2]), "xy"[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    rows = L.predict(docs.filter("doc_id < 20"), L.fit(docs), ["doc_id"]).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.doc_id)] == ["xy"[i % 2] for i in range(20)]

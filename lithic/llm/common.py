@@ -5,7 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes of text that a Python task works on at a time.
+SLICE_BYTES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,35 +31,49 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share. Only a session within one process may leave it unset."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or _own_dir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Its shuffle files go as soon as it is written, as nothing reads them again.
+    Unless the session says otherwise, shuffle files go as soon as a job is done, as nothing reads them again.
     """
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = shared_dir(spark, label), spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(cleanup)
-        else:
-            spark.conf.set(cleanup, before)
+    path = shared_dir(spark, label)
+    if spark.conf.get(cleanup, None) is None:
+        spark.conf.set(cleanup, "true")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored frame that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, in order, in slices of some `most` bytes of the text in `column`, or one row that is longer.
+
+    What a task makes of a slice is bounded by this, however many rows a batch brings.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right"))
+            b = max(a + 1, b)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def ascii_lower(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lithic.llm.common import stored
+from lithic.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         further = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
         watch = Observation()
         jumped = near.join(further, "component").select("node", F.least("component", "further").alias("component"))
-        labels = stored(jumped.observe(watch, F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("sum")), "labels")
+        before, labels = labels, stored(jumped.observe(watch, F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("sum")), "labels")
+        if last is not None:
+            discard(before)
         if watch.get["sum"] == last:
+            discard(both)
             return labels
         last = watch.get["sum"]

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from lithic.llm.common import shared_dir
 from lithic.llm.exact_dedup import DigestIndex, deduplicate, unique_documents
 from lithic.llm.queries import op6_exact_dedup
@@ -52,3 +54,44 @@ def test_unique_documents_keep_columns(spark):
 
 def test_empty_table(spark):
     assert deduplicate(documents(spark, []), DigestIndex(spark)).count() == 0
+
+
+def many(spark, n=200):
+    return spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+
+
+def test_bucket_count_is_kept(spark):
+    path = shared_dir(spark, "index")
+    first = DigestIndex(spark, path, 4)
+    assert deduplicate(many(spark), first).filter("kept").count() == 200
+    with pytest.raises(ValueError, match="4 buckets"):
+        DigestIndex(spark, path, 8)
+    again = DigestIndex(spark, path)
+    assert again.buckets == 4
+    assert deduplicate(many(spark), again).filter("kept").count() == 0 and again.rows().count() == 200
+
+
+def test_batch_run_again(spark):
+    index = DigestIndex(spark)
+    assert deduplicate(many(spark, 50), index, batch="monday").filter("kept").count() == 50
+    assert deduplicate(many(spark, 50), index, batch="monday").filter("kept").count() == 50
+    assert deduplicate(many(spark, 60), index, batch="tuesday").filter("kept").count() == 10
+    assert index.rows().count() == 60
+
+
+def test_null_ids_are_known(spark):
+    index = DigestIndex(spark)
+    rows = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
+    assert unique_documents(rows, index).count() == 1
+    again = deduplicate(spark.createDataFrame([(None, "A"), (7, "a")], "doc_id long, text string"), index).collect()
+    assert [(r.keep_id, r.kept) for r in again] == [(None, False)] * 2 and index.rows().count() == 1
+
+
+def test_compacted(spark):
+    index = DigestIndex(spark, buckets=3)
+    for k in range(4):
+        deduplicate(many(spark, 50 * (k + 1)), index)
+    new = index.compacted(shared_dir(spark, "index"))
+    assert new.buckets == 3 and len(new.rows().inputFiles()) == 3 < len(index.rows().inputFiles())
+    assert deduplicate(many(spark), new).filter("kept").count() == 0
+    index.drop(files=True)

@@ -5,11 +5,13 @@ item of m characters still shares m - q + 1 - kq character q-grams with that str
 where the stretch starts. Shared q-grams are counted per item in overlapping bands of diagonals; a band that reaches the
 bound becomes a region, and a banded alignment of item and region decides.
 
-Texts and items are compared lower-cased with runs of white space as one blank. The budget is `rate` times the length,
-less for short items for which the lemma would not bound it; items shorter than q are not searched for. The items are
-sent to the tasks in blocks of at most `block_chars` characters, one scan of the documents per block.
+Texts and items are compared lower-cased with runs of white space and NUL as one blank. The budget is `rate` times the length,
+less for short items for which the lemma would not bound it; an item shorter than q, which may be any common word, is found in a
+document that consists of nothing else. The items are sent to the tasks in blocks of at most `block_chars` characters, one scan of
+the documents per block. Shared q-grams are taken up in slices of at most `MOST_HITS` in the text's order, and bands are settled as
+soon as the text is past them, so a text that repeats one word takes no more memory than another.
 
-Null texts and items match nothing. Repeated rows are searched each, repeated items reported once per row. Other columns
+Null and blank texts and items match nothing. Repeated rows are searched each, repeated items reported once per row. Other columns
 are passed on or ignored. Empty tables give no hits.
 """
 
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.llm.common import slices
+
 Q = 8
 TABLE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
-CHUNK_CHARS = 1_000_000
+MOST_HITS = 500_000
 
 
 def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return " ".join((text or "").lower().replace("\0", " ").split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -49,7 +53,12 @@ class ItemIndex:
     """Items of one block with their q-grams: sorted hashes, and for each the items and places it occurs at."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        found = sorted({(i, n) for i, t in items if len(n := normal(t)) >= Q})
+        clean = sorted({(i, n) for i, t in items if (n := normal(t))})
+        found = [x for x in clean if len(x[1]) >= Q]
+        self.short: dict[str, list[int]] = {}
+        for i, t in clean:
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
         self.ids = [i for i, _ in found]
         self.texts = [t for _, t in found]
         self.codes = [codes(t) for t in self.texts]
@@ -65,6 +74,7 @@ class ItemIndex:
         order = np.argsort(flat, kind="stable")
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.item, self.place = item[order], place[order]
+        self.narrow = np.minimum.reduceat(self.stride[self.item], self.first) if found else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self.keys >> np.uint64(64 - TABLE_BITS)] = True
 
@@ -80,22 +90,10 @@ class ItemIndex:
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - TABLE_BITS)])
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         same = self.keys[k] == h[at]
-        at, k = at[same], k[same]
-        n = self.count[k]
-        take = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[take], np.repeat(at, n) - self.place[take]
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        # bands of two strides, one stride apart: any run of 2k + 1 diagonals is inside one of them
         longest = int(self.length.max())
         span, shift = 2 * (len(joined) + 2 * longest + 4), longest + 2
-        low = diagonal // self.stride[item]
-        key = np.concatenate([item * span + low, item * span + low - 1]) + shift
-        bands, of, number = np.unique(key, return_inverse=True, return_counts=True)
-        near = (number >= self.least[bands // span])[of]
-        # a q-gram of the item counts once in a band, however often the text repeats it
-        places = np.unique(key[near] * longest + np.concatenate([self.place[take]] * 2)[near]) // longest
-        bands, number = np.unique(places, return_counts=True)
-        full = bands[number >= self.least[bands // span]]
+        full = self.full_bands(at[same], k[same], span, shift, longest)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i, band in zip((full // span).tolist(), (full % span - shift).tolist(), strict=True):
             a = band * int(self.stride[i])
@@ -112,6 +110,42 @@ class ItemIndex:
                     best[d, i] = got
         return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
+    def full_bands(self, at: np.ndarray, k: np.ndarray, span: int, shift: int, longest: int) -> np.ndarray:
+        """Bands (item * span + band + shift) with enough of their item's q-grams. at, k: places in the text and the q-grams there."""
+        if self.count[k].sum() > MOST_HITS:
+            # of a q-gram's places in a stretch no longer than a stride, the first and the last reach all bands that any of them reaches
+            stretch = at // self.narrow[k]
+            order = np.lexsort((at, stretch, k))
+            new = (np.diff(k[order], prepend=-1) != 0) | (np.diff(stretch[order], prepend=-1) != 0)
+            kept = np.sort(order[new | np.append(new[1:], True)])
+            at, k = at[kept], k[kept]
+        n = self.count[k]
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(n) else 0
+        full, held = [], np.zeros(0, np.int64)
+        for a in range(0, total, MOST_HITS):
+            hit = np.arange(a, min(a + MOST_HITS, total))
+            j = np.searchsorted(upto, hit, side="right")
+            take = self.first[k[j]] + hit - (upto[j] - n[j])
+            item, place = self.item[take], self.place[take]
+            # bands of two strides, one stride apart: any run of 2k + 1 diagonals is inside one of them
+            low = (at[j] - place) // self.stride[item]
+            key = np.concatenate([item * span + low, item * span + low - 1]) + shift
+            place = np.concatenate([place, place])
+            if total <= MOST_HITS:
+                bands, of, number = np.unique(key, return_inverse=True, return_counts=True)
+                near = (number >= self.least[bands // span])[of]
+                key, place = key[near], place[near]
+            # a q-gram of the item counts once in a band, however often the text repeats it
+            held = np.unique(np.concatenate([held, key * longest + place]))
+            bands, number = np.unique(held // longest, return_counts=True)
+            item = bands // span
+            full.append(bands[number >= self.least[item]])
+            # nothing further on in the text is in a band that ends before this place
+            ends = (bands % span - shift + 2) * self.stride[item] + self.length[item] + self.budget[item]
+            held = held[np.repeat(ends >= at[j[-1]], number)]
+        return np.unique(np.concatenate(full)) if full else np.zeros(0, np.int64)
+
     def aligned(self, i: int, text: str, a: int, b: int) -> tuple[int, int, int] | None:
         """Best (edits, start, end) of item i within text[a:b], or None beyond the budget."""
         if (p := text.find(self.texts[i], a, b)) >= 0:
@@ -147,23 +181,10 @@ def item_blocks(benchmark: DataFrame, rate: float, block_chars: int) -> Iterator
 
 
 def hits_in(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-    """(row, item number, edits, start, end) over a batch, in chunks of about a million characters."""
-    out, part, chars = [], [], 0
-
-    def flush() -> None:
-        for d, *rest in index.hits_of([t for _, t in part]):
-            out.append((part[d][0], *rest))
-
-    for row, text in enumerate(texts):
-        clean = normal(text)
-        if part and chars + len(clean) > CHUNK_CHARS:
-            flush()
-            part, chars = [], 0
-        part.append((row, clean.replace("\0", " ")))
-        chars += len(clean)
-    if part:
-        flush()
-    return out
+    """(row, item's id, edits, start, end) over some texts."""
+    clean = [normal(t) for t in texts]
+    out = [(d, index.ids[i], *rest) for d, i, *rest in index.hits_of(clean)]
+    return out + [(d, i, 0, 0, len(t)) for d, t in enumerate(clean) for i in index.short.get(t, ())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
@@ -172,10 +193,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_c
 
     def scan(index: ItemIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = hits_in(index, batch.column("text").to_pylist())
-                ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-                rest = [pa.array([f[k] if k > 1 else index.ids[f[1]] for f in found], pa.int64()) for k in (1, 2, 3, 4)]
+            for batch in slices(batches, 1):
+                found = hits_in(index, batch.column(1).to_pylist())
+                ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                rest = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "edits", "start", "end"])
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, schema)
@@ -192,7 +213,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, bloc
 
     def cleaned(rows: DataFrame, index: ItemIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, at):
                 bad = {f[0] for f in hits_in(index, batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 

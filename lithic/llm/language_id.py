@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithic.llm.common import slices
+
 UNKNOWN = "und"
 SLOTS = 1 << 16
 WIDTH = 24  # letters of a word at most; longer runs, as scripts without blanks have, are cut into consecutive words
@@ -258,8 +260,8 @@ def predict(docs: DataFrame, tagger: Tagger | None, keep: list[str]) -> DataFram
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("runs", RUNS)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in slices(batches, len(keep), 4 * CHUNK_CHARS):
+            texts = batch.column(len(keep)).to_pylist()
             label, score, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for part in chunks(texts) if tagger else ():
                 for i, p in zip(part, marginals(tagger, [words_of(texts[i]) for i in part]), strict=True):

@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithic.llm.common import slices
+
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 INDEX_SEGMENTS = 60_000
 INDEX_CHARS = 600_000
 KEPT_SEGMENTS = 400_000
 CACHE_BITS = 20
+SLICE = 2_000_000  # bytes of text indexed together; every piece is searched in each index
 BORDER = 0x110000  # after every segment; beyond Unicode
 
 
@@ -67,7 +70,8 @@ class Vocabulary:
         words = [i for i in plain if pieces[i].strip(BLANK) or pieces[i] == BLANK]
         singles = [i for i in words if len(pieces[i]) == 1]
         longer = sorted((i for i in words if len(pieces[i]) > 1), key=lambda i: (-sp.get_score(i), i))
-        assert not any(BLANK in pieces[i][1:] for i in longer), "a piece crosses words"
+        if any(BLANK in pieces[i][1:] for i in longer):
+            raise ValueError(f"{model}: pieces that cross words are not supported")
         rank = {pieces[i]: len(singles) + r for r, i in enumerate(longer)}
         number = {pieces[i]: r for r, i in enumerate(singles)} | rank
         self.ids = np.array([*singles, *longer], np.int32)  # by rank
@@ -320,17 +324,6 @@ def encoder(key: str, vocabulary: Vocabulary) -> Encoder:
     return _encoders[key]
 
 
-def parts(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    a = total = 0
-    for b, t in enumerate(texts):
-        if b > a and total + len(t or "") > chars:
-            yield a, b
-            a, total = b, 0
-        total += len(t or "")
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """The columns of docs with token_ids, n_tokens and round_trip (decoding the ids gives the text back)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # the model's size
@@ -340,16 +333,14 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model, vocabulary.value)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in parts(texts):
-                ids = coder.encode(texts[a:b])
-                same = [coder.decode(x) == (t or "") for x, t in zip(ids, texts[a:b], strict=True)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if len(ids) else np.zeros(0, np.int32), pa.int32()))
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(kept))), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=schema.names)
+        for rows in slices(batches, at, SLICE):
+            texts = rows.column(at).to_pylist()
+            ids = coder.encode(texts)
+            same = [coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if len(ids) else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(kept))), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)
 

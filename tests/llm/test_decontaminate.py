@@ -70,3 +70,31 @@ def test_awkward_rows(spark):
     kept = D.without_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
     assert D.find_leaks(docs, items.limit(0)).count() == 0 and D.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_repetitive_texts_in_bounded_slices(monkeypatch):
+    items = [(1, "word " * 240), (2, "ab" * 300), (3, " ".join(f"w{i}" for i in range(200)))]
+    texts = ["word " * 8_000, "ab" * 9_000, "wort " * 3_000, " ".join(f"w{i}" for i in range(5, 230)), "w0 w1 w2"]
+    index = D.ItemIndex(items, 0.1)
+    want = D.hits_in(index, texts)
+    assert {(d, i) for d, i, *_ in want} == {(0, 1), (1, 2), (3, 3)}
+    monkeypatch.setattr(D, "MOST_HITS", 4_000)
+    assert D.hits_in(index, texts) == want
+
+
+def test_memory_of_a_repeated_word():
+    import tracemalloc
+
+    index = D.ItemIndex([(1, "word " * 240)], 0.1)
+    tracemalloc.start()
+    found = D.hits_in(index, ["word " * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(f[0], f[1], f[2]) for f in found] == [(0, 1, 0)] and peak < 400e6, peak
+
+
+def test_short_items_and_nul(spark):
+    docs = spark.createDataFrame([(1, "Yes"), (2, "yes sir"), (3, "a benchmark\0passage"), (4, " YES \n")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "a\0benchmark passage")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()) == [(1, 1), (3, 2), (4, 1)]
+    assert [r.doc_id for r in D.without_leaks(docs, items).collect()] == [2]

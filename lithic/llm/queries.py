@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm import chat_format, decontaminate, katz_lm, language_id, pii, quality, sentencepiece_codec, shingle_join, url_rules
-from lithic.llm.common import id_remainder, table
+from lithic.llm.common import discard, id_remainder, table
 from lithic.llm.exact_dedup import DigestIndex, deduplicate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,11 @@ def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 7) == 2
-    model = katz_lm.fit(docs.filter(~held_out))
-    return katz_lm.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    tokens = katz_lm.tokenised(docs, ~held_out)
+    model = katz_lm.fit(tokens)
+    scored = katz_lm.score(tokens, model)
+    discard(tokens.frame, model.vocabulary.table, model.pairs)  # the answers are there
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 URL_RULES = [
@@ -99,7 +100,7 @@ FROM t GROUP BY conv_id
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark)
     result = deduplicate(table(spark, sf_dir, "documents"), index)
-    index.drop()
+    index.drop(files=True)
     return result
 
 

@@ -166,7 +166,7 @@ def entity_cards(entities: DataFrame, facts: DataFrame, mentions: DataFrame) ->
 def merge_queue(candidates: DataFrame, mentions: DataFrame, entities: DataFrame, limit: int = 200) -> DataFrame:
     """Undecided candidates with both sides' names, least score first. The left side is a mention or an entity."""
     m = mentions.select(F.col("mention_id").alias("left_id"), F.col("surface").alias("mention_name"), F.lit("mention").alias("left_type"))
-    e = entities.select((F.col("entity_id") - 1000000000).alias("left_id"), F.col("name").alias("entity_name"), F.lit("entity").alias("left_type"))
+    e = entities.select(F.col("entity_id").alias("left_id"), F.col("name").alias("entity_name"), F.lit("entity").alias("left_type"))
     r = entities.select(F.col("entity_id").alias("right_id"), F.col("name").alias("right_name"))
     top = candidates.filter("decision = 'review'").orderBy("score", "candidate_id").limit(limit)
     rows = top.join(m, ["left_type", "left_id"], "left").join(e, ["left_type", "left_id"], "left").join(r, "right_id", "left")
@@ -236,3 +236,32 @@ def queue_leftovers(queue: DataFrame, runs: DataFrame) -> DataFrame:
 def flagged_documents(documents: DataFrame, raw: DataFrame) -> DataFrame:
     """Documents to be reviewed with where they came from."""
     return documents.filter("needs_review").join(raw.select(F.col("raw_id").alias("doc_id"), "source_system", "native_id"), "doc_id", "left").select("doc_id", "source_system", "native_id")
+
+
+def corpus_size(raw: DataFrame) -> DataFrame:
+    """Landed versions and the logical documents they are of; those without a native id count one by one."""
+    return raw.agg(
+        F.count_distinct("raw_id").alias("versions"), F.count_distinct("tenant_id", "source_system", "native_id").alias("documents"), F.count_if(F.col("native_id").isNull()).alias("without_id")
+    )
+
+
+def producers(facts: DataFrame) -> DataFrame:
+    """Who made the current facts of each document, under which ontology: document_id, ontology, extractor."""
+    return facts.filter("valid_to IS NULL").select("document_id", "ontology", "extractor").distinct()
+
+
+def review_totals(queue: DataFrame) -> DataFrame:
+    """The review queue by kind, and in all (kind total)."""
+    return queue.rollup("kind").agg(F.count("*").alias("n")).select(F.coalesce("kind", F.lit("total")).alias("kind"), "n")
+
+
+def label_totals(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("label", "source").agg(F.count("*").alias("n"))
+
+
+def processing_counts(documents: DataFrame, runs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """One row: documents and those retired, runs and those failed, mentions still open and those in review."""
+    d = documents.agg(F.count("*").alias("documents"), F.count_if(F.col("valid_to").isNotNull()).alias("retired"))
+    r = runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "error").alias("failed"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"))
+    m = mentions.agg(F.count_if(F.col("status") == "pending").alias("open"), F.count_if(F.col("status") == "review").alias("in_review"))
+    return d.join(r).join(m)  # one row each

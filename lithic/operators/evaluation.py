@@ -49,7 +49,7 @@ def bootstrap_interval(values: list[float], resamples: int = 1000, seed: int = 4
     rng = random.Random(seed)
     n = len(values)
     means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-    return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
+    return means[int(0.025 * resamples)], means[min(int(0.975 * resamples), resamples - 1)]
 
 
 def bootstrap(outcomes: DataFrame, by: str = "run", item: str = "query_id", value: str = "value", max_items: int = 100_000, resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -88,7 +88,7 @@ def bootstrap(outcomes: DataFrame, by: str = "run", item: str = "query_id", valu
     totals = drawn.groupBy(by, "resample").agg(F.sum("total").alias("total")).groupBy(by).agg(F.array_sort(F.collect_list("total")).alias("totals"))
     means = large.groupBy(F.col(by).alias("of")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
     at = lambda k: F.get("totals", F.lit(k)) / F.col("n")
-    whole = totals.join(means, F.col(by).eqNullSafe(F.col("of"))).select(by, "mean", at(int(0.025 * resamples)).alias("low"), at(int(0.975 * resamples) - 1).alias("high"))
+    whole = totals.join(means, F.col(by).eqNullSafe(F.col("of"))).select(by, "mean", at(int(0.025 * resamples)).alias("low"), at(min(int(0.975 * resamples), resamples - 1)).alias("high"))
     return small.unionByName(whole)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithic.functions.storage import stored
 from lithic.operators.gate import Gate
 
 # Grounding outcomes that are statuses but not grounded.
@@ -40,28 +41,40 @@ def violations(facts: DataFrame, max_lines: int = 5000) -> DataFrame:
     return facts.select("fact_id", F.explode(broken).alias("violation"))
 
 
-def fact_rows(gate: Gate, dedupe: bool = False) -> DataFrame:
-    """Facts that the principal may see: with visible subject, visible object or none, and grounding.
+def fact_rows(gate: Gate, dedupe: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """Facts that the principal may see: with visible subject, visible object or none, evidence and grounding.
 
-    A fact asserted again has one row for each staged fact that became it; `dedupe` keeps the one of the largest id.
+    `facts` are the gate's facts, already filtered; all of them if left out. A fact whose document isn't stated takes that of its chunk, where
+    the relation has chunks. A fact asserted again has one row for each staged fact that became it; `dedupe` keeps the one of the largest id.
     """
-    facts, entities, pending = gate.read("facts"), gate.read("entities"), gate.read("pending")
+    facts = gate.read("facts") if facts is None else facts
+    entities, pending = gate.read("entities"), gate.read("pending")
     subject = entities.select(F.col("entity_id").alias("subject_id"), F.col("name").alias("subject_name"), F.col("entity_type").alias("subject_type"))
-    object_ = entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name"), F.lit(True).alias("object_visible"))
+    object_ = entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name"), F.col("entity_type").alias("object_type"), F.lit(True).alias("object_visible"))
     grounds = pending.filter(F.col("promoted_fact_id").isNotNull()).select(
         F.col("promoted_fact_id").alias("fact_id"), "pending_id", "grounding", (F.col("status") == "review").alias("under_review")
     )
     if dedupe:
         grounds = grounds.groupBy("fact_id").agg(F.max_by(F.struct("pending_id", "grounding", "under_review"), "pending_id").alias("g")).select("fact_id", "g.*")
     rows = facts.join(subject, "subject_id").join(object_, "object_id", "left").filter(F.col("object_id").isNull() | F.col("object_visible"))
-    rows = rows.join(grounds, "fact_id", "left")
+    rows = anchored(rows, gate).join(grounds, "fact_id", "left")
+    more = [c for c in ("chunk_id", "span_start", "span_end") if c in facts.columns]
     return rows.select(
-        "fact_id", "subject_id", "subject_name", "subject_type", "predicate", "object_id", "object_name", "literal",
-        F.coalesce("label", F.lit("public")).alias("label"), "confidence", "valid_from", "valid_to", "document_id", "ontology", "extractor", "grounding",
+        "fact_id", "subject_id", "subject_name", "subject_type", "predicate", "object_id", "object_name", *(["object_type", "tenant_id"] if more else []), "literal",
+        F.coalesce("label", F.lit("public")).alias("label"), "confidence", "valid_from", "valid_to", "document_id", *more, "ontology", "extractor", "grounding",
         uncertainty(F.col("valid_to"), F.col("grounding"), F.col("under_review")).alias("state"),
+        *([F.coalesce("under_review", F.lit(False)).alias("needs_review")] if more else []),
     )
 
 
+def anchored(facts: DataFrame, gate: Gate) -> DataFrame:
+    """Facts with the document of their evidence: the one stated, else their chunk's."""
+    if "chunk_id" not in facts.columns:
+        return facts
+    of = gate.read("chunks").select("chunk_id", F.col("document_id").alias("chunk_document"))
+    return facts.join(of, "chunk_id", "left").withColumn("document_id", F.coalesce("document_id", "chunk_document")).drop("chunk_document")
+
+
 def about(rows: DataFrame, entity_ids: DataFrame, role: str = "any") -> DataFrame:
     """Rows of facts whose subject, object or either is among entity_ids (column entity_id). Sides are joined one by one, without OR."""
     ids = entity_ids.select("entity_id").distinct()
@@ -82,12 +95,12 @@ def entities_by_key(gate: Gate, identifier: str, key: str | None = None) -> Data
 def get_facts(gate: Gate, entity_id: int, predicate: str | None = None, role: str = "any", dedupe: bool = False) -> DataFrame:
     side = {"subject": F.col("subject_id") == entity_id, "object": F.col("object_id") == entity_id}
     side["any"] = side["subject"] | F.coalesce(side["object"], F.lit(False))
-    rows = fact_rows(gate, dedupe).filter(side[role])
-    return rows.filter(F.col("predicate") == predicate) if predicate is not None else rows
+    rows = gate.read("facts").filter(side[role])
+    return fact_rows(gate, dedupe, rows.filter(F.col("predicate") == predicate) if predicate is not None else rows)
 
 
 def get_by_key(gate: Gate, identifier: str, key: str | None = None, role: str = "subject", dedupe: bool = False) -> DataFrame:
-    return about(fact_rows(gate, dedupe), entities_by_key(gate, identifier, key), role)
+    return fact_rows(gate, dedupe, about(gate.read("facts"), entities_by_key(gate, identifier, key), role))
 
 
 def get_entity(gate: Gate, entity_id: int | None = None, identifier: str | None = None, key: str | None = None) -> DataFrame:
@@ -98,10 +111,28 @@ def get_entity(gate: Gate, entity_id: int | None = None, identifier: str | None
     return rows if entity_id is None else rows.filter(F.col("entity_id") == entity_id)
 
 
-def facts_citing(gate: Gate, document_id: int) -> DataFrame:
+def facts_citing(gate: Gate, document_id: int | None = None, chunk_id: int | None = None) -> DataFrame:
+    """Facts grounded to one chunk, or to any part of one document. One of the two is needed."""
+    if document_id is None and chunk_id is None:
+        raise ValueError("document_id or chunk_id is needed")
+    rows = gate.read("facts")
+    if chunk_id is not None:
+        return fact_rows(gate, facts=rows.filter(F.col("chunk_id") == chunk_id))
+    if "chunk_id" not in rows.columns:
+        return fact_rows(gate, facts=rows.filter(F.col("document_id") == document_id))
     return fact_rows(gate).filter(F.col("document_id") == document_id)
 
 
+def passages(gate: Gate) -> DataFrame:
+    """Visible chunks of current, visible documents, with what is shown of the document: a chunk has its document's label."""
+    documents = gate.read("documents").select("document_id", "title", F.coalesce("label", F.lit("public")).alias("label"), "source_timestamp")
+    return gate.read("chunks").join(documents, "document_id")
+
+
+def passage(gate: Gate, chunk_id: int) -> DataFrame:
+    return passages(gate).filter(F.col("chunk_id") == chunk_id)
+
+
 def edges(facts: DataFrame) -> DataFrame:
     """Facts as edges between entities."""
     return facts.filter(F.col("object_id").isNotNull()).select("fact_id", "subject_id", "predicate", "object_id")
@@ -110,21 +141,19 @@ def edges(facts: DataFrame) -> DataFrame:
 def neighbors(gate: Gate, entity_id: int, predicate: str | None = None, depth: int = 1) -> DataFrame:
     """Edge facts reached from an entity in at most `depth` hops along visible facts: fact_id, subject_id, predicate, object_id, depth of the first reach.
 
-    Each hop joins the new frontier's distinct entities to the edges, so a dense graph costs at most depth joins; rows already found
-    are not walked again.
+    Each hop joins the edges once to the entities reached last, which are written out, so that the edges are read `depth` times in all and no plan
+    holds another hop's. Entities already reached are not walked again.
     """
     if not 1 <= depth <= 5:
         raise ValueError("depth must be 1 to 5")
     visible = gate.read("entities").select(F.col("entity_id").alias("object_id"))
     walk = edges(gate.read("facts"))
     walk = walk.filter(F.col("predicate") == predicate) if predicate is not None else walk
-    walk = walk.join(visible, "object_id", "left_semi").select("fact_id", "subject_id", "predicate", "object_id")
-    found = walk.filter(F.col("subject_id") == entity_id).withColumn("depth", F.lit(1))
-    seen = found.sparkSession.range(1).select(F.lit(entity_id).cast("long").alias("subject_id"))
-    frontier = found.select(F.col("object_id").alias("subject_id")).distinct()
+    reached = walk.sparkSession.range(1).select(F.lit(entity_id).cast("long").alias("subject_id"), F.lit(1).alias("depth"))
     for hop in range(2, depth + 1):
-        new = frontier.join(seen, "subject_id", "left_anti")
-        step = walk.join(new, "subject_id", "left_semi").select(*walk.columns).withColumn("depth", F.lit(hop))
-        found, seen = found.unionByName(step), seen.unionByName(new)
-        frontier = step.select(F.col("object_id").alias("subject_id")).distinct()
-    return found
+        last = reached.filter(F.col("depth") == hop - 1)
+        ends = walk.join(last, "subject_id", "left_semi").select("object_id").distinct().join(visible, "object_id", "left_semi")
+        new = ends.withColumnRenamed("object_id", "subject_id").join(reached, "subject_id", "left_anti")
+        reached = reached.unionByName(stored(new.withColumn("depth", F.lit(hop)), "frontier"))
+    found = walk.join(reached, "subject_id")
+    return found.join(visible, "object_id", "left_semi").select("fact_id", "subject_id", "predicate", "object_id", "depth")

@@ -96,14 +96,13 @@ def check_template(sql: str, params: set[str]) -> None:
 def gated_sql(sql: str, gate: Gate, params: dict[str, object]) -> DataFrame:
     """Run a checked template over the raw relations, with the markers expanded to the gate's conditions."""
     check_template(sql, set(params))
-    labels = ", ".join(f"'{x}'" for x in gate.labels)
-    text = re.sub(r"\{sec:(\w+)\}", rf"(\1.tenant_id = :tenant AND (\1.label IS NULL OR \1.label IN ({labels})))", sql)
+    text = re.sub(r"\{sec:(\w+)\}", r"(\1.tenant_id = :tenant AND (\1.label IS NULL OR array_contains(:labels, \1.label)))", sql)
     text = re.sub(r"\{tenant:(\w+)\}", r"(\1.tenant_id = :tenant)", text)
     text = re.sub(r"\{cur:(\w+)\}", r"TRUE" if gate.include_retracted else r"(\1.valid_to IS NULL)", text)
     used = {n: df for n, df in gate.relations.items() if re.search(rf"(?i)\b(?:from|join)\s+{n}\b", text)}
     text = re.sub(r"(?i)\b(from|join)\s+(" + "|".join(used) + r")\b", r"\1 {\2}", text)
     spark = gate.memberships.sparkSession
-    return spark.sql(text, args={"tenant": gate.principal.tenant, **params}, **used)
+    return spark.sql(text, args={"tenant": gate.principal.tenant, "labels": F.array(*map(F.lit, gate.labels)), **params}, **used)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -100,17 +101,27 @@ def storm_guard(tombstones: DataFrame, live: int, floor: int = 10, share: float
     return tombstones.join(allowed, tombstones.columns, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
 
 
-def detected_track(text: Column, name: Column) -> tuple[Column, Column]:
-    """(track, confident): structured by file ending or by a share of delimited lines of at least 0.8; prose by a share of at most 0.2 and 30 words."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    rows = F.size(F.filter(lines, lambda x: x.rlike(r"[,;|\t].*[,;|\t]")))
-    share = F.when(n > 0, rows / n).otherwise(0.0)
-    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
-    tabular = F.lower(name).rlike(r"\.(csv|tsv|xlsx?|parquet)$")
-    track = F.when(F.coalesce(tabular, F.lit(False)) | ((n >= 5) & (share >= 0.8)), "structured").otherwise("prose")
-    confident = F.coalesce(tabular, F.lit(False)) | ((n >= 5) & (share >= 0.8)) | ((share <= 0.2) & (words >= 30))
-    return track, confident
+# Containers that are structured by construction, by file ending and by mime type, and what delimits cells.
+STRUCTURED_ENDINGS = r"[^/]\.(csv|tsv|xlsx|xlsm|xls|parquet)$"
+STRUCTURED_MIMES = ("text/csv", "text/tab-separated-values", "application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
+DELIMITERS = (",", ";", "\t", "|")
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def detected_track(text: Column, name: Column, mime: Column | None = None) -> tuple[Column, Column]:
+    """(track, confident). Structured for sure by file ending or mime type, or if of five lines or more at least 0.8 are rows: lines that
+    hold one delimiter twice. Prose for sure if of five lines or more at most 0.2 are rows and the text has 30 words; else prose, unsure.
+    """
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, LINE_END), lambda x: x.rlike(r"(?U)\S"))
+    row = "|".join(f"[{d}][^{d}]*[{d}]" for d in DELIMITERS)
+    n, rows = F.size(lines), F.size(F.filter(lines, lambda x: x.rlike(row)))
+    share, words = rows / n, F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    container = F.coalesce(F.lower(name).rlike(STRUCTURED_ENDINGS), F.lit(False))
+    if mime is not None:
+        container |= F.coalesce(F.lower(mime).isin(*STRUCTURED_MIMES), F.lit(False))
+    tabular = container | (n >= 5) & (share >= 0.8)
+    return F.when(tabular, "structured").otherwise("prose"), tabular | (n >= 5) & (share <= 0.2) & (words >= 30)
 
 
 def track_mismatch(declared: Column, track: Column, confident: Column) -> Column:
@@ -138,17 +149,17 @@ def document_type(declared: Column, title: Column) -> Column:
 
 
 def sections(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, path) of a text's sections, cut at the most frequent heading level (the deeper of equals, at most 3)."""
+    """(start, end, path) of a text's sections: cut at headings up to the most frequent level (the deeper of equals), or up to 3 if that is deeper."""
     heads, at = [], 0
     for line in text.splitlines(keepends=True):
         mark = len(line) - len(line.lstrip("#"))
         if 1 <= mark <= 6 and line[mark : mark + 1] in " \t" and line[mark:].strip():
             heads.append((at, mark, line[mark:].strip()))
         at += len(line)
-    levels = [h[1] for h in heads if h[1] <= 3]
-    if not levels:
+    levels = Counter(h[1] for h in heads)
+    level = min(3, max(levels, key=lambda x: (levels[x], x), default=0))
+    if level < min(levels, default=1):
         return [(0, len(text), "")] if text else []
-    level = max(set(levels), key=lambda x: (levels.count(x), x))
     out, path, start, name = [], {}, 0, ""
     for place, mark, title in heads:
         path = {k: v for k, v in path.items() if k < mark} | {mark: title}

@@ -81,11 +81,28 @@ def cutover(facts: DataFrame, wave: DataFrame, prior: DataFrame, first_id: int,
     return rows, fresh.select("pending_id", "fact_id", F.col("kept_id").isNotNull().alias("kept"))
 
 
-def superseded_by_ontology(facts: DataFrame, promoted: DataFrame, at: datetime) -> DataFrame:
-    """Retire current facts of a document that an older ontology made, once facts of a newer one were promoted for it (document_id, ontology)."""
-    new = promoted.groupBy("document_id").agg(F.max("ontology").alias("new_ontology"))
-    joined = facts.join(new, "document_id", "left")
-    return retire(joined, F.col("new_ontology").isNotNull() & (F.col("ontology") < F.col("new_ontology")), at, "ontology_superseded").select(*facts.columns)
+def superseded(facts: DataFrame, promoted: DataFrame, at: datetime) -> DataFrame:
+    """Retire what a wave replaces within its own documents. promoted: document_id, fact_id, ontology, extractor (name/version) of the wave's facts, kept ones too.
+
+    A document's wave under exactly one ontology retires its current facts of other ontologies. If there are none and the wave has exactly one producer,
+    it retires current facts of that ontology by the same extractor in another version. Versions are only compared for being the same.
+    Mixed waves retire nothing, and the wave's own facts always stay.
+    """
+    name, version = (F.split_part(F.col("extractor"), F.lit("/"), F.lit(k)) for k in (1, 2))
+    wave = promoted.groupBy(F.col("document_id").alias("wave_document")).agg(
+        F.min("ontology").alias("new_ontology"), F.count_distinct("ontology").alias("ontologies"),
+        F.min(name).alias("new_name"), F.min(version).alias("new_version"), F.count_distinct("extractor").alias("producers"),
+    )
+    own = promoted.select("fact_id").distinct().withColumn("own", F.lit(True))
+    joined = facts.join(wave, facts.document_id == wave.wave_document, "left").join(own, "fact_id", "left")
+    old = F.col("valid_to").isNull() & F.col("own").isNull() & (F.col("ontologies") == 1)
+    other = old & (F.col("ontology") != F.col("new_ontology"))
+    switched = joined.filter(other).select(F.col("document_id").alias("wave_document")).distinct().withColumn("switched", F.lit(True))
+    joined = joined.join(switched, "wave_document", "left")
+    same = old & F.col("switched").isNull() & (F.col("producers") == 1) & (name == F.col("new_name")) & (version != F.col("new_version"))
+    base = joined if "reason" in facts.columns else joined.withColumn("reason", F.lit(None).cast("string"))
+    rows = retire(base, F.coalesce(other, F.lit(False)), at, "ontology_superseded")
+    return retire(rows, F.coalesce(same, F.lit(False)), at, "extractor_superseded").select(*dict.fromkeys([*facts.columns, "reason"]))
 
 
 def selected_ontology(ontologies: DataFrame, pointer: DataFrame) -> DataFrame:

@@ -163,11 +163,17 @@ def to_adjudicate(scored: DataFrame, most: int = MAX_ADJUDICATED) -> DataFrame:
 def corroboration(mentions: DataFrame, facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """Tier 1c: per candidate the distinct other entities of the mention's document that have a fact with it, and the score's
     boost: mention_id, entity_id, n, boost."""
-    others = mentions.filter("resolved_entity_id IS NOT NULL").select("document_id", F.col("mention_id").alias("other_id"), F.col("resolved_entity_id").alias("neighbour"))
-    near = mentions.select("mention_id", "document_id").join(others, "document_id").filter("mention_id <> other_id").select("mention_id", "neighbour").distinct()
+    # mentions of a document are never paired: its entities are gathered once, with the least and greatest mention that names each
+    others = mentions.filter("resolved_entity_id IS NOT NULL").groupBy("document_id", F.col("resolved_entity_id").alias("neighbour")).agg(F.min("mention_id").alias("low"), F.max("mention_id").alias("high"))
     sides = facts.filter("object_id IS NOT NULL").select(F.col("subject_id").alias("entity_id"), F.col("object_id").alias("neighbour"))
     sides = sides.unionByName(sides.select(F.col("neighbour").alias("entity_id"), F.col("entity_id").alias("neighbour"))).distinct()
-    n = candidates.join(near, "mention_id").join(sides, ["entity_id", "neighbour"]).groupBy("mention_id", "entity_id").agg(F.count_distinct("neighbour").alias("n"))
+    asked = candidates.select("mention_id", "entity_id").distinct().join(mentions.select("mention_id", "document_id"), "mention_id")
+    near = asked.select("document_id", "entity_id").distinct().join(sides, "entity_id").join(others, ["document_id", "neighbour"])
+    # a neighbour that only the mention itself names counts for all other mentions of the document
+    sums = near.groupBy("document_id", "entity_id").agg(F.count("*").alias("all"))
+    alone = near.filter("low = high").select("document_id", "entity_id", F.col("low").alias("mention_id")).groupBy("document_id", "entity_id", "mention_id").agg(F.count("*").alias("own"))
+    n = asked.join(sums, ["document_id", "entity_id"]).join(alone, ["document_id", "entity_id", "mention_id"], "left")
+    n = n.select("mention_id", "entity_id", (F.col("all") - F.coalesce("own", F.lit(0))).alias("n"))
     rows = candidates.select("mention_id", "entity_id").join(n, ["mention_id", "entity_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.withColumn("boost", F.least(F.lit(BOOST_CAP), BOOST * F.col("n")))
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.text import keyword_rank, search_terms
-from lithic.functions.vector import cosine, dot, norm, vector
+from lithic.functions.vector import cosine, dot, hashed_embedding, norm, vector
+from lithic.operators.facts import passages
+from lithic.operators.gate import Gate
 
 RRF_K = 60
 
@@ -68,9 +70,25 @@ def retrieve(items: DataFrame, query: list[float], k: int, sparse: DataFrame | N
     return found if reranker is None else ranked(reranker(found).drop("rank"), "score")
 
 
-def enriched(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Retrieved items (id) with the facts that cite them (document_id), as an array; one join for all items."""
-    cited = facts.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("fact_id", "predicate", "state"))).alias("facts"))
+def retrieve_evidence(gate: Gate, query: str, k: int = 10, mode: str = "dense", reranker: Reranker | None = None) -> DataFrame:
+    """The passages nearest to a query text, of documents that the principal may see: rank, score, chunk_id, document_id, title, label, seq, content.
+
+    The gate comes before the ranking, so that what may not be seen takes no place. Embeddings are the chunks' own, else `hashed_embedding` of
+    their terms; `hybrid` fuses in a keyword ranking.
+    """
+    items = passages(gate)
+    if "embedding" not in items.columns:
+        items = items.withColumn("embedding", hashed_embedding(search_terms(F.col("content"))))
+    vector_ = items.sparkSession.range(1).select(hashed_embedding(search_terms(F.lit(query))).alias("v")).first().v
+    sparse = keyword_topk(items, query, min(pool_size(k), 50), "chunk_id", "content") if mode == "hybrid" else None
+    found = retrieve(items.withColumn("vec_id", F.col("chunk_id")), vector_, k, sparse, reranker)
+    return found.withColumnRenamed("id", "chunk_id").join(items, "chunk_id").select("rank", "score", "chunk_id", "document_id", "title", "label", "seq", "content").orderBy("rank")
+
+
+def enriched(found: DataFrame, facts: DataFrame, by: str = "document_id") -> DataFrame:
+    """Retrieved items (id) with the facts that cite them, as an array; one join for all items. The items go first, so only their facts are gathered."""
+    facts = facts.join(found.select(F.col("id").alias(by)).distinct(), by, "left_semi")
+    cited = facts.groupBy(F.col(by).alias("id")).agg(F.array_sort(F.collect_list(F.struct("fact_id", "predicate", "state"))).alias("facts"))
     return found.join(cited, "id", "left").withColumn("facts", F.coalesce("facts", F.array()))
 
 

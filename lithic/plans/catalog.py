@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from lithic.operators import facts as ops
 from lithic.operators.gate import Gate, Param, coerced
+from lithic.operators.retrieval import retrieve_evidence
 
 
 class UnknownOperation(LookupError):
@@ -26,7 +27,8 @@ class Operation:
 
 @dataclass(frozen=True)
 class Step:
-    """One call of a composite. A binding is a constant, `param:name`, or `step:name:column` (the first row's value); skipped if a bound value is null."""
+    """One call of a composite. A binding is a constant, `param:name`, or `step:name:column` (the first row's value). A step is skipped if what it
+    takes from an earlier one is null; a parameter that isn't given is passed on as not given."""
 
     name: str
     operation: str
@@ -84,7 +86,7 @@ class Catalog:
         results: dict[str, DataFrame] = {}
         for s in entry.steps:
             bound = {k: self.bound(v, values, results) for k, v in s.bind.items()}
-            if any(v is None for v in bound.values()):
+            if any(v is None and str(s.bind[k]).startswith("step:") for k, v in bound.items()):
                 continue
             got = self.execute(gate, s.operation, **bound)
             if s.fallback and isinstance(got, DataFrame) and got.isEmpty():
@@ -113,11 +115,14 @@ def base_catalog() -> Catalog:
     c.register(Operation("get_by_key", ops.get_by_key, {"identifier": Param("string", True), "key": Param("string"), "role": Param("string", choices=("subject", "object", "any"), default="subject")}))
     c.register(Operation("get_entity", ops.get_entity, {"entity_id": Param("long"), "identifier": Param("string"), "key": Param("string")}, returns="entities"))
     c.register(Operation("neighbors", ops.neighbors, {"entity_id": Param("long", True), "predicate": Param("string"), "depth": Param("long", least=1, most=5, default=1)}))
-    c.register(Operation("facts_citing", ops.facts_citing, {"document_id": Param("long", True)}))
+    c.register(Operation("facts_citing", ops.facts_citing, {"document_id": Param("long"), "chunk_id": Param("long")}))
+    c.register(Operation("passage", ops.passage, {"chunk_id": Param("long", True)}, returns="evidence"))
+    search = {"query": Param("embedding_text", True), "k": Param("long", least=1, most=50, default=10), "mode": Param("string", choices=("dense", "hybrid"), default="dense")}
+    c.register(Operation("retrieve", retrieve_evidence, search, returns="evidence"))
     dossier = (
-        Step("keyed", "get_by_key", {"identifier": "param:identifier"}),
-        Step("facts", "get_facts", {"entity_id": "step:keyed:subject_id"}),
-        Step("evidence", "facts_citing", {"document_id": "step:facts:document_id"}),
+        Step("resolve", "get_by_key", {"identifier": "param:identifier", "key": "param:key", "role": "subject"}),
+        Step("facts", "get_facts", {"entity_id": "step:resolve:subject_id", "role": "any"}),
+        Step("evidence", "retrieve", {"query": "step:resolve:subject_name"}),
     )
-    c.register(Composite("entity_dossier", dossier, {"identifier": Param("string", True)}))
+    c.register(Composite("entity_dossier", dossier, {"identifier": Param("string", True), "key": Param("string")}))
     return c

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions import text as fx
 from lithic.functions.vector import cosine
-from lithic.operators import analytics, evaluation, extraction, facts, ingest, promotion, resolution, retrieval
+from lithic.operators import analytics, evaluation, extraction, facts, ingest, promotion, resolution, retrieval, review
 from lithic.operators.gate import Gate, Principal, gated_sql
 from lithic.plans.catalog import base_catalog
 from lithic.plans.relations import checking_sql, relation
@@ -94,8 +94,71 @@ def facts_citing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SERVED} AND f.subject_id = (SELECT min(subject_id) FROM ({SERVED} AND f.subject_id IN (SELECT entity_id FROM {KEYED})))")
 def entity_dossier_facts(spark: SparkSession, d: str) -> DataFrame:
-    found = base_catalog().execute(gate(spark, d), "entity_dossier", identifier="Customer#000000007")
-    return as_text(found["facts"].filter(F.col("subject_id") == 1000000007), "object_id")
+    found = base_catalog().execute(evidence_gate(spark, d), "entity_dossier", identifier="Customer#000000007")
+    ids = found["facts"].filter(F.col("subject_id") == 1000000007).select("fact_id").distinct()
+    return as_text(facts.fact_rows(gate(spark, d)).join(ids, "fact_id", "left_semi"), "object_id")
+
+
+EVIDENCE_COLUMNS = FACT_COLUMNS.replace("oe.name AS object_name", "oe.name AS object_name, oe.entity_type AS object_type, f.tenant_id").replace(
+    "f.document_id", "CAST(coalesce(f.document_id, c.document_id) AS VARCHAR) AS document_id, CAST(f.chunk_id AS VARCHAR) AS chunk_id, f.span_start, f.span_end"
+)
+EVIDENCE = f"""WITH se AS ({SEEN_ENTITIES}), f AS ({SEEN_FACTS.replace("{facts}", "{cited}")}) SELECT {EVIDENCE_COLUMNS}, coalesce(p.status = 'review', false) AS needs_review
+    FROM f LEFT JOIN (SELECT * FROM {{chunks}} WHERE tenant_id = 't0') c ON c.chunk_id = f.chunk_id {FACT_JOINS}"""
+SEEN_DOCUMENTS = "SELECT * FROM {sourced} WHERE tenant_id = 't0' AND (label IS NULL OR label IN ('internal', 'public')) AND valid_to IS NULL"
+
+
+def evidence_gate(spark: SparkSession, d: str) -> Gate:
+    """The gate over relations with evidence down to chunks."""
+    g = gate(spark, d)
+    return Gate(g.principal, g.memberships, g.relations | {"facts": relation(spark, d, "cited"), "documents": relation(spark, d, "sourced"), "chunks": relation(spark, d, "chunks")})
+
+
+@query(f"{EVIDENCE}")
+def fact_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return as_text(as_text(as_text(facts.fact_rows(evidence_gate(spark, d)), "object_id"), "document_id"), "chunk_id")
+
+
+@query(f"{EVIDENCE} AND f.chunk_id = 700001")
+def facts_citing_chunk(spark: SparkSession, d: str) -> DataFrame:
+    rows = base_catalog().execute(evidence_gate(spark, d), "facts_citing", chunk_id=700001)
+    return as_text(as_text(as_text(rows, "object_id"), "document_id"), "chunk_id")
+
+
+@query(f"{EVIDENCE} AND coalesce(f.document_id, c.document_id) = 7")
+def facts_anchored(spark: SparkSession, d: str) -> DataFrame:
+    rows = base_catalog().execute(evidence_gate(spark, d), "facts_citing", document_id=7)
+    return as_text(as_text(as_text(rows, "object_id"), "document_id"), "chunk_id")
+
+
+@query(f"SELECT c.chunk_id, c.document_id, c.seq, c.content, x.title, coalesce(x.label, 'public') AS label FROM {{chunks}} c JOIN ({SEEN_DOCUMENTS}) x ON x.document_id = c.document_id")
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    return facts.passages(evidence_gate(spark, d)).select("chunk_id", "document_id", "seq", "content", "title", "label")
+
+
+# the stand-in embedding in SQL isn't possible (its hash is Spark's own), so the hybrid's keyword side is what SQL checks
+@query(f"""WITH x AS ({SEEN_DOCUMENTS}), t AS (SELECT c.chunk_id, regexp_extract_all(lower(c.content), '[a-z0-9]+') AS w FROM {{chunks}} c JOIN x ON x.document_id = c.document_id)
+    SELECT chunk_id AS id, round((tf1 / (tf1 + 1.0) + tf2 / (tf2 + 1.0)) / 2, 6) AS score, row_number() OVER (ORDER BY (tf1 / (tf1 + 1.0) + tf2 / (tf2 + 1.0)) DESC, chunk_id) AS rank
+    FROM (SELECT chunk_id, len(list_filter(w, lambda x: x = 'erent')) AS tf1, len(list_filter(w, lambda x: x = 'ing')) AS tf2 FROM t)
+    WHERE tf1 > 0 AND tf2 > 0 ORDER BY (tf1 / (tf1 + 1.0) + tf2 / (tf2 + 1.0)) DESC, chunk_id LIMIT 40""")
+def passage_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(retrieval.keyword_topk(facts.passages(evidence_gate(spark, d)), "erent ing", 40, "chunk_id", "content"), "score")
+
+
+@query()
+def retrieve(spark: SparkSession, d: str) -> DataFrame:
+    return base_catalog().execute(evidence_gate(spark, d), "retrieve", query="erent ing the tion of and", k=10, mode="hybrid")
+
+
+@query(f"{EVIDENCE} AND (f.subject_id = 1000000007 OR f.object_id = 1000000007)")
+def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the entity that a key names, as the composite's second step gives them."""
+    found = base_catalog().execute(evidence_gate(spark, d), "entity_dossier", identifier="Customer#000000007")
+    return as_text(as_text(as_text(found["facts"], "object_id"), "document_id"), "chunk_id")
+
+
+@query()
+def entity_dossier_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return base_catalog().execute(evidence_gate(spark, d), "entity_dossier", identifier="Customer#000000007")["evidence"]
 
 
 @query("""
@@ -304,9 +367,10 @@ def storm_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN n >= 5 AND r / n >= 0.8 THEN 'structured' ELSE 'prose' END AS track,
-    (n >= 5 AND r / n >= 0.8) OR ((n = 0 OR r / n <= 0.2) AND words >= 30) AS confident FROM (
-    SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '[,;|\\t].*[,;|\\t]'))) AS r, words FROM (
-    SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS l,
+    n >= 5 AND (r / n >= 0.8 OR r / n <= 0.2 AND words >= 30) AS confident FROM (
+    SELECT doc_id, len(l) AS n, words, len(list_filter(l, lambda x: greatest(length(x) - length(replace(x, ',', '')), length(x) - length(replace(x, ';', '')),
+                                                       length(x) - length(replace(x, chr(9), '')), length(x) - length(replace(x, '|', ''))) >= 2)) AS r FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '\\S')) AS l,
            len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words FROM {documents}))""")
 def track_detect(spark: SparkSession, d: str) -> DataFrame:
     track, sure = ingest.detected_track(F.col("text"), F.lit("doc.txt"))
@@ -336,12 +400,11 @@ ONTOLOGIES = "SELECT 'v1' AS ontology, 1 AS effective_from UNION ALL SELECT 'v2'
     SELECT p.pending_id, p.document_id FROM {pending} p JOIN o ON o.ontology = p.ontology WHERE p.status = 'pending'
     AND NOT EXISTS (SELECT 1 FROM {mentions} m WHERE m.resolved_entity_id IS NULL AND p.subject_ref = concat('mention:', m.mention_id))
     AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.toxic = 1 AND l.doc_id = p.document_id)
-    AND NOT EXISTS (SELECT 1 FROM {facts} f JOIN o fo ON fo.ontology = f.ontology WHERE f.valid_to IS NULL AND f.predicate = 'located_in' AND f.document_id = p.document_id
+    AND NOT EXISTS (SELECT 1 FROM {facts} f JOIN o fo ON fo.ontology = f.ontology WHERE f.valid_to IS NULL AND f.document_id = p.document_id
                     AND (fo.effective_from, f.ontology) > (o.effective_from, p.ontology))""")
 def promotable_pending(spark: SparkSession, d: str) -> DataFrame:
     toxic = relation(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id")).distinct()
-    current = relation(spark, d, "facts").filter("predicate = 'located_in'")
-    rows = promotion.promotable(relation(spark, d, "pending"), relation(spark, d, "mentions"), toxic, current, spark.sql(ONTOLOGIES))
+    rows = promotion.promotable(relation(spark, d, "pending"), relation(spark, d, "mentions"), toxic, relation(spark, d, "facts"), spark.sql(ONTOLOGIES))
     return rows.select("pending_id", "document_id")
 
 
@@ -527,13 +590,13 @@ def band_decide(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT DISTINCT a.mention_id, b.resolved_entity_id AS nb FROM {mentions} a JOIN {mentions} b ON a.document_id = b.document_id AND a.mention_id <> b.mention_id AND b.resolved_entity_id IS NOT NULL),
-    e AS (SELECT subject_id AS x, object_id AS y FROM {facts} WHERE object_id IS NOT NULL AND predicate = 'located_in' UNION SELECT object_id, subject_id FROM {facts} WHERE object_id IS NOT NULL AND predicate = 'located_in'),
+    e AS (SELECT subject_id AS x, object_id AS y FROM {facts} WHERE object_id IS NOT NULL UNION SELECT object_id, subject_id FROM {facts} WHERE object_id IS NOT NULL),
     c AS (SELECT c_custkey AS mention_id, CAST(3000000000 + c_nationkey AS BIGINT) AS entity_id FROM {customer}),
     k AS (SELECT c.mention_id, c.entity_id, count(DISTINCT e.y) AS n FROM c JOIN n USING (mention_id) JOIN e ON e.x = c.entity_id AND e.y = n.nb GROUP BY ALL)
     SELECT c.mention_id, c.entity_id, coalesce(k.n, 0) AS n, least(0.1, 0.05 * coalesce(k.n, 0)) AS boost FROM c LEFT JOIN k USING (mention_id, entity_id)""")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
     candidates = relation(spark, d, "customer").select(F.col("c_custkey").alias("mention_id"), (F.lit(3_000_000_000) + F.col("c_nationkey")).alias("entity_id"))
-    return resolution.corroboration(relation(spark, d, "mentions"), relation(spark, d, "facts").filter("predicate = 'located_in'"), candidates)
+    return resolution.corroboration(relation(spark, d, "mentions"), relation(spark, d, "facts"), candidates)
 
 
 @query("""WITH s AS (SELECT q.vec_id AS mention_id, i.vec_id AS entity_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS cosine FROM {embeddings} q JOIN {embeddings} i ON i.label = q.label WHERE q.vec_id % 100 = 0)
@@ -684,7 +747,7 @@ def entity_cards(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c.candidate_id, c.left_type, CASE WHEN c.left_type = 'mention' THEN m.surface ELSE e.name END AS left_name, r.name AS right_name, c.score
     FROM (SELECT * FROM {candidates} WHERE decision = 'review' ORDER BY score, candidate_id LIMIT 200) c LEFT JOIN {mentions} m ON c.left_type = 'mention' AND m.mention_id = c.left_id
-    LEFT JOIN {entities} e ON c.left_type = 'entity' AND e.entity_id = 1000000000 + c.left_id LEFT JOIN {entities} r ON r.entity_id = c.right_id""")
+    LEFT JOIN {entities} e ON c.left_type = 'entity' AND e.entity_id = c.left_id LEFT JOIN {entities} r ON r.entity_id = c.right_id""")
 def merge_queue(spark: SparkSession, d: str) -> DataFrame:
     return analytics.merge_queue(*(relation(spark, d, n) for n in ("candidates", "mentions", "entities")))
 
@@ -791,3 +854,163 @@ def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
 def facts_per_entity(spark: SparkSession, d: str) -> DataFrame:
     counts = relation(spark, d, "facts").filter("valid_to IS NULL").groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("facts"))
     return relation(spark, d, "entities").join(counts, "entity_id", "left").select("entity_id", "entity_type", F.coalesce("facts", F.lit(0)).alias("facts"))
+
+
+# --- what resolution writes down, and review
+
+
+@query("""SELECT mention_id, entity_id, round(score, 6) AS score, band, what AS decision, CASE WHEN what <> 'auto_separate' THEN reason END AS reason FROM (
+    SELECT s.*, d.reason, CASE WHEN d.decision = 'resolved' AND d.entity_id = s.entity_id THEN 'auto_merge' WHEN d.decision = 'review' AND s.band IN ('high', 'gray') THEN 'review' ELSE 'auto_separate' END AS what
+    FROM {scored} s JOIN {decisions} d ON d.mention_id = s.mention_id)""")
+def candidate_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(review.candidate_rows(relation(spark, d, "scored"), relation(spark, d, "decisions")), "score")
+
+
+@query("""SELECT left_id, right_id, min(mention_id) AS via FROM (SELECT mention_id, entity_id AS left_id, lead(entity_id) OVER (PARTITION BY mention_id ORDER BY entity_id) AS right_id
+    FROM (SELECT DISTINCT left_id AS mention_id, right_id AS entity_id FROM {candidates} WHERE left_type = 'mention' AND tier = 'tier0')) WHERE right_id IS NOT NULL GROUP BY ALL""")
+def key_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    hits = relation(spark, d, "candidates").filter("left_type = 'mention' AND tier = 'tier0'")
+    return review.key_conflicts(hits.select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("entity_id")))
+
+
+@query("""SELECT d.mention_id, d.decision, CAST(CASE WHEN d.decision = 'resolved' THEN d.entity_id END AS VARCHAR) AS entity_id, round(s.score, 6) AS score, d.entity_id AS rests_on
+    FROM {decisions} d JOIN {scored} s USING (mention_id, entity_id)""")
+def resolution_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(as_text(review.ledger(relation(spark, d, "decisions"), relation(spark, d, "scored")), "entity_id"), "score")
+
+
+@query("SELECT mention_id, entity_id, 'er_match' AS label, 'deterministic' AS source FROM {decisions} WHERE decision = 'resolved' AND tier = 't0'")
+def deterministic_labels(spark: SparkSession, d: str) -> DataFrame:
+    return review.deterministic_labels(relation(spark, d, "decisions"))
+
+
+@query("""SELECT c.candidate_id, CASE WHEN c.decision <> 'review' OR v.same IS NULL THEN c.decision WHEN v.same THEN 'applied' ELSE 'auto_separate' END AS decision, CASE WHEN c.decision = 'review' THEN v.reviewer END AS reviewed_by
+    FROM {candidates} c LEFT JOIN {verdicts} v USING (candidate_id)""")
+def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return review.decided_matches(relation(spark, d, "candidates"), relation(spark, d, "verdicts"))[0].select("candidate_id", "decision", "reviewed_by")
+
+
+@query("""SELECT CASE WHEN same THEN 'er_match' ELSE 'er_nonmatch' END AS label, 'human_review' AS source, count(*) AS n FROM {candidates} c JOIN {verdicts} v USING (candidate_id) WHERE c.decision = 'review' GROUP BY ALL""")
+def review_label_totals(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.label_totals(review.decided_matches(relation(spark, d, "candidates"), relation(spark, d, "verdicts"))[1])
+
+
+@query("""SELECT left_id AS merged_id, right_id AS survivor_id FROM {candidates} c JOIN {verdicts} v USING (candidate_id) WHERE c.decision = 'review' AND same AND left_type = 'entity'""")
+def review_merges(spark: SparkSession, d: str) -> DataFrame:
+    return review.decided_matches(relation(spark, d, "candidates"), relation(spark, d, "verdicts"))[3]
+
+
+@query("SELECT candidate_id, 'not awaiting review' AS fault FROM {candidates} JOIN {verdicts} v USING (candidate_id) WHERE decision <> 'review'")
+def refused_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return review.refused_verdicts(relation(spark, d, "candidates"), relation(spark, d, "verdicts"))
+
+
+@query("""SELECT candidate_id, left_id, right_id, 'er_nonmatch' AS label, concat('reviewer', left_id % 3) AS reviewer FROM {candidates} WHERE decision = 'review' AND left_type = 'mention' AND left_id % 10 = 3""")
+def hard_negatives_of_review(spark: SparkSession, d: str) -> DataFrame:
+    of = relation(spark, d, "mentions").filter("mention_id % 10 = 3").select("mention_id", F.concat(F.lit("reviewer"), F.col("mention_id") % 3).alias("reviewer"))
+    return review.resolved_as_new(relation(spark, d, "candidates"), of)[1].select("candidate_id", "left_id", "right_id", "label", "reviewer")
+
+
+@query("""SELECT e.entity_id, concat_ws('|', e.name, string_agg(DISTINCT m.surface, '|' ORDER BY m.surface) FILTER (m.surface <> e.name)) AS aliases,
+    coalesce(e.key_value, '') AS key FROM {entities} e LEFT JOIN {mentions} m ON m.resolved_entity_id = e.entity_id GROUP BY e.entity_id, e.name, e.key_value""")
+def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities after the resolved mentions gave them their surface forms and keys."""
+    entities = relation(spark, d, "entities").select("entity_id", "name", F.array("name").alias("aliases"), F.create_map("key_name", "key_value").alias("attributes"), "key_name")
+    mentions = relation(spark, d, "mentions").filter("resolved_entity_id IS NOT NULL")
+    keys = F.when(F.col("key_name").isNotNull(), F.create_map(F.coalesce("key_name", F.lit("")), F.lit("never replaces")))
+    after = review.enriched_entities(entities, mentions.select(F.col("resolved_entity_id").alias("entity_id"), "mention_id", "surface", keys.alias("keys")))
+    return after.select("entity_id", F.array_join("aliases", "|").alias("aliases"), F.element_at("attributes", F.col("key_name")).alias("key"))
+
+
+@query("""SELECT 700000 + row_number() OVER (ORDER BY mention_id) AS entity_id, surface AS name, entity_type, coalesce(key_value, '') AS key FROM {mentions} WHERE status = 'pending'""")
+def seeded_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that pending mentions start, with ids in order of mention."""
+    mentions = relation(spark, d, "mentions")
+    decisions = mentions.filter("status = 'pending'").select("mention_id", F.lit(None).cast("long").alias("entity_id"), F.lit("new_entity").alias("decision"))
+    ids = resolution.applied(mentions, decisions, 700_001).filter("resolved_entity_id BETWEEN 700000 AND 999999999").select("mention_id", F.col("resolved_entity_id").alias("new_id"))
+    keys = F.when(F.col("key_name").isNotNull(), F.create_map(F.coalesce("key_name", F.lit("")), F.col("key_value")))
+    new = review.seeded_entities(mentions.join(ids, "mention_id").withColumn("keys", keys))
+    return new.select("entity_id", "name", "entity_type", F.coalesce(F.get(F.map_values("attributes"), F.lit(0)), F.lit("")).alias("key"))
+
+
+@query()
+def best_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The best of an entity's names for each mention that a key leads to it."""
+    entities, mentions = relation(spark, d, "entities"), relation(spark, d, "mentions")
+    pairs = resolution.key_block(mentions, entities).join(mentions.select("mention_id", "surface"), "mention_id").join(entities.select("entity_id", "name"), "entity_id")
+    return review.best_variants(pairs.select("mention_id", "entity_id", "surface", F.array("name", F.upper("name"), F.concat("name", F.lit(" Inc"))).alias("names")))
+
+
+@query("""SELECT candidate_id, CASE tier WHEN 'tier0' THEN 'same key' WHEN 'tier1' THEN 'names and keys' WHEN 'tier1b' THEN 'names and context' ELSE 'shared facts' END AS words,
+    concat_ws('; ', CASE WHEN score >= 0.75 THEN 'names are alike' END, CASE WHEN (candidate_id % 97) / 97.0 >= 0.8 THEN 'contexts are alike' END, CASE WHEN tier = 'tier0' THEN 'a key is the same' END, CASE WHEN candidate_id % 3 > 0 THEN 'facts are shared' END) AS pro,
+    concat_ws('; ', CASE WHEN score < 0.5 THEN 'names differ' END, CASE WHEN (candidate_id % 97) / 97.0 < 0.6 THEN 'contexts differ' END, CASE WHEN tier <> 'tier0' THEN 'no key is the same' END) AS contra FROM {candidates}""")
+def match_evidence(spark: SparkSession, d: str) -> DataFrame:
+    words, pro, contra = review.evidence(F.col("tier"), F.col("score"), (F.col("candidate_id") % 97) / 97.0, F.col("tier") == "tier0", F.col("candidate_id") % 3)
+    return relation(spark, d, "candidates").select("candidate_id", words.alias("words"), F.array_join(pro, "; ").alias("pro"), F.array_join(contra, "; ").alias("contra"))
+
+
+# --- counts and set operations
+
+
+@query("SELECT count(DISTINCT raw_id) AS versions, count(DISTINCT (tenant_id, source_system, native_id)) FILTER (native_id IS NOT NULL) AS documents, count(*) FILTER (native_id IS NULL) AS without_id FROM {raw}")
+def corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.corpus_size(relation(spark, d, "raw"))
+
+
+@query("SELECT DISTINCT document_id, ontology, extractor FROM {facts} WHERE valid_to IS NULL")
+def fact_producers(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.producers(relation(spark, d, "facts"))
+
+
+@query("""SELECT (SELECT count(*) FROM {sourced}) AS documents, (SELECT count(*) FROM {sourced} WHERE valid_to IS NOT NULL) AS retired, (SELECT count(*) FROM {runs}) AS runs, (SELECT count(*) FROM {runs} WHERE status = 'error') AS failed,
+    (SELECT CAST(sum(facts) AS BIGINT) FROM {runs}) AS facts, (SELECT count(*) FROM {mentions} WHERE status = 'pending') AS open, (SELECT count(*) FROM {mentions} WHERE status = 'review') AS in_review""")
+def processing_counts(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.processing_counts(*(relation(spark, d, n) for n in ("sourced", "runs", "mentions")))
+
+
+@query("""SELECT x.source, x.lang, x.doc_id FROM (SELECT source, lang, min(doc_id) AS doc_id FROM {documents} WHERE doc_id % 2 = 1 GROUP BY source, lang) x
+    WHERE NOT EXISTS (SELECT 1 FROM {documents} e WHERE e.doc_id % 20 = 0 AND e.source = x.source AND e.lang = x.lang)""")
+def insert_ignored(spark: SparkSession, d: str) -> DataFrame:
+    docs = relation(spark, d, "documents").select("source", "lang", "doc_id")
+    return ingest.insert_ignoring(docs.filter("doc_id % 20 = 0"), docs.filter("doc_id % 2 = 1"), ["source", "lang"])
+
+
+@query("SELECT user_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM {events} GROUP BY user_id")
+def upserted(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(spark, d, "events").select("user_id", "ts", "event_id")
+    return ingest.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id"], "ts")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'declared' WHEN h <> '' THEN h ELSE 'part 7' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'prose' ELSE 'sop' END AS kind
+    FROM (SELECT doc_id, trim(regexp_extract(coalesce(text, ''), '(?m)^#{{1,6}}[ \\t]+(\\S.*)$', 1)) AS h FROM {documents})""")
+def document_titles(spark: SparkSession, d: str) -> DataFrame:
+    declared = F.when(F.col("doc_id") % 3 == 0, "declared")
+    title = ingest.document_title(declared, F.coalesce("text", F.lit("")), F.lit("dir/part 7.txt"))
+    kind = ingest.document_type(F.when(F.col("doc_id") % 3 == 0, "prose"), F.concat(title, F.lit(" SOP")))
+    return relation(spark, d, "documents").select("doc_id", title.alias("title"), kind.alias("kind"))
+
+
+@query("""SELECT mention_id, entity_id, round(score, 6) AS score, band FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity_id) AS place FROM {scored} WHERE band = 'gray') WHERE place <= 3""")
+def to_adjudicate(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(resolution.to_adjudicate(relation(spark, d, "scored")), "score")
+
+
+@query("""WITH k AS (SELECT DISTINCT left_id AS m, right_id AS e FROM {candidates} WHERE tier = 'tier0'), a AS (SELECT left_id AS m, right_id AS e, max(score) AS c FROM {candidates} WHERE tier = 'tier1' GROUP BY 1, 2),
+    n AS (SELECT DISTINCT left_id AS m, right_id AS e FROM {candidates} WHERE tier IN ('tier1b', 'tier1c')), u AS (SELECT m, e FROM k UNION SELECT m, e FROM a UNION SELECT m, e FROM n),
+    x AS (SELECT u.m, u.e, k.e IS NOT NULL AS key, a.c, concat_ws(',', CASE WHEN k.e IS NOT NULL THEN 'key' END, CASE WHEN a.e IS NOT NULL THEN 'ann' END, CASE WHEN n.e IS NOT NULL THEN 'name' END) AS blocks,
+                 row_number() OVER (PARTITION BY u.m ORDER BY k.e IS NULL, coalesce(a.c, 0) DESC, NOT (k.e IS NULL AND a.e IS NOT NULL), u.e) AS place
+          FROM u LEFT JOIN k ON k.m = u.m AND k.e = u.e LEFT JOIN a ON a.m = u.m AND a.e = u.e LEFT JOIN n ON n.m = u.m AND n.e = u.e)
+    SELECT m AS mention_id, e AS entity_id, blocks, round(c, 6) AS cosine FROM x WHERE key OR place <= 5""")
+def blocked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(spark, d, "candidates").select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("entity_id"), "tier", F.col("score").alias("cosine"))
+    ann = rows.filter("tier = 'tier1'").groupBy("mention_id", "entity_id").agg(F.max("cosine").alias("cosine"))
+    found = resolution.blocked(rows.filter("tier = 'tier0'"), ann, rows.filter("tier IN ('tier1b', 'tier1c')"), 5)
+    return rounded(found.select("mention_id", "entity_id", F.array_join("blocks", ",").alias("blocks"), "cosine"), "cosine")
+
+
+@query()
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The interval of the difference of two runs on the items that both have."""
+    labels = relation(spark, d, "labels")
+    run = lambda c: labels.filter(F.col(c).isNotNull()).select(F.col("doc_id").alias("query_id"), F.col(c).cast("double").alias("value"))
+    return evaluation.bootstrap(evaluation.paired_differences(run("toxic"), run("quality")).withColumn("run", F.lit("quality - toxic")))

@@ -62,7 +62,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN c_custkey % 5 > 1 THEN 1000000000 + c_custkey END AS resolved_entity_id, c_custkey % 200 AS document_id, c_mktsegment AS segment
         FROM {{customer}}""",
     "candidates": """
-        SELECT event_id AS candidate_id, CASE WHEN event_id % 3 = 0 THEN 'entity' ELSE 'mention' END AS left_type, event_id % 100 + 1 AS left_id,
+        SELECT event_id AS candidate_id, CASE WHEN event_id % 3 = 0 THEN 'entity' ELSE 'mention' END AS left_type, CASE WHEN event_id % 3 = 0 THEN 1000000000 + event_id % 100 + 1 ELSE event_id % 100 + 1 END AS left_id,
                1000000000 + user_id + 1 AS right_id, CASE event_id % 4 WHEN 0 THEN 'tier0' WHEN 1 THEN 'tier1' WHEN 2 THEN 'tier1b' ELSE 'tier1c' END AS tier,
                CASE WHEN event_id % 10 < 6 THEN 'resolved' WHEN event_id % 10 < 8 THEN 'review' ELSE 'new_entity' END AS decision,
                CAST(event_id % 101 AS DOUBLE) / 100 AS score, value AS wall_ms, ts AS created_at, event_id % 13 = 0 AS open
@@ -85,10 +85,33 @@ RELATIONS: dict[str, str] = {
     "raw": """
         SELECT doc_id AS raw_id, 't0' AS tenant_id, source AS source_system, CASE WHEN doc_id % 13 <> 0 THEN CONCAT('n', doc_id % 40) END AS native_id, text, lang, n_chars
         FROM {documents}""",
+    # documents as the gate sees them, and their passages of 600 characters
+    "sourced": """
+        SELECT doc_id AS document_id, 't0' AS tenant_id, CASE WHEN doc_id % 7 = 0 THEN 'restricted' WHEN doc_id % 7 = 1 THEN 'internal' END AS label, CONCAT(source, '/', doc_id) AS title,
+               TIMESTAMP_NTZ '2024-01-01 00:00:00' AS source_timestamp, CASE WHEN doc_id % 23 = 5 THEN TIMESTAMP_NTZ '2024-01-10 00:00:00' END AS valid_to, lang, text
+        FROM {documents}""",
+    "chunks": """
+        SELECT document_id * 100000 + seq AS chunk_id, document_id, tenant_id, seq, SUBSTRING(text, CAST(seq * 600 + 1 AS INT), 600) AS content
+        FROM (SELECT document_id, tenant_id, text, explode(sequence(0, CAST(floor(greatest(length(text) - 1, 0) / 600.0) AS BIGINT))) AS seq FROM {sourced} WHERE length(text) > 0) AS x""",
+    # facts with the chunk they are taken from; half of them state no document
+    "cited": """
+        SELECT fact_id, tenant_id, subject_id, predicate, object_id, literal, label, valid_from, valid_to, confidence, CASE WHEN fact_id % 2 = 0 THEN document_id END AS document_id,
+               CASE WHEN fact_id % 3 < 2 THEN document_id * 100000 + fact_id % 2 END AS chunk_id, fact_id % 500 AS span_start, fact_id % 500 + 12 AS span_end, ontology, extractor
+        FROM {facts}""",
     "memberships": "SELECT 'analyst' AS role, 'internal' AS label UNION ALL SELECT 'auditor', 'internal' UNION ALL SELECT 'auditor', 'restricted'",
     "versions": """
-        SELECT CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS version, l_orderkey % 500 AS subject_id, l_returnflag AS predicate, l_partkey % 40 AS object_id
-        FROM {lineitem} WHERE l_linenumber <= 2""",
+        SELECT CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS version, l_orderkey % 5000 AS subject_id, l_returnflag AS predicate, l_partkey % 400 AS object_id
+        FROM {lineitem}""",
+    # mentions in review or resolved with the score of each entity they may be
+    "scored": """
+        SELECT left_id AS mention_id, right_id AS entity_id, max(score) AS score, CASE WHEN max(score) >= 0.92 THEN 'high' WHEN max(score) <= 0.45 THEN 'low' ELSE 'gray' END AS band
+        FROM {candidates} WHERE left_type = 'mention' GROUP BY left_id, right_id""",
+    "decisions": """
+        SELECT mention_id, entity_id, CASE WHEN mention_id % 4 = 0 THEN 'resolved' WHEN mention_id % 4 = 3 THEN 'new_entity' ELSE 'review' END AS decision,
+               CASE WHEN mention_id % 8 = 0 THEN 't0' ELSE 't1' END AS tier, CONCAT('reason ', mention_id % 4) AS reason
+        FROM (SELECT mention_id, entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity_id) AS place FROM {scored}) AS x WHERE place = 1""",
+    "verdicts": """
+        SELECT candidate_id, candidate_id % 2 = 0 AS same, CONCAT('reviewer', candidate_id % 3) AS reviewer FROM {candidates} WHERE candidate_id % 5 < 3""",
 }
 
 
@@ -120,4 +143,4 @@ def checking_sql(sql: str) -> str:
         text = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{body}"
     else:
         text = f"WITH {ctes} {body}" if ctes else body
-    return text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '")
+    return text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '").replace("explode(sequence(", "unnest(generate_series(")

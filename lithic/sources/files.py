@@ -147,13 +147,34 @@ def parsed_provisions(files: DataFrame) -> DataFrame:
     return files.select("native_id", "content").mapInPandas(run, PROVISIONS)
 
 
+# How structural levels of a statute are cited.
+LEVEL_LABELS = {"st": "subtitle ", "ch": "ch. ", "sch": "subch. ", "pt": "pt. ", "spt": "subpt. ", "d": "div. "}
+SEGMENT = r"^([a-z]+)([A-Za-z0-9.\u2013-]+)$"
+
+
 def citation(identifier: Column) -> Column:
-    """Citation of a statute identifier, /us/usc/t26/s501/c/3 as 26 U.S.C. 501(c)(3); null where it has no title."""
-    parts = F.split(F.regexp_replace(identifier, "/+$", ""), "/")
-    title = F.regexp_extract(identifier, r"^/us/usc/t([^/]+)", 1)
-    section = F.regexp_extract(identifier, r"/s([^/]+)", 1)
-    tail = F.array_join(F.transform(F.slice(parts, 6, 100), lambda p: F.concat(F.lit("("), p, F.lit(")"))), "")
-    return F.when(title == "", F.lit(None)).when(section == "", F.concat(title, F.lit(" U.S.C."))).otherwise(F.concat(title, F.lit(" U.S.C. "), section, tail))
+    """Citation of a statute identifier: /us/usc/t26/s501/c/3 is 26 U.S.C. § 501(c)(3), /us/usc/t26/ch1/schA is 26 U.S.C. ch. 1, subch. A.
+
+    What stands after the section is the trail in brackets. An identifier that can't be read, or names several, or of which only the
+    title can be read, stays as it is: a wrong citation is worse than an ugly one. Null gives an empty one.
+    """
+    whole = F.coalesce(identifier, F.lit(""))
+    segments = F.filter(F.split(F.substring(whole, 9, 1 << 30), "/"), lambda x: x != "")
+    level, number = (lambda x: F.regexp_extract(x, SEGMENT, 1)), (lambda x: F.regexp_extract(x, SEGMENT, 2))
+    place = F.array_position(F.transform(segments, level), "s").cast("int")  # 0 without a section
+    head = F.when(place > 0, F.slice(segments, F.lit(1), F.greatest(place - 1, F.lit(0)))).otherwise(segments)
+    titles = F.filter(head, lambda x: level(x) == "t")
+    stem = F.when(F.size(titles) > 0, F.concat(number(F.element_at(titles, -1)), F.lit(" U.S.C."))).otherwise("U.S.C.")
+    labels = F.create_map(*[F.lit(x) for pair in LEVEL_LABELS.items() for x in pair])
+    parts = F.transform(F.filter(head, lambda x: ~level(x).isin("", "t")), lambda x: F.concat(F.coalesce(F.element_at(labels, level(x)), F.concat(level(x), F.lit(" "))), number(x)))
+    trail = F.concat(F.filter(head, lambda x: level(x) == ""), F.slice(segments, F.greatest(place + 1, F.lit(1)), F.size(segments)))
+    cited = (
+        F.when(place > 0, F.concat(stem, F.lit(" § "), number(F.get(segments, place - 1)), F.array_join(F.transform(trail, lambda x: F.concat(F.lit("("), x, F.lit(")"))), "")))
+        .when(F.size(parts) > 0, F.concat(stem, F.lit(" "), F.array_join(parts, ", ")))
+        .when(F.size(segments) == 1, stem)
+    )
+    readable = whole.startswith("/us/usc/") & ~whole.rlike(r"(?U)\s")
+    return F.coalesce(F.when(readable, cited), whole)
 
 
 ONTOLOGY = "version string, effective_from string, entity_types array<string>, predicates array<string>, predicate_aliases map<string, struct<predicate:string, swap:boolean>>"

@@ -13,7 +13,7 @@ from lithic.functions.vector import hashed_embedding
 from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution, retrieval
 from lithic.operators.gate import Gate, Param, Principal, TemplateError, check_template, coerced
 from lithic.plans.catalog import Composite, Step, UnknownOperation, base_catalog
-from lithic.plans.queries import QUERIES, gate
+from lithic.plans.queries import QUERIES, evidence_gate, gate
 from lithic.plans.relations import relation
 
 AT = datetime(2024, 1, 1)
@@ -57,7 +57,26 @@ def test_catalog_scope_and_closure(spark, sf_dir):
         c.register(Composite("x", (Step("a", "missing", {}),), {}))
     with pytest.raises(ValueError):
         c.execute(gate(spark, sf_dir), "neighbors", entity_id=1, depth=9)
-    assert c.execute(gate(spark, sf_dir), "entity_dossier", identifier="nobody").keys() == {"keyed"}
+    assert c.execute(evidence_gate(spark, sf_dir), "entity_dossier", identifier="nobody").keys() == {"resolve"}
+    assert c.execute(evidence_gate(spark, sf_dir), "entity_dossier", identifier="Customer#000000007", key="no such").keys() == {"resolve"}
+    assert c.execute(evidence_gate(spark, sf_dir), "entity_dossier", identifier="Customer#000000007", key="customer_id").keys() == {"resolve", "facts", "evidence"}
+
+
+def test_walk_reads_the_edges_once_a_hop(spark, sf_dir):
+    plan = lambda k: facts.neighbors(gate(spark, sf_dir), 1_000_000_007, depth=k)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(4).count("o_orderkey") == plan(1).count("o_orderkey")
+
+
+def test_retrieval_is_gated(spark, sf_dir):
+    g = evidence_gate(spark, sf_dir)
+    seen = {r.document_id for r in g.read("documents").collect()}
+    rows = base_catalog().execute(g, "retrieve", query="erent ing the tion of and", k=50).collect()
+    assert len(rows) == 50 and {r.document_id for r in rows} <= seen and [r.rank for r in rows] == list(range(1, 51))
+    # a passage's own text finds it
+    one = base_catalog().execute(g, "passage", chunk_id=rows[7].chunk_id).first()
+    assert base_catalog().execute(g, "retrieve", query=one.content, k=3).first().score == pytest.approx(1)
+    hidden = relation(spark, sf_dir, "sourced").filter("label = 'restricted'").first().document_id
+    assert base_catalog().execute(g, "passage", chunk_id=hidden * 100000).isEmpty()
 
 
 def test_trigram_similarity(spark):
@@ -86,6 +105,10 @@ def test_find_span():
 def test_sections_and_passages():
     text = "intro\n# A\none two\n## B\nthree\n# C\nfour five six"
     assert [(text[a:b].split("\n")[0], n) for a, b, n in ingest.sections(text)] == [("intro", ""), ("# A", "A"), ("# C", "C")]
+    # six headings of levels 1, 1, 2, 4, 4, 4: level 4 is the most frequent, so all up to level 3 are cut at
+    deep = "# a\nx\n# b\nx\n## c\nx\n#### d\nx\n#### e\nx\n#### f\nx"
+    assert [n for _, _, n in ingest.sections(deep)] == ["a", "b", "b / c"]
+    assert ingest.sections("#### a\nx\n#### b") == [(0, 15, "")] and ingest.sections("x") == [(0, 1, "")] and ingest.sections("") == []
     spans = list(ingest.passages(0, "a b c d e f g", 4, 0.25))
     assert spans[0] == (0, 7) and spans[1][0] == 6 and spans[-1][1] == 13
 
@@ -189,6 +212,44 @@ def test_cutover_supersedes_what_is_not_restated(spark, sf_dir):
     assert rows.filter("reason = 'superseded'").count() == f.count() - 1
 
 
+def test_track_detection(spark):
+    long = " ".join(["word"] * 40)
+    rows = [
+        ("a, b; c\n" * 6, "x.txt", None, "prose", False), ("a, b, c\r\n" * 5, "x.txt", None, "structured", True), ("a|b|c\n" * 4, "x", None, "prose", False),
+        (long, "x.txt", None, "prose", False), ("\n".join([long] * 5), "x.txt", None, "prose", True), ("\n".join(["a b c"] * 6), "x", None, "prose", False),
+        (None, "x.CSV", None, "structured", True), ("x", "dir/.csv", None, "prose", False), ("x", None, "Text/CSV", "structured", True), (None, None, None, "prose", False),
+        (f"{long}\n\n{long}\na,b,c\n{long}\n{long}", "x", None, "prose", True),
+    ]
+    df = spark.createDataFrame(rows, "text string, name string, mime string, track string, sure boolean")
+    track, sure = ingest.detected_track(F.col("text"), F.col("name"), F.col("mime"))
+    assert [(r.a, r.b) for r in df.select(track.alias("a"), sure.alias("b")).collect()] == [(r[3], r[4]) for r in rows]
+
+
+def test_waves_supersede_other_ontologies_and_versions(spark):
+    f = spark.createDataFrame(
+        [(1, 1, "v9", "llm/p1", None), (2, 1, "v10", "llm/p1", None), (3, 1, "v9", "llm/p1", AT), (4, 2, "v1", "llm/p1", None), (5, 2, "v1", "map", None), (6, 2, "v1", "llm/p2", None), (7, 3, "v1", "llm/p1", None), (8, 4, "v1", "llm/p1", None), (9, 1, "v9", "map", None)],
+        "fact_id long, document_id long, ontology string, extractor string, valid_to timestamp",
+    )
+    wave = spark.createDataFrame([(1, 2, "v10", "llm/p1"), (1, 9, "v10", "llm/p1"), (2, 6, "v1", "llm/p2"), (3, 70, "v1", "llm/p2"), (3, 71, "v2", "llm/p2")], "document_id long, fact_id long, ontology string, extractor string")
+    rows = {r.fact_id: r.reason for r in promotion.superseded(f, wave, AT).collect()}
+    assert rows == {1: "ontology_superseded", 2: None, 3: None, 4: "extractor_superseded", 5: None, 6: None, 7: None, 8: None, 9: None}
+
+
+def test_bootstrap_takes_the_fixed_elements(monkeypatch):
+    # 1000 distinct means: the 26th and the 976th
+    class Draws:
+        def __init__(self, seed):
+            self.k = -1
+
+        def randrange(self, n):
+            self.k += 1
+            return self.k % n
+
+    monkeypatch.setattr(evaluation.random, "Random", Draws)
+    monkeypatch.setattr(evaluation, "sum", lambda xs: next(iter(xs)), raising=False)
+    assert evaluation.bootstrap_interval(list(range(1000)), 1000) == (25 / 1000, 975 / 1000)
+
+
 def test_bootstrap_is_seeded():
     assert evaluation.bootstrap_interval([0, 1, 1, 0, 1], 200) == evaluation.bootstrap_interval([0, 1, 1, 0, 1], 200)
     assert evaluation.displaces(0.1, 0.01, 200) and not evaluation.displaces(0.1, 0.01, 400)

@@ -49,7 +49,28 @@ def test_provisions(spark):
     assert ("/us/usc/t26/s1", "references", "/us/usc/t26/s2") in facts and ("/us/usc/t26/s2/a", "part_of", "/us/usc/t26/s2") in facts
     assert sum(p == "references" for _, p, _ in facts) == 1
     cites = [r.c for r in df.orderBy("identifier").select(files.citation(F.col("identifier")).alias("c")).collect()]
-    assert cites == ["26 U.S.C.", "26 U.S.C. 1", "26 U.S.C. 2", "26 U.S.C. 2(a)"]
+    assert cites == ["26 U.S.C.", "26 U.S.C. § 1", "26 U.S.C. § 2", "26 U.S.C. § 2(a)"]
+
+
+def test_citations(spark):
+    want = {
+        "/us/usc/t26/s1/a/2": "26 U.S.C. § 1(a)(2)",
+        "/us/usc/t26/s501/c/3/": "26 U.S.C. § 501(c)(3)",
+        "/us/usc/t26/stA": "26 U.S.C. subtitle A",
+        "/us/usc/t26/stA/ch1/schB/ptII/sptC/dE": "26 U.S.C. subtitle A, ch. 1, subch. B, pt. II, subpt. C, div. E",
+        "/us/usc/t26/ch1/s1/a": "26 U.S.C. § 1(a)",
+        "/us/usc/t26/zz9": "26 U.S.C. zz 9",
+        "/us/usc/t26/s45A\u20132": "26 U.S.C. § 45A\u20132",
+        "/us/usc/t26": "26 U.S.C.",
+        "/us/usc/t26/(x)": "/us/usc/t26/(x)",
+        "/us/usc/t26/s4531 /us/usc/t26/s4532": "/us/usc/t26/s4531 /us/usc/t26/s4532",
+        "/us/usc/": "/us/usc/",
+        "/us/pl/1": "/us/pl/1",
+        "": "",
+        None: "",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "identifier string").select("identifier", files.citation(F.col("identifier")).alias("c")).collect()
+    assert {r.identifier: r.c for r in rows} == want
 
 
 def test_ontology_faults(spark, tmp_path):

@@ -21,7 +21,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unique_documents(docs, DigestIndex(spark))
+    index = DigestIndex(spark)  # of this run alone
+    kept = unique_documents(docs, index)
+    index.drop(files=True)  # the verdicts are stored
+    return kept
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

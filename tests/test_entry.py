@@ -21,9 +21,10 @@ def test_without_corpus_operators():
         class Block:
             def find_spec(self, name, path=None, target=None):
                 if name in ("corpus_pipeline",) or name.startswith("lithic.llm"):
-                    raise ModuleNotFoundError(name)
+                    raise ModuleNotFoundError(name, name=name)
         sys.meta_path.insert(0, Block())
         import __spark_entry__ as e
+        assert e.llm_queries is None and e.corpus_pipeline is None
         assert len(e.queries()) > 50 and not any(n.startswith("op") and n[2].isdigit() for n in e.queries())
     """
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=__spark_entry__.__file__.rpartition("/")[0])

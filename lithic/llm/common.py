@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithic.functions.storage import discard, shared_dir, stored
+
+__all__ = ["ascii_lower", "bounded_batches", "discard", "id_remainder", "lower_words", "shared_dir", "slices", "stored", "table"]
+
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,39 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="lithic-")
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share. Only a session within one process may leave it unset."""
-    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or _own_dir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Unless the session says otherwise, shuffle files go as soon as a job is done, as nothing reads them again.
-    """
-    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = shared_dir(spark, label)
-    if spark.conf.get(cleanup, None) is None:
-        spark.conf.set(cleanup, "true")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of stored frames that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes from now on, where the session says nothing else: a batch of 10,000 long texts fills executors and their Python workers."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import slices
+from lithic.llm.common import bounded_batches, slices
 
 Q = 8
 TABLE_BITS = 22
@@ -172,6 +172,7 @@ class ItemIndex:
 
 def item_blocks(benchmark: DataFrame, rate: float, block_chars: int) -> Iterator[ItemIndex]:
     """Indexes of all items, each block of about block_chars characters at most."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = -(-total // block_chars)

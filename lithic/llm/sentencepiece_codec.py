@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.llm.common import slices
+from lithic.llm.common import bounded_batches, slices
 
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 INDEX_SEGMENTS = 60_000
-INDEX_CHARS = 600_000
+INDEX_CHARS = 300_000
 KEPT_SEGMENTS = 400_000
 CACHE_BITS = 20
-SLICE = 2_000_000  # bytes of text indexed together; every piece is searched in each index
+SLICE = 1_000_000  # bytes of text indexed together; every piece is searched in each index
 BORDER = 0x110000  # after every segment; beyond Unicode
 
 
@@ -326,6 +326,7 @@ def encoder(key: str, vocabulary: Vocabulary) -> Encoder:
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """The columns of docs with token_ids, n_tokens and round_trip (decoding the ids gives the text back)."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # the model's size
     kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]
     schema = docs.select(*kept).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import discard, lower_words, slices, stored
+from lithic.llm.common import bounded_batches, discard, lower_words, slices, stored
 from lithic.llm.graph import components
 
 SIZE = 5
@@ -310,6 +310,7 @@ def linked_components(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = stored(class_rows(docs), "shingle-rows")
     classes = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("key").alias("key"))

@@ -1,10 +1,11 @@
 r"""Personal data by weak supervision, in Spark expressions only.
 
-Candidates are matches of strict patterns (the base spans) and of looser ones. Four labelers vote on each candidate for
-(1), against (-1) or not at all (0): the pattern, a gazetteer (domain endings, country codes, card issuers, reserved
-addresses), the words just before, and the candidate's shape. Expectation-maximisation over the counted vote patterns
-estimates every labeler's reliability per kind; the posteriors are soft labels for a logistic regression over votes and
-shape features, which decides on the looser candidates. Base spans always stay; an added span never overlaps a base span
+Candidates are matches of strict patterns (the base spans) and of looser ones; secrets (tokens, keys) have looser ones only. Four labelers
+vote on each candidate for (1), against (-1) or not at all (0): the pattern, a gazetteer (domain endings, country codes, card issuers, reserved
+addresses, key prefixes), the words just before, and the candidate's shape. Expectation-maximisation over the counted vote patterns
+estimates every labeler's reliability for each kind by itself, a domain ending being another matter than an address range; the
+posteriors are soft labels for a logistic regression over votes, each kind's own, and
+shape features of the looser candidates, on which it decides. Base spans always stay; an added span never overlaps a base span
 or an earlier added one.
 
 The data that reach the driver are one row of sums per EM round and the coefficients of the regression. Vote patterns and
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import stored
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BASE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++",
@@ -39,23 +40,27 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{1,64}}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}+ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{{2,12}}",
+    "email": rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{1,64}}+ ?(?i:\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}+ ?(?i:\.|\(dot\)|\[dot\]) ?[A-Za-z]{{2,12}}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -]?[0-9])",
     "phone": r"(?<![0-9+().-])(?<![0-9] )(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,5}(?![ .-]?[0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,128}+[0-9])(?=[0-9+/_-]{0,128}+[A-Za-z])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])",
 }
 # Fixed values of the gazetteer.
 TLDS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "it", "nl", "uk", "us", "eu", "ch", "at")
-COUNTRY_CODES = r"^\+?(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|353|358|420)"
+COUNTRY_CODES = r"^(?:\+|00)(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|353|358|420)"
 RESERVED_IP = r"^(?:0|10|127|169\.254|192\.168|255)\."
+KEY_PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|sk_live_|xox[abp]-|eyJ|AIza)"
 ISSUERS = r"^(?:3[47]|3[068]|4|5[1-5]|2[2-7]|6)"
 NEAR = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|address|correo|adresse)\W*$|(?i)(?:mail|contact|write)",
     "ip": r"(?i)(?:\bip\b|host|server|address|login|client|serveur)",
     "card": r"(?i)(?:card|visa|credit|payment|pay|karte|carte|tarjeta)",
     "phone": r"(?i)(?:phone|call|tel|mobile|fax|dial|contact|telefon)",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|credential|bearer|api.?key|access.?key|private.?key)\W*$",
 }
-FAR = r"(?i)(?:isbn|version|serial|order|invoice|token|secret|key|hash|sha|commit|build)\W*$"
+FAR = {kind: r"(?i)(?:isbn|version|serial|order|invoice|token|secret|key|hash|sha|commit|build)\W*$" for kind in ("email", "ip", "card", "phone")}
+FAR["secret"] = r"(?i)(?:isbn|version|serial|order|invoice|hash|sha-?[0-9]*|md5|commit|build|checksum|uuid)\W*$"
 CONTEXT = 40
 VOTERS = ("pattern", "gazetteer", "context", "shape")
 
@@ -96,15 +101,20 @@ def votes(kind: str, base: bool, m: Column, before: Column) -> list[Column]:
         "ip": say(~m.rlike(RESERVED_IP), m.rlike(RESERVED_IP)),
         "card": say(d.rlike(ISSUERS), ~d.rlike(ISSUERS)),
         "phone": say(m.rlike(COUNTRY_CODES), F.lit(False)),
+        "secret": say(m.rlike(KEY_PREFIXES)),
     }[kind]
     shape = {
         "email": say(m.rlike(r"^[A-Za-z]") & (F.length(m) < 60), F.length(m) >= 100),
         "ip": say(F.length(m).between(7, 39), m.rlike(r"(?:^|\.)0[0-9]")),
         "card": say(F.length(d).isin(13, 15, 16) & m.rlike(r"^[0-9]+$|^[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}$"), F.length(d) < 13),
         "phone": say(F.length(d).between(9, 13), F.length(d) < 8),
+        "secret": say((F.length(d) >= 4) & (F.length(m) - F.length(d) >= 4), (F.length(d) < 2) | m.rlike(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|[-_/]{2}|^[a-z]+(?:[-_/][a-z0-9]+)+$")),
     }[kind]
-    pattern = F.lit(1) if base else F.when(luhn(d), 0).otherwise(-1) if kind == "card" else F.lit(0)
-    return [pattern, gazetteer, say(before.rlike(NEAR[kind]), before.rlike(FAR)), shape]
+    if kind == "secret":
+        pattern = say(m.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), ~m.rlike("[0-9][^0-9]+[0-9]"))
+    else:
+        pattern = F.lit(1) if base else F.when(luhn(d), 0).otherwise(-1) if kind == "card" else F.lit(0)
+    return [pattern, gazetteer, say(before.rlike(NEAR[kind]), before.rlike(FAR[kind])), shape]
 
 
 def matches(text: Column, pattern: str) -> tuple[Column, Callable[[Column], Column]]:
@@ -136,11 +146,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     # a text is searched for a kind only if it has the characters that every match needs
     has = {
         ("email", True): F.contains("text", F.lit("@")), ("phone", True): F.contains("text", F.lit("+")),
-        ("email", False): F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]")),
+        ("email", False): F.col("text").rlike(r"(?i)\(at\)|\[at\]"), ("ip", False): F.col("text").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
     }
     places = {}
     for kind in KINDS:
         for strict, patterns in ((True, BASE), (False, LOOSE)):
+            if kind not in patterns:
+                continue
             found, placed = matches(F.col("text"), patterns[kind])
             name = f"{kind}_{'base' if strict else 'loose'}"
             columns[name] = F.when(has.get((kind, strict), F.col("digit")), found).otherwise(F.array().cast("array<string>"))
@@ -163,51 +175,62 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         return F.transform(spans, one)
 
-    return rows.select("doc_id", F.concat(*[described(f"{k}_base") for k in KINDS], *[described(f"{k}_loose") for k in KINDS]).alias("spans"))
+    return rows.select("doc_id", F.concat(*[described(f"{k}_base") for k in BASE], *[described(f"{k}_loose") for k in LOOSE]).alias("spans"))
 
 
-def reliabilities(patterns: DataFrame, rounds: int = 8) -> tuple[dict[int, float], dict[tuple[int, int, int], float]]:
-    """EM over the counted vote patterns (rank, v0..v3, n): per kind the share of true candidates, and the chance of each
-    vote given (voter, truth). Starts from the votes' majority, so truth means what most labelers vote for."""
-    voters = range(len(VOTERS))
+Chances = dict[tuple[int, int, int, int], float]
+
+
+Priors = dict[tuple[int, bool], float]
+
+
+def reliabilities(patterns: DataFrame, rounds: int = 8) -> tuple[Priors, Chances]:
+    """EM over the counted vote patterns (rank, base, v0..v3, n): the share of true candidates per kind and pattern, strict or looser, and the chance of each
+    vote given (kind, voter, truth), if there is a vote: not to vote says nothing. Starts from the votes' majority, so truth means what most labelers vote for."""
+    kinds, voters = range(len(KINDS)), range(len(VOTERS))
     majority = sum(F.col(f"v{i}") for i in voters)
     posterior = 1 / (1 + F.exp(-majority.cast("double")))
     prior, chance = {}, {}
     for _ in range(rounds):
-        sums = [F.sum(F.col("n") * F.col("p") * (F.col("rank") == k).cast("int")).alias(f"k{k}") for k in range(len(KINDS))]
-        sums += [F.sum(F.col("n") * (F.col("rank") == k).cast("int")).alias(f"n{k}") for k in range(len(KINDS))]
+        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("k")]
         for i in voters:
-            for v in (-1, 0, 1):
+            for v in (-1, 1):
                 is_v = (F.col(f"v{i}") == v).cast("int")
                 sums += [F.sum(F.col("n") * F.col("p") * is_v).alias(f"t{i}_{v + 1}"), F.sum(F.col("n") * (1 - F.col("p")) * is_v).alias(f"f{i}_{v + 1}")]
-        got = {k: x or 0.0 for k, x in patterns.withColumn("p", posterior).agg(*sums).first().asDict().items()}
-        prior = {k: (got[f"k{k}"] + 1) / (got[f"n{k}"] + 2) for k in range(len(KINDS))}
-        for i in voters:
-            for truth, name in ((1, "t"), (0, "f")):
-                of = [got[f"{name}{i}_{v}"] + 0.5 for v in range(3)]
-                chance |= {(i, truth, v - 1): x / sum(of) for v, x in enumerate(of)}
+        rows = {(r["rank"], r["base"]): r.asDict() for r in patterns.withColumn("p", posterior).groupBy("rank", "base").agg(*sums).collect()}  # two rows a kind
+        total = lambda k, name: sum((rows.get((k, base), {}).get(name) or 0.0) for base in (True, False))
+        for k in kinds:
+            for base in (True, False):
+                got = rows.get((k, base), {})
+                prior[k, base] = ((got.get("k") or 0.0) + 1) / ((got.get("n") or 0.0) + 2)
+            for i in voters:
+                for truth, name, right in ((1, "t", 2), (0, "f", 0)):
+                    # where there is little to go by, a labeler counts as better than chance
+                    against, for_ = (total(k, f"{name}{i}_{v}") + (4.0 if v == right else 1.0) for v in (0, 2))
+                    chance |= {(k, i, truth, v): x / (against + for_) for v, x in ((-1, against), (1, for_))}
         posterior = posterior_of(prior, chance)
     return prior, chance
 
 
-def posterior_of(prior: dict[int, float], chance: dict[tuple[int, int, int], float]) -> Column:
+def posterior_of(prior: Priors, chance: Chances) -> Column:
     odds = F.lit(0.0)
-    for k, p in prior.items():
-        odds = F.when(F.col("rank") == k, math.log(p / (1 - p))).otherwise(odds)
-    for i in range(len(VOTERS)):
-        ratio = F.lit(0.0)
-        for v in (-1, 0, 1):
-            ratio = F.when(F.col(f"v{i}") == v, math.log(chance[i, 1, v] / chance[i, 0, v])).otherwise(ratio)
-        odds = odds + ratio
+    for (k, base), p in prior.items():
+        own = F.lit(math.log(p / (1 - p)))
+        for i in range(len(VOTERS)):
+            ratio = F.lit(0.0)
+            for v in (-1, 1):
+                ratio = F.when(F.col(f"v{i}") == v, math.log(chance[k, i, 1, v] / chance[k, i, 0, v])).otherwise(ratio)
+            own = own + ratio
+        odds = F.when((F.col("rank") == k) & (F.col("base") == base), own).otherwise(odds)
     return 1 / (1 + F.exp(-odds))
 
 
-FEATURES = ["rank", "v0", "v1", "v2", "v3", "n_digits", "separated"]
+FEATURES = ["rank", "base", "v0", "v1", "v2", "v3", "n_digits", "separated"]
 
 
 def feature_columns(get: Callable[[str], Column]) -> list[Column]:
     kinds = [(get("rank") == k).cast("double") for k in range(len(KINDS))]
-    votes_ = [get(f"v{i}").cast("double") for i in range(len(VOTERS))]
+    votes_ = [get(f"v{i}").cast("double") * k for k in kinds for i in range(len(VOTERS))]
     lengths = [get("n_digits").between(a, b).cast("double") for a, b in ((0, 8), (9, 12), (13, 16), (17, 20))]
     return kinds + votes_ + lengths + [get("separated").cast("double")]
 
@@ -218,9 +241,10 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     counted = rows.select(F.explode("spans").alias("s")).select("s.*").groupBy(*FEATURES).agg(F.count("*").alias("n"))
     counted = stored(counted.coalesce(1), "pii-patterns")  # a bounded number of distinct feature vectors
     kept = lambda s: s["base"]
-    if not counted.isEmpty():
+    looser = counted.filter(~F.col("base"))  # what is to be decided
+    if not looser.isEmpty():
         prior, chance = reliabilities(counted)
-        soft = counted.withColumn("p", posterior_of(prior, chance))
+        soft = looser.withColumn("p", posterior_of(prior, chance))
         named = [c.alias(f"f{i}") for i, c in enumerate(feature_columns(F.col))]
         both = soft.select(*named, F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")).unionByName(
             soft.select(*named, F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("weight"))

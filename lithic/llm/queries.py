@@ -18,8 +18,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [c for c, k in zip(counts, pii.KINDS, strict=True) if k in pii.BASE]
     return pii.find_pii(table(spark, sf_dir, "documents")).select(
-        "doc_id", *counts, F.sha2(pii.span_string(base), 256).alias("base_sha256"), pii.span_string(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(pii.span_string(base), 256).alias("base_sha256"), pii.span_string(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 

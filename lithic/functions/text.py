@@ -167,32 +167,17 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def span_of(needle: str, text: str) -> tuple[int, int] | None:
-    """Where a quote is in a text: as it is, else with white space collapsed and case folded."""
-    if not needle or not needle.strip():
-        return None
-    at = text.find(needle)
-    if at >= 0:
-        return at, at + len(needle)
-    folded, places = [], []
-    for i, c in enumerate(text):
-        if c.isspace():
-            if folded and folded[-1] != " ":
-                folded.append(" ")
-                places.append(i)
-        else:
-            for x in c.casefold():
-                folded.append(x)
-                places.append(i)
-    want = " ".join(needle.split()).casefold()
-    at = "".join(folded).find(want)
-    return None if at < 0 else (places[at], places[at + len(want) - 1] + 1)
-
-
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-def find_span(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
-    found = [span_of(n, t) if n is not None and t is not None else None for n, t in zip(needle, text, strict=True)]
-    return pd.DataFrame({"start": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})
+def find_span(needle: Column | str, text: Column | str) -> Column:
+    """Where a quote is in a text, as (start, end) in characters: as it is, else its words in any case with any white space between. Null if nowhere or blank."""
+    needle, text = (F.col(c) if isinstance(c, str) else c for c in (needle, text))
+    words = F.filter(F.split(needle, r"(?U)\s+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iuU)"), F.array_join(quoted, "\\s+"))
+    exact = F.instr(text, needle)
+    loose = F.regexp_substr(text, pattern)
+    before = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+    span = lambda start, size: F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
+    return F.when(F.size(words) > 0, F.when(exact > 0, span(exact - 1, F.length(needle))).when(F.length(loose) > 0, span(before, F.length(loose))))
 
 
 # English stop words of the keyword index.

@@ -168,6 +168,37 @@ def registered(sets: DataFrame, items: DataFrame) -> DataFrame:
     return sets.join(hashes, "gold_id", "left").withColumn("status", F.when(F.coalesce("n", F.lit(0)) < F.try_element_at(floor, F.col("axis")), "rejected").otherwise("draft"))
 
 
+def activated(sets: DataFrame, signed: DataFrame) -> DataFrame:
+    """Gold sets after sign-off. signed: gold_id, reviewer. A draft with a named reviewer becomes active; nothing else changes."""
+    rows = sets.join(signed.filter("trim(reviewer) <> ''").groupBy("gold_id").agg(F.min("reviewer").alias("activated_by")), "gold_id", "left")
+    go = (F.col("status") == "draft") & F.col("activated_by").isNotNull()
+    return rows.withColumns({"status": F.when(go, "active").otherwise(F.col("status")), "activated_by": F.when(go, F.col("activated_by"))})
+
+
+# What a benchmark run may vary on each axis, and what it must state.
+KNOBS = {
+    "a_index": (("index",), ("index", "params", "label", "notes")),
+    "b_er": (("scorer",), ("scorer", "params", "label", "notes")),
+    "c_embedder": (
+        ("embedder",),
+        ("embedder", "mode", "dim", "chunk_tokens", "overlap_pct", "contextual_prefix", "reranker", "prompt_style", "prompt_style_detail", "engine", "fusion_method", "rrf_k", "sparse_weight", "label", "notes"),
+    ),
+    "d_extraction": (("model", "contract"), ("model", "contract", "params", "label", "notes")),
+}
+
+
+def knob_faults(requests: DataFrame) -> DataFrame:
+    """requests: run_id, axis, config (map). Why a run is refused: run_id, fault, knob. Empty for one that may run."""
+    names = lambda k: F.create_map(*[x for axis, sets in KNOBS.items() for x in (F.lit(axis), F.array(*map(F.lit, sets[k])))])
+    required, allowed = (F.try_element_at(names(k), F.col("axis")) for k in (0, 1))
+    given = F.map_keys("config")
+    fault = lambda text, knobs: F.transform(F.coalesce(knobs, F.array().cast("array<string>")), lambda k: F.struct(F.lit(text).alias("fault"), k.alias("knob")))
+    faults = F.when(required.isNull(), F.array(F.struct(F.lit("unknown axis").alias("fault"), F.col("axis").alias("knob")))).otherwise(
+        F.concat(fault("missing", F.array_except(required, given)), fault("not of the axis", F.array_except(given, allowed)))
+    )
+    return requests.select("run_id", F.explode(faults).alias("x")).select("run_id", "x.*")
+
+
 def new_runs(requests: DataFrame, done: DataFrame, sets: DataFrame) -> DataFrame:
     """Benchmark requests (axis, gold_id, pins, config) on active gold sets that haven't been run with the same settings."""
     key = ["axis", "gold_id", "pins", "config"]

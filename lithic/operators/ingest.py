@@ -49,6 +49,12 @@ def land(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return kept.withColumn("version", F.row_number().over(chain) + base).drop("last")
 
 
+def already_landed(items: DataFrame, raw: DataFrame) -> DataFrame:
+    """Items whose bytes the tenant has landed before."""
+    have = raw.select("tenant_id", content_hash(F.col("text")).alias("content_hash")).distinct()
+    return items.withColumn("content_hash", content_hash(F.col("text"))).join(have, ["tenant_id", "content_hash"], "left_semi").select(*items.columns, "content_hash")
+
+
 def prior_versions(raw: DataFrame) -> DataFrame:
     """Pairs of a landed document and an earlier version of the same logical document: raw_id, prior_id."""
     a, b = raw.alias("a"), raw.alias("b")

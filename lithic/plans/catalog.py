@@ -44,6 +44,16 @@ class Composite:
     roles: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Trace:
+    """What a step did: ok, fallback or skipped."""
+
+    step: str
+    operation: str
+    status: str
+    bound: dict[str, object]
+
+
 @dataclass
 class Catalog:
     entries: dict[str, Operation | Composite] = field(default_factory=dict)
@@ -70,7 +80,7 @@ class Catalog:
     def visible(self, gate: Gate) -> list[str]:
         return sorted(n for n, e in self.entries.items() if not e.roles or set(e.roles) & set(gate.principal.roles))
 
-    def execute(self, gate: Gate, name: str, **params: object) -> DataFrame | dict[str, DataFrame]:
+    def execute(self, gate: Gate, name: str, trace: list[Trace] | None = None, **params: object) -> DataFrame | dict[str, DataFrame]:
         if name not in self.visible(gate):
             raise UnknownOperation(name)
         entry = self.entries[name]
@@ -79,18 +89,27 @@ class Catalog:
         values = {k: coerced(k, p, params.get(k)) for k, p in entry.params.items()}
         if isinstance(entry, Operation):
             return entry.run(gate, **values)
-        return self.composed(gate, entry, values)
+        return self.composed(gate, entry, values, [] if trace is None else trace)
+
+    def traced(self, gate: Gate, name: str, **params: object) -> tuple[dict[str, DataFrame], list[Trace]]:
+        """A composite's results with what each step did, those of nested composites dotted and before the step that calls them."""
+        trace: list[Trace] = []
+        return self.execute(gate, name, trace=trace, **params), trace
 
-    def composed(self, gate: Gate, entry: Composite, values: dict[str, object]) -> dict[str, DataFrame]:
+    def composed(self, gate: Gate, entry: Composite, values: dict[str, object], trace: list[Trace]) -> dict[str, DataFrame]:
         """Results by step, dotted for steps of nested composites. Only first rows' bound values cross to the driver."""
         results: dict[str, DataFrame] = {}
         for s in entry.steps:
             bound = {k: self.bound(v, values, results) for k, v in s.bind.items()}
             if any(v is None and str(s.bind[k]).startswith("step:") for k, v in bound.items()):
+                trace.append(Trace(s.name, s.operation, "skipped", bound))
                 continue
-            got = self.execute(gate, s.operation, **bound)
+            inner: list[Trace] = []
+            got, status, ran = self.execute(gate, s.operation, trace=inner, **bound), "ok", s.operation
             if s.fallback and isinstance(got, DataFrame) and got.isEmpty():
-                got = self.execute(gate, s.fallback, **bound)
+                got, status, ran = self.execute(gate, s.fallback, trace=inner, **bound), "fallback", s.fallback
+            trace += [Trace(f"{s.name}.{t.step}", t.operation, t.status, t.bound) for t in inner]
+            trace.append(Trace(s.name, ran, status, bound))
             if isinstance(got, dict):
                 results |= {f"{s.name}.{k}": v for k, v in got.items()}
             else:

@@ -1014,3 +1014,32 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     labels = relation(spark, d, "labels")
     run = lambda c: labels.filter(F.col(c).isNotNull()).select(F.col("doc_id").alias("query_id"), F.col(c).cast("double").alias("value"))
     return evaluation.bootstrap(evaluation.paired_differences(run("toxic"), run("quality")).withColumn("run", F.lit("quality - toxic")))
+
+
+@query("""SELECT doc_id AS raw_id FROM {documents} d WHERE doc_id % 3 = 0 AND EXISTS (SELECT 1 FROM {documents} r WHERE r.doc_id % 3 > 0 AND sha256(coalesce(r.text, '')) = sha256(coalesce(d.text, '')))""")
+def already_landed(spark: SparkSession, d: str) -> DataFrame:
+    raw = relation(spark, d, "raw").withColumn("text", F.coalesce("text", F.lit("")))
+    return ingest.already_landed(raw.filter("raw_id % 3 = 0"), raw.filter("raw_id % 3 > 0")).select("raw_id")
+
+
+@query("""SELECT run_id, fault, knob FROM (SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN 'a_index' WHEN 1 THEN 'b_er' WHEN 2 THEN 'd_extraction' ELSE 'z' END AS axis, CASE WHEN event_id % 5 < 3 THEN 'scorer' ELSE 'model' END AS given FROM {events}) e,
+    LATERAL (SELECT * FROM (VALUES ('a_index', 'index'), ('b_er', 'scorer'), ('d_extraction', 'model'), ('d_extraction', 'contract')) AS k(of, need)) k
+    , LATERAL (SELECT 'missing' AS fault, k.need AS knob WHERE k.of = e.axis AND k.need <> e.given) x
+    UNION ALL SELECT event_id, 'not of the axis', CASE WHEN event_id % 5 < 3 THEN 'scorer' ELSE 'model' END FROM {events} WHERE event_id % 4 = 0 OR event_id % 4 = 1 AND event_id % 5 >= 3 OR event_id % 4 = 2 AND event_id % 5 < 3
+    UNION ALL SELECT event_id, 'unknown axis', 'z' FROM {events} WHERE event_id % 4 = 3""")
+def knob_faults(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    axis = F.when(k == 0, "a_index").when(k == 1, "b_er").when(k == 2, "d_extraction").otherwise("z")
+    config = F.create_map(F.when(F.col("event_id") % 5 < 3, "scorer").otherwise("model"), F.lit("x"), F.lit("label"), F.lit("y"))
+    config = F.map_filter(config, lambda name, _: (name != "label") | (k < 3))
+    return evaluation.knob_faults(relation(spark, d, "events").select(F.col("event_id").alias("run_id"), axis.alias("axis"), config.alias("config")))
+
+
+@query("""SELECT gold_id, CASE WHEN status = 'draft' AND gold_id % 2 = 0 AND gold_id % 3 > 0 THEN 'active' ELSE status END AS status, CASE WHEN status = 'draft' AND gold_id % 2 = 0 AND gold_id % 3 > 0 THEN 'ann' END AS activated_by
+    FROM (SELECT user_id AS gold_id, CASE WHEN count(*) >= 30 THEN 'draft' ELSE 'rejected' END AS status FROM {events} GROUP BY user_id)""")
+def gold_activation(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as gold sets, the even ones signed off, every third without a name."""
+    events = relation(spark, d, "events").select(F.col("user_id").alias("gold_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    sets = evaluation.registered(events.select("gold_id", F.lit("extraction").alias("axis")).distinct(), events)
+    signed = sets.filter("gold_id % 2 = 0").select("gold_id", F.when(F.col("gold_id") % 3 == 0, " ").otherwise("ann").alias("reviewer"))
+    return evaluation.activated(sets, signed).select("gold_id", "status", "activated_by")

@@ -62,6 +62,14 @@ def test_catalog_scope_and_closure(spark, sf_dir):
     assert c.execute(evidence_gate(spark, sf_dir), "entity_dossier", identifier="Customer#000000007", key="customer_id").keys() == {"resolve", "facts", "evidence"}
 
 
+def test_composites_are_traced(spark, sf_dir):
+    g, c = evidence_gate(spark, sf_dir), base_catalog()
+    results, trace = c.traced(g, "entity_dossier", identifier="nobody")
+    assert [(t.step, t.status) for t in trace] == [("resolve", "ok"), ("facts", "skipped"), ("evidence", "skipped")] and results.keys() == {"resolve"}
+    c.register(Composite("outer", (Step("a", "entity_dossier", {"identifier": "nobody"}), Step("b", "get_entity", {"identifier": "nobody"}, fallback="get_by_key")), {}))
+    assert [(t.step, t.operation, t.status) for t in c.traced(g, "outer")[1]][-2:] == [("a", "entity_dossier", "ok"), ("b", "get_by_key", "fallback")]
+
+
 def test_walk_reads_the_edges_once_a_hop(spark, sf_dir):
     plan = lambda k: facts.neighbors(gate(spark, sf_dir), 1_000_000_007, depth=k)._jdf.queryExecution().optimizedPlan().toString()
     assert plan(4).count("o_orderkey") == plan(1).count("o_orderkey")
@@ -96,10 +104,13 @@ def test_predicates(spark):
     assert [(r.name, r.swap) for r in got] == [("owns", True), ("part_of", False), (None, False)]
 
 
-def test_find_span():
-    assert fx.span_of("b c", "a b c") == (2, 5)
-    assert fx.span_of("B  C", "a b\n c!") == (2, 6)
-    assert fx.span_of("x", "abc") is None and fx.span_of(" ", "a b") is None
+def test_find_span(spark):
+    want = {
+        ("b c", "a b c"): (2, 5), ("B  C", "a b\n c!"): (2, 6), ("x", "abc"): None, (" ", "a b"): None, ("a.c", "abc A.C"): (4, 7), ("\\E x", "q \\e\tX"): (2, 6),
+        ("ÉTÉ x", "\U0001f600 été\u00a0 X"): (2, 8), (None, "a"): None, ("a", None): None, ("aa", "baaa"): (1, 3),
+    }
+    rows = spark.createDataFrame(list(want), "n string, t string").select("n", "t", fx.find_span("n", "t").alias("s")).collect()
+    assert {(r.n, r.t): r.s and tuple(r.s) for r in rows} == want
 
 
 def test_sections_and_passages():

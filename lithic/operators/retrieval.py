@@ -119,3 +119,27 @@ def nearest_in_block(items: DataFrame, queries: DataFrame, k: int | None, id_col
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     placed = scored.withColumn("rank", F.row_number().over(window))
     return placed if k is None else placed.filter(F.col("rank") <= k)
+
+
+def gold_ranks(items: DataFrame, queries: DataFrame, gold: DataFrame, id_col: str = "vec_id", max_queries: int = 20_000) -> DataFrame:
+    """The ranks that a query's gold items (query_id, id) have among all items by cosine, ties by id: query_id, id, rank.
+
+    Nothing is sorted but a query's own gold items: every item is placed between them, each task counts items by query and place, and a gold item's
+    rank is the number of items up to its place. Queries are broadcast with their gold items, block by block if there are more than max_queries.
+    """
+    parts = [gold_ranks_of(items, b, gold, id_col) for b in hash_blocks(queries, id_col, max_queries)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def gold_ranks_of(items: DataFrame, queries: DataFrame, gold: DataFrame, id_col: str) -> DataFrame:
+    q = queries.select(F.col(id_col).alias("query_id"), F.col("embedding").alias("query_vector"), norm(F.col("embedding")).alias("query_norm"))
+    d = items.select(F.col(id_col).alias("id"), "embedding", norm(F.col("embedding")).alias("n"))
+    score = (dot(F.col("embedding"), F.col("query_vector")) / (F.col("n") * F.col("query_norm"))).alias("score")
+    known = gold.join(q, "query_id").join(d, "id").select("query_id", "id", score)
+    # best first: least of (-score, id)
+    own = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), F.col("id").alias("gold_id")))).alias("golds"))
+    met = d.join(F.broadcast(q.join(own, "query_id"))).select("query_id", "golds", "id", score).filter("score IS NOT NULL")
+    better = F.filter("golds", lambda g: (g["worse"] < -F.col("score")) | (g["worse"] == -F.col("score")) & (g["gold_id"] < F.col("id")))
+    counts = met.select("query_id", F.size(better).alias("place")).groupBy("query_id", "place").agg(F.count("*").alias("n"))
+    each = own.select("query_id", F.posexplode("golds").alias("at", "g")).join(counts, "query_id").filter(F.col("place") <= F.col("at"))
+    return each.groupBy("query_id", F.col("g.gold_id").alias("id")).agg(F.sum("n").alias("rank"))

@@ -277,10 +277,9 @@ def eval_recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     items = relation(spark, d, "embeddings")
     queries = items.filter("vec_id % 100 = 0")
     gold = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("of")).join(items, (F.col("of") == F.col("label")) & F.col("vec_id").between(F.col("query_id") + 1, F.col("query_id") + 40))
-    # every item gets a group of its own, so that the ranking is over all items
-    alone = items.withColumn("group", -F.col("vec_id") - 1)
-    ranking = retrieval.nearest_elsewhere(alone, queries.withColumn("group", F.lit(0)), None, group_col="group")
-    metrics = evaluation.item_metrics(ranking.select("query_id", "id", "rank"), gold.select("query_id", F.col("vec_id").alias("id")))
+    gold = gold.select("query_id", F.col("vec_id").alias("id"))
+    ranking = retrieval.gold_ranks(items, queries, gold)
+    metrics = evaluation.item_metrics(ranking, gold)
     out = evaluation.summary(metrics).select("queries", "recall_any_3", "recall_any_5", "recall_any_10", "recall_any_20", "recall_all_20", "mrr", "ndcg_10")
     return rounded(out, *out.columns[1:])
 

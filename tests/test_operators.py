@@ -357,6 +357,17 @@ def test_ranks_of_all_items(spark, sf_dir):
     assert sorted(r["rank"] for r in got.collect()) == list(range(1, items.count() + 1))
 
 
+def test_gold_ranks_are_the_ranking_s(spark, sf_dir):
+    items = relation(spark, sf_dir, "embeddings")
+    queries = items.filter("vec_id % 20 = 0")
+    alone = items.withColumn("group", -F.col("vec_id") - 1)
+    whole = {(r.query_id, r.id): r["rank"] for r in retrieval.nearest_elsewhere(alone, queries.withColumn("group", F.lit(0)), None, group_col="group").collect()}
+    gold = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.col("vec_id"), F.col("vec_id") + 9)).alias("id"))
+    for most in (20_000, 3):
+        got = {(r.query_id, r.id): r["rank"] for r in retrieval.gold_ranks(items, queries, gold, max_queries=most).collect()}
+        assert got and got == {k: whole[k] for k in got} and len(got) == gold.join(items, F.col("id") == F.col("vec_id")).count()
+
+
 def test_large_runs_are_bootstrapped_in_blocks(spark):
     rows = spark.createDataFrame([(r, i, float(i % 10 == 0)) for r, n in ((0, 400), (1, 2000)) for i in range(n)], "run int, query_id long, value double")
     got = {r.run: r for r in evaluation.bootstrap(rows, max_items=500).collect()}

@@ -44,7 +44,7 @@ def awkward(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     good = docs.filter("n_chars BETWEEN 300 AND 2000").orderBy("doc_id").first()
     rows = [(None, good.text, "en", "s", 1), (None, None, None, None, None), (70_001, None, "en", "s", 0), (70_002, "", None, "s", 0), (70_003, good.text, "en", None, 1), (70_003, good.text, "en", None, 1),
-            (70_004, good.text + " one more word", "en", "s", 1), (70_005, "word " * 60_000, "en", "s", 1), (70_006, good.text.upper(), "en", "s", 1)]
+            (70_004, good.text + " one more word", "en", "s", 1), (70_005, "word " * 60_000, "en", "s", 1), (70_006, "".join(c.upper() if "a" <= c <= "z" else c for c in good.text), "en", "s", 1)]
     more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     both = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")).unionByName(more)
     return both.selectExpr("*", "1 AS component_id", "'a' AS digest", "2 AS keep_id", "true AS kept", "3 AS edits", "'b' AS quality", "4 AS score", "5 AS item_id", "6 AS set_id", "7 AS n_tokens", "8 AS words")

@@ -32,8 +32,7 @@ def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 7) == 2
     tokens = katz_lm.tokenised(docs, ~held_out)
-    model = katz_lm.fit(tokens)
-    discard(tokens.frame)  # they have been looked up
+    model = katz_lm.fit(tokens, keep=False)
     scored = katz_lm.score(tokens, model)
     discard(model.vocabulary.table, model.pairs)  # the answers are there
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -122,12 +122,12 @@ def detected_track(text: Column, name: Column, mime: Column | None = None) -> tu
     lines = F.filter(F.split(text, LINE_END), lambda x: x.rlike(r"(?U)\S"))
     row = "|".join(f"[{d}][^{d}]*[{d}]" for d in DELIMITERS)
     n, rows = F.size(lines), F.size(F.filter(lines, lambda x: x.rlike(row)))
-    share, words = rows / n, F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     container = F.coalesce(F.lower(name).rlike(STRUCTURED_ENDINGS), F.lit(False))
     if mime is not None:
         container |= F.coalesce(F.lower(mime).isin(*STRUCTURED_MIMES), F.lit(False))
-    tabular = container | (n >= 5) & (share >= 0.8)
-    return F.when(tabular, "structured").otherwise("prose"), tabular | (n >= 5) & (share <= 0.2) & (words >= 30)
+    tabular = container | (n >= 5) & (5 * rows >= 4 * n)
+    return F.when(tabular, "structured").otherwise("prose"), tabular | (n >= 5) & (5 * rows <= n) & (words >= 30)
 
 
 def track_mismatch(declared: Column, track: Column, confident: Column) -> Column:

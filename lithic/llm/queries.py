@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import chat_format, decontaminate, katz_lm, language_id, pii, quality, sentencepiece_codec, shingle_join, url_rules
-from lithic.llm.common import discard, id_remainder, table
+from lithic.llm import chat_format, decontaminate, katz_lm, language_id, pii, prefix_trie, quality, sentencepiece_codec, shingle_join, substring_dedup, url_rules, vector_codes
+from lithic.llm.common import discard, id_remainder, stored, table
 from lithic.llm.exact_dedup import DigestIndex, deduplicate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,92 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, tagger, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM t)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM f WHERE k > 1),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM t),
+g AS (SELECT e.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (c.p IS NULL) AS kept
+      FROM e LEFT JOIN c USING (doc_id, p) GROUP BY e.doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = books.digest if books else vector_codes.NO_BOOKS
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_round(points: str, books: str) -> str:
+    """Nearest entries of all parts, as SQL."""
+    return f"""SELECT vec_id, part, x, min(struct_pack(d := d, entry := entry)) AS near FROM (
+      SELECT vec_id, p.part, p.x, entry, list_sum(list_transform(list_zip(p.x, k.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM {points} p JOIN {books} k ON k.part = p.part)
+      GROUP BY vec_id, part, x"""
+
+
+def op12_means(nearest: str, books: str) -> str:
+    """The codebooks after a round, as SQL."""
+    return f"""SELECT k.part, k.entry, coalesce(m.e, k.e) AS e FROM {books} k LEFT JOIN (
+      SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS e FROM (
+        SELECT part, near.entry AS entry, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT part, near, x, unnest(range(1, len(x) + 1)) AS j FROM {nearest}) GROUP BY ALL) GROUP BY part, entry) m
+      ON m.part = k.part AND m.entry = k.entry"""
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, c[part * (len(c) // 16) + 1:(part + 1) * (len(c) // 16)] AS x FROM (SELECT vec_id, c, unnest(range(16)) AS part FROM v)),
+k0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+a0 AS ({op12_round('p', 'k0')}), k1 AS ({op12_means('a0', 'k0')}), a1 AS ({op12_round('p', 'k1')}), k2 AS ({op12_means('a1', 'k1')}), a2 AS ({op12_round('p', 'k2')}),
+r AS (SELECT vec_id, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, j)) FROM (SELECT part, entry, unnest(e) AS y, unnest(range(len(e))) AS j FROM k2)) AS codebooks_sha256
+FROM r JOIN v USING (vec_id)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.turn_hashes(table(spark, sf_dir, "conversations")), "turns")
+    nodes = prefix_trie.trie(prefix_trie.rebuilt(turns))
+    discard(turns)  # the trie is there
+    return nodes
+
+
+#: crc32 of decimal text in SQL: a table of remainders, then a fold over the characters.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"""
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+       lambda c, b: xor(c // 256, crc.t[xor(c % 256, b) + 1])))"""
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT o.conv_id, o.l, CAST({CRC.format(x='o.conv_id')} % 4 AS BIGINT) AS h, coalesce(b.l, []) AS b FROM crc, o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+s AS (SELECT conv_id, list_concat(b[1:h], l[h + 1:]) AS l FROM h),
+k AS (SELECT conv_id, len(l) AS n, list_transform(range(len(l) + 1), lambda d: md5(CAST(l[1:d] AS VARCHAR))) AS keys,
+             list_transform(l, lambda x: len(list_filter(regexp_split_to_array(x.t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words FROM s),
+m AS (SELECT conv_id, n, keys, words, unnest(range(n + 1)) AS depth FROM k),
+v AS (SELECT keys[depth + 1] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(keys[1:depth + 1]) AS path, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS w,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+      FROM m GROUP BY keys[depth + 1], depth),
+c AS (SELECT path[depth] AS key, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+u AS (SELECT unnest(path) AS key, depth, (n_convs - 1) * w AS saved, v.key NOT IN (SELECT key FROM c) AS leaf FROM v),
+x AS (SELECT key, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM u GROUP BY key)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n_children, 0) AS n_children, x.n_leaves, CAST(x.saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN x USING (key) LEFT JOIN c USING (key) LEFT JOIN v p ON v.depth > 0 AND p.key = v.path[v.depth]
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -152,6 +238,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_language_id": op10_language_id,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -160,4 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_shingle_join": OP2_SQL,
         "op5_chat_format": OP5_SQL,
         "op6_exact_dedup": OP6_SQL,
+        "op11_substring_dedup": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
+        "op13_prefix_trie": OP13_SQL,
     }

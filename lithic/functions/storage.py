@@ -40,5 +40,37 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class BucketedTable:
+    """Rows in a folder of parquet files, bucketed and sorted by one column, so that a filter on its values reads their buckets only."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str, column: str, path: str | None = None, buckets: int | None = None):
+        self.spark, self.column = spark, column
+        self.path = (path or shared_dir(spark, label)).rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame) -> None:
+        writer = rows.select(*self.rows().columns).repartition(self.buckets, self.column).write.mode("append").format("parquet")
+        writer.bucketBy(self.buckets, self.column).sortBy(self.column).option("path", self.path).saveAsTable(self.name)
+
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)

@@ -67,10 +67,10 @@ def latest_versions(raw: DataFrame) -> DataFrame:
     return newest.select(*LOGICAL, F.col("top.raw_id").alias("raw_id"), F.col("top.version").alias("version"))
 
 
-def retire(df: DataFrame, condition: Column, as_of: datetime, reason: str) -> DataFrame:
+def retire(df: DataFrame, condition: Column, as_of: datetime | Column, reason: str) -> DataFrame:
     """Sets valid_to and reason on current rows that meet a condition: the only writer of either."""
     hit = condition & F.col("valid_to").isNull()
-    return df.withColumns({"valid_to": F.when(hit, F.lit(as_of)).otherwise(F.col("valid_to")), "reason": F.when(hit, F.lit(reason)).otherwise(F.col("reason"))})
+    return df.withColumns({"valid_to": F.when(hit, as_of if isinstance(as_of, Column) else F.lit(as_of)).otherwise(F.col("valid_to")), "reason": F.when(hit, F.lit(reason)).otherwise(F.col("reason"))})
 
 
 def marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

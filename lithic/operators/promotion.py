@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.functions.storage import discard, stored
 from lithic.operators.ingest import retire
 
 TRIPLE = ("subject_id", "predicate", "object_id", "literal")
@@ -81,6 +82,46 @@ def cutover(facts: DataFrame, wave: DataFrame, prior: DataFrame, first_id: int,
     return rows, fresh.select("pending_id", "fact_id", F.col("kept_id").isNotNull().alias("kept"))
 
 
+def waves(pending: DataFrame) -> DataFrame:
+    """Staged facts with resolved references and the number of their wave: one wave for each (document, ontology), those of a document in order of their first staged fact.
+
+    A group that holds a reference which leads nowhere is left out in whole. Waves of a document are at most as many as there are ontologies.
+    """
+    broken = F.col("subject_id").isNull() | F.col("object_ref").isNotNull() & F.col("object_id").isNull()
+    groups = pending.groupBy(F.col("document_id").alias("anchor"), F.col("ontology").alias("of")).agg(F.min("pending_id").alias("first"), F.bool_or(broken).alias("broken"))
+    order = Window.partitionBy("anchor").orderBy("first")
+    placed = groups.filter(~F.col("broken")).withColumn("wave", F.row_number().over(order)).select("anchor", "of", "wave")
+    return pending.join(placed, pending.document_id.eqNullSafe(placed.anchor) & pending.ontology.eqNullSafe(placed.of)).drop("anchor", "of")
+
+
+def promoted_in_waves(
+    pending: DataFrame, mentions: DataFrame, retracted: DataFrame, facts: DataFrame, ontologies: DataFrame, prior: DataFrame, first_id: int, at: datetime
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Promote all staged facts that are ready: (facts, pending, prior documents that their successors replace: document_id).
+
+    What is ready is judged once. Then the first wave of every document is promoted at once, the second on the state that it left, and so on, each at its own time:
+    what its prior versions state and it doesn't is superseded, and so are its document's facts under other ontologies or by another version of its one producer.
+    Rounds are as many as a document has ontologies at most; each is a few joins over all documents and is written out.
+    """
+    ready = stored(waves(resolved_references(promotable(pending, mentions, retracted, facts, ontologies), mentions)), "waves")
+    rounds = ready.agg(F.max("wave")).first()[0] or 0
+    state, done = facts if "reason" in facts.columns else facts.withColumn("reason", F.lit(None).cast("string")), None
+    for k in range(1, rounds + 1):
+        now, wave = at + timedelta(microseconds=k - 1), ready.filter(F.col("wave") == k)
+        after, became = cutover(state, wave, prior, first_id, now)
+        became = stored(became, "promoted")
+        own = wave.join(became, "pending_id").select("document_id", "fact_id", "ontology", "extractor")
+        before, state = state, stored(superseded(after, own, now).select(*state.columns), "facts")
+        if k > 1:
+            discard(before)
+        done = became if done is None else done.unionByName(became)
+    done = ready.select("pending_id", F.lit(None).cast("long").alias("fact_id")).limit(0) if done is None else done.select("pending_id", "fact_id")
+    marked = pending.join(done, "pending_id", "left")
+    status = {"status": F.when(F.col("fact_id").isNotNull(), "promoted").otherwise(F.col("status")), "promoted_fact_id": F.coalesce("fact_id", "promoted_fact_id")}
+    replaced = prior.join(ready.select("document_id").distinct(), "document_id", "left_semi").select(F.col("prior_document_id").alias("document_id")).distinct()
+    return state, marked.withColumns(status).select(*pending.columns), replaced
+
+
 def superseded(facts: DataFrame, promoted: DataFrame, at: datetime) -> DataFrame:
     """Retire what a wave replaces within its own documents. promoted: document_id, fact_id, ontology, extractor (name/version) of the wave's facts, kept ones too.
 

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithic.functions.storage import discard, stored
 from lithic.functions.text import jaro_winkler, trigrams
 from lithic.functions.vector import cosine
 from lithic.operators.retrieval import hash_blocks
@@ -208,6 +209,26 @@ def applied(mentions: DataFrame, decisions: DataFrame, first_new_id: int) -> Dat
     return rows.withColumns({"status": status, "resolved_entity_id": F.coalesce("new_id", F.when(F.col("decision") == "resolved", F.col("entity_id")), "resolved_entity_id")}).drop("entity_id", "decision", "new_id")
 
 
+def rooted(merges: DataFrame) -> DataFrame:
+    """Merges (merged_id, survivor_id) led to the survivor that stays in the end, with the number of merges on the way: merged_id, survivor_id, hops.
+
+    By pointer jumping: a round joins the merges to themselves and halves the chains that are left, so rounds grow with the logarithm of the longest
+    chain. An entity merged into several others, into itself or in a circle is refused.
+    """
+    rows = stored(merges.select("merged_id", "survivor_id").distinct().withColumn("hops", F.lit(1).cast("long")), "merges")
+    if rows.groupBy("merged_id").count().filter("count > 1").limit(1).count():
+        raise ValueError("an entity is merged into several others")
+    most = rows.count()
+    for _ in range(most.bit_length() + 2):
+        on = rows.select(F.col("merged_id").alias("survivor_id"), F.col("survivor_id").alias("next"), F.col("hops").alias("more"))
+        joined = rows.join(on, "survivor_id", "left")
+        if not joined.filter("next IS NOT NULL").limit(1).count():
+            return rows
+        before, rows = rows, stored(joined.select("merged_id", F.coalesce("next", "survivor_id").alias("survivor_id"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "merges")
+        discard(before)
+    raise ValueError("merges go in a circle")
+
+
 def remapped(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
     """df with ids of merged entities (merged_id, survivor_id) replaced by their survivors'."""
     m = merges.select(F.col("merged_id").alias(column), "survivor_id")
@@ -215,7 +236,8 @@ def remapped(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
 
 
 def merged(entities: DataFrame, facts: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Merge entities into survivors: (entities, facts, mentions, snapshot). The snapshot has what a reversal needs."""
+    """Merge entities into survivors: (entities, facts, mentions, snapshot). The snapshot has what a reversal needs. Chains of merges lead to their ends."""
+    merges = rooted(merges)
     gone = merges.select(F.col("merged_id").alias("entity_id"), "survivor_id")
     touched = mentions.join(gone.withColumnRenamed("entity_id", "resolved_entity_id"), "resolved_entity_id").groupBy(F.col("resolved_entity_id").alias("entity_id")).agg(F.array_sort(F.collect_list("mention_id")).alias("mention_ids"))
     sides = facts.select("fact_id", F.col("subject_id").alias("entity_id"), F.lit("subject").alias("side")).unionByName(facts.filter("object_id IS NOT NULL").select("fact_id", F.col("object_id").alias("entity_id"), F.lit("object").alias("side")))
@@ -241,7 +263,7 @@ def unmerged(entities: DataFrame, facts: DataFrame, mentions: DataFrame, snapsho
 
 def repointed(pending: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged facts still pending with references to merged entities led to the survivors, and what a reversal needs: pending_id, side, merged_id, survivor_id."""
-    rows, moved = pending, []
+    merges, rows, moved = rooted(merges), pending, []
     for side in ("subject_ref", "object_ref"):
         m = merges.select(F.concat(F.lit("entity:"), F.col("merged_id").cast("string")).alias(side), "merged_id", "survivor_id")
         joined = rows.join(m, side, "left")
@@ -263,7 +285,7 @@ def repointed_back(pending: DataFrame, moved: DataFrame) -> DataFrame:
 
 def rerooted(earlier: DataFrame, merges: DataFrame) -> DataFrame:
     """Earlier merges (merged_id, survivor_id) whose survivor is merged now, led to the new survivor."""
-    now = merges.select(F.col("merged_id").alias("was"), F.col("survivor_id").alias("becomes"))
+    now = rooted(merges).select(F.col("merged_id").alias("was"), F.col("survivor_id").alias("becomes"))
     rows = earlier.join(now, F.col("survivor_id") == F.col("was"), "left")
     return rows.withColumn("survivor_id", F.coalesce("becomes", "survivor_id")).select(*earlier.columns)
 
@@ -271,11 +293,12 @@ def rerooted(earlier: DataFrame, merges: DataFrame) -> DataFrame:
 def absorbed(entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (entity_id, name, aliases, attributes) after merges, and what the survivors gained: entity_id, new_aliases, new_attributes.
 
-    A survivor gets the names and aliases it lacks and the attributes whose key it lacks, of several merged ones the first by id.
+    A survivor gets the names and aliases it lacks and the attributes whose key it lacks, of several merged ones the nearest in the chain of merges, then the first by id.
     """
-    gone = merges.select(F.col("merged_id").alias("entity_id"), "survivor_id").join(entities, "entity_id")
+    merges = rooted(merges)
+    gone = merges.select(F.col("merged_id").alias("entity_id"), "survivor_id", "hops").join(entities, "entity_id")
     names = gone.groupBy(F.col("survivor_id").alias("entity_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union("aliases", F.array("name")))))).alias("offered"))
-    values = gone.select(F.col("survivor_id").alias("entity_id"), F.col("entity_id").alias("of"), F.explode("attributes").alias("key", "value"))
+    values = gone.select(F.col("survivor_id").alias("entity_id"), F.struct("hops", "entity_id").alias("of"), F.explode("attributes").alias("key", "value"))
     values = values.groupBy("entity_id", "key").agg(F.min_by("value", "of").alias("value")).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))
     left = entities.join(merges.select(F.col("merged_id").alias("entity_id")), "entity_id", "left_anti").join(names, "entity_id", "left").join(values, "entity_id", "left")
     new_aliases = F.coalesce(F.array_except("offered", F.array_union("aliases", F.array("name"))), F.array().cast("array<string>"))
@@ -292,7 +315,3 @@ def released(entities: DataFrame, gained: DataFrame, back: DataFrame) -> DataFra
     lost = {"aliases": F.when(F.col("new_aliases").isNull(), F.col("aliases")).otherwise(F.array_except("aliases", "new_aliases"))}
     lost["attributes"] = F.when(F.col("new_attributes").isNull(), F.col("attributes")).otherwise(F.map_filter("attributes", lambda k, _: ~F.map_contains_key("new_attributes", k)))
     return rows.withColumns(lost).select(*entities.columns).unionByName(back.select(*entities.columns))
-
-
-def gained_aliases(merged_aliases: Column, merged_name: Column, survivor_aliases: Column) -> Column:
-    return F.array_except(F.array_union(merged_aliases, F.array(merged_name)), survivor_aliases)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.text import keyword_rank, search_terms
+from lithic.functions.storage import discard, stored
+from lithic.functions.text import content_hash, keyword_rank, search_terms
 from lithic.functions.vector import cosine, dot, hashed_embedding, norm, vector
 from lithic.operators.facts import passages
 from lithic.operators.gate import Gate
@@ -31,7 +33,12 @@ def dense_topk(items: DataFrame, query: list[float], k: int, id_col: str = "vec_
 def keyword_topk(items: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k items of greatest keyword rank that have all terms of the query."""
     terms = items.sparkSession.range(1).select(search_terms(F.lit(query)).alias("t")).first().t
-    rank = keyword_rank(search_terms(F.col(text_col)), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
+    return terms_topk(items.withColumn("terms", search_terms(F.col(text_col))), "terms", terms, k, id_col)
+
+
+def terms_topk(items: DataFrame, terms_col: str, query: list[str], k: int, id_col: str) -> DataFrame:
+    """`keyword_topk` over items that hold their terms."""
+    rank = keyword_rank(F.col(terms_col), F.array(*[F.lit(t) for t in query]).cast("array<string>"))
     scored = items.select(F.col(id_col).alias("id"), rank.alias("score")).filter(F.col("score").isNotNull())
     return ranked(scored.orderBy(F.desc("score"), "id").limit(k), "score")
 
@@ -70,18 +77,52 @@ def retrieve(items: DataFrame, query: list[float], k: int, sparse: DataFrame | N
     return found if reranker is None else ranked(reranker(found).drop("rank"), "score")
 
 
-def retrieve_evidence(gate: Gate, query: str, k: int = 10, mode: str = "dense", reranker: Reranker | None = None) -> DataFrame:
+def embedded(items: DataFrame, known: DataFrame | None = None, column: str = "content") -> DataFrame:
+    """Items with content_hash, terms and embedding. What `known` (content_hash, embedding) has is taken from there.
+
+    Items are spread over the cluster first, as few files may hold very many texts.
+    """
+    rows = items.withColumn("content_hash", content_hash(F.coalesce(column, F.lit("")))).repartition("content_hash")
+    with_terms = lambda df: df.withColumn("terms", search_terms(F.coalesce(column, F.lit(""))))
+    if known is None:
+        return with_terms(rows).withColumn("embedding", hashed_embedding(F.col("terms")))
+    new = rows.join(known.select("content_hash"), "content_hash", "left_anti")
+    old = rows.join(known.select("content_hash", "embedding"), "content_hash")
+    return with_terms(new).withColumn("embedding", hashed_embedding(F.col("terms"))).unionByName(with_terms(old))
+
+
+class Indexed(Protocol):
+    """Passages that are indexed already, as `index.PassageIndex` keeps them."""
+
+    def dense(self, query: str, k: int, visible: DataFrame | None = None) -> DataFrame: ...
+
+    def keywords(self, query: str, k: int, visible: DataFrame | None = None) -> DataFrame: ...
+
+
+def retrieve_evidence(gate: Gate, query: str, k: int = 10, mode: str = "dense", reranker: Reranker | None = None, index: Indexed | None = None) -> DataFrame:
     """The passages nearest to a query text, of documents that the principal may see: rank, score, chunk_id, document_id, title, label, seq, content.
 
     The gate comes before the ranking, so that what may not be seen takes no place. Embeddings are the chunks' own, else `hashed_embedding` of
-    their terms; `hybrid` fuses in a keyword ranking.
+    their terms; `hybrid` fuses in a keyword ranking. With an index, its vectors and postings are read; without one, passages are tokenised and
+    embedded once and written out, and both rankings read that. The ranking itself is written out as well.
     """
-    items = passages(gate)
-    if "embedding" not in items.columns:
-        items = items.withColumn("embedding", hashed_embedding(search_terms(F.col("content"))))
-    vector_ = items.sparkSession.range(1).select(hashed_embedding(search_terms(F.lit(query))).alias("v")).first().v
-    sparse = keyword_topk(items, query, min(pool_size(k), 50), "chunk_id", "content") if mode == "hybrid" else None
-    found = retrieve(items.withColumn("vec_id", F.col("chunk_id")), vector_, k, sparse, reranker)
+    if not 1 <= k <= 50:
+        raise ValueError("k must be 1 to 50")
+    items, hybrid = passages(gate), mode == "hybrid"
+    pool = min(pool_size(k), 50)
+    if index is not None:
+        dense = index.dense(query, pool if hybrid else k, gate.read("documents"))
+        found, ready = (reciprocal_rank_fusion(dense, index.keywords(query, pool, gate.read("documents")), k) if hybrid else dense), None
+    else:
+        own = "embedding" in items.columns
+        ready = items.select("chunk_id", "content", *(["embedding"] if own else []))
+        ready = ready.withColumn("terms", search_terms(F.coalesce("content", F.lit("")))) if own else embedded(ready)
+        ready = stored(ready.select(F.col("chunk_id").alias("vec_id"), "terms", "embedding"), "passages-embedded")
+        vector_, terms = ready.sparkSession.range(1).select(hashed_embedding(search_terms(F.lit(query))).alias("v"), search_terms(F.lit(query)).alias("t")).first()
+        found = retrieve(ready, vector_, k, terms_topk(ready, "terms", terms, pool, "vec_id") if hybrid else None)
+    found = stored(found if reranker is None else ranked(reranker(found).drop("rank"), "score"), "ranking")  # k rows
+    if ready is not None:
+        discard(ready)
     return found.withColumnRenamed("id", "chunk_id").join(items, "chunk_id").select("rank", "score", "chunk_id", "document_id", "title", "label", "seq", "content").orderBy("rank")
 
 

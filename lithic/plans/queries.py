@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import text as fx
+from lithic.functions.storage import shared_dir, stored
 from lithic.functions.vector import cosine
-from lithic.operators import analytics, evaluation, extraction, facts, ingest, promotion, resolution, retrieval, review
+from lithic.operators import analytics, evaluation, extraction, facts, index, ingest, promotion, resolution, retrieval, review
 from lithic.operators.gate import Gate, Principal, gated_sql
 from lithic.plans.catalog import base_catalog
 from lithic.plans.relations import checking_sql, relation
 from lithic.sources import files
-from lithic.streaming import queue
+from lithic.streaming import capture, leases, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,13 +25,15 @@ SQL: dict[str, str] = {}
 AS_OF = datetime(2024, 1, 20, 12, 0)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL over relations in braces that checks it."""
+def query(sql: str | None = None, sql_of: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL over relations in braces that checks it, or that of another query with the same rows."""
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = checking_sql(sql)
+        elif sql_of:
+            SQL[f.__name__] = SQL[sql_of]
         return f
 
     return register
@@ -149,6 +152,55 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
     return base_catalog().execute(evidence_gate(spark, d), "retrieve", query="erent ing the tion of and", k=10, mode="hybrid")
 
 
+def passage_index(spark: SparkSession, d: str) -> index.PassageIndex:
+    """An index of all chunks, built in two updates of which the second changes every fifth chunk and drops every seventh."""
+    chunks = relation(spark, d, "chunks")
+    built = index.PassageIndex(spark)
+    built.update(chunks.withColumn("content", F.when(F.col("chunk_id") % 5 == 0, F.concat(F.lit("erent ing "), "content")).otherwise(F.col("content"))))
+    built.update(chunks)
+    return built
+
+
+@query(sql_of="passage_keywords")
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """passage_keywords from postings, after an update of the index."""
+    built, g = passage_index(spark, d), evidence_gate(spark, d)
+    found = stored(rounded(built.keywords("erent ing", 40, g.read("documents")), "score"), "ranking")
+    built.drop()
+    return found
+
+
+@query()
+def retrieve_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """`retrieve` from an index: the same rows, as tests check."""
+    built = passage_index(spark, d)
+    found = stored(retrieval.retrieve_evidence(evidence_gate(spark, d), "erent ing the tion of and", 10, "hybrid", index=built), "evidence")
+    built.drop()
+    return found
+
+
+def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    items = relation(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("kind"), "embedding")
+    built = index.VectorIndex(spark).build(items)
+    found = stored(built.nearest(items.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), resolution.ANN_K), "neighbours")
+    built.drop()
+    return found
+
+
+@query()
+def ann_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """ann_block from inverted lists: the probed cells' best."""
+    found = indexed_neighbours(spark, d)
+    return rounded(found.select(F.col("query_id").alias("mention_id"), F.col("id").alias("entity_id"), "cosine", "rank"), "cosine")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM {embeddings} WHERE vec_id % 100 = 0")
+def ann_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the inverted lists find at least 0.9 of what ann_block finds."""
+    exact = ann_block(spark, d).select(F.col("mention_id").alias("query_id"), F.col("entity_id").alias("id"))
+    return index.recall(indexed_neighbours(spark, d), exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(f"{EVIDENCE} AND (f.subject_id = 1000000007 OR f.object_id = 1000000007)")
 def entity_dossier(spark: SparkSession, d: str) -> DataFrame:
     """Facts of the entity that a key names, as the composite's second step gives them."""
@@ -430,6 +482,26 @@ def promotion_cutover(spark: SparkSession, d: str) -> DataFrame:
     return promotion.cutover(relation(spark, d, "facts"), wave, prior, 9_000_000_000, AS_OF)[1]
 
 
+@query("""WITH p AS (SELECT p.pending_id, 1000 + (pending_id // 2) % 100 AS anchor, ontology, CASE WHEN pending_id % 3 = 0 THEN 'ordered' ELSE predicate END AS predicate,
+        coalesce(TRY_CAST(CASE WHEN p.subject_ref LIKE 'entity:%' THEN substr(p.subject_ref, 8) END AS BIGINT), m.resolved_entity_id) AS subject_id, TRY_CAST(substr(p.object_ref, 8) AS BIGINT) AS object_id
+        FROM {pending} p LEFT JOIN {mentions} m ON p.subject_ref = concat('mention:', m.mention_id) WHERE p.status = 'pending'),
+    r AS (SELECT * FROM p WHERE subject_id IS NOT NULL),
+    g AS (SELECT anchor, ontology, row_number() OVER (PARTITION BY anchor ORDER BY min(pending_id)) AS wave, count(*) OVER (PARTITION BY anchor) AS waves FROM r GROUP BY anchor, ontology),
+    f AS (SELECT * FROM {facts} WHERE valid_to IS NULL),
+    k AS (SELECT r.pending_id, min(f.fact_id) AS kept FROM r JOIN g USING (anchor, ontology) JOIN f ON f.document_id // 2 = r.anchor - 1000 AND f.subject_id = r.subject_id AND f.object_id = r.object_id AND f.predicate = r.predicate
+          WHERE g.wave = 1 GROUP BY r.pending_id)
+    SELECT pending_id + 9000000000 AS fact_id, CASE WHEN wave < waves THEN 'ontology_superseded' END AS reason FROM r JOIN g USING (anchor, ontology) LEFT JOIN k USING (pending_id) WHERE kept IS NULL
+    UNION ALL SELECT fact_id, 'superseded' FROM f JOIN (SELECT DISTINCT anchor, waves FROM g) w ON f.document_id // 2 = w.anchor - 1000 WHERE waves = 2 OR fact_id NOT IN (SELECT kept FROM k)""")
+def promotion_waves(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that appear or retire as documents with staged facts of two ontologies are promoted wave after wave; each document replaces two earlier ones."""
+    n = F.col("pending_id")
+    pending = relation(spark, d, "pending").withColumns({"document_id": 1000 + F.floor(n / 2) % 100, "predicate": F.when(n % 3 == 0, "ordered").otherwise(F.col("predicate"))})
+    facts_, toxic = relation(spark, d, "facts"), relation(spark, d, "labels").select(F.col("doc_id").alias("document_id")).limit(0)
+    prior = spark.range(200).select((1000 + F.floor(F.col("id") / 2)).alias("document_id"), F.col("id").alias("prior_document_id"))
+    after, _, _ = promotion.promoted_in_waves(pending, relation(spark, d, "mentions"), toxic, facts_, spark.sql(ONTOLOGIES), prior, 9_000_000_000, AS_OF)
+    return after.filter("reason IS NOT NULL OR fact_id > 9000000000").select("fact_id", "reason")
+
+
 @query("SELECT r.raw_id, r.source_system FROM {raw} r WHERE NOT EXISTS (SELECT 1 FROM {runs} x WHERE x.document_id = r.raw_id AND x.status = 'ok' AND x.extractor = 'llm/p1' AND x.ontology = 'v2')")
 def reextraction_scope(spark: SparkSession, d: str) -> DataFrame:
     return promotion.reextraction_scope(relation(spark, d, "raw"), relation(spark, d, "runs"), "llm/p1", "v2")
@@ -623,6 +695,16 @@ def merge_pending(spark: SparkSession, d: str) -> DataFrame:
     return resolution.repointed(relation(spark, d, "pending"), merges)[0].select("pending_id", "subject_ref", "object_ref")
 
 
+@query("""SELECT fact_id, CASE WHEN subject_id < 2000000000 AND subject_id % 10 BETWEEN 1 AND 4 THEN subject_id - subject_id % 10 ELSE subject_id END AS subject_id FROM {facts} WHERE subject_id < 2000000000 AND subject_id >= 1000000010""")
+def merge_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of facts after one batch of merges in chains: 4 into 3, 3 into 2, 2 into 1 and 1 into 0, by the last digit."""
+    entities = relation(spark, d, "entities")
+    chained = entities.filter("entity_id < 2000000000 AND entity_id >= 1000000010 AND entity_id % 10 BETWEEN 1 AND 4")
+    merges = chained.select(F.col("entity_id").alias("merged_id"), (F.col("entity_id") - 1).alias("survivor_id"))
+    after = resolution.merged(entities, relation(spark, d, "facts"), relation(spark, d, "mentions"), merges)[1]
+    return after.filter("subject_id < 2000000000 AND subject_id >= 1000000010").select("fact_id", "subject_id")
+
+
 @query("SELECT fact_id, subject_id, CAST(object_id AS VARCHAR) AS object_id FROM {facts}")
 def merge_reversed(spark: SparkSession, d: str) -> DataFrame:
     entities, f, mentions = (relation(spark, d, n) for n in ("entities", "facts", "mentions"))
@@ -1042,3 +1124,85 @@ def gold_activation(spark: SparkSession, d: str) -> DataFrame:
     sets = evaluation.registered(events.select("gold_id", F.lit("extraction").alias("axis")).distinct(), events)
     signed = sets.filter("gold_id % 2 = 0").select("gold_id", F.when(F.col("gold_id") % 3 == 0, " ").otherwise("ann").alias("reviewer"))
     return evaluation.activated(sets, signed).select("gold_id", "status", "activated_by")
+
+
+# --- change logs and leases as streams
+
+
+def in_steps(rows: DataFrame, by: str, bounds: list, folder: str) -> None:
+    """Rows as files for a stream, one micro-batch for each range of a column."""
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = rows.filter((F.lit(True) if lo is None else F.col(by) >= F.lit(lo)) & (F.lit(True) if hi is None else F.col(by) < F.lit(hi)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def one_by_one(rows: DataFrame, folder: str) -> DataFrame:
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+WEEKS = [datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22)]
+
+
+@query("""WITH c AS (SELECT user_id AS document_id, ts, event_id, event_type = 'purchase' AS gone, sha256(CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)) AS h FROM {events}),
+    u AS (SELECT document_id, h IS DISTINCT FROM lag(h) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS fresh FROM c WHERE NOT gone),
+    l AS (SELECT document_id, max_by(gone, struct_pack(ts := ts, e := event_id)) AS gone FROM c GROUP BY 1),
+    d AS (SELECT document_id, CAST(count(*) FILTER (fresh) AS BIGINT) AS version FROM u GROUP BY 1)
+    SELECT d.document_id, version, CASE WHEN gone THEN 'source_tombstone' END AS reason, coalesce(n, 0) AS retired_facts FROM d JOIN l USING (document_id)
+    LEFT JOIN (SELECT f.document_id, count(*) FILTER (gone) AS n FROM {facts} f JOIN l USING (document_id) WHERE valid_to IS NULL GROUP BY 1) f ON f.document_id = d.document_id""")
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after a change log was applied as a stream, which was cancelled after two batches and ran again, with the facts that their deletion retired."""
+    events = relation(spark, d, "events")
+    op = F.when(F.col("event_type") == "purchase", "delete").otherwise("upsert")
+    text = F.floor(F.col("value") / 50).cast("long").cast("string")
+    changes = events.select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("user_id").alias("document_id"), op.alias("op"), fx.content_hash(text).alias("content_hash"))
+    facts_ = relation(spark, d, "facts").select("fact_id", "document_id", "valid_to", F.lit(None).cast("string").alias("reason"))
+    log = capture.CaptureLog(spark, shared_dir(spark, "capture"), facts_, capture.Storm(None))
+    check, folder = shared_dir(spark, "capture-checkpoint"), shared_dir(spark, "changes")
+    in_steps(changes.filter(F.col("at") < WEEKS[1]), "at", WEEKS[:1], folder)
+    log.run(one_by_one(changes, folder), check)
+    in_steps(changes.filter(F.col("at") >= WEEKS[1]), "at", WEEKS[2:], folder)
+    log.cancel()
+    if log.run(one_by_one(changes, folder), check):
+        raise RuntimeError("a cancelled stream went on")
+    log.resume()
+    log.run(one_by_one(changes, folder), check)
+    retired = log.facts().filter(F.col("reason") == capture.REASON).groupBy("document_id").agg(F.count("*").alias("n"))
+    return log.documents().join(retired, "document_id", "left").select("document_id", "version", "reason", F.coalesce("n", F.lit(0)).alias("retired_facts"))
+
+
+LEASE_OPS = {"signup": "enqueue", "view": "claim", "click": "heartbeat", "purchase": "finish", "error": "finish"}
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id % 500 AS queue_id, event_type AS op, date_trunc('millisecond', ts) AS ts, row_number() OVER (PARTITION BY event_id % 500 ORDER BY date_trunc('millisecond', ts), event_id) AS k FROM {events}),
+    s AS (SELECT queue_id, CAST(0 AS BIGINT) AS k, 'queued' AS status, CAST(0 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS last_error, CAST(NULL AS TIMESTAMP) AS until FROM (SELECT DISTINCT queue_id FROM e)
+      UNION ALL SELECT queue_id, k,
+        CASE WHEN op = 'view' AND x = 'queued' THEN 'leased' WHEN op = 'signup' AND x = 'done' THEN 'queued' WHEN op = 'purchase' AND x = 'leased' THEN 'done' WHEN op = 'error' AND x = 'leased' THEN 'queued' ELSE x END,
+        attempts + CASE WHEN op = 'view' AND x = 'queued' THEN 1 ELSE 0 END,
+        CASE WHEN op = 'signup' AND x = 'done' THEN NULL WHEN op = 'error' AND x = 'leased' THEN 'failed' ELSE last_error END,
+        CASE WHEN op = 'view' AND x = 'queued' OR op = 'click' AND x = 'leased' THEN ts + INTERVAL 5 MINUTE WHEN x = 'leased' THEN until END
+      FROM (SELECT e.*, CASE WHEN s.status = 'leased' AND s.until <= e.ts THEN 'queued' ELSE s.status END AS x, s.attempts, s.last_error, s.until FROM s JOIN e ON e.queue_id = s.queue_id AND e.k = s.k + 1))
+    SELECT queue_id, CASE WHEN status = 'leased' AND until <= (SELECT max(ts) FROM e) THEN 'queued' ELSE status END AS status, attempts, last_error FROM s
+    WHERE (queue_id, k) IN (SELECT (queue_id, max(k)) FROM e GROUP BY queue_id) AND queue_id IN (SELECT queue_id FROM e WHERE op IN ('view', 'signup'))""")
+def lease_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The states of queue rows after a stream of claims, heartbeats and results, with leases that run out by timers."""
+    events = relation(spark, d, "events")
+    op = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in LEASE_OPS.items()])
+    rows = events.select(
+        (F.col("event_id") % 500).alias("queue_id"), F.col("event_id").alias("seq"), F.date_trunc("millisecond", F.col("ts")).cast("timestamp").alias("ts"), op.alias("op"), F.lit("w").alias("worker"),
+        F.when(F.col("event_type") == "error", "failed").alias("error"),
+    )
+    folder, out, key = shared_dir(spark, "queue-events"), shared_dir(spark, "lease-states"), leases.STATE_STORE[0]
+    in_steps(rows, "ts", WEEKS, folder)
+    # two rows of another queue at the end, so that the watermark gets there and a batch runs under it
+    end = rows.agg(F.max("ts").alias("ts")).selectExpr("-1L AS queue_id", "-1L AS seq", "ts", "'tick' AS op", "'' AS worker", "CAST(NULL AS STRING) AS error")
+    for _ in range(2):
+        end.coalesce(1).write.mode("append").parquet(folder)
+    before = spark.conf.get(key, None)
+    spark.conf.set(*leases.STATE_STORE)
+    try:
+        writer = leases.leased_states(one_by_one(rows, folder)).writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "lease-checkpoint"))
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return leases.latest(spark.read.schema(leases.OUT).parquet(out)).filter("queue_id >= 0").drop("worker")

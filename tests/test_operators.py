@@ -401,3 +401,54 @@ def test_spans_and_quotes_are_all_over_the_texts(spark, sf_dir):
     quotes = [r for r in QUERIES["grounded_quotes"](spark, sf_dir).collect() if r.span_start is not None]
     assert any(r.span_start > 1850 for r in quotes)
     assert max(r.span_start / length[r.doc_id] for r in quotes) > 0.7
+
+
+def test_chains_of_merges(spark):
+    schema = "merged_id long, survivor_id long"
+    got = resolution.rooted(spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 3), (200, 201)], schema)).collect()
+    want = {i: (40, 40 - i) for i in range(1, 40)} | {100: (40, 38), 200: (201, 1)}
+    assert {r.merged_id: (r.survivor_id, r.hops) for r in got} == want
+    for bad in ([(1, 2), (2, 3), (3, 1)], [(1, 1)], [(1, 2), (1, 3)]):
+        with pytest.raises(ValueError):
+            resolution.rooted(spark.createDataFrame(bad, schema))
+    assert resolution.rooted(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_batch_of_chained_merges_leaves_nothing_behind(spark):
+    entities = spark.createDataFrame([(1, "One", ["a"], {"x": "1", "y": "1"}), (2, "Two", ["b"], {"x": "2"}), (3, "Three", ["c"], {"z": "3"})], "entity_id long, name string, aliases array<string>, attributes map<string,string>")
+    facts = spark.createDataFrame([(10, 1, 2), (11, 2, None), (12, 3, 1)], "fact_id long, subject_id long, object_id long")
+    mentions = spark.createDataFrame([(7, 1, "resolved"), (8, 2, "resolved")], "mention_id long, resolved_entity_id long, status string")
+    merges = spark.createDataFrame([(1, 2), (2, 3)], "merged_id long, survivor_id long")
+    e, f, m, snapshot = resolution.merged(entities, facts, mentions, merges)
+    assert [r.entity_id for r in e.collect()] == [3]
+    assert sorted(map(tuple, f.select("fact_id", "subject_id", "object_id").collect())) == [(10, 3, 3), (11, 3, None), (12, 3, 3)]
+    assert {r.resolved_entity_id for r in m.collect()} == {3}
+    back = resolution.unmerged(e, f, m, snapshot)
+    assert sorted(map(tuple, back[1].select("fact_id", "subject_id", "object_id").collect())) == [(10, 1, 2), (11, 2, None), (12, 3, 1)]
+    after = resolution.absorbed(entities, merges)[0].first()
+    assert sorted(after.aliases) == ["One", "Two", "a", "b", "c"] and after.attributes == {"x": "2", "y": "1", "z": "3"}
+    pending = spark.createDataFrame([(1, "pending", "entity:1", "entity:2"), (2, "promoted", "entity:1", None)], "pending_id long, status string, subject_ref string, object_ref string")
+    assert sorted(map(tuple, resolution.repointed(pending, merges)[0].select("pending_id", "subject_ref", "object_ref").collect())) == [(1, "entity:3", "entity:3"), (2, "entity:1", None)]
+
+
+def test_waves_of_one_document(spark):
+    """Two ontologies staged for one document: the group with the first staged fact is promoted first, the other one replaces it; a group with a dangling reference stays."""
+    pending = spark.createDataFrame(
+        [(1, "t", "entity:1", "p", "entity:2", None, "pending", 10, "v1", "llm/1", None), (2, "t", "entity:1", "p", "entity:3", None, "pending", 10, "v2", "llm/1", None), (3, "t", "entity:1", "q", "entity:2", None, "pending", 10, "v1", "llm/1", None),
+         (4, "t", "entity:5", "p", "mention:404", None, "pending", 11, "v1", "llm/1", None), (5, "t", "entity:5", "p", None, "x", "pending", 11, "v1", "llm/1", None), (6, "t", "entity:6", "p", None, "x", "pending", None, "v1", "llm/1", None)],
+        "pending_id long, tenant_id string, subject_ref string, predicate string, object_ref string, literal string, status string, document_id long, ontology string, extractor string, promoted_fact_id long",
+    )
+    facts = spark.createDataFrame(
+        [(100, "t", 1, "p", 2, None, None, AT, None, 1.0, 9, "v1", "llm/1"), (101, "t", 1, "gone", 2, None, None, AT, None, 1.0, 9, "v1", "llm/1"), (102, "t", 8, "p", 2, None, None, AT, None, 1.0, 50, "v1", "llm/1")],
+        "fact_id long, tenant_id string, subject_id long, predicate string, object_id long, literal string, label string, valid_from timestamp, valid_to timestamp, confidence double, document_id long, ontology string, extractor string",
+    )
+    mentions = spark.createDataFrame([], "mention_id long, resolved_entity_id long")
+    ontologies = spark.createDataFrame([("v1", 1), ("v2", 2)], "ontology string, effective_from int")
+    prior = spark.createDataFrame([(10, 9)], "document_id long, prior_document_id long")
+    after, staged, replaced = promotion.promoted_in_waves(pending, mentions, spark.createDataFrame([], "document_id long"), facts, ontologies, prior, 1000, AT)
+    # the first wave keeps 100 and states q; the second states neither, so both go
+    assert {r.fact_id: r.reason for r in after.collect()} == {100: "superseded", 101: "superseded", 102: None, 1003: "ontology_superseded", 1002: None, 1006: None}
+    assert {r.pending_id: (r.status, r.promoted_fact_id) for r in staged.collect()} == {1: ("promoted", 100), 2: ("promoted", 1002), 3: ("promoted", 1003), 4: ("pending", None), 5: ("pending", None), 6: ("promoted", 1006)}
+    assert [r.document_id for r in replaced.collect()] == [9]
+    again = promotion.promoted_in_waves(staged, mentions, spark.createDataFrame([], "document_id long"), after, ontologies, prior, 1000, AT)
+    assert {r.fact_id: r.reason for r in again[0].collect()} == {r.fact_id: r.reason for r in after.collect()}

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.storage import discard, stored
+from lithic.functions.storage import stored
 from lithic.functions.text import content_hash, keyword_rank, search_terms
 from lithic.functions.vector import cosine, dot, hashed_embedding, norm, vector
 from lithic.operators.facts import passages
@@ -91,6 +91,17 @@ def embedded(items: DataFrame, known: DataFrame | None = None, column: str = "co
     return with_terms(new).withColumn("embedding", hashed_embedding(F.col("terms"))).unionByName(with_terms(old))
 
 
+def both_rankings(items: DataFrame, query: list[float], terms: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """The k best items (chunk_id, terms, embedding) by cosine and by keyword rank: two rankings (id, score, rank) from one pass, of which each task keeps 2 k rows."""
+    words = keyword_rank(F.col("terms"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
+    kinds = F.array(F.struct(F.lit("dense").alias("kind"), cosine(F.col("embedding"), vector(query)).alias("score")), F.struct(F.lit("sparse").alias("kind"), words.alias("score")))
+    each = items.select(F.col("chunk_id").alias("id"), F.explode(kinds).alias("x")).select("id", "x.kind", "x.score").filter("score IS NOT NULL")
+    order = Window.partitionBy("kind").orderBy(F.desc("score"), "id")
+    best = stored(each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "rankings")
+    of = lambda kind: best.filter(F.col("kind") == kind).select("id", "score", "rank")
+    return of("dense"), of("sparse")
+
+
 class Indexed(Protocol):
     """Passages that are indexed already, as `index.PassageIndex` keeps them."""
 
@@ -99,12 +110,19 @@ class Indexed(Protocol):
     def keywords(self, query: str, k: int, visible: DataFrame | None = None) -> DataFrame: ...
 
 
+def shown_passages(gate: Gate, chunk_ids: set[int]) -> DataFrame:
+    """A few visible passages by id. Chunks are read for their ids' sake only, documents for those chunks'."""
+    chunks = gate.read("chunks").filter(F.col("chunk_id").isin(sorted(chunk_ids)))
+    documents = gate.read("documents").select("document_id", "title", F.coalesce("label", F.lit("public")).alias("label"), "source_timestamp")
+    return chunks.join(documents, "document_id")
+
+
 def retrieve_evidence(gate: Gate, query: str, k: int = 10, mode: str = "dense", reranker: Reranker | None = None, index: Indexed | None = None) -> DataFrame:
     """The passages nearest to a query text, of documents that the principal may see: rank, score, chunk_id, document_id, title, label, seq, content.
 
     The gate comes before the ranking, so that what may not be seen takes no place. Embeddings are the chunks' own, else `hashed_embedding` of
     their terms; `hybrid` fuses in a keyword ranking. With an index, its vectors and postings are read; without one, passages are tokenised and
-    embedded once and written out, and both rankings read that. The ranking itself is written out as well.
+    embedded once, in the one pass that both rankings come from. The ranking of k rows is written out.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1 to 50")
@@ -112,18 +130,18 @@ def retrieve_evidence(gate: Gate, query: str, k: int = 10, mode: str = "dense",
     pool = min(pool_size(k), 50)
     if index is not None:
         dense = index.dense(query, pool if hybrid else k, gate.read("documents"))
-        found, ready = (reciprocal_rank_fusion(dense, index.keywords(query, pool, gate.read("documents")), k) if hybrid else dense), None
+        found = reciprocal_rank_fusion(dense, index.keywords(query, pool, gate.read("documents")), k) if hybrid else dense
     else:
         own = "embedding" in items.columns
         ready = items.select("chunk_id", "content", *(["embedding"] if own else []))
         ready = ready.withColumn("terms", search_terms(F.coalesce("content", F.lit("")))) if own else embedded(ready)
-        ready = stored(ready.select(F.col("chunk_id").alias("vec_id"), "terms", "embedding"), "passages-embedded")
         vector_, terms = ready.sparkSession.range(1).select(hashed_embedding(search_terms(F.lit(query))).alias("v"), search_terms(F.lit(query)).alias("t")).first()
-        found = retrieve(ready, vector_, k, terms_topk(ready, "terms", terms, pool, "vec_id") if hybrid else None)
+        dense, sparse = both_rankings(ready, vector_, terms if hybrid else [], pool if hybrid else k)
+        found = reciprocal_rank_fusion(dense, sparse, k) if hybrid else dense
     found = stored(found if reranker is None else ranked(reranker(found).drop("rank"), "score"), "ranking")  # k rows
-    if ready is not None:
-        discard(ready)
-    return found.withColumnRenamed("id", "chunk_id").join(items, "chunk_id").select("rank", "score", "chunk_id", "document_id", "title", "label", "seq", "content").orderBy("rank")
+    best = {r.id for r in found.select("id").collect()}  # k at most
+    shown = shown_passages(gate, best)
+    return found.withColumnRenamed("id", "chunk_id").join(shown, "chunk_id").select("rank", "score", "chunk_id", "document_id", "title", "label", "seq", "content").orderBy("rank")
 
 
 def enriched(found: DataFrame, facts: DataFrame, by: str = "document_id") -> DataFrame:

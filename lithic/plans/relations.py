@@ -91,8 +91,9 @@ RELATIONS: dict[str, str] = {
                TIMESTAMP_NTZ '2024-01-01 00:00:00' AS source_timestamp, CASE WHEN doc_id % 23 = 5 THEN TIMESTAMP_NTZ '2024-01-10 00:00:00' END AS valid_to, lang, text
         FROM {documents}""",
     "chunks": """
-        SELECT document_id * 100000 + seq AS chunk_id, document_id, tenant_id, seq, SUBSTRING(text, CAST(seq * 600 + 1 AS INT), 600) AS content
-        FROM (SELECT document_id, tenant_id, text, explode(sequence(0, CAST(floor(greatest(length(text) - 1, 0) / 600.0) AS BIGINT))) AS seq FROM {sourced} WHERE length(text) > 0) AS x""",
+        SELECT document_id * 100000 + seq AS chunk_id, document_id, tenant_id, seq, element_at(parts, CAST(seq + 1 AS INT)) AS content
+        FROM (SELECT document_id, tenant_id, parts, explode(sequence(0, CAST(floor(greatest(length(text) - 1, 0) / 600.0) AS BIGINT))) AS seq
+              FROM (SELECT document_id, tenant_id, text, regexp_extract_all(text, '(?s).{{1,600}}', 0) AS parts FROM {sourced} WHERE length(text) > 0) AS y) AS x""",
     # facts with the chunk they are taken from; half of them state no document
     "cited": """
         SELECT fact_id, tenant_id, subject_id, predicate, object_id, literal, label, valid_from, valid_to, confidence, CASE WHEN fact_id % 2 = 0 THEN document_id END AS document_id,
@@ -143,4 +144,4 @@ def checking_sql(sql: str) -> str:
         text = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{body}"
     else:
         text = f"WITH {ctes} {body}" if ctes else body
-    return text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '").replace("explode(sequence(", "unnest(generate_series(")
+    return text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '").replace("explode(sequence(", "unnest(generate_series(").replace("element_at(", "list_element(")

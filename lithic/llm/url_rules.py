@@ -2,21 +2,31 @@
 
 Explicit rules (host suffix and path prefix, longest wins) judge what they fit. The URLs they judge are the labelled
 transactions from which Spark's FP-growth mines combinations of URL tokens that go with a verdict; rules pruned by
-support, confidence and redundancy then judge the other URLs. A mined rule is looked up by its rarest token, an inverted
-index, and checked against the URL's whole token set. Distinct token sets are judged once, so a host with very many
-pages costs one lookup.
+support, confidence and redundancy (a rule goes if dropping one token gives one of the same action and no less confidence) then judge
+the other URLs.
 
-Null URLs or URLs without `://` have empty host and path, fit no rule and get `default`. Repeated rows are judged each;
-an empty table gives an empty result.
+Templates would make FP-growth list all subsets of their tokens, so two kinds of tokens are settled before. A token that only ever goes with
+one action is a rule by itself and makes all rules redundant that hold it, so it isn't mined. Tokens of exactly the same labelled URLs are
+mined as one item; in a rule it stands for any of them, which is what the rules for each would say. What is left for
+FP-growth are tokens of mixed actions that differ in some URL.
+
+A mined rule is looked up by the tokens of its rarest item, an inverted index, and checked against the URL's whole token set. Distinct token
+sets are judged once, so a host with very many pages costs one lookup, and only tokens that some rule is looked up by are posted.
+
+Of several rules that fit, the one of greatest confidence decides, then the one with more items, then the greater action name
+(block before allow). Null URLs or URLs without `://` have empty host and path, fit no explicit rule and, having no tokens, get `default`. Repeated
+rows are judged each; an empty table gives an empty result. URLs of any length are judged in whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import ascii_lower, stored
+from lithic.llm.common import ascii_lower, discard, stored
 
 Rule = tuple[str, str]  # action, "host/path"
 
@@ -54,14 +64,29 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: ~F.endswith(t, F.lit(":")))))
 
 
-def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame | None:
-    """labelled: tokens, action. Rules: antecedent, action, confidence, support; None where there is nothing to learn from.
+def token_items(sets: DataFrame, least: int) -> DataFrame:
+    """sets: token_set, tokens, action, n. Frequent tokens: token, n, only (the action that it always goes with, else null), item (its equals' name)."""
+    each = sets.select(F.explode("tokens").alias("token"), "n", "action", F.xxhash64("token_set").alias("h"), F.crc32("token_set").alias("c"))
+    cover = (F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.sum(F.col("c")).alias("t"), F.count("*").alias("k"))
+    found = each.groupBy("token").agg(F.sum("n").alias("n"), F.min("action").alias("least"), F.max("action").alias("greatest"), *cover).filter(F.col("n") >= least)
+    only = F.when(F.col("least") == F.col("greatest"), F.col("least"))
+    return found.select("token", "n", only.alias("only"), F.sha2(F.concat_ws(" ", "s", "t", "k", "n"), 256).alias("item"))
 
-    A rule goes if dropping one token of its antecedent gives a rule of the same action and no less confidence.
-    """
-    if labelled.isEmpty():
+
+def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame | None:
+    """labelled: token_set, tokens, action. Rules: antecedent (items, each an array of tokens any of which will do), action, confidence, support; None where there is nothing to learn from."""
+    total = labelled.count()
+    if not total:
         return None
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("action="), "action"))).alias("items"))
+    sets = stored(labelled.groupBy("token_set", "tokens", "action").agg(F.count("*").alias("n")), "url-labelled")
+    tokens = stored(token_items(sets, math.ceil(min_support * total)), "url-items")
+    pure = tokens.filter("only IS NOT NULL").select(F.array(F.array("token")).alias("antecedent"), F.col("only").alias("action"), F.lit(1.0).alias("confidence"), (F.col("n") / total).alias("support"))
+    mixed = tokens.filter("only IS NULL").groupBy("item").agg(F.array_sort(F.collect_set("token")).alias("any_of"))
+    mixed = stored(mixed, "url-mixed")
+    members = mixed.select("item", F.explode("any_of").alias("token"))
+    items = sets.select("token_set", F.explode("tokens").alias("token")).join(members, "token").groupBy("token_set").agg(F.collect_set("item").alias("items"))
+    baskets = labelled.select("token_set", "action").join(items, "token_set", "left")
+    baskets = baskets.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit("action="), "action"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("action="))).select(
         F.array_sort("antecedent").alias("antecedent"),
@@ -76,7 +101,12 @@ def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float)
     )
     simple = rules.select(F.col("antecedent").alias("less"), "action", F.col("confidence").alias("simple_confidence"))
     redundant = shorter.join(simple, ["less", "action"]).filter(F.col("simple_confidence") >= F.col("confidence") - 1e-9)
-    return rules.join(redundant.select("antecedent", "action").distinct(), ["antecedent", "action"], "left_anti")
+    left = rules.join(redundant.select("antecedent", "action").distinct(), ["antecedent", "action"], "left_anti").withColumn("rule", F.xxhash64("antecedent", "action"))
+    spelt = left.select("rule", F.explode("antecedent").alias("item")).join(mixed, "item").groupBy("rule").agg(F.collect_list("any_of").alias("any_of"))
+    mined = left.join(spelt, "rule").select(F.col("any_of").alias("antecedent"), "action", "confidence", "support")
+    out = stored(pure.unionByName(mined), "url-rules")
+    discard(sets, tokens, mixed, rules)
+    return out
 
 
 def judge(pages: DataFrame, rules: list[Rule], min_support: float = 0.005, min_confidence: float = 0.8, default: str = "allow") -> DataFrame:
@@ -88,25 +118,24 @@ def judge(pages: DataFrame, rules: list[Rule], min_support: float = 0.005, min_c
     rows = stored(parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), tokens.alias("tokens")), "url-tokens")
     rows = rows.withColumn("token_set", F.array_join("tokens", "\n"))
     open_rows = rows.filter("action IS NULL")
-    learned = mined_rules(rows.filter("action IS NOT NULL").select("tokens", "action"), min_support, min_confidence)
+    learned = mined_rules(rows.filter("action IS NOT NULL").select("token_set", "tokens", "action"), min_support, min_confidence)
     if learned is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
 
-    sets = stored(open_rows.select("token_set", "tokens").dropDuplicates(["token_set"]), "url-token-sets")
-    postings = stored(sets.select("token_set", "tokens", F.explode("tokens").alias("token")), "url-postings")
-    frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    by_rarest = (
-        learned.withColumn("rule_id", F.xxhash64("antecedent", "action"))
-        .select("*", F.explode("antecedent").alias("token"))
-        .join(frequency, "token")
-        .groupBy("rule_id")
-        .agg(F.min(F.struct("df", "token")).alias("rarest"), F.first("antecedent").alias("antecedent"), F.first("action").alias("action"), F.first("confidence").alias("confidence"))
-        .select(F.col("rarest.token").alias("token"), "antecedent", "action", "confidence")
-    )
-    by_rarest = stored(by_rarest, "url-rule-index")
-    hits = postings.join(by_rarest, "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = hits.groupBy("token_set").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), "action")).alias("best"))
-    best = stored(best.select("token_set", F.col("best.action").alias("mined"), F.col("best.confidence").alias("confidence")), "url-verdicts")
-    judged = open_rows.join(best, "token_set", "left").select("page_id", "host", "path", "rule", F.coalesce("mined", F.lit(default)).alias("verdict"), "confidence")
+    sets = stored(open_rows.select("token_set", "tokens").dropDuplicates(["token_set"]).withColumn("set_id", F.md5("token_set")).drop("token_set"), "url-token-sets")
+    frequency = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    numbered = stored(learned.withColumn("rule_id", F.xxhash64("antecedent", "action")), "url-rules")
+    # the item whose tokens are rarest together
+    each = numbered.select("rule_id", F.posexplode("antecedent").alias("at", "any_of")).select("rule_id", "at", "any_of", F.explode("any_of").alias("token"))
+    weighed = each.join(frequency, "token", "left").groupBy("rule_id", "at").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"), F.first("any_of").alias("any_of"))
+    rarest = weighed.groupBy("rule_id").agg(F.min(F.struct("df", "at", "any_of")).alias("r")).select("rule_id", F.explode("r.any_of").alias("token"))
+    rarest = stored(rarest, "url-rule-index")
+    postings = sets.select("set_id", F.explode("tokens").alias("token")).join(rarest, "token").select("set_id", "rule_id").distinct()
+    hits = postings.join(sets, "set_id").join(numbered.drop("support"), "rule_id").filter(F.forall("antecedent", lambda any_of: F.arrays_overlap(any_of, F.col("tokens"))))
+    best = hits.groupBy("set_id").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), "action")).alias("best"))
+    best = stored(best.select("set_id", F.col("best.action").alias("mined"), F.col("best.confidence").alias("confidence")), "url-verdicts")
+    discard(learned, sets, numbered, rarest)
+    open_rows = open_rows.withColumn("set_id", F.md5("token_set"))
+    judged = open_rows.join(best, "set_id", "left").select("page_id", "host", "path", "rule", F.coalesce("mined", F.lit(default)).alias("verdict"), "confidence")
     fixed = rows.filter("action IS NOT NULL").select("page_id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     return judged.unionByName(fixed)

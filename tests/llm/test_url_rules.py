@@ -1,9 +1,16 @@
-"""Hosts, paths and rules against Python; mined rules on planted data."""
+"""Hosts, paths and rules against Python; mined rules on planted data and against all subsets of tokens."""
 
+import itertools
+import math
+import random
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from lithic.llm.queries import URL_RULES, op4_url_rules
-from lithic.llm.url_rules import judge
+from lithic.llm.url_rules import host_and_path, judge, url_tokens
 
 AWKWARD = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/1", "http://example.com", "https://a.example.com/en/?q=://x/y", "x://net/es/", "http://badnet/es/1", "http://a.net/es", "://", "http://Ä.net/fr/ü#f", "http://u@example.com:8/en/x",
            "http://example.com?/en/", "a\nb://h.net\n/fr/x"]
@@ -52,3 +59,66 @@ def test_planted_combination(spark):
     rules = [("block", "bad/"), ("allow", "good/")]
     got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string"), rules, 0.05, 0.9).collect()}
     assert (got[1000], got[1001], got[1002]) == ("block", "allow", "allow")
+
+
+def brute_verdicts(labelled, open_sets, min_support, min_confidence):
+    """labelled: (tokens, action). Rules from all subsets of tokens, pruned, and what they say of each set."""
+    least = math.ceil(min_support * len(labelled))
+    kinds = sorted({t for ts, _ in labelled for t in ts})
+    rules = {}
+    for size in range(1, len(kinds) + 1):
+        for x in itertools.combinations(kinds, size):
+            actions = [a for ts, a in labelled if set(x) <= ts]
+            for a in set(actions):
+                n = actions.count(a)
+                if n >= least and n / len(actions) >= min_confidence:
+                    rules[frozenset(x), a] = n / len(actions)
+    kept = {(x, a): c for (x, a), c in rules.items() if not any(rules.get((x - {t}, a), -1) >= c - 1e-9 for t in x if len(x) > 1)}
+    return {ts: max(((c, len(x), a) for (x, a), c in kept.items() if x <= ts), default=None) for ts in open_sets}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_equal_all_subsets(spark, seed):
+    r = random.Random(seed)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    rows = []
+    for i in range(260):
+        some = [w for w in words if r.random() < 0.5] + (["gg", "hh"] if r.random() < 0.3 else [])
+        side = r.choice(("bad", "good") if "aa" in some and "bb" in some else ("good", "good", "bad")) if i < 200 else "other"
+        rows.append((i, f"http://x.{side}/{'/'.join(some)}"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = host_and_path(F.col("url"))
+    sets = {x.page_id: frozenset(x.t) for x in df.select("page_id", url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    labelled = [(sets[i], "block" if ".bad/" in u else "allow") for i, u in rows if ".other/" not in u]
+    # tokens of the hosts alone tell the verdict and are pure; the brute force keeps to the path, whose tokens are mixed
+    want = brute_verdicts([(frozenset(t for t in ts if t.startswith("path:")), a) for ts, a in labelled], {frozenset(t for t in sets[i] if t.startswith("path:")) for i, u in rows if ".other/" in u}, 0.05, 0.7)
+    # scheme and first host label are in all URLs and add nothing unless they are enough by themselves
+    share = max(sum(a == x for _, a in labelled) for x in ("allow", "block")) / len(labelled)
+    base = (share, 1, max(("allow", "block"), key=lambda x: sum(a == x for _, a in labelled))) if share >= 0.7 else None
+    got = {x.page_id: x for x in judge(df, [("block", "bad/"), ("allow", "good/")], 0.05, 0.7, "none").collect()}
+    seen = 0
+    for i, u in rows:
+        if ".other/" in u:
+            best = max((b for b in (want[frozenset(t for t in sets[i] if t.startswith("path:"))], base) if b), default=None)
+            assert got[i].verdict == (best[2] if best else "none") and (not best or abs(got[i].confidence - best[0]) < 1e-9)
+            seen += bool(best)
+    assert seen >= 5
+
+
+def test_deep_templates_and_long_urls(spark):
+    deep = "/".join(f"level{chr(97 + k)}" for k in range(24))
+    long = "/".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000))
+    rows = [(i, f"http://h.bad/{deep}/{'x' if i % 2 else 'y'}") for i in range(20)] + [(20 + i, f"http://h.good/{deep}/{'x' if i % 4 else 'z'}") for i in range(20)]
+    rows += [(100, f"http://h.other/{deep}/x"), (101, f"http://h.other/{deep}/y"), (102, f"http://h.other/{long}/y"), (102, f"http://h.other/{long}/y"), (103, "http://h.other/levela/y"), (104, "http://h.other/levelb/x")]
+    began = time.monotonic()
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad/"), ("allow", "good/")], 0.05, 0.6).collect()
+    assert time.monotonic() - began < 100 and len(got) == len(rows)
+    verdicts = {r.page_id: (r.verdict, r.confidence) for r in got}
+    assert verdicts[101] == verdicts[102] == verdicts[103] == ("block", 1.0)
+    assert verdicts[100] == verdicts[104] == ("allow", 0.6)
+
+
+def test_equal_confidence_goes_to_block(spark):
+    rows = [(i, "http://bad/aa") for i in range(5)] + [(10 + i, "http://good/bb") for i in range(5)] + [(50, "http://other/aa/bb")]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad/"), ("allow", "good/")], 0.05, 0.9).collect()}
+    assert got[50] == "block"

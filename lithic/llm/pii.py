@@ -41,16 +41,19 @@ BASE = {
 }
 LOOSE = {
     "email": rf"(?<!{LOCAL})[A-Za-z0-9._%+-]{{1,64}}+ ?(?i:\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}+ ?(?i:\.|\(dot\)|\[dot\]) ?[A-Za-z]{{2,12}}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    # eight groups, or fewer with one :: for the zeros
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,39}[0-9])(?=[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{1,4}){0,6}::)(?![0-9A-Fa-f:]{0,39}:::)(?![0-9A-Fa-f:]{0,39}::[0-9A-Fa-f:]{0,39}::)"
+    r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -]?[0-9])",
     "phone": r"(?<![0-9+().-])(?<![0-9] )(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,5}(?![ .-]?[0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,128}+[0-9])(?=[0-9+/_-]{0,128}+[A-Za-z])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+",
 }
-# Fixed values of the gazetteer.
-TLDS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "it", "nl", "uk", "us", "eu", "ch", "at")
-COUNTRY_CODES = r"^(?:\+|00)(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|353|358|420)"
-RESERVED_IP = r"^(?:0|10|127|169\.254|192\.168|255)\."
-KEY_PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|sk_live_|xox[abp]-|eyJ|AIza)"
+# Fixed values of the gazetteer: generic endings of domains (those of countries are the JVM's table of ISO 3166), the calling codes of E.164 by zone, addresses that
+# RFC 1918, 3927, 4193 and 4291 reserve, and how public services begin their keys.
+TLDS = ("aero", "app", "arpa", "asia", "biz", "cat", "cloud", "co", "com", "coop", "dev", "edu", "eu", "gov", "info", "int", "io", "jobs", "mil", "mobi", "museum", "name", "net", "online", "org", "pro", "shop", "site", "tel", "travel", "uk", "xyz")
+COUNTRY_CODES = r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])[0-9])"
+RESERVED_IP = r"(?i)^(?:(?:0|10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|255)\.|::1?$|fe80:|f[cd][0-9a-f]{2}:|ff[0-9a-f]{2}:)"
+KEY_PREFIXES = r"^(?:AKIA|ASIA|AIza|SG\.|eyJ|dop_v1_|gh[opsu]_|github_pat_|glpat-|hf_|npm_|pk_live_|pypi-|rk_live_|shpat_|sk-|sk_live_|whsec_|xapp-|xox[abeprs]-|ya29)"
 ISSUERS = r"^(?:3[47]|3[068]|4|5[1-5]|2[2-7]|6)"
 NEAR = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|address|correo|adresse)\W*$|(?i)(?:mail|contact|write)",
@@ -62,6 +65,8 @@ NEAR = {
 FAR = {kind: r"(?i)(?:isbn|version|serial|order|invoice|token|secret|key|hash|sha|commit|build)\W*$" for kind in ("email", "ip", "card", "phone")}
 FAR["secret"] = r"(?i)(?:isbn|version|serial|order|invoice|hash|sha-?[0-9]*|md5|commit|build|checksum|uuid)\W*$"
 CONTEXT = 40
+#: A longer run of letters and digits is encoded data rather than a key.
+LONG_SECRET = 2000
 VOTERS = ("pattern", "gazetteer", "context", "shape")
 
 
@@ -93,25 +98,25 @@ def base_holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def votes(kind: str, base: bool, m: Column, before: Column) -> list[Column]:
-    d = digits(m)
+def votes(kind: str, base: bool, m: Column, before: Column, endings: list[str]) -> list[Column]:
+    d, known_key = digits(m), m.rlike(KEY_PREFIXES)
     say = lambda yes, no=None: F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
     gazetteer = {
-        "email": say(F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(*TLDS), F.regexp_extract(m, r"([A-Za-z]+)$", 1) == ""),
+        "email": say(F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(*endings), F.regexp_extract(m, r"([A-Za-z]+)$", 1) == ""),
         "ip": say(~m.rlike(RESERVED_IP), m.rlike(RESERVED_IP)),
         "card": say(d.rlike(ISSUERS), ~d.rlike(ISSUERS)),
         "phone": say(m.rlike(COUNTRY_CODES), F.lit(False)),
-        "secret": say(m.rlike(KEY_PREFIXES)),
+        "secret": say(known_key, F.length(m) > LONG_SECRET),
     }[kind]
     shape = {
         "email": say(m.rlike(r"^[A-Za-z]") & (F.length(m) < 60), F.length(m) >= 100),
         "ip": say(F.length(m).between(7, 39), m.rlike(r"(?:^|\.)0[0-9]")),
         "card": say(F.length(d).isin(13, 15, 16) & m.rlike(r"^[0-9]+$|^[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}$"), F.length(d) < 13),
         "phone": say(F.length(d).between(9, 13), F.length(d) < 8),
-        "secret": say((F.length(d) >= 4) & (F.length(m) - F.length(d) >= 4), (F.length(d) < 2) | m.rlike(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|[-_/]{2}|^[a-z]+(?:[-_/][a-z0-9]+)+$")),
+        "secret": say((F.length(d) >= 4) & (F.length(m) - F.length(d) >= 4) & (F.length(m) <= LONG_SECRET), ~known_key & ((F.length(d) < 2) | (F.length(m) > LONG_SECRET) | m.rlike(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|[-_/]{2}|^[a-z]+(?:[-_/][a-z0-9]+)+$"))),
     }[kind]
     if kind == "secret":
-        pattern = say(m.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), ~m.rlike("[0-9][^0-9]+[0-9]"))
+        pattern = say(m.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), ~known_key & ~m.rlike("[0-9][^0-9]+[0-9]"))
     else:
         pattern = F.lit(1) if base else F.when(luhn(d), 0).otherwise(-1) if kind == "card" else F.lit(0)
     return [pattern, gazetteer, say(before.rlike(NEAR[kind]), before.rlike(FAR[kind])), shape]
@@ -146,9 +151,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     # a text is searched for a kind only if it has the characters that every match needs
     has = {
         ("email", True): F.contains("text", F.lit("@")), ("phone", True): F.contains("text", F.lit("+")),
-        ("email", False): F.col("text").rlike(r"(?i)\(at\)|\[at\]"), ("ip", False): F.col("text").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+        ("email", False): F.col("text").rlike(r"(?i)\(at\)|\[at\]"), ("ip", False): F.col("text").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::[0-9A-Fa-f]"), ("secret", False): F.col("text").rlike("[A-Za-z0-9+/_-]{20}"),
     }
     places = {}
+    endings = sorted({*TLDS, *(c.lower() for c in docs.sparkSession._jvm.java.util.Locale.getISOCountries())})
     for kind in KINDS:
         for strict, patterns in ((True, BASE), (False, LOOSE)):
             if kind not in patterns:
@@ -166,7 +172,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             spans = F.filter(spans, lambda s: base_holds(kind, s["m"]))
 
         def one(s: Column) -> Column:
-            v = votes(kind, strict, s["m"], s["before"])
+            v = votes(kind, strict, s["m"], s["before"], endings)
             return F.struct(
                 s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(strict).alias("base"),
                 *[c.cast("int").alias(f"v{i}") for i, c in enumerate(v)],

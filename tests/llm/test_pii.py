@@ -112,3 +112,59 @@ def test_repeated_rows_are_scored_alike(spark, tmp_path):
     rows = [(1, "mail joe@x.org"), (1, "mail joe@x.org"), (2, "mail joe@x.org")]
     got = op1_pii(spark, written(spark, tmp_path, rows, "doc_id long, text string")).collect()
     assert len(got) == 3 and {(r.spans, r.n_email, r.n_spans) for r in got} == {("email:5:14", 1, 1)}
+
+
+LOOSER = {
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}",
+}
+
+
+def looser(kind, text):
+    """Candidates by a plain pattern and a plain check."""
+    out = []
+    for m in re.finditer(LOOSER[kind], text):
+        if kind == "secret":
+            ok = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        else:
+            groups = m[0].split(":")
+            full = len(groups) == 8 and all(groups)
+            short = m[0].count("::") == 1 and ":::" not in m[0] and re.search("[0-9]", m[0]) and (groups[0] or m[0].startswith("::")) and (groups[-1] or m[0].endswith("::"))
+            ok = full or short
+        if ok:
+            out.append((m.start(), m.end()))
+    return out
+
+
+CANDIDATES = [
+    "ghp_abcdefghijklmnopqrstuvwxyz1", "x " + "Ab3" * 500 + " y", "2001:db8::1 fe80::1%eth0 ::1 1:2:3:4:5:6:7:8 1:2:3:4:5:6:7:8:9 a::b::1 12:30:45 std::vector ab::1", "1:::2 ::ffff:1 2001:db8:: 1::", "é" * 30 + " sk_live_0" + "z" * 40,
+    "key=" + "a1" * 10, "a1" * 10 + "=", "a" * 30, "1" * 30, "b64 " + "Zm9v" * 100 + "1", "1::2:3:4:5:6:7:8:9 1:2:3:4:5:6:7:: ::2:3:4:5:6:7:8", "text:1::2, (1::2) [::1]",
+]
+
+
+@pytest.mark.parametrize("kind", ["ip", "secret"])
+def test_looser_candidates_against_plain_patterns(spark, kind):
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(CANDIDATES)), "doc_id long, text string")).collect()
+    for r in rows:
+        got = [(s.start, s.end) for s in r.spans if s.rank == pii.KINDS.index(kind) and not s.base]
+        assert got == looser(kind, CANDIDATES[r.doc_id]), CANDIDATES[r.doc_id][:60]
+
+
+def test_planted_recall_and_precision(spark, sf_dir):
+    """Planted among the given documents: 0.9 of either at least."""
+    import random
+
+    r = random.Random(5)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters, hexa = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    yes, no = [], []
+    for _ in range(40):
+        yes += [("secret", "token: ", f"ghp_{some(letters, 30)}{r.randrange(10)}"), ("secret", "api_key=", some(letters + "0123456789" * 3, 300)), ("secret", "secret ", some(hexa, 64)), ("ip", "server ", f"2a0{r.randrange(10)}:{some(hexa, 4)}::{r.randrange(1, 9999)}")]
+        no += [f"commit {some(hexa, 7)}", f"at {r.randrange(24)}:{r.randrange(10, 60)}:{r.randrange(10, 60)}", f"see the-{some(letters.lower()[:26], 6)}-of-{some(letters.lower()[:26], 8)}-and-{some(letters.lower()[:26], 5)}", f"std::{some(letters, 6)}"]
+    given = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = given + [(10**6 + i, f"{b}{t} end") for i, (_, b, t) in enumerate(yes)] + [(2 * 10**6 + i, t) for i, t in enumerate(no)]
+    found = {x.doc_id: {(s.kind, s.start, s.end) for s in x.spans} for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum((k, len(b), len(b) + len(t)) in found[10**6 + i] for i, (k, b, t) in enumerate(yes))
+    wrong = sum(bool(found[2 * 10**6 + i]) for i in range(len(no)))
+    print("recall", hits / len(yes), "precision", hits / (hits + wrong))
+    assert hits >= 0.9 * len(yes) and hits >= 0.9 * (hits + wrong)

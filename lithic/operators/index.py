@@ -7,8 +7,12 @@ lists that it needs and filters on them, and the scan skips all other buckets.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +20,11 @@ from pyspark.sql import types as T
 from lithic.functions.storage import BucketedTable, discard, stored
 from lithic.functions.text import content_hash, search_terms
 from lithic.functions.vector import dot, hashed_embedding, norm, vector
-from lithic.operators.retrieval import ranked
+from lithic.operators.retrieval import hash_blocks, ranked
 
 LIST_ROWS = 50_000
+#: Passages whose postings are packed together.
+SEGMENT = 20_000
 #: Vectors that the cells are fitted on, whatever the size of the table, and rounds of the fit.
 SAMPLE, FIT_ROUNDS = 20_000, 12
 MAX_CELLS = 1024
@@ -66,6 +72,32 @@ def nearest_cells(embedding: Column, centres: np.ndarray, n: int) -> Column:
     return cells(embedding)
 
 
+def best_of_list(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each query (query_id, kind, v) the k items (id, kind, embedding) of its kind with the greatest cosine, ties by id."""
+
+    def matrix(t: pa.Table, column: str) -> np.ndarray:
+        return unit(t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1))
+
+    def best(queries: pa.Table, items: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if queries.num_rows and items.num_rows:
+            vectors, ids = matrix(items, "embedding"), items.column("id").to_numpy()
+            kinds, asked = np.array(items.column("kind").to_pylist(), dtype=object), queries.column("kind").to_pylist()
+            for a in range(0, queries.num_rows, 256):
+                part = queries.slice(a, 256)
+                scores = matrix(part, "v") @ vectors.T
+                for query, kind, row in zip(part.column("query_id").to_pylist(), asked[a : a + 256], scores, strict=True):
+                    own = np.flatnonzero(kinds == kind)
+                    if len(own) > k:
+                        own = own[row[own] >= np.partition(row[own], len(own) - k)[len(own) - k]]
+                    own = own[np.lexsort((ids[own], -row[own]))][:k]
+                    out += [(query, int(ids[i]), float(row[i])) for i in own]
+        names = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(names[0], pa.int64()), "id": pa.array(names[1], pa.int64()), "cosine": pa.array(names[2], pa.float64())})
+
+    return best
+
+
 class VectorIndex:
     """Vectors (id, group, embedding) in inverted lists by cell; the groups are kinds of items that are only compared among themselves.
 
@@ -133,20 +165,24 @@ class VectorIndex:
         scored = rows.select("id", (dot(F.col("embedding"), vector(query)) / (F.col("norm") * size)).alias("score"))
         return ranked(scored.orderBy(F.desc("score"), "id").limit(k), "score")
 
-    def nearest(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    def nearest(self, queries: DataFrame, k: int, probes: int | None = None, max_queries: int = 20_000) -> DataFrame:
         """For each query (query_id, kind, embedding) the k items of its kind nearest to it among its probed lists: query_id, id, cosine, rank.
 
-        Queries meet lists on the lists' numbers. A list is bounded, and each task keeps k rows a query before they are shuffled.
+        Queries meet lists on the lists' numbers, in blocks of at most max_queries, so that a task holds one bounded list and a bounded number of queries. It gives
+        back k rows a query.
         """
         q = queries.filter("embedding IS NOT NULL").withColumn("query_norm", norm(F.col("embedding"))).filter("query_norm > 0")
         if not len(self.centres):
             return q.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("cosine"), F.lit(0).alias("rank")).limit(0)
         shards = F.array(*[F.lit(int(s)) for s in self.shards])
-        q = q.select("query_id", F.col("kind").alias("query_kind"), F.col("embedding").alias("v"), "query_norm", F.explode(nearest_cells(F.col("embedding"), self.centres, probes or self.probes)).alias("cell"))
-        q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.get(shards, F.col("cell")) - 1)))
-        q = q.withColumn("list_id", list_number(F.col("cell"), F.col("shard"))).drop("cell", "shard")
-        met = q.join(self.table.rows(), "list_id").filter(F.col("kind").eqNullSafe(F.col("query_kind")))
-        scored = met.select("query_id", "id", (dot(F.col("embedding"), F.col("v")) / (F.col("norm") * F.col("query_norm"))).alias("cosine"))
+        found = []
+        for block in hash_blocks(q, "query_id", max_queries):
+            block = block.select("query_id", "kind", F.col("embedding").alias("v"), F.explode(nearest_cells(F.col("embedding"), self.centres, probes or self.probes)).alias("cell"))
+            block = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.get(shards, F.col("cell")) - 1)))
+            block = block.withColumn("list_id", list_number(F.col("cell"), F.col("shard"))).drop("cell", "shard")
+            items = self.table.rows().select("list_id", "id", "kind", "embedding")
+            found.append(block.groupBy("list_id").cogroup(items.groupBy("list_id")).applyInArrow(best_of_list(k), "query_id long, id long, cosine double"))
+        scored = functools.reduce(DataFrame.unionByName, found)
         order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -163,6 +199,38 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 PASSAGE = ("chunk_id", "document_id", "tenant_id", "content")
 
 
+def segments(passages: DataFrame) -> DataFrame:
+    """passages: chunk_id, terms. Packed postings of every `SEGMENT` passages of a task: segment, term, n, ids, tfs. Nothing is shuffled."""
+
+    def packed(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(tables).combine_chunks()
+        ids = t.column(0).combine_chunks().to_numpy(zero_copy_only=False)
+        lists = t.column(1).combine_chunks()
+        row = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        words = lists.flatten().dictionary_encode()
+        pair, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + row, return_counts=True)
+        code, heads = np.unique(pair // len(ids), return_index=True)
+        edges = np.append(heads, len(pair)).astype(np.int32)
+        chunks, tf = ids[pair % len(ids)], tf.astype(np.int32)
+        for a in range(0, len(code), 50_000):
+            b = min(a + 50_000, len(code))
+            part, offsets = slice(edges[a], edges[b]), pa.array(edges[a : b + 1] - edges[a])
+            columns = [pa.array(np.full(b - a, ids[0])), words.dictionary.take(pa.array(code[a:b])), pa.array(np.diff(edges[a : b + 1])), pa.ListArray.from_arrays(offsets, pa.array(chunks[part])), pa.ListArray.from_arrays(offsets, pa.array(tf[part]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "term", "n", "ids", "tfs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[pa.RecordBatch] = []
+        for batch in batches:
+            got += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in got) >= SEGMENT:
+                yield from packed(got)
+                got = []
+        if got:
+            yield from packed(got)
+
+    return passages.mapInArrow(run, "segment long, term string, n int, ids array<long>, tfs array<int>")
+
+
 class PassageIndex:
     """Passages (chunk_id, document_id, tenant_id, content) with their embeddings and postings, brought up to date by content hash.
 
@@ -171,7 +239,7 @@ class PassageIndex:
     """
 
     TEXTS = "content_hash string, embedding array<float>, norm double"
-    POSTINGS = "list_id long, term string, chunk_id long, document_id long, tenant_id string, version int, tf int"
+    POSTINGS = "list_id long, term string, version int, ids array<long>, tfs array<int>"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -190,19 +258,18 @@ class PassageIndex:
             new = hashed
         else:
             new = hashed.join(self.current.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
-        new = stored(new.repartition("content_hash"), "passages-new")
+        new = stored(new.repartition("chunk_id"), "passages-new")
         texts = new.groupBy("content_hash").agg(F.first("content").alias("content")).join(self.texts.rows().select("content_hash"), "content_hash", "left_anti")
         vectors = texts.select("content_hash", hashed_embedding(search_terms(F.coalesce("content", F.lit("")))).alias("embedding"))
         self.texts.append(vectors.withColumn("norm", norm(F.col("embedding"))))
-        each = new.select("chunk_id", "document_id", "tenant_id", F.explode(search_terms(F.coalesce("content", F.lit("")))).alias("term"))
-        counts = stored(each.groupBy("chunk_id", "document_id", "tenant_id", "term").agg(F.count("*").cast("int").alias("tf")), "postings-new")
-        seen = counts.groupBy("term").agg(F.count("*").alias("df"))
+        counts = stored(segments(new.select("chunk_id", search_terms(F.coalesce("content", F.lit(""))).alias("terms"))), "postings-new")
+        seen = counts.groupBy("term").agg(F.sum("n").alias("df"))
         seen = seen if self.lexicon is None else seen.unionByName(self.lexicon.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
         lexicon = stored(seen.withColumn("shards", F.ceil(F.col("df") / LIST_ROWS).cast("int")), "lexicon")
         hot = lexicon.filter("shards > 1").select("term", "shards")  # at most one term for each LIST_ROWS postings
         dealt = counts.join(hot, "term", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-        number = list_number(F.col("term"), shard_of(F.col("chunk_id"), F.col("shards")))
-        self.postings.append(dealt.select(number.alias("list_id"), "term", "chunk_id", "document_id", "tenant_id", F.lit(self.version).alias("version"), "tf"))
+        number = list_number(F.col("term"), shard_of(F.col("segment"), F.col("shards")))
+        self.postings.append(dealt.select(number.alias("list_id"), "term", F.lit(self.version).alias("version"), "ids", "tfs"))
         fresh = new.select("chunk_id", "document_id", "tenant_id", "content_hash", F.lit(self.version).alias("version"))
         if self.current is None:
             current, old = fresh, []
@@ -223,14 +290,15 @@ class PassageIndex:
         return sorted(set(self.spark.range(1).select(search_terms(F.lit(query)).alias("t")).first().t))
 
     def found(self, terms: list[str]) -> DataFrame:
-        """Current postings of a few terms. The scan reads the buckets of their lists only."""
-        rows = self.postings.rows().filter(F.col("list_id").isin(self.term_lists(terms)) & F.col("term").isin(terms))
-        return rows.join(self.current.select("chunk_id", "version"), ["chunk_id", "version"], "left_semi")
+        """Current postings of a few terms: chunk_id, document_id, term, tf. The scan reads the buckets of their lists only."""
+        lists = self.postings.rows().filter(F.col("list_id").isin(self.term_lists(terms)) & F.col("term").isin(terms))
+        rows = lists.select("term", "version", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("term", "version", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"))
+        return rows.join(self.current.select("chunk_id", "version", "document_id"), ["chunk_id", "version"])
 
     def keywords(self, query: str, k: int, visible: DataFrame | None = None) -> DataFrame:
         """The k passages of greatest keyword rank that have all terms of the query: id, score, rank. visible: document_id of what may be found."""
         terms = self.terms_of(query)
-        rows = self.found(terms) if terms else self.postings.rows().limit(0)
+        rows = self.found(terms) if terms else self.found([""]).limit(0)
         rows = rows if visible is None else rows.join(visible.select("document_id"), "document_id", "left_semi")
         tf = F.col("tf")
         scored = rows.groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("has"), (F.sum(tf / (tf + 1)) / len(terms or [""])).alias("score")).filter(F.col("has") == len(terms))

@@ -82,7 +82,7 @@ def embedded(items: DataFrame, known: DataFrame | None = None, column: str = "co
 
     Items are spread over the cluster first, as few files may hold very many texts.
     """
-    rows = items.withColumn("content_hash", content_hash(F.coalesce(column, F.lit("")))).repartition("content_hash")
+    rows = items.repartition(*items.columns).withColumn("content_hash", content_hash(F.coalesce(column, F.lit(""))))
     with_terms = lambda df: df.withColumn("terms", search_terms(F.coalesce(column, F.lit(""))))
     if known is None:
         return with_terms(rows).withColumn("embedding", hashed_embedding(F.col("terms")))

@@ -54,33 +54,44 @@ def key_block(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.filter("key_value IS NOT NULL").join(e, ["tenant_id", "entity_type", "key_name", "key_value"]).select("mention_id", "entity_id").distinct()
 
 
-def trigram_block(mentions: DataFrame, entities: DataFrame, floor: float = TRIGRAM_FLOOR, most_frequent: int | None = None) -> DataFrame:
-    """Pairs of the same type whose names' trigram sets have a Jaccard similarity of at least `floor`: mention_id, entity_id, similarity.
+def name_forms(rows: DataFrame, ident: str, forms: Column) -> tuple[DataFrame, DataFrame]:
+    """Distinct names with their trigrams (form, tenant_id, entity_type, grams) and who has them (id, form). Equal names of a type are one form."""
+    each = rows.select(F.col(ident).alias("id"), "tenant_id", "entity_type", F.explode(F.array_distinct(forms)).alias("name")).filter("name IS NOT NULL")
+    each = each.withColumn("form", F.xxhash64("tenant_id", "entity_type", F.lower("name")))
+    distinct = each.groupBy("form").agg(F.first("tenant_id").alias("tenant_id"), F.first("entity_type").alias("entity_type"), trigrams(F.first("name")).alias("grams"))
+    return distinct, each.select("id", "form")
 
-    Prefix filter: trigrams are ordered by how rare they are among entities, and only the first n - ceil(floor n) + 1 of each side are
-    joined, since two sets that similar share one of those. Each pair is kept at the first trigram that both prefixes have, and then
-    compared in whole.
+
+def trigram_block(mentions: DataFrame, entities: DataFrame, floor: float = TRIGRAM_FLOOR) -> DataFrame:
+    """Pairs of the same type whose names' trigram sets have a Jaccard similarity of at least `floor`, by an entity's name or the best of its aliases (if entities have
+    `aliases`): mention_id, entity_id, similarity.
+
+    Distinct names are compared. Prefix filter: trigrams are ordered by how rare they are among entities' names, and only the first n - ceil(floor n) + 1 of each
+    side are joined, as two sets that similar share one of those; a join row holds ids, sizes and places only, and goes if the sizes or what is left behind the places can't reach
+    the floor. Trigram sets are fetched for the distinct pairs that remain.
     """
-    m = mentions.select("mention_id", "tenant_id", "entity_type", trigrams(F.col("surface")).alias("grams"))
-    e = entities.select("entity_id", "tenant_id", "entity_type", trigrams(F.col("name")).alias("grams"))
-    rare = e.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, ident: str) -> DataFrame:
-        each = df.select(ident, "tenant_id", "entity_type", F.explode("grams").alias("gram")).join(rare, "gram", "left")
-        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
-        rows = each.groupBy(ident, "tenant_id", "entity_type").agg(F.transform(ordered, lambda x: x["gram"]).alias("grams"))
-        n = F.size("grams")
-        rows = rows.withColumn("prefix", F.slice("grams", F.lit(1), (n - F.ceil(n * F.lit(floor)) + 1).cast("int")))
-        return rows.withColumn("gram", F.explode("prefix"))
-
-    left = prefixes(m, "mention_id").select("mention_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("mg"), F.col("prefix").alias("mp"))
-    right = prefixes(e, "entity_id").select("entity_id", "tenant_id", "entity_type", "gram", F.col("grams").alias("eg"), F.col("prefix").alias("ep"))
-    long_enough = (F.size("mg") >= F.size("eg") * floor) & (F.size("eg") >= F.size("mg") * floor)
-    pairs = left.join(right, ["tenant_id", "entity_type", "gram"]).filter(long_enough)
-    pairs = pairs.filter(F.get(F.array_intersect("mp", "ep"), F.lit(0)) == F.col("gram"))
+    m, m_ids = name_forms(mentions, "mention_id", F.array("surface"))
+    e, e_ids = name_forms(entities, "entity_id", F.array_union(F.array("name"), F.coalesce("aliases", F.array())) if "aliases" in entities.columns else F.array("name"))
+    m, e = stored(m, "mention-names"), stored(e, "entity-names")
+    rare = stored(e.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "grams")
+
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("form", "tenant_id", "entity_type", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(rare, "gram", "left")
+        order = Window.partitionBy("form").orderBy(F.coalesce("df", F.lit(0)), "gram")
+        placed = each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1)
+        return placed.select("tenant_id", "entity_type", "gram", F.col("form").alias(f"{side}_form"), F.col("n").alias(f"{side}_n"), F.col("place").alias(f"{side}_place"))
+
+    met = prefixes(m, "m").join(prefixes(e, "e"), ["tenant_id", "entity_type", "gram"])
+    shared = F.least("m_place", "e_place") + F.least(F.col("m_n") - F.col("m_place"), F.col("e_n") - F.col("e_place"))  # at most
+    reach = (F.col("m_n") >= F.col("e_n") * floor) & (F.col("e_n") >= F.col("m_n") * floor) & (shared >= (F.col("m_n") + F.col("e_n") - shared) * floor)
+    pairs = met.filter(reach).select("m_form", "e_form").distinct()
+    pairs = pairs.join(m.select(F.col("form").alias("m_form"), F.col("grams").alias("mg")), "m_form").join(e.select(F.col("form").alias("e_form"), F.col("grams").alias("eg")), "e_form")
     both = F.size(F.array_intersect("mg", "eg"))
-    similarity = both / (F.size("mg") + F.size("eg") - both)
-    return pairs.select("mention_id", "entity_id", similarity.alias("similarity")).filter(F.col("similarity") >= floor)
+    alike = pairs.select("m_form", "e_form", (both / (F.size("mg") + F.size("eg") - both)).alias("similarity")).filter(F.col("similarity") >= floor)
+    found = alike.join(m_ids.select(F.col("id").alias("mention_id"), F.col("form").alias("m_form")), "m_form").join(e_ids.select(F.col("id").alias("entity_id"), F.col("form").alias("e_form")), "e_form")
+    if "aliases" not in entities.columns:
+        return found.select("mention_id", "entity_id", "similarity")
+    return found.groupBy("mention_id", "entity_id").agg(F.max("similarity").alias("similarity"))
 
 
 def ann_block(mentions: DataFrame, entities: DataFrame, k: int = ANN_K, max_mentions: int = 20_000) -> DataFrame:

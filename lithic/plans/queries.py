@@ -615,6 +615,22 @@ def trigram_similarity_block(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resolution.trigram_block(*part_names(spark, d), 0.8), "similarity")
 
 
+ALIASED = "concat(reverse(p_name), ' ', p_brand)"
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS entity_id, unnest([concat(p_name, ' ', p_type), {ALIASED}]) AS name FROM {{part}}),
+    e AS (SELECT entity_id, {GRAMS.replace('{t}', "name")} AS g FROM n),
+    m AS (SELECT p_partkey AS mention_id, {GRAMS.replace('{t}', f"concat({ALIASED}, ' x')")} AS g FROM {{part}} WHERE p_partkey % 100 = 0),
+    s AS (SELECT mention_id, entity_id, len(list_intersect(m.g, e.g)) / len(list_distinct(list_concat(m.g, e.g))) AS similarity FROM m, e)
+    SELECT mention_id, entity_id, round(max(similarity), 6) AS similarity FROM s WHERE similarity >= 0.8 GROUP BY ALL""")
+def alias_block(spark: SparkSession, d: str) -> DataFrame:
+    """The name block where mentions use an alias of their entity."""
+    alias = F.concat(F.reverse("p_name"), F.lit(" "), "p_brand")
+    parts = relation(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.lit("t0").alias("tenant_id"), F.lit("Asset").alias("entity_type"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.array(alias).alias("aliases"))
+    mentions = parts.filter("entity_id % 100 = 0").select(F.col("entity_id").alias("mention_id"), "tenant_id", "entity_type", F.concat(F.get("aliases", F.lit(0)), F.lit(" x")).alias("surface"))
+    return rounded(resolution.trigram_block(mentions, parts, 0.8), "similarity")
+
+
 @query()
 def trigram_floor_block(spark: SparkSession, d: str) -> DataFrame:
     """The name block as resolution uses it: all mentions and entities, at the operator's own floor."""

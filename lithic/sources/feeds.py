@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 ITEM = "drive string, id string, name string, mtime string, deleted boolean, etag string"
 PAGE_ROWS = 1000
@@ -77,6 +77,86 @@ class DeltaFeed(DataSource):
         return DeltaReader(self.options["pages"])
 
 
+class DriveSweep(InputPartition):
+    def __init__(self, drive: str, sweep: int):
+        self.drive, self.sweep = drive, sweep
+
+
+class DrivesReader(DataSourceStreamReader):
+    """A delta feed read by one task for each drive. The offset is the number of a sweep.
+
+    The task that reads a drive's sweep walks from the link that the sweep before left to the new delta link and leaves that for the next sweep, in a folder that all machines share,
+    under the drive's and the sweep's number; so nothing but a sweep's number and the drives' names pass through the driver, and a sweep that is read again begins at the same link. An
+    expired link (status 410) starts its drive anew. A sweep is planned if some drive has a page at its link.
+    """
+
+    def __init__(self, options: dict):
+        self.folder, self.links = options["pages"], options["links"]
+        os.makedirs(self.links, exist_ok=True)
+
+    def fetch(self, drive: str, link: str) -> dict | None:
+        return read_page(self.folder, f"{drive}-{link}")
+
+    def drives(self) -> list[str]:
+        return sorted({x.partition("-")[0] for x in os.listdir(self.folder) if x.endswith(".json")})
+
+    def noted(self, name: str) -> str | None:
+        path = os.path.join(self.links, name)
+        if not os.path.exists(path):
+            return None
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+
+    def note(self, name: str, text: str) -> None:
+        path = os.path.join(self.links, name)
+        with open(f"{path}.{os.getpid()}.new", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f.name, path)
+
+    def link(self, drive: str, sweep: int) -> str:
+        """Where a drive's sweep begins: the link that the last sweep before it left."""
+        return next((found for k in range(sweep, 0, -1) if (found := self.noted(f"{drive}-{k}")) is not None), "start")
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"sweep": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        done = max((int(x.rpartition("-")[2]) for x in os.listdir(self.links) if x.rpartition("-")[2].isdigit()), default=0)
+        more = any(self.fetch(d, self.link(d, done)) is not None for d in self.drives())
+        return {"sweep": done + more}
+
+    def partitions(self, start: dict, end: dict) -> list[DriveSweep]:
+        return [DriveSweep(d, k) for k in range(start["sweep"], end["sweep"]) for d in self.drives()]
+
+    def read(self, partition: DriveSweep) -> Iterator[tuple]:
+        drive, at = partition.drive, self.link(partition.drive, partition.sweep)
+        page = self.fetch(drive, at)
+        if page is not None and page.get("status") == 410:
+            page = self.fetch(drive, "start")
+        while page is not None:
+            for x in page.get("value", []):
+                yield drive, x["id"], x.get("name"), x.get("mtime"), "@removed" in x, x.get("etag")
+            if "nextLink" in page:
+                page = self.fetch(drive, page["nextLink"])
+            else:
+                self.note(f"{drive}-{partition.sweep + 1}", page.get("deltaLink", at))
+                page = None
+
+
+class DrivesFeed(DataSource):
+    """Options: pages, links (a folder that driver and executors share)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "drives_feed"
+
+    def schema(self) -> str:
+        return ITEM
+
+    def streamReader(self, schema: object) -> DrivesReader:  # noqa: N802
+        return DrivesReader(self.options)
+
+
 class Page(InputPartition):
     def __init__(self, entity: str, start: int):
         self.entity, self.start = entity, start

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithic.functions import text as fx
+from lithic.functions import registry
 from lithic.functions.vector import hashed_embedding
 from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution, retrieval
 from lithic.operators.gate import Gate, Param, Principal, TemplateError, check_template, coerced
@@ -452,3 +453,31 @@ def test_waves_of_one_document(spark):
     assert [r.document_id for r in replaced.collect()] == [9]
     again = promotion.promoted_in_waves(staged, mentions, spark.createDataFrame([], "document_id long"), after, ontologies, prior, 1000, AT)
     assert {r.fact_id: r.reason for r in again[0].collect()} == {r.fact_id: r.reason for r in after.collect()}
+
+
+def test_components_by_name():
+    parsers = registry.Registry("parser", dict)
+    parsers.register("plain", dict)
+    assert parsers.build("plain", a=1) == {"a": 1} and parsers.names() == ["plain"]
+    assert parsers.build(" collections:OrderedDict ") == {}
+    for name, fault in (("", "needed"), ("gone", "neither registered"), ("no.such.module:X", "imported"), ("json:gone", "has no"), ("fractions:Fraction", "not a dict"), ("collections:Counter", "")):
+        if fault:
+            with pytest.raises(registry.ComponentError, match=fault):
+                parsers.build(name)
+        else:
+            assert parsers.build(name) == {}
+    with pytest.raises(registry.ForbiddenReference):
+        parsers.build("lithic.sources.files:Registry")
+    with pytest.raises(registry.ComponentError, match="can't be made"):
+        parsers.register("two", lambda x: x)
+        parsers.build("two", y=1)
+    parsers.unregister("two")
+    parsers.unregister("two")
+    assert parsers.names() == ["plain"]
+
+
+def test_best_of_name_and_aliases(spark):
+    e = spark.createDataFrame([(1, "t", "A", "Alpha Works", ["Omega Trading", None]), (2, "t", "A", "Omega Trade", None), (3, "t", "B", "Omega Trading", [])], "entity_id long, tenant_id string, entity_type string, name string, aliases array<string>")
+    m = spark.createDataFrame([(9, "t", "A", "OMEGA TRADING"), (10, "t", "A", None), (11, "t", "A", "")], "mention_id long, tenant_id string, entity_type string, surface string")
+    got = {(r.mention_id, r.entity_id): r.similarity for r in resolution.trigram_block(m, e, 0.5).collect()}
+    assert set(got) == {(9, 1), (9, 2)} and got[9, 1] == 1.0 and got[9, 2] < 1

@@ -97,6 +97,35 @@ def test_delta_feed(spark, tmp_path):
     assert spark.table("delta_rows").count() == 2
 
 
+def test_drives_are_read_by_their_own_tasks(spark, tmp_path):
+    pages, links = tmp_path / "pages", tmp_path / "links"
+    pages.mkdir()
+    put = lambda n, x: (pages / f"{n}.json").write_text(json.dumps(x))
+    item = lambda *ids: [{"id": i, "name": i} for i in ids]
+    put("d1-start", {"value": item("1", "2"), "nextLink": "p2"})
+    put("d1-p2", {"value": [{"id": "3", "@removed": {}}], "deltaLink": "t1"})
+    put("d2-start", {"value": item("7"), "deltaLink": "u1"})
+    spark.dataSource.register(feeds.DrivesFeed)
+    options, check = {"pages": str(pages), "links": str(links)}, str(tmp_path / "check")
+
+    def run():
+        rows = []
+        take = lambda df, n: rows.extend((n, r.drive, r.id, r.deleted) for r in df.collect())
+        spark.readStream.format("drives_feed").options(**options).load().writeStream.foreachBatch(take).option("checkpointLocation", check).trigger(once=True).start().awaitTermination()
+        return sorted(rows)
+
+    assert [r[1:] for r in run()] == [("d1", "1", False), ("d1", "2", False), ("d1", "3", True), ("d2", "7", False)]
+    assert run() == []
+    put("d1-t1", {"value": item("4"), "deltaLink": "t2"})
+    put("d2-u1", {"status": 410})
+    put("d3-start", {"value": item("9"), "deltaLink": "v1"})
+    assert [r[1:] for r in run()] == [("d1", "4", False), ("d2", "7", False), ("d3", "9", False)]
+    reader = feeds.DrivesReader(options)
+    # a sweep that is read again begins at the same link
+    assert [r[1] for r in reader.read(feeds.DriveSweep("d1", 1))] == ["4"] == [r[1] for r in reader.read(feeds.DriveSweep("d1", 1))]
+    assert {(p.drive, p.sweep) for p in reader.partitions({"sweep": 1}, {"sweep": 2})} == {("d1", 1), ("d2", 1), ("d3", 1)}
+
+
 def test_accounting_sweep(spark, tmp_path):
     for entity, start, n in (("Bill", 1, 2), ("Bill", 3, 1), ("Vendor", 1, 0)):
         (tmp_path / f"{entity}-{start}.json").write_text(json.dumps({"rows": [{"Id": start + k, "status": "Deleted" if k else None} for k in range(n)]}))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.functions.storage import stored
 from lithic.functions.text import corrupted_name, token_jaccard
 
 CUTS = (3, 5, 10, 20)
+MAX_LEAKAGE = 0.6
 
 
 def relevant_ranks(ranking: DataFrame, gold: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def leaderboard(runs: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def leakage(pairs: DataFrame, query: str, passage: str, limit: float = 0.6) -> DataFrame:
+def leakage(pairs: DataFrame, query: str, passage: str, limit: float = MAX_LEAKAGE) -> DataFrame:
     """Pairs with their token Jaccard and whether it is below the leakage limit."""
     return pairs.withColumn("jaccard", token_jaccard(F.col(query), F.col(passage))).withColumn("clean", F.col("jaccard") < limit)
 
@@ -157,6 +160,42 @@ def gold_sample(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return items.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n)
 
 
+Questioner = Callable[[Column, Column], Column]
+ATTEMPTS, TRIES = 3, 4
+
+
+def asked(terms: Column, attempt: Column) -> Column:
+    """A stand-in for a model that asks a question about a text: its terms of least hash, fewer with each attempt."""
+    placed = F.array_sort(F.transform(F.array_distinct(terms), lambda t: F.struct(F.sha2(F.concat(attempt.cast("string"), F.lit(":"), t), 256).alias("h"), t.alias("t"))))
+    return F.array_join(F.transform(F.slice(placed, F.lit(1), 7 - 2 * attempt), lambda p: p["t"]), " ")
+
+
+def retrieval_gold(chunks: DataFrame, n: int, question: Questioner = asked, seed: int = 42) -> DataFrame:
+    """A gold set of n questions from chunks (chunk_id, document_id, content): item_id, multi_hop, chunk_ids, question, leakage, attempts.
+
+    A tenth of the items, 6 at least, are multi-hop: their question is about two chunks of one document. Chunks and documents are taken in order of a seeded hash. A question whose words are too like its text's
+    (Jaccard at `MAX_LEAKAGE` or above) is asked anew up to three times, and the item is left out if all leak; four times as many documents as needed are tried for multi-hop items. Only ids are
+    gathered by document, and only the chosen chunks' texts are read.
+    """
+    many = max(6, n // 10)
+    mark = lambda c: F.sha2(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")), 256)
+    ids = chunks.select("chunk_id", "document_id")
+    single = ids.orderBy(mark("chunk_id"), "chunk_id").limit(max(n - many, 0)).select(F.lit(False).alias("multi_hop"), mark("chunk_id").alias("mark"), F.array("chunk_id").alias("chunk_ids"))
+    pairs = ids.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(mark("chunk_id").alias("m"), "chunk_id"))).alias("all")).filter(F.size("all") > 1)
+    two = F.transform(F.slice("all", 1, 2), lambda x: x["chunk_id"])
+    multi = pairs.orderBy(mark("document_id"), "document_id").limit(many * TRIES).select(F.lit(True).alias("multi_hop"), mark("document_id").alias("mark"), two.alias("chunk_ids"))
+    items = stored(single.unionByName(multi), "gold-items").withColumn("item_id", F.concat_ws(",", F.transform("chunk_ids", lambda c: c.cast("string"))))
+    each = items.select("item_id", F.posexplode("chunk_ids").alias("at", "chunk_id"))
+    texts = chunks.join(each, "chunk_id").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), " ").alias("text"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    tried = items.join(texts, "item_id").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))))
+    tried = tried.withColumn("question", question(words(F.col("text")), F.col("attempt")))
+    tried = tried.withColumn("leakage", token_jaccard(F.col("question"), F.col("text"))).filter((F.col("question") != "") & (F.col("leakage") < MAX_LEAKAGE))
+    best = tried.groupBy("item_id", "multi_hop", "mark", "chunk_ids").agg(F.min(F.struct(F.col("attempt").alias("attempts"), "question", "leakage")).alias("q")).select("item_id", "multi_hop", "mark", "chunk_ids", "q.*")
+    kept = best.filter("multi_hop").orderBy("mark", "item_id").limit(many).unionByName(best.filter("NOT multi_hop"))
+    return kept.select("item_id", "multi_hop", "chunk_ids", "question", "leakage", "attempts")
+
+
 # Least number of items of a gold set by axis.
 FLOORS = {"retrieval": 50, "er": 200, "extraction": 30}
 

@@ -118,12 +118,12 @@ def digest_of(mentions: DataFrame, pending: DataFrame, cap: int = 15) -> DataFra
 
 
 def units_to_do(units: DataFrame, runs: DataFrame) -> DataFrame:
-    """Units without a good run of the same tenant, hash, extractor and ontology."""
-    key = [c for c in ("tenant_id", "unit_hash", "extractor", "ontology") if c in units.columns]
+    """Units without a good run of the same tenant, hash, extractor, its version and ontology."""
+    key = [c for c in ("tenant_id", "unit_hash", "extractor", "extractor_version", "ontology") if c in units.columns]
     return units.join(runs.filter("status = 'ok'").select(*key), key, "left_anti").select(*units.columns)
 
 
-def staged(facts: DataFrame, keys: DataFrame, first_id: int = 0) -> DataFrame:
+def staged(facts: DataFrame, keys: DataFrame) -> DataFrame:
     """Facts with local keys turned into mention references by keys (unit_id, local_key, mention_id), and a size alarm.
 
     The size is the number of lines of a fact printed as JSON: two brackets and one line a field; above 70 it alarms.

@@ -120,7 +120,11 @@ def facts_citing(gate: Gate, document_id: int | None = None, chunk_id: int | Non
         return fact_rows(gate, facts=rows.filter(F.col("chunk_id") == chunk_id))
     if "chunk_id" not in rows.columns:
         return fact_rows(gate, facts=rows.filter(F.col("document_id") == document_id))
-    return fact_rows(gate).filter(F.col("document_id") == document_id)
+    # only the document's own facts are looked up: those that state it, and those that state none but one of its chunks
+    stated = rows.filter(F.col("document_id") == document_id)
+    chunks = gate.read("chunks").filter(F.col("document_id") == document_id).select("chunk_id")
+    by_chunk = rows.filter("document_id IS NULL").join(chunks, "chunk_id", "left_semi").select(*rows.columns)
+    return fact_rows(gate, facts=stated.unionByName(by_chunk))
 
 
 def passages(gate: Gate) -> DataFrame:

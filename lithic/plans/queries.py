@@ -352,6 +352,21 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.leaderboard(runs, runs.select("gold_id").distinct()).select("run_id", "axis", "gold_id", "headline", "rank")
 
 
+@query("""WITH s AS (SELECT false AS multi_hop, sha256(concat('42:', chunk_id)) AS mark, [chunk_id] AS ids FROM {chunks} ORDER BY mark, chunk_id LIMIT 180),
+    p AS (SELECT document_id, list(chunk_id ORDER BY sha256(concat('42:', chunk_id)), chunk_id) AS ids FROM {chunks} GROUP BY document_id HAVING count(*) > 1),
+    u AS (SELECT true AS multi_hop, sha256(concat('42:', document_id)) AS mark, ids[1:2] AS ids FROM p ORDER BY mark, document_id LIMIT 80),
+    i AS (SELECT *, array_to_string(ids, ',') AS item_id FROM (SELECT * FROM s UNION ALL SELECT * FROM u)),
+    e AS (SELECT item_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS pos FROM i),
+    t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(string_agg(content, ' ' ORDER BY pos)), '[a-z0-9]+')) AS w FROM e JOIN {chunks} c USING (chunk_id) GROUP BY item_id),
+    a AS (SELECT item_id, n, list_transform(list_sort(list_transform(w, lambda x: concat(sha256(concat(n, ':', x)), x)))[1:7 - 2 * n], lambda x: x[65:]) AS q, len(w) AS size FROM t, (SELECT unnest([1, 2, 3]) AS n)),
+    b AS (SELECT item_id, min(struct_pack(attempts := n, question := array_to_string(q, ' '), leakage := len(q) / size)) AS q FROM a WHERE len(q) > 0 AND len(q) / size < 0.6 GROUP BY item_id),
+    k AS (SELECT i.*, b.q, row_number() OVER (PARTITION BY multi_hop ORDER BY mark, item_id) AS place FROM i JOIN b USING (item_id))
+    SELECT item_id, multi_hop, q.question AS question, round(q.leakage, 6) AS leakage, q.attempts AS attempts FROM k WHERE NOT multi_hop OR place <= 20""")
+def retrieval_gold(spark: SparkSession, d: str) -> DataFrame:
+    """200 questions of which 20 are about two chunks of a document."""
+    return rounded(evaluation.retrieval_gold(relation(spark, d, "chunks"), 200).drop("chunk_ids"), "leakage")
+
+
 @query("SELECT item_id % 3 AS gold_id, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY item_id)) AS set_hash FROM {benchmark} GROUP BY 1")
 def goldset_hash(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.ordered_hash(relation(spark, d, "benchmark").withColumn("gold_id", F.col("item_id") % 3), "gold_id", "item_id", "text")

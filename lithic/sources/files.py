@@ -198,11 +198,14 @@ def ontology_faults(df: DataFrame) -> DataFrame:
 
 
 def blob_rows(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Content-addressed blobs to write: key tenant/first two/hash, once each; a declared hash that doesn't fit is an error row."""
+    """Content-addressed blobs to write: key tenant/first two/hash, once each, unless it exists. A declared hash that doesn't fit makes an error row (mismatch) beside them, once for
+    each such hash; what is declared wrongly doesn't keep the same content from being written for others."""
     digest = F.sha2("content", 256)
     rows = items.withColumn("hash", digest).withColumn("key", F.concat_ws("/", "tenant_id", F.substring("hash", 1, 2), "hash"))
-    rows = rows.withColumn("mismatch", F.coalesce(F.col("declared_hash") != F.col("hash"), F.lit(False))).dropDuplicates(["key"])
-    return rows if existing is None else rows.join(existing.select("key"), "key", "left_anti")
+    rows = rows.withColumn("mismatch", F.coalesce(F.col("declared_hash") != F.col("hash"), F.lit(False)))
+    good = rows.filter(~F.col("mismatch")).dropDuplicates(["key"])
+    good = good if existing is None else good.join(existing.filter(~F.col("mismatch")).select("key") if "mismatch" in existing.columns else existing.select("key"), "key", "left_anti")
+    return good.select(*rows.columns).unionByName(rows.filter("mismatch").dropDuplicates(["key", "declared_hash"]))
 
 
 def usage_written(usage: DataFrame, path: str) -> None:

@@ -144,7 +144,10 @@ def test_permission_grants(spark):
 def test_blobs(spark):
     items = spark.createDataFrame([("t", bytearray(b"a"), None), ("t", bytearray(b"a"), None), ("t", bytearray(b"b"), "wrong")], "tenant_id string, content binary, declared_hash string")
     rows = files.blob_rows(items)
-    assert rows.count() == 2 and rows.filter("mismatch").count() == 1 and files.blob_rows(items, rows).count() == 0
+    assert rows.count() == 2 and rows.filter("mismatch").count() == 1 and files.blob_rows(items, rows).filter("NOT mismatch").count() == 0
+    both = spark.createDataFrame([("t", bytearray(b"a"), "wrong"), ("t", bytearray(b"a"), None), ("t", bytearray(b"a"), "wrong")], items.schema)
+    assert sorted(r.mismatch for r in files.blob_rows(both).collect()) == [False, True]
+    assert files.blob_rows(both, files.blob_rows(both).filter("mismatch")).filter("NOT mismatch").count() == 1
 
 
 NOW = datetime(2024, 1, 20, 12)

@@ -1,13 +1,15 @@
 """Indexes that are kept between queries: inverted lists of vectors by k-means cell, and of passages by term.
 
-Both are bucketed tables of lists. A list has a number, made of its cell or term and a shard; a cell or term with more than `LIST_ROWS`
-rows is dealt over as many shards as that takes, so no list, bucket or task grows with a hot one. A query computes the numbers of the
+Both are bucketed tables of lists. A list has a number, made of its cell or its bucket of terms and a shard; what has more than `LIST_ROWS`
+vectors or postings is dealt over as many shards as that takes, so no list, bucket or task grows with a hot one. A query computes the numbers of the
 lists that it needs and filters on them, and the scan skips all other buckets.
 """
 
 from __future__ import annotations
 
 import functools
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from lithic.operators.retrieval import hash_blocks, ranked
 LIST_ROWS = 50_000
 #: Passages whose postings are packed together.
 SEGMENT = 20_000
+#: Terms are dealt over so many buckets; a search decodes those of its terms.
+TERM_BUCKETS = 4096
 #: Vectors that the cells are fitted on, whatever the size of the table, and rounds of the fit.
 SAMPLE, FIT_ROUNDS = 20_000, 12
 MAX_CELLS = 1024
@@ -199,36 +203,74 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 PASSAGE = ("chunk_id", "document_id", "tenant_id", "content")
 
 
+def packed_postings(terms: list[str], sizes: np.ndarray, ids: np.ndarray, tfs: np.ndarray) -> bytes:
+    """Postings of some terms in few bytes: sizes[k] postings of terms[k], as ids in ascending order and counts."""
+    steps = np.diff(ids, prepend=0)
+    text = "\n".join(terms).encode()
+    return zlib.compress(struct.pack("<II", len(text), len(sizes)) + text + sizes.astype("<u4").tobytes() + steps.astype("<i8").tobytes() + tfs.astype("<u4").tobytes(), 6)
+
+
+def unpacked_postings(blob: bytes, wanted: set[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    data = zlib.decompress(blob)
+    size, n = struct.unpack_from("<II", data)
+    terms = data[8 : 8 + size].decode().split("\n")
+    sizes = np.frombuffer(data, "<u4", n, 8 + size).astype(np.int64)
+    total, at = int(sizes.sum()), 8 + size + 4 * n
+    ids, tfs = np.frombuffer(data, "<i8", total, at).cumsum(), np.frombuffer(data, "<u4", total, at + 8 * total)
+    ends = sizes.cumsum()
+    for k, term in enumerate(terms):
+        if term in wanted:
+            yield term, ids[ends[k] - sizes[k] : ends[k]], tfs[ends[k] - sizes[k] : ends[k]]
+
+
 def segments(passages: DataFrame) -> DataFrame:
-    """passages: chunk_id, terms. Packed postings of every `SEGMENT` passages of a task: segment, term, n, ids, tfs. Nothing is shuffled."""
+    """passages: chunk_id, terms. Packed postings of every `SEGMENT` passages of a task, by bucket of terms: segment, bucket, n, postings. Nothing is shuffled."""
 
-    def packed(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         ids = t.column(0).combine_chunks().to_numpy(zero_copy_only=False)
         lists = t.column(1).combine_chunks()
         row = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         words = lists.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        bucket_of = np.array([zlib.crc32(w.encode()) % TERM_BUCKETS for w in names], np.int64)
         pair, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + row, return_counts=True)
-        code, heads = np.unique(pair // len(ids), return_index=True)
-        edges = np.append(heads, len(pair)).astype(np.int32)
-        chunks, tf = ids[pair % len(ids)], tf.astype(np.int32)
-        for a in range(0, len(code), 50_000):
-            b = min(a + 50_000, len(code))
-            part, offsets = slice(edges[a], edges[b]), pa.array(edges[a : b + 1] - edges[a])
-            columns = [pa.array(np.full(b - a, ids[0])), words.dictionary.take(pa.array(code[a:b])), pa.array(np.diff(edges[a : b + 1])), pa.ListArray.from_arrays(offsets, pa.array(chunks[part])), pa.ListArray.from_arrays(offsets, pa.array(tf[part]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["segment", "term", "n", "ids", "tfs"])
+        code, chunk = pair // len(ids), ids[pair % len(ids)]
+        order = np.lexsort((chunk, code, bucket_of[code]))
+        code, chunk, tf = code[order], chunk[order], tf[order]
+        buckets, heads = np.unique(bucket_of[code], return_index=True)
+        blobs, sizes = [], np.diff(np.append(heads, len(code)))
+        for a, n in zip(heads, sizes, strict=True):
+            own, at, each = np.unique(code[a : a + n], return_index=True, return_counts=True)
+            blobs.append(packed_postings([names[c] for c in own[np.argsort(at)]], each[np.argsort(at)], chunk[a : a + n], tf[a : a + n]))
+        columns = [pa.array(np.full(len(buckets), ids[0])), pa.array(buckets.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "bucket", "n", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[pa.RecordBatch] = []
         for batch in batches:
             got += [batch] if batch.num_rows else []
             if sum(b.num_rows for b in got) >= SEGMENT:
-                yield from packed(got)
+                yield packed(got)
                 got = []
         if got:
-            yield from packed(got)
+            yield packed(got)
+
+    return passages.mapInArrow(run, "segment long, bucket int, n int, postings binary")
+
 
-    return passages.mapInArrow(run, "segment long, term string, n int, ids array<long>, tfs array<int>")
+def postings_of(packed: DataFrame, terms: list[str]) -> DataFrame:
+    """packed: version, postings. The postings of a few terms: version, term, chunk_id, tf."""
+    wanted = set(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for version, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term, ids, tfs in unpacked_postings(blob, wanted):
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, version, np.int32)), pa.array([term] * n), pa.array(ids), pa.array(tfs.astype(np.int32))], names=["version", "term", "chunk_id", "tf"])
+
+    return packed.mapInArrow(run, "version int, term string, chunk_id long, tf int")
 
 
 class PassageIndex:
@@ -239,7 +281,7 @@ class PassageIndex:
     """
 
     TEXTS = "content_hash string, embedding array<float>, norm double"
-    POSTINGS = "list_id long, term string, version int, ids array<long>, tfs array<int>"
+    POSTINGS = "list_id long, version int, postings binary"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -247,7 +289,8 @@ class PassageIndex:
         self.texts = BucketedTable(spark, "passage_texts", self.TEXTS, "content_hash", at("texts"), buckets)
         self.postings = BucketedTable(spark, "passage_postings", self.POSTINGS, "list_id", at("postings"), buckets)
         self.current: DataFrame | None = None  # chunk_id, document_id, tenant_id, content_hash, version
-        self.lexicon: DataFrame | None = None  # term, df, shards
+        self.shards: dict[int, int] = {}  # by bucket of terms
+        self.sizes: dict[int, int] = {}
         self.version = 0
 
     def update(self, passages: DataFrame) -> int:
@@ -263,37 +306,36 @@ class PassageIndex:
         vectors = texts.select("content_hash", hashed_embedding(search_terms(F.coalesce("content", F.lit("")))).alias("embedding"))
         self.texts.append(vectors.withColumn("norm", norm(F.col("embedding"))))
         counts = stored(segments(new.select("chunk_id", search_terms(F.coalesce("content", F.lit(""))).alias("terms"))), "postings-new")
-        seen = counts.groupBy("term").agg(F.sum("n").alias("df"))
-        seen = seen if self.lexicon is None else seen.unionByName(self.lexicon.select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
-        lexicon = stored(seen.withColumn("shards", F.ceil(F.col("df") / LIST_ROWS).cast("int")), "lexicon")
-        hot = lexicon.filter("shards > 1").select("term", "shards")  # at most one term for each LIST_ROWS postings
-        dealt = counts.join(hot, "term", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-        number = list_number(F.col("term"), shard_of(F.col("segment"), F.col("shards")))
-        self.postings.append(dealt.select(number.alias("list_id"), "term", F.lit(self.version).alias("version"), "ids", "tfs"))
         fresh = new.select("chunk_id", "document_id", "tenant_id", "content_hash", F.lit(self.version).alias("version"))
-        if self.current is None:
-            current, old = fresh, []
-        else:
-            stay = self.current.join(hashed.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi")
-            current, old = stay.select(*fresh.columns).unionByName(fresh), [self.current, self.lexicon]
-        current = stored(current, "passages-current")
-        self.current, self.lexicon, n = current, lexicon, new.count()
-        discard(new, counts, *old)
+        before = self.current
+        if before is not None:
+            stay = before.join(hashed.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi")
+            fresh = stay.select(*fresh.columns).unionByName(fresh)
+        self.current, n = stored(fresh, "passages-current"), new.count()
+        discard(new, *([before] if before is not None else []))  # the texts aren't needed any more
+        for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each of TERM_BUCKETS
+            self.sizes[r.bucket] = self.sizes.get(r.bucket, 0) + r.n
+            self.shards[r.bucket] = -(-self.sizes[r.bucket] // LIST_ROWS)
+        hot = {b: k for b, k in self.shards.items() if k > 1}
+        shards = F.coalesce(F.get(F.array(*[F.lit(hot.get(b, 1)) for b in range(TERM_BUCKETS)]), F.col("bucket")), F.lit(1))
+        number = list_number(F.col("bucket"), shard_of(F.col("segment"), shards))
+        self.postings.append(counts.select(number.alias("list_id"), F.lit(self.version).alias("version"), "postings"))
+        discard(counts)
         return n
 
     def term_lists(self, terms: list[str]) -> list[int]:
-        """The numbers of the lists of a few terms."""
-        known = self.lexicon.filter(F.col("term").isin(terms)).select("term", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-        return [r.n for r in known.select(list_number(F.col("term"), F.col("shard")).alias("n")).collect()]
+        """The numbers of the lists that hold a few terms."""
+        buckets = {zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms}
+        pairs = [(b, k) for b in buckets for k in range(self.shards.get(b, 0))]
+        return [r.n for r in self.spark.createDataFrame(pairs, "bucket int, shard int").select(list_number(F.col("bucket"), F.col("shard")).alias("n")).collect()] if pairs else []
 
     def terms_of(self, query: str) -> list[str]:
         return sorted(set(self.spark.range(1).select(search_terms(F.lit(query)).alias("t")).first().t))
 
     def found(self, terms: list[str]) -> DataFrame:
         """Current postings of a few terms: chunk_id, document_id, term, tf. The scan reads the buckets of their lists only."""
-        lists = self.postings.rows().filter(F.col("list_id").isin(self.term_lists(terms)) & F.col("term").isin(terms))
-        rows = lists.select("term", "version", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("term", "version", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"))
-        return rows.join(self.current.select("chunk_id", "version", "document_id"), ["chunk_id", "version"])
+        lists = self.postings.rows().filter(F.col("list_id").isin(self.term_lists(terms))).select("version", "postings")
+        return postings_of(lists, terms).join(self.current.select("chunk_id", "version", "document_id"), ["chunk_id", "version"])
 
     def keywords(self, query: str, k: int, visible: DataFrame | None = None) -> DataFrame:
         """The k passages of greatest keyword rank that have all terms of the query: id, score, rank. visible: document_id of what may be found."""
@@ -320,4 +362,5 @@ class PassageIndex:
     def drop(self) -> None:
         self.texts.drop()
         self.postings.drop()
-        discard(*[x for x in (self.current, self.lexicon) if x is not None])
+        if self.current is not None:
+            discard(self.current)

@@ -277,7 +277,7 @@ class PassageIndex:
     """Passages (chunk_id, document_id, tenant_id, content) with their embeddings and postings, brought up to date by content hash.
 
     `update` takes the passages as they are now. Those whose content it has are left alone; for new or changed ones vectors and postings of a new version
-    are appended, and what is gone or changed no longer counts, as a search only takes rows that the list of current passages names. Equal contents are embedded once.
+    are appended, and what is gone or changed no longer counts, as a search only takes rows that the list of current passages names. A content's vector is kept once.
     """
 
     TEXTS = "content_hash string, embedding array<float>, norm double"
@@ -302,8 +302,9 @@ class PassageIndex:
         else:
             new = hashed.join(self.current.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
         new = stored(new.repartition("chunk_id"), "passages-new")
-        texts = new.groupBy("content_hash").agg(F.first("content").alias("content")).join(self.texts.rows().select("content_hash"), "content_hash", "left_anti")
-        vectors = texts.select("content_hash", hashed_embedding(search_terms(F.coalesce("content", F.lit("")))).alias("embedding"))
+        # contents are embedded where they are, so that vectors are shuffled and texts aren't
+        vectors = new.select("content_hash", hashed_embedding(search_terms(F.coalesce("content", F.lit("")))).alias("embedding")).groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
+        vectors = vectors.join(self.texts.rows().select("content_hash"), "content_hash", "left_anti")
         self.texts.append(vectors.withColumn("norm", norm(F.col("embedding"))))
         counts = stored(segments(new.select("chunk_id", search_terms(F.coalesce("content", F.lit(""))).alias("terms"))), "postings-new")
         fresh = new.select("chunk_id", "document_id", "tenant_id", "content_hash", F.lit(self.version).alias("version"))

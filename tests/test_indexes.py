@@ -49,6 +49,27 @@ def test_keyword_index_equals_a_scan(spark, passages):
     built.drop()
 
 
+def test_words_as_they_are(spark):
+    texts = ["erent inging", "erent ing ing", "Erent ING", "erents ing", "erented erent inged ing"]
+    rows = spark.createDataFrame([(i, i, "t0", t) for i, t in enumerate(texts)], PASSAGES)
+    built = index.PassageIndex(spark, terms=fx.plain_terms)
+    built.update(rows)
+    scanned = as_rows(retrieval.keyword_topk(rows, "erent ing", 40, "chunk_id", "content", fx.plain_terms))
+    assert as_rows(built.keywords("erent ing", 40)) == scanned == [(1, round(7 / 12, 9), 1), (2, 0.5, 2), (4, 0.5, 3)]
+    assert len(as_rows(retrieval.keyword_topk(rows, "erent ing", 40, "chunk_id", "content"))) == 5
+    built.drop()
+
+
+def test_keyword_queries_count_no_stems(spark, tmp_path):
+    docs = [(1, "erent inging", 0), (2, "erent ing", 0), (3, "ththes inth", 0), (4, "ththe inth", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("passage_keywords", "keyword_index"):
+        assert [r.id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == [200000]
+    assert [r.id for r in queries.keyword_search(spark, str(tmp_path)).collect()] == [4]
+
+
 def test_only_the_terms_buckets_are_read(spark, passages):
     built = index.PassageIndex(spark, buckets=16)
     built.update(passages)

@@ -1,16 +1,19 @@
 """Behaviours of single operators."""
 
 import difflib
+import random
 import re
+import time
 from collections import Counter
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithic.functions import text as fx
 from lithic.functions import registry
-from lithic.functions.vector import hashed_embedding
+from lithic.functions.vector import cosine, hashed_embedding
 from lithic.operators import evaluation, extraction, facts, ingest, promotion, resolution, retrieval
 from lithic.operators.gate import Gate, Param, Principal, TemplateError, check_template, coerced
 from lithic.plans.catalog import Composite, Step, UnknownOperation, base_catalog
@@ -369,6 +372,58 @@ def test_gold_ranks_are_the_ranking_s(spark, sf_dir):
         assert got and got == {k: whole[k] for k in got} and len(got) == gold.join(items, F.col("id") == F.col("vec_id")).count()
 
 
+def test_searches_in_blocks_give_spark_s_own_numbers(spark, monkeypatch):
+    """Copies, zero, null and shorter vectors among items that are dealt over many blocks, against a join in Spark."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
+    r = random.Random(5)
+    vectors = [[r.uniform(-1, 1) for _ in range(7)] for _ in range(25)]
+    rows = [(i, i % 3, vectors[i % 25]) for i in range(90)] + [(90, 0, [0.0] * 7), (91, 1, None), (92, 1, [1.0, None, *vectors[0][2:]]), (93, 2, [1.0, 2.0]), (94, None, vectors[0])]
+    items = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    queries = items.filter("vec_id % 10 IN (0, 1)")
+    pairs = queries.select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("v")).crossJoin(items).withColumn("score", cosine(F.col("embedding"), F.col("v")))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda df, k: sorted((x.q, x.vec_id, x.score is None or x.score, x.n) for x in df.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).collect())
+    found = lambda df: sorted((x.query_id, x.id, x.score is None or x.score, x["rank"]) for x in df.collect())
+    m = queries.select(F.col("vec_id").alias("mention_id"), F.col("label").cast("string").alias("entity_type"), "embedding")
+    e = items.select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("entity_type"), "embedding")
+    gold = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.array([F.lit(x).cast("long") for x in (0, 25, 50, 3, 77, 90)])).alias("id"))
+    for most in (20_000, 4):
+        for k in (3, 200):
+            assert found(retrieval.nearest_elsewhere(items, queries, k, max_queries=most)) == ranked(pairs.filter("label <> ql"), k)
+            got = resolution.ann_block(m, e, k, max_mentions=most).selectExpr("mention_id AS query_id", "entity_id AS id", "cosine AS score", "rank")
+            assert found(got) == ranked(pairs.filter("label = ql AND score IS NOT NULL"), k)
+        want = {(q, i): n for q, i, _, n in ranked(pairs.filter("score IS NOT NULL"), 1000)}
+        got = {(x.query_id, x.id): x["rank"] for x in retrieval.gold_ranks(items, queries, gold, max_queries=most).collect()}
+        assert got == {(x.query_id, x.id): want[x.query_id, x.id] for x in gold.collect() if (x.query_id, x.id) in want} and len(got) > 50
+
+
+def test_searches_multiply_matrices_in_tasks(spark, sf_dir):
+    """No pair of vectors is a row of a join."""
+    items = relation(spark, sf_dir, "embeddings").withColumn("entity_type", F.col("label").cast("string"))
+    q = items.filter("vec_id % 20 = 0")
+    gold = q.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("id"))
+    m, e = q.withColumnRenamed("vec_id", "mention_id"), items.withColumnRenamed("vec_id", "entity_id")
+    for df in (retrieval.nearest_elsewhere(items, q), resolution.ann_block(m, e), retrieval.gold_ranks(items, q, gold)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_intervals_draw_as_the_generator_does():
+    r = random.Random(3)
+    for n in (1, 2, 7, 64, 1000):
+        values = [r.choice((0.0, 1.0, r.random())) for _ in range(n)]
+        rng = random.Random(11)
+        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(50))
+        assert evaluation.bootstrap_interval(values, 50, 11) == (means[1], means[48])
+
+
+def test_intervals_of_many_items_take_seconds():
+    at = time.process_time()
+    assert evaluation.bootstrap_interval([0.0, 1.0, 1.0] * 10_000)[0] < 2 / 3
+    assert time.process_time() - at < 5  # ten seconds and more, draw by draw
+
+
 def test_large_runs_are_bootstrapped_in_blocks(spark):
     rows = spark.createDataFrame([(r, i, float(i % 10 == 0)) for r, n in ((0, 400), (1, 2000)) for i in range(n)], "run int, query_id long, value double")
     got = {r.run: r for r in evaluation.bootstrap(rows, max_items=500).collect()}

@@ -424,6 +424,20 @@ def test_intervals_of_many_items_take_seconds():
     assert time.process_time() - at < 5  # ten seconds and more, draw by draw
 
 
+def test_chunks_are_handed_on_in_small_parts(spark, monkeypatch):
+    """What a task holds is bounded, whatever rows a batch brings: many documents, or one of many chunks."""
+    docs = spark.createDataFrame([(i, f"# t{i}\n" + "word " * (40 * i)) for i in range(30)] + [(30, None), (31, "")], "doc_id long, text string").coalesce(1)
+    batch = docs.toArrow().combine_chunks().to_batches()
+    whole = ingest.chunked(docs, 50, 200)
+    monkeypatch.setattr(ingest, "HELD_CHARS", 3_000)
+    monkeypatch.setattr(ingest, "READ_ROWS", 5)
+    parts = list(ingest.chunker(50, 200, 0.15, True)(iter(batch)))
+    sizes = [sum(map(len, b.column("content").to_pylist())) for b in parts]
+    assert len(sizes) > 20 and max(sizes) < 3_000 + 5 * 200
+    assert sorted(str(tuple(r.values())) for b in parts for r in b.to_pylist()) == sorted(str(tuple(r)) for r in whole.collect())
+    assert sorted(map(str, ingest.chunked(docs, 50, 200, content=False).collect())) == sorted(map(str, whole.withColumn("content", F.lit(None).cast("string")).collect()))
+
+
 def test_large_runs_are_bootstrapped_in_blocks(spark):
     rows = spark.createDataFrame([(r, i, float(i % 10 == 0)) for r, n in ((0, 400), (1, 2000)) for i in range(n)], "run int, query_id long, value double")
     got = {r.run: r for r in evaluation.bootstrap(rows, max_items=500).collect()}

@@ -145,35 +145,39 @@ def leakage(pairs: DataFrame, query: str, passage: str, limit: float = MAX_LEAKA
     return pairs.withColumn("jaccard", token_jaccard(F.col(query), F.col(passage))).withColumn("clean", F.col("jaccard") < limit)
 
 
-def numbered(rows: DataFrame, *order: str, bounds: int = 200) -> DataFrame:
-    """Distinct rows with their place in a total order, from 1, so that no task sorts them all.
-
-    Ranges are cut at some `bounds` rows that a hash picks, so that they are the same whenever they are computed.
-    """
-    key = F.struct(*order)
-    step = max(rows.count() // bounds, 1)
-    cuts = sorted(rows.filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).select(*order).collect()) if step > 1 else []  # some `bounds` rows
-    at = F.lit(0)
-    if cuts:
-        at = F.size(F.filter(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(cut, order, strict=True)]) for cut in cuts]), lambda cut: cut <= key))
-    placed = rows.withColumn("range", at)
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Distinct rows with their place in a total order, from 1, so that no task sorts them all. They are dealt over ranges and written out once."""
+    # the ranges follow a sample, so they are written down before anything is counted
+    placed = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("range").agg(F.count("*").alias("size"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") < F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("base"))
     placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
     return placed.join(F.broadcast(before), "range").withColumn("place", F.col("k") + F.col("base")).drop("range", "k", "base")  # one row per range
 
 
+#: Names whose next ones are looked up in one window.
+WINDOW_ROWS = 20_000
+
+
 def match_pairs(entities: DataFrame, neighbours: int = 20) -> DataFrame:
     """Labelled name pairs over the distinct names of each type: each name with two corruptions of it (match), and with the names with the
-    same first word that are among the `neighbours` next ones in order (hard non-match), so all pairs of up to neighbours + 1 names."""
+    same first word that are among the `neighbours` next ones in order (hard non-match), so all pairs of up to neighbours + 1 names.
+
+    Names go in windows of `WINDOW_ROWS` places, each with the first `neighbours` of the next, so a name is shuffled about once and not once for each pair.
+    """
     first = F.lower(F.get(F.split(F.trim("name"), r"\s+"), F.lit(0)))
-    names = entities.filter("name IS NOT NULL AND entity_type IS NOT NULL").select("entity_type", first.alias("first"), "name").distinct()
+    names = stored(entities.filter("name IS NOT NULL AND entity_type IS NOT NULL").select("entity_type", first.alias("first"), "name").distinct(), "names")
     kind = F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.pmod(F.xxhash64("name") + i, F.lit(3))))
     positive = names.select("name", "entity_type", kind.alias("kind")).select(F.col("name").alias("left_name"), corrupted_name(F.col("name"), F.col("kind")).alias("right_name"), "entity_type", F.lit(True).alias("match"))
-    placed = numbered(names, "entity_type", "first", "name")
-    left = placed.select("entity_type", "first", F.col("name").alias("left_name"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + neighbours)).alias("place"))
-    negative = left.join(placed.withColumnRenamed("name", "right_name"), ["place", "entity_type", "first"])
-    return positive.unionByName(negative.select("left_name", "right_name", "entity_type", F.lit(False).alias("match")))
+    size = max(WINDOW_ROWS, neighbours)
+    block, at = F.floor((F.col("place") - 1) / size), F.pmod(F.col("place") - 1, F.lit(size))
+    placed = numbered(names, "entity_type", "first", "name").withColumns({"block": F.array(block), "own": block})
+    placed = placed.withColumn("block", F.explode(F.when((at < neighbours) & (F.col("own") > 0), F.array("own", F.col("own") - 1)).otherwise(F.col("block"))))
+    after = Window.partitionBy("block").orderBy("place").rowsBetween(1, neighbours)
+    alike = lambda x: (x["entity_type"] == F.col("entity_type")) & (x["first"] == F.col("first"))
+    left = placed.withColumn("next", F.collect_list(F.struct("entity_type", "first", "name")).over(after)).filter("block = own")
+    negative = left.select(F.col("name").alias("left_name"), F.explode(F.filter("next", alike)).alias("right"), "entity_type")
+    return positive.unionByName(negative.select("left_name", F.col("right.name").alias("right_name"), "entity_type", F.lit(False).alias("match")))
 
 
 def gold_sample(items: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -438,6 +438,23 @@ def test_chunks_are_handed_on_in_small_parts(spark, monkeypatch):
     assert sorted(map(str, ingest.chunked(docs, 50, 200, content=False).collect())) == sorted(map(str, whole.withColumn("content", F.lit(None).cast("string")).collect()))
 
 
+def test_name_pairs_reach_across_windows(spark, monkeypatch):
+    """Windows smaller than the names; no pair is a row of a join."""
+    monkeypatch.setattr(evaluation, "WINDOW_ROWS", 7)
+    rows = [("A", f"x {i:03d}") for i in range(40)] + [("B", f"x {i:03d}") for i in range(9)] + [("A", f"y {i}") for i in range(3)]
+    df = evaluation.match_pairs(spark.createDataFrame(rows, "entity_type string, name string"), 5)
+    got = Counter((r.entity_type, r.left_name, r.right_name) for r in df.filter("NOT match").collect())
+    want = {(t, a, b) for t, a in rows for b in [n for u, n in sorted(rows) if u == t and n > a and n[0] == a[0]][:5]}
+    assert set(got) == want and set(got.values()) == {1}
+    assert "explode(sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_short_walk_sorts_no_table(spark, sf_dir):
+    """The entities and edges are neither shuffled nor sorted for a few ends."""
+    plan = facts.neighbors(gate(spark, sf_dir), 1_000_000_007, depth=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Scan parquet") <= 2
+
+
 def test_large_runs_are_bootstrapped_in_blocks(spark):
     rows = spark.createDataFrame([(r, i, float(i % 10 == 0)) for r, n in ((0, 400), (1, 2000)) for i in range(n)], "run int, query_id long, value double")
     got = {r.run: r for r in evaluation.bootstrap(rows, max_items=500).collect()}

@@ -145,10 +145,10 @@ def leakage(pairs: DataFrame, query: str, passage: str, limit: float = MAX_LEAKA
     return pairs.withColumn("jaccard", token_jaccard(F.col(query), F.col(passage))).withColumn("clean", F.col("jaccard") < limit)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Distinct rows with their place in a total order, from 1, so that no task sorts them all. They are dealt over ranges and written out once."""
+def numbered(rows: DataFrame, *order: str, bounds: int = 200) -> DataFrame:
+    """Distinct rows with their place in a total order, from 1, so that no task sorts them all. They are dealt over some `bounds` ranges and written out once."""
     # the ranges follow a sample, so they are written down before anything is counted
-    placed = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    placed = stored(rows.repartitionByRange(max(bounds, 1), *order).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("range").agg(F.count("*").alias("size"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") < F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("base"))
     placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy(*order)))

@@ -567,3 +567,35 @@ def test_best_of_name_and_aliases(spark):
     m = spark.createDataFrame([(9, "t", "A", "OMEGA TRADING"), (10, "t", "A", None), (11, "t", "A", "")], "mention_id long, tenant_id string, entity_type string, surface string")
     got = {(r.mention_id, r.entity_id): r.similarity for r in resolution.trigram_block(m, e, 0.5).collect()}
     assert set(got) == {(9, 1), (9, 2)} and got[9, 1] == 1.0 and got[9, 2] < 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_that_are_all_alike_meet_in_bounded_groups(spark, sf_dir, monkeypatch):
+    block = lambda: QUERIES["trigram_floor_block"](spark, sf_dir)
+    assert "FlatMapCoGroupsInArrow" in plan_of(block())
+    want = sorted(block().collect())
+    monkeypatch.setattr(resolution, "MENTION_ROWS", 7)
+    monkeypatch.setattr(resolution, "GRAM_COLUMNS", 5)
+    assert sorted(block().collect()) == want
+    monkeypatch.setattr(resolution, "SPARSE", 1e9)  # by prefixes
+    assert sorted(block().collect()) == want
+
+
+@pytest.mark.parametrize("sparse", [0.0, 1e9])
+def test_pairs_of_copies_are_spread_last(spark, monkeypatch, sparse):
+    monkeypatch.setattr(resolution, "SPARSE", sparse)
+    e = [(k, "t", "A", ["Alpha Works", "Beta Works"][k % 2], ["Omega Trading", None] if k % 3 else None) for k in range(40)]
+    m = [(k, "t", "A", ["OMEGA trading", "alpha worker"][k % 2]) for k in range(30)] + [(90, None, "A", "Alpha Works"), (91, "t", None, "Alpha Works"), (92, "u", "A", "Alpha Works")]
+    entities = spark.createDataFrame(e, "entity_id long, tenant_id string, entity_type string, name string, aliases array<string>")
+    mentions = spark.createDataFrame(m, "mention_id long, tenant_id string, entity_type string, surface string")
+    grams = lambda name: {f"  {w} "[i : i + 3] for w in name.lower().split() for i in range(len(w) + 1)}
+    share = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    for aliases in (True, False):
+        found = resolution.trigram_block(mentions, entities if aliases else entities.drop("aliases"), 0.5)
+        assert "Aggregate [mention_id" not in plan_of(found)
+        want = {(a, b): max(share(s, x) for x in [name, *((own or []) if aliases else [])] if x) for a, _, _, s in m[:30] for b, _, _, name, own in e}
+        rows = found.collect()
+        assert len(rows) == len({r[:2] for r in rows}) and {(r.mention_id, r.entity_id): r.similarity for r in rows} == {k: v for k, v in want.items() if v >= 0.5}

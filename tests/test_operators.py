@@ -599,3 +599,21 @@ def test_pairs_of_copies_are_spread_last(spark, monkeypatch, sparse):
         want = {(a, b): max(share(s, x) for x in [name, *((own or []) if aliases else [])] if x) for a, _, _, s in m[:30] for b, _, _, name, own in e}
         rows = found.collect()
         assert len(rows) == len({r[:2] for r in rows}) and {(r.mention_id, r.entity_id): r.similarity for r in rows} == {k: v for k, v in want.items() if v >= 0.5}
+
+
+@pytest.mark.parametrize("name, tables", [("fact_projection", 1), ("fact_evidence", 2)])
+def test_what_facts_name_is_looked_up_by_ids(spark, sf_dir, name, tables):
+    found = {f.rpartition("/")[0].rpartition("/")[2] for f in QUERIES[name](spark, sf_dir).inputFiles()}
+    assert sum(f.startswith("named-") for f in found) == tables
+
+
+def test_staged_facts_of_all_facts(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    facts_ = rows([(k, "t", 1, "p", None, "x", None, None, None, 0.5, None, k + 10, 1, 2, "v", "e") for k in (1, 1, 2)], "fact_id long, tenant_id string, subject_id long, predicate string, object_id long, literal string, label string, valid_from timestamp_ntz, valid_to timestamp_ntz, confidence double, document_id long, chunk_id long, span_start int, span_end int, ontology string, extractor string")
+    entities = rows([(1, "t", "a", "A", None)], "entity_id long, tenant_id string, name string, entity_type string, label string")
+    pending = rows([(5, "t", 1, "pass", "review"), (6, "t", 1, "span_missing", "x"), (7, "t", 3, "pass", "x"), (8, "t", None, "pass", "x")], "pending_id long, tenant_id string, promoted_fact_id long, grounding string, status string")
+    chunks = rows([(11, "t", 77), (13, "t", 78)], "chunk_id long, tenant_id string, document_id long")
+    g = Gate(Principal("t"), rows([("r", "public")], "role string, label string"), {"facts": facts_, "entities": entities, "pending": pending, "chunks": chunks})
+    got = sorted((r.fact_id, str(r.grounding), r.state, r.document_id) for r in facts.fact_rows(g).collect())
+    assert got == sorted([(1, "pass", "under_review", 77), (1, "span_missing", "known_low_confidence", 77)] * 2 + [(2, "None", "known_confident", None)])
+    assert [(r.fact_id, r.grounding) for r in facts.fact_rows(g, dedupe=True).collect() if r.grounding] == [(1, "span_missing")] * 2

@@ -617,3 +617,8 @@ def test_staged_facts_of_all_facts(spark):
     got = sorted((r.fact_id, str(r.grounding), r.state, r.document_id) for r in facts.fact_rows(g).collect())
     assert got == sorted([(1, "pass", "under_review", 77), (1, "span_missing", "known_low_confidence", 77)] * 2 + [(2, "None", "known_confident", None)])
     assert [(r.fact_id, r.grounding) for r in facts.fact_rows(g, dedupe=True).collect() if r.grounding] == [(1, "span_missing")] * 2
+
+
+def test_dossier_projects_its_own_facts_only(spark, sf_dir):
+    found = {f.rpartition("/")[0].rpartition("/")[2] for f in QUERIES["entity_dossier_facts"](spark, sf_dir).inputFiles()}
+    assert any(f.startswith("dossier-") for f in found) and not any(f.startswith("named-") for f in found)

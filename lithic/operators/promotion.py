@@ -43,6 +43,7 @@ def promotable(pending: DataFrame, mentions: DataFrame, retracted: DataFrame, fa
     rows = rows.join(retracted.select("document_id"), "document_id", "left_anti")
     age = F.struct("effective_from", "ontology")
     newest = facts.filter("valid_to IS NULL").join(F.broadcast(ontologies), "ontology").groupBy("document_id").agg(F.max(age).alias("newest"))  # one row per ontology version
+    newest = stored(newest, "newest")
     rows = rows.join(F.broadcast(ontologies), "ontology", "left").withColumn("own", age).join(newest, "document_id", "left")
     return rows.filter(F.col("newest").isNull() | (F.col("newest") <= F.col("own"))).select(*pending.columns)
 
@@ -62,6 +63,7 @@ def cutover(facts: DataFrame, wave: DataFrame, prior: DataFrame, first_id: int,
     prior has (document_id, prior_document_id). A triple that a prior document's current fact already states keeps the least such fact; others
     are inserted, two equal ones of a wave each, with ids in order of pending_id; current facts of prior documents that the wave doesn't state again are superseded.
     """
+    prior = stored(prior, "prior")  # a few documents are sent to their many facts
     current = facts.filter("valid_to IS NULL").join(prior, facts.document_id == prior.prior_document_id).select(prior["document_id"].alias("document_id"), "fact_id", *[facts[c] for c in TRIPLE])
     least = current.groupBy("document_id", *TRIPLE).agg(F.min("fact_id").alias("kept_id"))
     w, p = wave.alias("w"), least.alias("p")
@@ -127,7 +129,8 @@ def superseded(facts: DataFrame, promoted: DataFrame, at: datetime) -> DataFrame
 
     A document's wave under exactly one ontology retires its current facts of other ontologies. If there are none and the wave has exactly one producer,
     it retires current facts of that ontology by the same extractor in another version. Versions are only compared for being the same.
-    Mixed waves retire nothing, and the wave's own facts always stay.
+    Mixed waves retire nothing, and the wave's own facts always stay. What is known of a wave's documents is put together and written out before it meets the facts,
+    once: no join has the many facts of other documents under one empty key, and a few documents are sent to the facts.
     """
     name, version = (F.split_part(F.col("extractor"), F.lit("/"), F.lit(k)) for k in (1, 2))
     wave = promoted.groupBy(F.col("document_id").alias("wave_document")).agg(
@@ -135,11 +138,13 @@ def superseded(facts: DataFrame, promoted: DataFrame, at: datetime) -> DataFrame
         F.min(name).alias("new_name"), F.min(version).alias("new_version"), F.count_distinct("extractor").alias("producers"),
     )
     own = promoted.select("fact_id").distinct().withColumn("own", F.lit(True))
-    joined = facts.join(wave, facts.document_id == wave.wave_document, "left").join(own, "fact_id", "left")
+    wave, own = stored(wave, "wave-documents"), stored(own, "wave-facts")
     old = F.col("valid_to").isNull() & F.col("own").isNull() & (F.col("ontologies") == 1)
     other = old & (F.col("ontology") != F.col("new_ontology"))
-    switched = joined.filter(other).select(F.col("document_id").alias("wave_document")).distinct().withColumn("switched", F.lit(True))
-    joined = joined.join(switched, "wave_document", "left")
+    within = facts.join(wave, facts.document_id == wave.wave_document).select("fact_id", "valid_to", "ontology", "wave_document", "ontologies", "new_ontology")
+    switched = within.join(own, "fact_id", "left").filter(other).select("wave_document").distinct().withColumn("switched", F.lit(True))
+    wave = stored(wave.join(switched, "wave_document", "left"), "wave-documents")
+    joined = facts.join(wave, facts.document_id == wave.wave_document, "left").join(own, "fact_id", "left")
     same = old & F.col("switched").isNull() & (F.col("producers") == 1) & (name == F.col("new_name")) & (version != F.col("new_version"))
     base = joined if "reason" in facts.columns else joined.withColumn("reason", F.lit(None).cast("string"))
     rows = retire(base, F.coalesce(other, F.lit(False)), at, "ontology_superseded")

@@ -622,3 +622,14 @@ def test_staged_facts_of_all_facts(spark):
 def test_dossier_projects_its_own_facts_only(spark, sf_dir):
     found = {f.rpartition("/")[0].rpartition("/")[2] for f in QUERIES["entity_dossier_facts"](spark, sf_dir).inputFiles()}
     assert any(f.startswith("dossier-") for f in found) and not any(f.startswith("named-") for f in found)
+
+
+def test_facts_of_other_documents_meet_a_wave_once(spark):
+    schema = "fact_id long, document_id long, ontology string, extractor string, valid_to timestamp_ntz, reason string"
+    rows = [(1, 1, "v1", "e/1"), (2, 1, "v2", "e/1"), (3, 2, "v2", "e/1"), (4, 2, "v2", "e/2"), (5, None, "v1", "e/1"), *[(k, 900, "v1", "e/1") for k in range(10, 40)]]
+    old = spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    wave = spark.createDataFrame([(1, 2, "v2", "e/1"), (2, 4, "v2", "e/2")], "document_id long, fact_id long, ontology string, extractor string")
+    after = promotion.superseded(old, wave, datetime(2024, 1, 1))
+    assert plan_of(after).count("Join LeftOuter") == 2
+    got = after.collect()
+    assert len(got) == len(rows) and {r.fact_id: r.reason for r in got if r.valid_to} == {1: "ontology_superseded", 3: "extractor_superseded"}

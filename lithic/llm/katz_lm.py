@@ -1,4 +1,4 @@
-"""Katz backoff language model of order two, built and evaluated as Spark jobs.
+"""Katz backoff language model of order two or three, built and evaluated as Spark jobs.
 
 All bigrams of the training texts, those seen once too, keep a Good-Turing discounted share of their history; what is left goes
 to the other words in proportion to their unigram probability, by a backoff weight that makes every history sum to one
@@ -22,12 +22,19 @@ that list. Counting and scoring both work on distinct words and bigrams of a chu
   from them needs are sums, at most two histories for each bucket, which are sent to the tasks.
 - To score, a chunk asks each bucket for its distinct bigrams and gets their counts and their histories' weights.
 
+Order three (`fit(..., order=3)`) takes the same step once more, on top of order two: P(w | u h) = d3(r) r / c(u h) for a trigram seen, else a(u h) P(w | h), with
+a(u h) = (1 - sum of P(v | u h)) / (1 - sum of P(v | h)) over the trigrams (u, h, v) seen; a history not seen has weight 1, and the first word of a text has one word of history.
+
+- `katz-second` holds the chunks with what order two answered about their bigrams, so trigrams bring along the counts that P(v | h) is made of.
+- `triples`, the table of order three, is dealt out like `pairs`, by a trigram's first two words; frequent pairs of these, by the whole trigram.
+
 Words are told apart by 64-bit hashes. Null texts are empty: one token, the end. Repeated rows are scored
 each. With nothing to train on every token is unknown. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +44,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import discard, lower_words, shared_dir, slices, stored
+from lithic.functions.storage import exists
+from lithic.llm.common import discard, lower_words, slices, stored
 
 TURING = 5
 CHUNK = 4_000_000
 HEAD_WORDS = 1_000_000
 BUCKET_TOKENS = 1_000_000
+PASSES = 2
 START, UNKNOWN = 0, 1  # ids that no word has
 END = 2  # stands for the end of a text among the words' hashes
 _ODD = 0x9E3779B97F4A7C15
@@ -90,11 +99,16 @@ def unpacked_floats(blob: bytes, n: int) -> np.ndarray:
 
 
 def answer(count: np.ndarray, c: np.ndarray, back: np.ndarray) -> bytes:
-    """Counts of the bigrams asked for, and denominators and backoff weights of their histories, in the order of the question."""
+    """Counts of the n-grams asked for, and denominators and backoff weights of their histories, in the order of the question."""
     parts = planes(count), planes(c)
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts) + floats(back)
 
 
+def only_needed(back: np.ndarray, count: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Backoff weights, 0 for histories whose n-grams, from `starts` on, have all been seen, which don't back off: zeros pack better."""
+    return np.where(np.minimum.reduceat(count, starts) == 0, back, 0.0) if len(starts) else back
+
+
 def answer_read(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = np.frombuffer(blob[:16], np.int64).tolist()
     c = unpacked(blob[16 + a : 16 + a + b])[0]
@@ -121,6 +135,7 @@ class Tokens:
     def __init__(self, frame: DataFrame, kind: str):
         self.frame, self.kind = frame, kind
         self.resolved: tuple[Vocabulary, DataFrame] | None = None  # the last vocabulary they were looked up in, and the result
+        self.second: tuple[Model, DataFrame] | None = None  # the last model whose order two they were looked up in, and the result
 
 
 def tokenised(docs: DataFrame, train: Column | None = None) -> Tokens:
@@ -238,6 +253,15 @@ class Split:
         at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1) if len(self.hot) else None
         return self.hot[at] == h if at is not None else np.zeros(len(h), bool)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        hot = F.array(*[F.lit(int(h)).cast("long") for h in self.hot]).cast("array<long>")
+        spark.range(1).select(F.lit(self.buckets).alias("buckets"), hot.alias("hot")).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Split:
+        row = spark.read.parquet(path).first()
+        return Split(row.buckets, np.array(row.hot, np.int64))
+
     def bucket(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         key = spread(np.where(self.is_hot(h), (spread(h) + w.view(np.uint64) * np.uint64(_ODD)).view(np.int64), h))
         return (key % np.uint64(self.buckets)).astype(np.int64)
@@ -284,6 +308,51 @@ class Bigrams:
             yield int(self.bucket[a]), slice(a, b)
 
 
+def history_keys(u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """One non-negative key for each pair of words."""
+    return pair_keys(u, v, most)[0] & np.int64(2**63 - 1)
+
+
+def runs(bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number of each row's run of equal histories in a bucket."""
+    return np.cumsum((np.diff(h, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0)) - 1
+
+
+class Trigrams:
+    """The distinct trigrams of a chunk's texts in order of bucket and history, above its `Bigrams`: `first` and `last` are the places of their two bigrams there, `key` their histories' keys."""
+
+    def __init__(self, split: Split, two: Bigrams, seen: np.ndarray, sizes: np.ndarray, most: int, chosen: np.ndarray | None = None):
+        before = np.empty_like(two.of)
+        before[1:] = two.of[:-1]
+        before[np.cumsum(sizes) - sizes] = -1
+        asks = (before >= 0) & (two.of >= 0) & np.append(seen, False)[before]  # histories that training hasn't seen have weight 1
+        if chosen is not None:
+            asks &= np.repeat(chosen, sizes)
+        h, last = before[asks], two.of[asks]
+        keys = history_keys(two.h, two.w, most)
+        by = np.unique(keys, return_inverse=True)[1]
+        bits = len(keys).bit_length()
+        inner, bucket = by[h] << bits | last, split.bucket(keys[h], two.w[last])
+        if 2 * bits + split.buckets.bit_length() < 64:
+            order = np.argsort(bucket << 2 * bits | inner)
+        else:
+            order = np.lexsort((inner, bucket))
+        inner, bucket = inner[order], bucket[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (inner[1:] != inner[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        self.of = np.full(len(two.of), -1, np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.of[asks] = place
+        self.times = np.diff(at, append=len(order))
+        self.bucket = bucket[at]
+        self.first, self.last = h[order][at], last[order][at]
+        self.key, self.w = keys[self.first], two.w[self.last]
+
+    parts = Bigrams.parts
+
+
 SUMS = TURING + 2  # bigrams seen 1 to TURING times, tokens of those seen more often, sum of c(w) + 1
 
 
@@ -306,12 +375,14 @@ class Weights:
         self.discount = np.array([1.0, *(d[r] for r in range(1, TURING + 1))])
         self.share = float(tokens + types + 1)
 
-    def of(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, sums: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """`lower`: what the seen words of each history come to at the order below; from the sums if that is order one."""
+        lower = sums[:, TURING + 1] / self.share if lower is None else lower
         r = np.arange(1, TURING + 1)
         c = sums[:, :TURING] @ r + sums[:, TURING]
         kept = sums[:, :TURING] @ (r * self.discount[1:]) + sums[:, TURING]
         c = c + (kept >= c * (1 - 1e-9))
-        return c, np.log10((1 - kept / c) / (1 - sums[:, TURING + 1] / self.share))
+        return c, np.log10((1 - kept / c) / (1 - lower))
 
     def kept(self, r: np.ndarray) -> np.ndarray:
         """log10 of the discounted count."""
@@ -324,8 +395,8 @@ class Weights:
 class Model:
     """A fitted model: its tables, the split of histories and the discounts."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: DataFrame, split: Split):
-        self.vocabulary, self.pairs, self.split = vocabulary, pairs, split
+    def __init__(self, vocabulary: Vocabulary, pairs: DataFrame, split: Split, third: Third | None = None):
+        self.vocabulary, self.pairs, self.split, self.third = vocabulary, pairs, split, third
         self.tokens, self.types = vocabulary.tokens, vocabulary.types
         row = pairs.agg(*[F.sum(F.col("seen")[k]).alias(f"n{k + 1}") for k in range(TURING + 1)]).first()
         self.weights = Weights(discounts({k + 1: row[k] or 0 for k in range(TURING + 1)}), self.tokens, self.types)
@@ -344,20 +415,41 @@ class Model:
 
         return self.pairs.select("bigrams").mapInArrow(run, "h long, w long, n long")
 
+    def frequent(self, buckets: int) -> np.ndarray:
+        """Keys of the bigrams that would fill half of one of so many buckets, as histories of trigrams: at most two for each bucket."""
+        tokens, most = self.tokens, self.vocabulary.last
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    step, w, r, _ = unpacked(blob)
+                    yield pa.RecordBatch.from_arrays([pa.array(history_keys(np.cumsum(step), w, most)[r * 2 * buckets >= tokens])], names=["h"])
+
+        return np.array([r.h for r in self.pairs.select("bigrams").mapInArrow(run, "h long").collect()], np.int64)
+
     def save(self, path: str) -> None:
         self.vocabulary.table.write.parquet(f"{path}/order=1")
         self.pairs.write.parquet(f"{path}/order=2")
         spark = self.pairs.sparkSession
-        spark.range(1).select(F.lit(self.split.buckets).alias("buckets"), F.array(*[F.lit(int(h)).cast("long") for h in self.split.hot]).cast("array<long>").alias("hot")).write.parquet(f"{path}/split")
+        self.split.save(spark, f"{path}/split")
+        if self.third:
+            self.third.triples.write.parquet(f"{path}/order=3")
+            self.third.split.save(spark, f"{path}/split3")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
-        split = spark.read.parquet(f"{path}/split").first()
-        return Model(Vocabulary(spark.read.parquet(f"{path}/order=1")), spark.read.parquet(f"{path}/order=2"), Split(split.buckets, np.array(split.hot, np.int64)))
+        model = Model(Vocabulary(spark.read.parquet(f"{path}/order=1")), spark.read.parquet(f"{path}/order=2"), Split.load(spark, f"{path}/split"))
+        if exists(spark, f"{path}/order=3"):
+            model.third = Third(model.weights, spark.read.parquet(f"{path}/order=3"), Split.load(spark, f"{path}/split3"))
+        return model
 
 
-def fit(tokens: Tokens, keep: bool = True) -> Model:
-    """Learn from the texts that `tokens` marks. Unless they are to be kept, the tokens' own table goes once their words are looked up; only this model can score them then."""
+def fit(tokens: Tokens, keep: bool = True, order: int = 2) -> Model:
+    """Learn from the texts that `tokens` marks, up to order two or three.
+
+    Unless they are to be kept, the tokens' own table goes once their words are looked up, and with order three the tables of orders one and two once
+    the tokens' bigrams are; only this model can score them then, and one of order three nothing else.
+    """
     spark, vocabulary = tokens.frame.sparkSession, vocabulary_of(tokens)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.tokens // BUCKET_TOKENS))
     hot = [r.id for r in vocabulary.table.filter(F.col("n") * 2 * buckets >= vocabulary.tokens).select("id").collect()]
@@ -393,14 +485,16 @@ def fit(tokens: Tokens, keep: bool = True) -> Model:
 
     pairs = ready.select("sizes", "train", "number", "n", "codes").mapInArrow(counted, "bucket long, blob binary")
     pairs = pairs.groupBy("bucket").applyInPandas(gathered, "bucket long, bigrams binary, seen array<long>, hot array<array<long>>")
-    return Model(vocabulary, stored(pairs, "katz-pairs"), split.value)
+    model = Model(vocabulary, stored(pairs, "katz-pairs"), split.value)
+    if order > 2:
+        model.third = third_of(tokens, model, keep)
+    return model
 
 
-def score(tokens: Tokens, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (log10) per row of the documents."""
-    ready, spark = model.vocabulary.resolved(tokens), tokens.frame.sparkSession
+def answers_of(ready: DataFrame, model: Model) -> DataFrame:
+    """What order two says about the chunks' bigrams: chunk, bucket, blob."""
     weights, most = model.weights, model.vocabulary.last
-    sent = spark.sparkContext.broadcast((model.split, model.hot))
+    sent = ready.sparkSession.sparkContext.broadcast((model.split, model.hot))
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,16 +524,32 @@ def score(tokens: Tokens, model: Model) -> DataFrame:
             wanted = pair_keys(h, w, most)[0]
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             count = np.where(keys[at] == wanted, r[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-            each = h[np.flatnonzero(np.diff(h, prepend=-1))]
-            at = np.searchsorted(known, each)
-            out.append(answer(count, c[at], back[at]))
+            starts = np.flatnonzero(np.diff(h, prepend=-1))
+            at = np.searchsorted(known, h[starts])
+            out.append(answer(count, c[at], only_needed(back[at], count, starts)))
         return pd.DataFrame({"chunk": asks.chunk, "bucket": key[0], "blob": out})
 
+    asks = ready.select("sizes", "number", "n", "codes", "chunk").mapInArrow(asking, "bucket long, chunk long, blob binary")
+    answers = asks.groupBy("bucket").cogroup(model.pairs.select("bucket", "bigrams").groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, blob binary")
+    return stored(answers, "katz-answers")
+
+
+def by_chunk(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+
+
+def score(tokens: Tokens, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score (log10) per row of the documents; a model of order three gives score_two, that of its order two, too."""
+    if model.third:
+        return score_third(tokens, model)
+    ready, weights = model.vocabulary.resolved(tokens), model.weights
+    sent = ready.sparkSession.sparkContext.broadcast(model.split)
+
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
                 codes = unpacked(batch.column(3)[k].as_py())[0]
-                got = Bigrams(sent.value[0], number, n, codes, sizes)
+                got = Bigrams(sent.value, number, n, codes, sizes)
                 answers = {x["bucket"]: x["blob"] for x in batch.column(4)[k].as_py() or ()}
                 value = np.empty(len(got.h))
                 for b, s in got.parts():
@@ -453,9 +563,167 @@ def score(tokens: Tokens, model: Model) -> DataFrame:
                 sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full)]
                 yield pa.RecordBatch.from_arrays([batch.column(5)[k].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    asks = ready.select("sizes", "number", "n", "codes", "chunk").mapInArrow(asking, "bucket long, chunk long, blob binary")
-    answers = asks.groupBy("bucket").cogroup(model.pairs.select("bucket", "bigrams").groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, blob binary")
-    answers = stored(answers, "katz-answers")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-    rows = ready.join(answers, "chunk", "left").select("sizes", "number", "n", "codes", "answers", "ids")
+    rows = ready.join(by_chunk(answers_of(ready, model)), "chunk", "left").select("sizes", "number", "n", "codes", "answers", "ids")
     return rows.mapInArrow(finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def second_of(tokens: Tokens, model: Model, keep: bool = True) -> DataFrame:
+    """The chunks with order two's answers about their bigrams in `two`, in the order of `Bigrams`. Unless `keep`, they take the place of the chunks without them and of order two."""
+    if tokens.second and tokens.second[0] is model:
+        return tokens.second[1]
+    ready = model.vocabulary.resolved(tokens)
+    sent = ready.sparkSession.sparkContext.broadcast(model.split)
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
+                got = Bigrams(sent.value, number, n, unpacked(batch.column(3)[k].as_py())[0], sizes)
+                answers = {x["bucket"]: x["blob"] for x in batch.column(4)[k].as_py() or ()}
+                parts = [answer_read(answers[b]) for b, _ in got.parts()] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                two = answer(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                same = [batch.column(c)[k].values for c in (5, 6)]
+                yield one_row(["chunk", "ids", "sizes", "train", "number", "n", "codes", "two"], [batch.column(7)[k].as_py(), same[0], sizes, same[1], number, n, batch.column(3)[k].as_py(), two])
+
+    answers = answers_of(ready, model)
+    if not keep:
+        discard(model.vocabulary.table, model.pairs)
+    rows = ready.join(by_chunk(answers), "chunk", "left").select("sizes", "number", "n", "codes", "answers", "ids", "train", "chunk")
+    schema = f"chunk long, ids array<{tokens.kind}>, sizes array<long>, train array<boolean>, number array<long>, n array<long>, codes binary, two binary"
+    tokens.second = model, stored(rows.mapInArrow(aligned, schema), "katz-second")
+    discard(answers)
+    if not keep:
+        tokens.resolved = None
+        discard(ready)
+    return tokens.second[1]
+
+
+class Third:
+    """The order three of a model: its table, the split of histories and the discounts."""
+
+    def __init__(self, below: Weights, triples: DataFrame, split: Split):
+        self.below, self.triples, self.split = below, triples, split
+        row = triples.agg(*[F.sum(F.col("seen")[k]).alias(f"n{k + 1}") for k in range(TURING + 1)]).first()
+        self.weights = Weights(discounts({k + 1: row[k] or 0 for k in range(TURING + 1)}), 0, 0)
+        hot = triples.select(F.explode("hot").alias("x")).groupBy("x.h").agg(*[F.sum(F.col("x.sums")[k]).alias(f"s{k}") for k in range(SUMS)], F.sum("x.lower").alias("lower"))
+        rows = hot.orderBy("h").collect()  # at most two for each bucket
+        sums = np.array([r[1 : SUMS + 1] for r in rows], np.int64).reshape(-1, SUMS)
+        self.hot = np.array([r.h for r in rows], np.int64), *self.weights.of(sums, np.array([r.lower for r in rows], float))
+
+
+def triple_sums(key: np.ndarray, r: np.ndarray, r2: np.ndarray, c2: np.ndarray, below: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histories in order, their sums and what their words come to at order two. Trigrams come in order of history."""
+    histories, sums = history_sums(key, r, np.full(len(key), -1))
+    return histories, sums, np.add.reduceat(10 ** (below.kept(r2) - np.log10(c2)), np.flatnonzero(np.diff(key, prepend=-1))) if len(key) else np.zeros(0)
+
+
+def third_of(tokens: Tokens, model: Model, keep: bool = True) -> Third:
+    below, most, lower_split, spark = model.weights, model.vocabulary.last, model.split, model.pairs.sparkSession
+    split = Split(lower_split.buckets, model.frequent(lower_split.buckets))
+    rows = second_of(tokens, model, keep)
+    sent = spark.sparkContext.broadcast((lower_split, split))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (sizes, learn, number, n) in enumerate(zip(*(lists(batch, c) for c in range(4)), strict=True)):
+                two = Bigrams(sent.value[0], number, n, unpacked(batch.column(4)[k].as_py())[0], sizes)
+                r2, c2, _ = answer_read(batch.column(5)[k].as_py())
+                c2 = c2[runs(two.bucket, two.h)]
+                got = Trigrams(sent.value[1], two, r2 > 0, sizes, most, learn.astype(bool))
+                out = [(b, planes(np.diff(got.key[s], prepend=0), got.w[s], got.times[s], r2[got.last[s]], c2[got.last[s]])) for b, s in got.parts()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "blob"])
+
+    def gathered(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpacked(b) for b in asked.blob]
+        h = np.concatenate([np.cumsum(p[0]) for p in parts])
+        w, times, r2, c2 = np.concatenate([p[1:] for p in parts], axis=1)
+        del parts
+        order = np.lexsort((w, h))
+        h, w, times, r2, c2 = h[order], w[order], times[order], r2[order], c2[order]
+        new = np.flatnonzero((np.diff(h, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+        h, w, r2, c2, r = h[new], w[new], r2[new], c2[new], np.add.reduceat(times, new)
+        seen = np.bincount(np.minimum(r, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
+        histories, sums, lower = triple_sums(h, r, r2, c2, below)
+        hot = sent.value[1].is_hot(histories)
+        rows = [{"h": int(a), "sums": b.tolist(), "lower": float(c)} for a, b, c in zip(histories[hot], sums[hot], lower[hot], strict=True)]
+        return pd.DataFrame({"bucket": [key[0]], "trigrams": [planes(np.diff(h, prepend=0), w, r, r2, c2)], "seen": [seen.tolist()], "hot": [rows]})
+
+    triples = rows.select("sizes", "train", "number", "n", "codes", "two").mapInArrow(counted, "bucket long, blob binary")
+    triples = triples.groupBy("bucket").applyInPandas(gathered, "bucket long, trigrams binary, seen array<long>, hot array<struct<h:long,sums:array<long>,lower:double>>")
+    return Third(below, stored(triples, "katz-triples"), split)
+
+
+def score_third(tokens: Tokens, model: Model) -> DataFrame:
+    """Scores by order three and order two, in `PASSES` passes over the chunks, so that only a share of the questions and answers is on disk at a time."""
+    rows, third, weights, most = second_of(tokens, model), model.third, model.weights, model.vocabulary.last
+    top, below = third.weights, third.below
+    sent = tokens.frame.sparkSession.sparkContext.broadcast((model.split, third.split, third.hot))
+
+    def grams(sizes: np.ndarray, number: np.ndarray, n: np.ndarray, codes: np.ndarray, two: bytes) -> tuple:
+        second, said = Bigrams(sent.value[0], number, n, codes, sizes), answer_read(two)
+        return second, said, Trigrams(sent.value[1], second, said[0] > 0, sizes, most)
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
+                got = grams(sizes, number, n, unpacked(batch.column(3)[k].as_py())[0], batch.column(4)[k].as_py())[2]
+                out = [(b, planes(np.diff(got.key[s], prepend=0), got.w[s])) for b, s in got.parts()]
+                chunk = np.full(len(out), batch.column(5)[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array(chunk), pa.array([r[1] for r in out], pa.binary())], names=["bucket", "chunk", "blob"])
+
+    def answered(key: tuple, asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        step, w, r, r2, c2 = unpacked(table.trigrams[0]) if len(table) else np.zeros((5, 0), np.int64)
+        h = np.cumsum(step)
+        histories, sums, lower = triple_sums(h, r, r2, c2, below)
+        _, split, (hot, *hot_weights) = sent.value
+        own = ~split.is_hot(histories)
+        c, back = top.of(sums[own], lower[own])
+        # a history that no text goes on from has weight 1
+        known, c, back = np.concatenate([histories[own], hot, [np.iinfo(np.int64).max]]), np.concatenate([c, hot_weights[0], [1]]), np.concatenate([back, hot_weights[1], [0.0]])
+        order = np.argsort(known)
+        known, c, back = known[order], c[order], back[order]
+        keys = pair_keys(h, w, 2**63)[0]
+        order = np.argsort(keys)
+        keys, r = keys[order], r[order]
+        out = []
+        for blob in asks.blob:
+            step, w = unpacked(blob)
+            h = np.cumsum(step)
+            wanted = pair_keys(h, w, 2**63)[0]
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            count = np.where(keys[at] == wanted, r[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+            starts = np.flatnonzero(np.diff(h, prepend=-1))
+            at = np.searchsorted(known, h[starts])
+            at = np.where(known[at] == h[starts], at, len(known) - 1)
+            out.append(answer(count, c[at], only_needed(back[at], count, starts)))
+        return pd.DataFrame({"chunk": asks.chunk, "bucket": key[0], "blob": out})
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
+                codes = unpacked(batch.column(3)[k].as_py())[0]
+                second, (r, c, back), got = grams(sizes, number, n, codes, batch.column(4)[k].as_py())
+                run = runs(second.bucket, second.h)
+                two = np.where(r > 0, weights.kept(r) - np.log10(c)[run], back[run] + weights.word(second.n))
+                answers = {x["bucket"]: x["blob"] for x in batch.column(5)[k].as_py() or ()}
+                three = np.empty(len(got.key))
+                for b, s in got.parts():
+                    r, c, back = answer_read(answers[b])
+                    of = runs(got.bucket[s], got.key[s])
+                    three[s] = np.where(r > 0, top.kept(r) - np.log10(c)[of], back[of] + two[got.last[s]])
+                base = weights.word(n)[codes]
+                lower = np.where(second.of >= 0, np.append(two, 0.0)[second.of], base)
+                full = np.where(got.of >= 0, np.append(three, 0.0)[got.of], lower)
+                starts = np.cumsum(sizes) - sizes
+                sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full, lower)]
+                yield pa.RecordBatch.from_arrays([batch.column(6)[k].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "score_two"])
+
+    scored = []
+    for k in range(PASSES):
+        part = rows.filter(F.pmod(F.xxhash64("chunk"), F.lit(PASSES)) == k)
+        asks = part.select("sizes", "number", "n", "codes", "two", "chunk").mapInArrow(asking, "bucket long, chunk long, blob binary")
+        answers = asks.groupBy("bucket").cogroup(third.triples.select("bucket", "trigrams").groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, blob binary")
+        answers = stored(answers, "katz-answers")
+        found = part.join(by_chunk(answers), "chunk", "left").select("sizes", "number", "n", "codes", "two", "answers", "ids")
+        scored.append(stored(found.mapInArrow(finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double, score_two double"), "katz-scores"))
+        discard(answers)
+    return functools.reduce(DataFrame.unionByName, scored)

@@ -32,10 +32,11 @@ def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 7) == 2
     tokens = katz_lm.tokenised(docs, ~held_out)
-    model = katz_lm.fit(tokens, keep=False)
+    model = katz_lm.fit(tokens, keep=False, order=3)
     scored = katz_lm.score(tokens, model)
-    discard(model.vocabulary.table, model.pairs)  # the answers are there
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    discard(model.third.triples, tokens.second[1])  # the scores are there
+    counts = ["n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens")]
+    return scored.select("doc_id", held_out.alias("held_out"), *counts, "base_score", F.col("score_two").alias("score"), F.col("score").alias("score_three"))
 
 
 URL_RULES = [

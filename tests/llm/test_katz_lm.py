@@ -126,3 +126,66 @@ def test_saved_model(spark, tmp_path):
     want = sorted(K.score(other, model).collect())
     again = K.Model.load(spark, f"{tmp_path}/model")
     assert sorted(K.score(other, again).collect()) == want and [r.n_tokens for r in want] == [7, 1]
+
+
+class Brute3(Brute):
+    """Order three by the same step on top of order two."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        tri = Counter()
+        for t in texts:
+            seq = ["<s>", *lower_words(t), "</s>"]
+            tri.update(zip(seq, seq[1:], seq[2:]))
+        d = K.discounts(Counter(tri.values()))
+        self.after = {}
+        for (u, v, w), r in tri.items():
+            self.after.setdefault((u, v), {})[w] = r
+        self.d3 = lambda r: d.get(r, 1.0) * r
+
+    def p3(self, w, u, v):
+        seen = self.after.get((u, v))
+        if not seen:
+            return self.p(w, v)
+        c, kept = sum(seen.values()), sum(map(self.d3, seen.values()))
+        c += kept >= c * (1 - 1e-9)
+        if w in seen:
+            return self.d3(seen[w]) / c
+        return (1 - kept / c) / (1 - sum(self.p(x, v) for x in seen)) * self.p(w, v)
+
+    def score3(self, t):
+        seq = ["<s>", *lower_words(t), "</s>"]
+        return math.log10(self.p(seq[1], seq[0])) + sum(math.log10(self.p3(w, u, v)) for u, v, w in zip(seq, seq[1:], seq[2:]))
+
+
+@pytest.mark.parametrize("buckets", [1_000_000, 3_000])
+def test_order_three(spark, sf_dir, monkeypatch, tmp_path, buckets):
+    monkeypatch.setattr(K, "BUCKET_TOKENS", buckets)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).collect()]
+    docs += [(10**6 + i, t) for i, t in enumerate([None, "", "A a a", "a a a a b", "b a " * 300, "zz yy zz yy xx", "é É", "the zz of the"])]
+    train = {i: t for i, t in docs if not held_out(i)}
+    brute = Brute3(list(train.values()))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    tokens = K.tokenised(rows, ~rows.doc_id.isin([i for i in dict(docs) if i not in train]))
+    model = K.fit(tokens, order=3)
+    got = {r.doc_id: r for r in K.score(tokens, model).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        assert math.isclose(got[i].score_two, brute.score(t)[3], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(got[i].score, brute.score3(t), rel_tol=1e-8, abs_tol=1e-9), (i, got[i], brute.score3(t))
+    held = [r for i, r in got.items() if i not in train]
+    assert any(r.score != r.score_two for r in held)
+    for u, v in [("<s>", "the"), ("a", "a"), *list(brute.after)[:3]]:
+        assert math.isclose(sum(brute.p3(w, u, v) for w in brute.uni) + brute.p3("never seen", u, v), 1, rel_tol=1e-9)
+    model.save(f"{tmp_path}/model")
+    other = K.tokenised(rows.filter("doc_id % 3 = 0"))
+    for r in K.score(other, K.Model.load(spark, f"{tmp_path}/model")).collect():
+        assert math.isclose(r.score, got[r.doc_id].score, rel_tol=1e-12)
+
+
+def test_op3_gives_order_three_too(spark, tmp_path):
+    docs = [(1, None), (2, "a b c a b d"), (3, "a b c"), (4, "b c a b c"), (5, "b a " * 50), (7, "a b x"), (8, "c d " * 6)]
+    brute = Brute3([t for i, t in docs if not held_out(i)])
+    for r in op3_katz_lm(spark, written(spark, tmp_path, docs)).collect():
+        assert math.isclose(r.score, brute.score(dict(docs)[r.doc_id])[3], rel_tol=1e-9)
+        assert math.isclose(r.score_three, brute.score3(dict(docs)[r.doc_id]), rel_tol=1e-9)

@@ -633,3 +633,17 @@ def test_facts_of_other_documents_meet_a_wave_once(spark):
     assert plan_of(after).count("Join LeftOuter") == 2
     got = after.collect()
     assert len(got) == len(rows) and {r.fact_id: r.reason for r in got if r.valid_to} == {1: "ontology_superseded", 3: "extractor_superseded"}
+
+
+def test_prior_versions_meet_in_blocks(spark, tmp_path):
+    """A chain's pairs are as SQL has them, also without native ids and with equal versions, and its files of pairs pack well, as blocks come in one order."""
+    rows = [(i, "t0", "s" + str(i % 2), None if i % 3 else "n", i // 4 if i < 40 else i) for i in range(120)] + [(500, "t0", None, "n", 3), (501, "t0", "s0", "n", None)]
+    schema = "raw_id long, tenant_id string, source_system string, native_id string, version int"
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[2] and a[1:4] == b[1:4] and None not in (a[4], b[4]) and b[4] < a[4])
+    assert sorted(map(tuple, ingest.prior_versions(spark.createDataFrame(rows, schema)).collect())) == want
+    long = spark.range(3000).selectExpr("(id * 7919) % 3000 * 1000003 AS raw_id", "'t0' AS tenant_id", "'s' AS source_system", "CAST(NULL AS STRING) AS native_id", "CAST(id + 1 AS INT) AS version")
+    ingest.prior_versions(long).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.distinct().count() == found.count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.45 * found.count()
+    assert sorted(map(tuple, ingest.prior_versions(spark.createDataFrame(rows, schema), block=4).collect())) == want

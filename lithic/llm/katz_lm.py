@@ -15,8 +15,8 @@ d(r) = r* / r up to `TURING` (r* = (r + 1) N(r+1) / N(r)), renormalised as Katz
 Texts are tokenised once, into chunks of some `CHUNK` bytes: a row with the chunk's distinct words and, packed, its texts as places in
 that list. Counting and scoring both work on distinct words and bigrams of a chunk:
 
-- `words`, the table of order one, gives each word an id, smaller for frequent words, and its count. Words with a share of the tokens above
-  1 / HEAD_WORDS, so at most that many, are looked up in a broadcast; a chunk's other words by a join.
+- `words`, the table of order one, gives each word an id, smaller for frequent words, and its count. It is dealt out by hash, a row of lists for each bucket. Words with a share of the
+  tokens above 1 / HEAD_WORDS, so at most that many, are looked up in a broadcast; for the others a chunk asks each bucket, as it does for bigrams.
 - `pairs`, the table of order two, is partitioned by history, a row for each bucket with its bigrams packed and their counts; the number
   of buckets follows the tokens (`BUCKET_TOKENS`). Histories that would fill half a bucket or more are dealt out by bigram instead; what backing off
   from them needs are sums, at most two histories for each bucket, which are sent to the tasks.
@@ -35,17 +35,18 @@ each. With nothing to train on every token is unknown. Other columns are ignored
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions.storage import exists
-from lithic.llm.common import discard, lower_words, slices, stored
+from lithic.llm.common import discard, slices, stored
 
 TURING = 5
 CHUNK = 4_000_000
@@ -70,6 +71,13 @@ def pair_keys(h: np.ndarray, w: np.ndarray, most: int) -> tuple[np.ndarray, bool
     return spread(spread(h) + w.view(np.uint64) * np.uint64(_ODD)).view(np.int64), False
 
 
+def in_order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of pairs by non-negative h, then w, as np.lexsort((w, h)), by sorts of single numbers."""
+    places = np.unique(h, return_inverse=True)[1]
+    bits = int(w.max()).bit_length() if len(w) else 0
+    return np.argsort(places << bits | w) if bits + len(h).bit_length() < 64 else np.lexsort((w, h))
+
+
 def planes(*columns: np.ndarray) -> bytes:
     """Columns of non-negative integers of equal length, packed byte by byte so that equal bytes stand together."""
     n = len(columns[0])
@@ -129,6 +137,33 @@ def lists(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False))
 
 
+def flat(table: pa.Table, column: str) -> np.ndarray:
+    """All values of a column of lists, in order."""
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def dealt(buckets: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of words by bucket, the buckets that have some, and where each one's words start and the last one's end."""
+    own = (spread(words) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+    return order, own[cuts], np.append(cuts, len(own))
+
+
+def lists_of(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def with_answers(rows: DataFrame, answers: DataFrame, finished: Callable[[pa.RecordBatch, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Each chunk's row, as a batch, met with its answers in order of bucket; one chunk is in memory at a time."""
+
+    def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([finished(chunks.combine_chunks().to_batches()[0], told.sort_by("bucket"))])
+
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
 class Tokens:
     """Texts as chunks: chunk, ids (of the documents), sizes (tokens of each), train, words (hashes), freq (in training texts), codes."""
 
@@ -147,15 +182,19 @@ def tokenised(docs: DataFrame, train: Column | None = None) -> Tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(slices(batches, 1, CHUNK)):
-            words = [lower_words(t) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(w) + 1 for w in words], np.int64)
-            codes, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-            del words
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(1), "")))
+            text = words.value_parent_indices().to_numpy()
+            words = words.flatten()
+            real = pc.greater(pc.binary_length(words), 0)  # there is an empty one before or after white space at the ends
+            sizes = np.bincount(text[real.to_numpy(zero_copy_only=False)], minlength=batch.num_rows) + 1
+            words = words.filter(real).dictionary_encode()
+            codes, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+            del words, text, real
             seq = np.full(int(sizes.sum()), len(distinct), np.int64)
             inner = np.ones(len(seq), bool)
             inner[np.cumsum(sizes) - 1] = False
             seq[inner] = codes
-            hashes = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False).view(np.int64) if len(distinct) else np.zeros(0, np.int64)
+            hashes = pd.util.hash_array(distinct, categorize=False).view(np.int64) if len(distinct) else np.zeros(0, np.int64)
             learn = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             freq = np.bincount(seq[np.repeat(learn, sizes)], minlength=len(distinct) + 1).astype(np.int64)
             yield one_row(["chunk", "ids", "sizes", "train", "words", "freq", "codes"], [base | k, batch.column(0), sizes, learn, np.append(hashes, END), freq, planes(seq)])
@@ -193,54 +232,90 @@ class Words:
 
 
 class Vocabulary:
-    """The table of order one."""
+    """The table of order one: lists w, n, id for each bucket, by falling n, and their sums."""
 
     def __init__(self, table: DataFrame):
         self.table = table
-        total = table.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.max(F.when(F.col("w") == END, F.col("n"))).alias("texts"), F.max("id").alias("last")).first()
-        self.tokens, self.types, self.texts, self.last = total.tokens or 0, total.types, total.texts or 0, total.last or 0
-        self.frequent = F.col("n") * HEAD_WORDS >= self.tokens  # at most HEAD_WORDS rows
-        head = table.filter(self.frequent).toPandas()
-        self.head = table.sparkSession.sparkContext.broadcast(Words(head.w.to_numpy(np.int64), head.id.to_numpy(np.int64), head.n.to_numpy(np.int64)))
+        total = table.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.max("texts").alias("texts"), F.max("last").alias("last"), F.max("buckets").alias("buckets")).first()
+        self.tokens, self.types, self.texts, self.last, self.buckets = (x or 0 for x in total)
+        head = self.above(HEAD_WORDS)
+        self.head = table.sparkSession.sparkContext.broadcast(Words(*(head[c].to_numpy(np.int64) for c in ("w", "id", "n"))))
+
+    def above(self, most: int) -> pd.DataFrame:
+        """w, n, id of the words with a share of the tokens of at least 1 / `most`: at most so many."""
+        tokens = self.tokens
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for w, n, number in zip(*(lists(batch, c) for c in range(3)), strict=True):
+                    up = n * most >= tokens
+                    yield pa.RecordBatch.from_arrays([pa.array(w[up]), pa.array(n[up]), pa.array(number[up])], names=["w", "n", "id"])
+
+        return self.table.select("w", "n", "id").mapInArrow(run, "w long, n long, id long").toPandas()
 
     def resolved(self, tokens: Tokens) -> DataFrame:
         """The chunks with their words' ids and counts in place of the words: chunk, ids, sizes, train, number, n, codes."""
         if tokens.resolved and tokens.resolved[0] is self:
             return tokens.resolved[1]
-        head = self.head
+        head, buckets = self.head, max(self.buckets, 1)
 
-        def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, words in zip(batch.column(0).to_pylist(), lists(batch, 1), strict=True):
                     rest = words[~head.value.find(words)[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), chunk, np.int64)), pa.array(rest)], names=["chunk", "w"])
-
-        def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, words in enumerate(lists(batch, 4)):
-                    rows = batch.column(6)[k].values
-                    w, number, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in range(3)) if rows is not None else [np.zeros(0, np.int64)] * 3
-                    has, number_h, n_h = head.value.find(words)
-                    _, number_t, n_t = Words(w, number, n).find(words)
-                    same = [batch.column(c)[k].values for c in (1, 2, 3)]
-                    yield one_row(["chunk", "ids", "sizes", "train", "number", "n", "codes"], [batch.column(0)[k].as_py(), *same, np.where(has, number_h, number_t), np.where(has, n_h, n_t), batch.column(5)[k].as_py()])
-
-        asked = tokens.frame.select("chunk", "words").mapInArrow(missing, "chunk long, w long")
-        found = asked.join(self.table.filter(~self.frequent), "w").groupBy("chunk").agg(F.collect_list(F.struct("w", "id", "n")).alias("found"))
-        rows = tokens.frame.join(found, "chunk", "left").select("chunk", "ids", "sizes", "train", "words", "codes", "found")
+                    order, own, offsets = dealt(buckets, rest)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), chunk, np.int64)), lists_of(offsets, rest[order])], names=["bucket", "chunk", "w"])
+
+        def answered(asks: pa.Table, table: pa.Table) -> pa.Table:
+            asks = asks.combine_chunks()
+            _, number, n = Words(*(flat(table, c) for c in ("w", "id", "n"))).find(flat(asks, "w"))
+            offsets = np.append(0, np.cumsum(pc.list_value_length(asks.column("w")).to_numpy()))
+            return pa.table({"chunk": asks.column("chunk"), "bucket": asks.column("bucket"), "number": lists_of(offsets, number), "n": lists_of(offsets, n)})
+
+        def aligned(batch: pa.RecordBatch, answers: pa.Table) -> pa.RecordBatch:
+            words = next(lists(batch, 4))
+            has, number, n = head.value.find(words)
+            rest = np.flatnonzero(~has)
+            rest = rest[dealt(buckets, words[rest])[0]]
+            number[rest], n[rest] = flat(answers, "number"), flat(answers, "n")
+            same = [batch.column(c)[0].values for c in (1, 2, 3)]
+            return one_row(["chunk", "ids", "sizes", "train", "number", "n", "codes"], [batch.column(0)[0].as_py(), *same, number, n, batch.column(5)[0].as_py()])
+
+        asks = tokens.frame.select("chunk", "words").mapInArrow(asking, "bucket long, chunk long, w array<long>")
+        answers = asks.groupBy("bucket").cogroup(self.table.select("bucket", "w", "n", "id").groupBy("bucket")).applyInArrow(answered, "chunk long, bucket long, number array<long>, n array<long>")
         schema = f"chunk long, ids array<{tokens.kind}>, sizes array<long>, train array<boolean>, number array<long>, n array<long>, codes binary"
-        tokens.resolved = self, stored(rows.mapInArrow(aligned, schema), "katz-resolved")
+        rows = with_answers(tokens.frame.select("chunk", "ids", "sizes", "train", "words", "codes"), answers, aligned, schema)
+        tokens.resolved = self, stored(rows, "katz-resolved")
         return tokens.resolved[1]
 
 
 def vocabulary_of(tokens: Tokens) -> Vocabulary:
-    """Words of the training texts with their counts and ids: by frequency within as many parts as there are shuffle partitions."""
+    """Words of the training texts with their counts and ids: by frequency within as many buckets as the chunks' distinct words take."""
     parts = int(tokens.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = tokens.frame.select(F.explode(F.arrays_zip("words", "freq")).alias("x")).filter("x.freq > 0")
-    counts = each.groupBy(F.col("x.words").alias("w")).agg(F.sum("x.freq").alias("n"))
-    part = F.pmod(F.xxhash64("w"), F.lit(parts))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("n").desc(), "w"))
-    return Vocabulary(stored(counts.withColumn("part", part).select("w", "n", (place * parts + F.col("part") + 2).alias("id")), "katz-words"))
+    buckets = max(parts, -(-(tokens.frame.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET_TOKENS))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, freq in zip(lists(batch, 0), lists(batch, 1), strict=True):
+                words, freq = words[freq > 0], freq[freq > 0]
+                order, own, offsets = dealt(buckets, words)
+                yield pa.RecordBatch.from_arrays([pa.array(own), lists_of(offsets, words[order]), lists_of(offsets, freq[order])], names=["bucket", "w", "freq"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        w, freq, bucket = flat(rows, "w"), flat(rows, "freq"), rows.column("bucket")[0].as_py()
+        order = np.argsort(w)
+        w, freq = w[order], freq[order]
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        w, n = w[new], np.add.reduceat(freq, new)
+        order = np.lexsort((w, -n))
+        w, n = w[order], n[order]
+        number = np.arange(1, len(w) + 1) * buckets + bucket + 2
+        names = ["bucket", "buckets", "tokens", "types", "texts", "last", "w", "n", "id"]
+        return pa.Table.from_batches([one_row(names, [bucket, buckets, int(n.sum()), len(w), int(n[w == END].sum()), int(number[-1]), w, n, number])])
+
+    rows = tokens.frame.select("words", "freq").mapInArrow(counted, "bucket long, w array<long>, freq array<long>")
+    schema = "bucket long, buckets long, tokens long, types long, texts long, last long, w array<long>, n array<long>, id array<long>"
+    return Vocabulary(stored(rows.groupBy("bucket").applyInArrow(gathered, schema), "katz-words"))
 
 
 class Split:
@@ -263,7 +338,8 @@ class Split:
         return Split(row.buckets, np.array(row.hot, np.int64))
 
     def bucket(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key = spread(np.where(self.is_hot(h), (spread(h) + w.view(np.uint64) * np.uint64(_ODD)).view(np.int64), h))
+        key, hot = spread(h), np.flatnonzero(self.is_hot(h))
+        key[hot] = spread(key[hot] + w[hot].view(np.uint64) * np.uint64(_ODD))
         return (key % np.uint64(self.buckets)).astype(np.int64)
 
 
@@ -284,7 +360,8 @@ class Bigrams:
         h, w = rank[before[asks]], rank[codes[asks]]
         bits = len(ids).bit_length()
         inner = h << bits | w
-        bucket = split.bucket(ids[h], ids[w])
+        bucket, hot = split.bucket(ids, ids)[h], np.flatnonzero(split.is_hot(ids)[h])
+        bucket[hot] = split.bucket(ids[h[hot]], ids[w[hot]])
         if 2 * bits + split.buckets.bit_length() < 64:
             order = np.argsort(bucket << 2 * bits | inner)
         else:
@@ -356,15 +433,14 @@ class Trigrams:
 SUMS = TURING + 2  # bigrams seen 1 to TURING times, tokens of those seen more often, sum of c(w) + 1
 
 
-def history_sums(h: np.ndarray, r: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Histories in order, and for each a row of SUMS. Bigrams come in order of history."""
-    new = np.flatnonzero(np.diff(h, prepend=-1))
-    out = np.zeros((len(new), SUMS), np.int64)
+def history_sums(h: np.ndarray, r: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Histories in order, and for each a row of SUMS; the last is 0 without `n`. Bigrams come in order of history."""
+    first = np.diff(h, prepend=-1) != 0
+    new = np.flatnonzero(first)
+    out = np.bincount((np.cumsum(first) - 1) * SUMS + np.minimum(r, TURING + 1) - 1, minlength=len(new) * SUMS).reshape(-1, SUMS)
     if len(new):
-        for k in range(TURING):
-            out[:, k] = np.add.reduceat((r == k + 1).astype(np.int64), new)
         out[:, TURING] = np.add.reduceat(np.where(r > TURING, r, 0), new)
-        out[:, TURING + 1] = np.add.reduceat(n + 1, new)
+        out[:, TURING + 1] = np.add.reduceat(n + 1, new) if n is not None else 0
     return h[new], out
 
 
@@ -384,9 +460,12 @@ class Weights:
         c = c + (kept >= c * (1 - 1e-9))
         return c, np.log10((1 - kept / c) / (1 - lower))
 
+    def discounted(self, r: np.ndarray) -> np.ndarray:
+        return r * self.discount[np.where(r <= TURING, r, 0)]
+
     def kept(self, r: np.ndarray) -> np.ndarray:
-        """log10 of the discounted count."""
-        return np.log10(np.maximum(r, 1) * self.discount[np.where(r <= TURING, r, 0)])
+        """log10 of the discounted count, that of 1 for an n-gram not seen."""
+        return np.log10(np.where(r > 0, self.discounted(r), 1))
 
     def word(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / self.share)
@@ -452,7 +531,7 @@ def fit(tokens: Tokens, keep: bool = True, order: int = 2) -> Model:
     """
     spark, vocabulary = tokens.frame.sparkSession, vocabulary_of(tokens)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabulary.tokens // BUCKET_TOKENS))
-    hot = [r.id for r in vocabulary.table.filter(F.col("n") * 2 * buckets >= vocabulary.tokens).select("id").collect()]
+    hot = vocabulary.above(2 * buckets).id.tolist()
     hot += [START] if vocabulary.texts * 2 * buckets >= vocabulary.tokens else []
     split = spark.sparkContext.broadcast(Split(buckets, np.array(hot, np.int64)))
     ready, most = vocabulary.resolved(tokens), vocabulary.last
@@ -471,10 +550,9 @@ def fit(tokens: Tokens, keep: bool = True, order: int = 2) -> Model:
         h = np.concatenate([np.cumsum(p[0]) for p in parts])
         w, times, n = np.concatenate([p[1:] for p in parts], axis=1)
         del parts
-        keys, in_order = pair_keys(h, w, most)
-        order = np.argsort(keys) if in_order else np.lexsort((w, h))
+        order = np.argsort(h << 32 | w) if most < 2**31 else in_order(h, w)
         h, w, times, n = h[order], w[order], times[order], n[order]
-        del keys, order
+        del order
         new = np.flatnonzero((np.diff(h, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         h, w, n, r = h[new], w[new], n[new], np.add.reduceat(times, new)
         seen = np.bincount(np.minimum(r, TURING + 2), minlength=TURING + 3)[1 : TURING + 2]
@@ -513,8 +591,8 @@ def answers_of(ready: DataFrame, model: Model) -> DataFrame:
         own = ~split.is_hot(histories)
         order = np.argsort(known := np.concatenate([histories[own], hot]))
         known, c, back = known[order], np.concatenate([c[own], hot_weights[0]])[order], np.concatenate([back[own], hot_weights[1]])[order]
-        keys, in_order = pair_keys(h, w, most)
-        if not in_order:
+        keys, ordered = pair_keys(h, w, most)
+        if not ordered:
             order = np.argsort(keys)
             keys, r = keys[order], r[order]
         out = []
@@ -534,10 +612,6 @@ def answers_of(ready: DataFrame, model: Model) -> DataFrame:
     return stored(answers, "katz-answers")
 
 
-def by_chunk(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-
-
 def score(tokens: Tokens, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) per row of the documents; a model of order three gives score_two, that of its order two, too."""
     if model.third:
@@ -545,26 +619,24 @@ def score(tokens: Tokens, model: Model) -> DataFrame:
     ready, weights = model.vocabulary.resolved(tokens), model.weights
     sent = ready.sparkSession.sparkContext.broadcast(model.split)
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
-                codes = unpacked(batch.column(3)[k].as_py())[0]
-                got = Bigrams(sent.value, number, n, codes, sizes)
-                answers = {x["bucket"]: x["blob"] for x in batch.column(4)[k].as_py() or ()}
-                value = np.empty(len(got.h))
-                for b, s in got.parts():
-                    r, c, back = answer_read(answers[b])
-                    h = got.h[s]
-                    of = np.cumsum(np.diff(h, prepend=h[0]) != 0)
-                    value[s] = np.where(r > 0, weights.kept(r) - np.log10(c)[of], back[of] + weights.word(got.n[s]))
-                base = weights.word(n)[codes]
-                full = np.where(got.of >= 0, np.append(value, 0.0)[got.of], base)
-                starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full)]
-                yield pa.RecordBatch.from_arrays([batch.column(5)[k].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = ready.join(by_chunk(answers_of(ready, model)), "chunk", "left").select("sizes", "number", "n", "codes", "answers", "ids")
-    return rows.mapInArrow(finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double")
+    def finished(batch: pa.RecordBatch, answers: pa.Table) -> pa.RecordBatch:
+        sizes, number, n = (next(lists(batch, c)) for c in range(3))
+        codes = unpacked(batch.column(3)[0].as_py())[0]
+        got = Bigrams(sent.value, number, n, codes, sizes)
+        value = np.empty(len(got.h))
+        for (_, s), blob in zip(got.parts(), answers.column("blob"), strict=True):
+            r, c, back = answer_read(blob.as_py())
+            h = got.h[s]
+            of = np.cumsum(np.diff(h, prepend=h[0]) != 0)
+            value[s] = np.where(r > 0, weights.kept(r) - np.log10(c)[of], back[of] + weights.word(got.n[s]))
+        base = weights.word(n)[codes]
+        full = np.where(got.of >= 0, np.append(value, 0.0)[got.of], base)
+        starts = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full)]
+        return pa.RecordBatch.from_arrays([batch.column(4)[0].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = ready.select("sizes", "number", "n", "codes", "ids", "chunk")
+    return with_answers(rows, answers_of(ready, model), finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def second_of(tokens: Tokens, model: Model, keep: bool = True) -> DataFrame:
@@ -572,24 +644,19 @@ def second_of(tokens: Tokens, model: Model, keep: bool = True) -> DataFrame:
     if tokens.second and tokens.second[0] is model:
         return tokens.second[1]
     ready = model.vocabulary.resolved(tokens)
-    sent = ready.sparkSession.sparkContext.broadcast(model.split)
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
-                got = Bigrams(sent.value, number, n, unpacked(batch.column(3)[k].as_py())[0], sizes)
-                answers = {x["bucket"]: x["blob"] for x in batch.column(4)[k].as_py() or ()}
-                parts = [answer_read(answers[b]) for b, _ in got.parts()] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-                two = answer(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                same = [batch.column(c)[k].values for c in (5, 6)]
-                yield one_row(["chunk", "ids", "sizes", "train", "number", "n", "codes", "two"], [batch.column(7)[k].as_py(), same[0], sizes, same[1], number, n, batch.column(3)[k].as_py(), two])
+    def aligned(batch: pa.RecordBatch, answers: pa.Table) -> pa.RecordBatch:
+        parts = [answer_read(x.as_py()) for x in answers.column("blob")] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        two = answer(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        same = [batch.column(c)[0].values for c in range(1, 6)]
+        return one_row(["chunk", "ids", "sizes", "train", "number", "n", "codes", "two"], [batch.column(0)[0].as_py(), *same, batch.column(6)[0].as_py(), two])
 
     answers = answers_of(ready, model)
     if not keep:
         discard(model.vocabulary.table, model.pairs)
-    rows = ready.join(by_chunk(answers), "chunk", "left").select("sizes", "number", "n", "codes", "answers", "ids", "train", "chunk")
+    rows = ready.select("chunk", "ids", "sizes", "train", "number", "n", "codes")
     schema = f"chunk long, ids array<{tokens.kind}>, sizes array<long>, train array<boolean>, number array<long>, n array<long>, codes binary, two binary"
-    tokens.second = model, stored(rows.mapInArrow(aligned, schema), "katz-second")
+    tokens.second = model, stored(with_answers(rows, answers, aligned, schema), "katz-second")
     discard(answers)
     if not keep:
         tokens.resolved = None
@@ -612,8 +679,8 @@ class Third:
 
 def triple_sums(key: np.ndarray, r: np.ndarray, r2: np.ndarray, c2: np.ndarray, below: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Histories in order, their sums and what their words come to at order two. Trigrams come in order of history."""
-    histories, sums = history_sums(key, r, np.full(len(key), -1))
-    return histories, sums, np.add.reduceat(10 ** (below.kept(r2) - np.log10(c2)), np.flatnonzero(np.diff(key, prepend=-1))) if len(key) else np.zeros(0)
+    histories, sums = history_sums(key, r)
+    return histories, sums, np.add.reduceat(below.discounted(r2) / c2, np.flatnonzero(np.diff(key, prepend=-1))) if len(key) else np.zeros(0)
 
 
 def third_of(tokens: Tokens, model: Model, keep: bool = True) -> Third:
@@ -637,7 +704,7 @@ def third_of(tokens: Tokens, model: Model, keep: bool = True) -> Third:
         h = np.concatenate([np.cumsum(p[0]) for p in parts])
         w, times, r2, c2 = np.concatenate([p[1:] for p in parts], axis=1)
         del parts
-        order = np.lexsort((w, h))
+        order = in_order(h, w)
         h, w, times, r2, c2 = h[order], w[order], times[order], r2[order], c2[order]
         new = np.flatnonzero((np.diff(h, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         h, w, r2, c2, r = h[new], w[new], r2[new], c2[new], np.add.reduceat(times, new)
@@ -676,46 +743,50 @@ def score_third(tokens: Tokens, model: Model) -> DataFrame:
         histories, sums, lower = triple_sums(h, r, r2, c2, below)
         _, split, (hot, *hot_weights) = sent.value
         own = ~split.is_hot(histories)
+        # trigrams are in order of history and word, and so are keys of their histories' places and words
+        bits = max(int(w.max()).bit_length(), 1) if len(w) else 1
+        keys = np.cumsum(np.diff(h, prepend=-1) != 0) - 1 << bits | w
         c, back = top.of(sums[own], lower[own])
         # a history that no text goes on from has weight 1
         known, c, back = np.concatenate([histories[own], hot, [np.iinfo(np.int64).max]]), np.concatenate([c, hot_weights[0], [1]]), np.concatenate([back, hot_weights[1], [0.0]])
         order = np.argsort(known)
         known, c, back = known[order], c[order], back[order]
-        keys = pair_keys(h, w, 2**63)[0]
-        order = np.argsort(keys)
-        keys, r = keys[order], r[order]
         out = []
         for blob in asks.blob:
             step, w = unpacked(blob)
             h = np.cumsum(step)
-            wanted = pair_keys(h, w, 2**63)[0]
-            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            count = np.where(keys[at] == wanted, r[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-            starts = np.flatnonzero(np.diff(h, prepend=-1))
+            new = np.diff(h, prepend=-1) != 0
+            starts = np.flatnonzero(new)
+            if len(keys):
+                at = np.minimum(np.searchsorted(histories, h[starts]), len(histories) - 1)
+                place = np.where(histories[at] == h[starts], at, -1)[np.cumsum(new) - 1]
+                wanted = np.where((place >= 0) & (w >> bits == 0), place << bits | w, -1)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                count = np.where(keys[at] == wanted, r[at], 0)
+            else:
+                count = np.zeros(len(h), np.int64)
             at = np.searchsorted(known, h[starts])
             at = np.where(known[at] == h[starts], at, len(known) - 1)
             out.append(answer(count, c[at], only_needed(back[at], count, starts)))
         return pd.DataFrame({"chunk": asks.chunk, "bucket": key[0], "blob": out})
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (sizes, number, n) in enumerate(zip(*(lists(batch, c) for c in range(3)), strict=True)):
-                codes = unpacked(batch.column(3)[k].as_py())[0]
-                second, (r, c, back), got = grams(sizes, number, n, codes, batch.column(4)[k].as_py())
-                run = runs(second.bucket, second.h)
-                two = np.where(r > 0, weights.kept(r) - np.log10(c)[run], back[run] + weights.word(second.n))
-                answers = {x["bucket"]: x["blob"] for x in batch.column(5)[k].as_py() or ()}
-                three = np.empty(len(got.key))
-                for b, s in got.parts():
-                    r, c, back = answer_read(answers[b])
-                    of = runs(got.bucket[s], got.key[s])
-                    three[s] = np.where(r > 0, top.kept(r) - np.log10(c)[of], back[of] + two[got.last[s]])
-                base = weights.word(n)[codes]
-                lower = np.where(second.of >= 0, np.append(two, 0.0)[second.of], base)
-                full = np.where(got.of >= 0, np.append(three, 0.0)[got.of], lower)
-                starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full, lower)]
-                yield pa.RecordBatch.from_arrays([batch.column(6)[k].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "score_two"])
+    def finished(batch: pa.RecordBatch, answers: pa.Table) -> pa.RecordBatch:
+        sizes, number, n = (next(lists(batch, c)) for c in range(3))
+        codes = unpacked(batch.column(3)[0].as_py())[0]
+        second, (r, c, back), got = grams(sizes, number, n, codes, batch.column(4)[0].as_py())
+        run = runs(second.bucket, second.h)
+        two = np.where(r > 0, weights.kept(r) - np.log10(c)[run], back[run] + weights.word(second.n))
+        three = np.empty(len(got.key))
+        for (_, s), blob in zip(got.parts(), answers.column("blob"), strict=True):
+            r, c, back = answer_read(blob.as_py())
+            of = runs(got.bucket[s], got.key[s])
+            three[s] = np.where(r > 0, top.kept(r) - np.log10(c)[of], back[of] + two[got.last[s]])
+        base = weights.word(n)[codes]
+        lower = np.where(second.of >= 0, np.append(two, 0.0)[second.of], base)
+        full = np.where(got.of >= 0, np.append(three, 0.0)[got.of], lower)
+        starts = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, starts) for x in ((n[codes] > 0).astype(np.int64), base, full, lower)]
+        return pa.RecordBatch.from_arrays([batch.column(5)[0].values, pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "score_two"])
 
     scored = []
     for k in range(PASSES):
@@ -723,7 +794,7 @@ def score_third(tokens: Tokens, model: Model) -> DataFrame:
         asks = part.select("sizes", "number", "n", "codes", "two", "chunk").mapInArrow(asking, "bucket long, chunk long, blob binary")
         answers = asks.groupBy("bucket").cogroup(third.triples.select("bucket", "trigrams").groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, blob binary")
         answers = stored(answers, "katz-answers")
-        found = part.join(by_chunk(answers), "chunk", "left").select("sizes", "number", "n", "codes", "two", "answers", "ids")
-        scored.append(stored(found.mapInArrow(finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double, score_two double"), "katz-scores"))
+        found = with_answers(part.select("sizes", "number", "n", "codes", "two", "ids", "chunk"), answers, finished, f"doc_id {tokens.kind}, n_tokens long, n_known long, base_score double, score double, score_two double")
+        scored.append(stored(found, "katz-scores"))
         discard(answers)
     return functools.reduce(DataFrame.unionByName, scored)

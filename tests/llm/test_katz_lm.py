@@ -189,3 +189,32 @@ def test_op3_gives_order_three_too(spark, tmp_path):
     for r in op3_katz_lm(spark, written(spark, tmp_path, docs)).collect():
         assert math.isclose(r.score, brute.score(dict(docs)[r.doc_id])[3], rel_tol=1e-9)
         assert math.isclose(r.score_three, brute.score3(dict(docs)[r.doc_id]), rel_tol=1e-9)
+
+
+def test_words_are_dealt_out_in_few_rows(spark, sf_dir, monkeypatch):
+    """Words meet their table as lists by bucket, so rows are as many as chunks times buckets, not as words."""
+    monkeypatch.setattr(K, "HEAD_WORDS", 50)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tokens = K.tokenised(docs)
+    made = K.vocabulary_of(tokens)
+    words = Counter(w for r in docs.collect() for w in lower_words(r.text))
+    assert made.tokens == sum(words.values()) + docs.count() and made.types == len(words) + 1
+    assert made.table.count() <= made.buckets < made.types / 10
+    rows = made.above(made.tokens)
+    assert sorted(rows.n) == sorted([*words.values(), docs.count()]) and rows.id.is_unique and rows.w.is_unique
+    n = [x for r in made.resolved(tokens).collect() for x in r.n]
+    assert min(n) > 0 and max(n) == max([*words.values(), docs.count()])
+
+
+def test_words_of_awkward_texts(spark):
+    texts = ["", None, "  a\tB\x0bb \n", "\x1ca\x1d b c  é", "\x0c", "İ ẞ Ä ab\x85cd", " x", "x "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = K.tokenised(rows).frame.collect()
+    assert [n - 1 for r in got for n in r.sizes] == [len(lower_words(t)) for t in texts]
+    assert sum(len(r.words) - 1 for r in got) == len({w for t in texts for w in lower_words(t)})
+
+
+def test_order_of_pairs():
+    h, w = K.np.array([2**62, 5, 5, 2**62, 0]), K.np.array([1, 2**40, 7, 0, 3])
+    assert K.in_order(h, w).tolist() == K.np.lexsort((w, h)).tolist()
+    assert K.in_order(h[:0], w[:0]).tolist() == []

@@ -1,6 +1,7 @@
 """Indexes kept between queries, and retrieval over them."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -169,3 +170,28 @@ def test_known_embeddings_are_taken_over(spark, passages):
     known = passages.filter("chunk_id < 100").select(fx.content_hash(F.coalesce("content", F.lit(""))).alias("content_hash"), F.array(F.lit(9.0).cast("float")).alias("embedding")).dropDuplicates(["content_hash"])
     rows = retrieval.embedded(passages, known).collect()
     assert len(rows) == 203 and all((len(r.embedding) == 1) == (r.chunk_id < 100 or r.chunk_id == 902 or r.content in {x.content for x in rows if x.chunk_id < 100}) for r in rows)
+
+
+def test_terms_of_a_passage_are_made_once_and_kept_in_place_of_its_text(spark, monkeypatch):
+    """Vectors and postings come from the same terms; what an update writes for both holds no texts."""
+    made, kept = [], []
+    monkeypatch.setattr(index, "search_terms", lambda c: made.append(c) or fx.search_terms(c))
+    monkeypatch.setattr(index, "stored", lambda df, label, real=index.stored: kept.append((label, real(df, label))) or kept[-1][1])
+    monkeypatch.setattr(index, "discard", lambda *frames: None)
+    texts = ["The Audits, of delaying", "", None, "the of", "  delayed-AUDIT  É 12s 1234s", "classes being seeds s"]
+    rows = spark.createDataFrame([(i, i, "t0", t) for i, t in enumerate(texts)], PASSAGES)
+    built = index.PassageIndex(spark, terms=index.search_terms)
+    assert built.update(rows) == len(texts) and len(made) == 1
+    got = {r.chunk_id: r.content for r in dict(kept)["passages-new"].collect()}
+    assert got == {0: "audit delay", 1: "", 2: "", 3: "", 4: "delay audit 12s 1234", 5: "class be seed s"}
+    want = rows.select("chunk_id", fx.search_terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    vectors = {r.id: list(r.embedding) for r in built.vectors().collect()}
+    assert vectors == {r.chunk_id: list(r.v) for r in want.select("chunk_id", index.hashed_embedding(F.col("terms")).alias("v")).collect()}
+    assert as_rows(built.keywords("audit delay", 9)) == as_rows(retrieval.keyword_topk(rows, "audit delay", 9, "chunk_id", "content"))
+    built.drop()
+
+
+def test_search_terms_cut_the_longest_ending(spark):
+    words = "bing being beings sings classes ringed eds ass asss thes inging seeds s 12es 1234s xxeses sssss passes".split()
+    got = spark.range(1).select(fx.search_terms(F.lit(" ".join(words))).alias("t")).first().t
+    assert got == [re.sub("(?:ing|ed|es|s)$", "", w) if len(w) > 4 else w for w in words]

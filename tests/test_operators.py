@@ -7,6 +7,7 @@ import time
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -647,3 +648,23 @@ def test_prior_versions_meet_in_blocks(spark, tmp_path):
     assert found.distinct().count() == found.count() == 3000 * 2999 // 2
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.45 * found.count()
     assert sorted(map(tuple, ingest.prior_versions(spark.createDataFrame(rows, schema), block=4).collect())) == want
+
+
+def test_pruned_pairs_keep_ties_and_vectors_of_any_size(monkeypatch):
+    """Products in single precision leave out no pair: copies, vectors that differ in their last digits, zero, huge and tiny ones."""
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 7)
+    r = np.random.default_rng(3)
+    for size in (1.0, 1e-60, 1e-160, 1e160):
+        b = r.normal(size=(300, 6)) * size
+        b[100:150] = b[:50]
+        b[150:200] = b[:50] * (1 + 1e-15)
+        b[200:210] = 0
+        a = np.vstack([b[::9], np.zeros((2, 6))])
+        with np.errstate(all="ignore"):
+            whole = retrieval.cosines(a, b)
+            x, y, score = retrieval.near_pairs(a, b, 5)
+        assert np.array_equal(score, whole[x, y], equal_nan=True)
+        worse = np.where(np.isnan(whole), np.inf, -whole)
+        for row in range(len(a)):
+            assert set(np.lexsort((np.arange(300), worse[row]))[:5]) <= set(y[x == row])
+    assert len(retrieval.near_pairs(r.normal(size=(50, 16)), r.normal(size=(5000, 16)), 2)[0]) < 150

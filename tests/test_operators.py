@@ -668,3 +668,15 @@ def test_pruned_pairs_keep_ties_and_vectors_of_any_size(monkeypatch):
         for row in range(len(a)):
             assert set(np.lexsort((np.arange(300), worse[row]))[:5]) <= set(y[x == row])
     assert len(retrieval.near_pairs(r.normal(size=(50, 16)), r.normal(size=(5000, 16)), 2)[0]) < 150
+
+
+def test_pairs_of_versions_are_spread_without_python(spark):
+    """One loop to a generated stage, so that no task holds all pairs of two blocks as rows; ids of any type, and null ones."""
+    rows = [(f"r{i}" if i % 9 else None, "t0", "s", "n", i) for i in range(50)]
+    raw = spark.createDataFrame(rows, "raw_id string, tenant_id string, source_system string, native_id string, version int")
+    found = ingest.prior_versions(raw, block=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    loops = [line.split("+- ")[-1].split(" ")[0] for line in plan.split("Initial Plan")[-1].splitlines() if re.search(r"Generate|Coalesce", line)]
+    assert loops == ["Generate", "Coalesce", "Generate"]
+    assert Counter(map(tuple, found.collect())) == Counter((a[0], b[0]) for a in rows for b in rows if b[4] < a[4])

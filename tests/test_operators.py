@@ -680,3 +680,31 @@ def test_pairs_of_versions_are_spread_without_python(spark):
     loops = [line.split("+- ")[-1].split(" ")[0] for line in plan.split("Initial Plan")[-1].splitlines() if re.search(r"Generate|Coalesce", line)]
     assert loops == ["Generate", "Coalesce", "Generate"]
     assert Counter(map(tuple, found.collect())) == Counter((a[0], b[0]) for a in rows for b in rows if b[4] < a[4])
+
+
+@pytest.mark.parametrize("copies", [0, 8])
+def test_alike_names_meet_as_lists(spark, monkeypatch, copies):
+    """Pairs leave Python as lists of entities by mention and similarity, rounded before they are spread; names with hundreds of trigrams, copies, other kinds and null ids."""
+    monkeypatch.setattr(resolution, "SPARSE", 0.0)
+    monkeypatch.setattr(resolution, "COPIES", copies)
+    monkeypatch.setattr(resolution, "MENTION_ROWS", 9)
+    monkeypatch.setattr(resolution, "LEVEL_CELLS", 3)
+    r = random.Random(2)
+    long = ["".join(r.choices("abcdefgh", k=400)) for _ in range(3)]
+    names = [f"Customer#{r.randrange(10**6):09d}" for _ in range(40)] + [f"{x} {y}" for x in long for y in long] + ["", "zz"]
+    e = [(None if k == 5 else k, "tu"[k % 5 == 0], "A", names[k % len(names)]) for k in range(80)]
+    m = [(k, "tu"[k % 4 == 0], "A", names[k * 7 % len(names)].upper() + " x") for k in range(60)] + [(90, "t", None, names[0]), (91, "t", "A", None)]
+    entities = spark.createDataFrame(e, "entity_id long, tenant_id string, entity_type string, name string")
+    mentions = spark.createDataFrame(m, "mention_id long, tenant_id string, entity_type string, surface string")
+    grams = lambda name: {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", name.lower()) for i in range(len(w) + 1)}
+    want = Counter()
+    for a in m[:60]:
+        for b in e:
+            x, y = grams(a[3]), grams(b[3])
+            if a[1] == b[1] and x & y and len(x & y) / len(x | y) >= 0.25:
+                want[a[0], b[0], round(len(x & y) / len(x | y), 6)] += 1
+    found = resolution.trigram_block(mentions, entities, digits=6)
+    assert Counter(map(tuple, found.collect())) == want and len(want) > 500
+    if copies:
+        plan = plan_of(found)
+        assert plan.index("Generate explode(e_ids") < plan.index("round(similarity") < plan.index("FlatMapCoGroupsInArrow")
